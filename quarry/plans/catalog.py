@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 Builder = Callable[[SparkSession, str], DataFrame]
 
 _REGISTRY: dict[str, tuple[Builder, str | None]] = {}
+_LOADED = False
 
 AREAS = ("vectors", "tree", "sync", "query", "retrieve", "blocks", "edits", "plans", "ci")
 
@@ -36,8 +37,10 @@ def _load() -> None:
 
 
 def catalog() -> dict[str, tuple[Builder, str | None]]:
-    if not _REGISTRY:
+    global _LOADED
+    if not _LOADED:
         _load()
+        _LOADED = True
     return dict(_REGISTRY)
 
 
