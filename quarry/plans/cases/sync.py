@@ -1 +1,197 @@
-"""Catalogued queries."""
+"""Sync and mutation queries (C1-C11) over documents split into a stored state and
+an incoming file set (see ``quarry.sources.corpus``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators import enrich as EN
+from quarry.operators import sync as SY
+from quarry.plans.catalog import register
+from quarry.plans.oracle import derived, sql
+from quarry.sources import corpus as C
+
+REFRESH_REPOSITORY = "repo0"
+STALE_BEFORE = "2024-01-01 12:00:00"
+
+KEYS = "repository, context, filepath"
+ON_KEY = "a.repository = b.repository AND a.context = b.context AND a.filepath = b.filepath"
+
+
+def describe(content: F.Column, filepath: F.Column) -> F.Column:
+    """Deterministic stand-in for the model summary of a changed file."""
+    return F.concat(F.lit("summary of "), filepath, F.lit(": "),
+                    F.size(F.split(content, "\n")).cast("string"), F.lit(" lines"))
+
+
+SQL_DESCRIBE = "'summary of ' || filepath || ': ' || len(string_split(content, chr(10)))::VARCHAR || ' lines'"
+
+derived("cls", ("state", "incoming"), """
+    SELECT coalesce(a.repository, b.repository) AS repository, coalesce(a.context, b.context) AS context,
+           coalesce(a.filepath, b.filepath) AS filepath, a.id, a.updated_at, b.modified_at, b.content,
+           CASE WHEN b.filepath IS NULL THEN (CASE WHEN sc.repository IS NOT NULL THEN 'prune' ELSE 'keep' END)
+                WHEN a.filepath IS NULL THEN (CASE WHEN coalesce(length(b.content), 0) = 0 THEN 'skip' ELSE 'insert' END)
+                WHEN a.updated_at > b.modified_at THEN 'fresh'
+                WHEN coalesce(length(b.content), 0) = 0 THEN 'skip'
+                ELSE 'update' END AS class
+    FROM state a FULL OUTER JOIN incoming b
+      ON a.repository = b.repository AND a.context = b.context AND a.filepath = b.filepath
+    LEFT JOIN (SELECT DISTINCT repository, context FROM incoming) sc
+      ON sc.repository = coalesce(a.repository, b.repository) AND sc.context = coalesce(a.context, b.context)""")
+derived("changes", ("cls",), f"""
+    SELECT repository, context, filepath, {SQL_DESCRIBE} AS description, modified_at AS updated_at
+    FROM cls WHERE class IN ('insert', 'update')""")
+derived("allchanges", ("incoming",), f"""
+    SELECT repository, context, filepath, {SQL_DESCRIBE} AS description, modified_at AS updated_at FROM incoming""")
+
+
+def sql_with_new_ids(kept: str, fresh: str) -> str:
+    """SQL of ``kept UNION ALL fresh-with-dense-ids`` (same bucketing as functions.ids)."""
+    return f"""
+    , kept AS ({kept}), fresh AS ({fresh}),
+    mx AS (SELECT coalesce(max(id), 0) AS m FROM state),
+    bk AS (SELECT *, ('0x' || substr(md5(concat_ws(chr(1), repository, context, filepath)), 1, 3))::INTEGER AS b
+           FROM fresh),
+    offs AS (SELECT b, coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+             FROM (SELECT b, count(*) AS n FROM bk GROUP BY b))
+    SELECT id, repository, context, filepath, description, updated_at FROM kept
+    UNION ALL
+    SELECT (mx.m + offs.off + row_number() OVER (PARTITION BY bk.b ORDER BY repository, context, filepath))::BIGINT
+             AS id, repository, context, filepath, description, updated_at
+    FROM bk JOIN offs ON bk.b = offs.b CROSS JOIN mx"""
+
+
+def _changes(spark, d):
+    cls = SY.classify(C.doc_state(spark, d), C.doc_incoming(spark, d))
+    return cls.filter(F.col("class").isin(SY.INSERT, SY.UPDATE)).select(
+        *SY.KEY, describe(F.col("content"), F.col("filepath")).alias("description"),
+        F.col("modified_at").alias("updated_at"))
+
+
+def _all_changes(spark, d):
+    inc = C.doc_incoming(spark, d)
+    return inc.select(*SY.KEY, describe(F.col("content"), F.col("filepath")).alias("description"),
+                      F.col("modified_at").alias("updated_at"))
+
+
+@register("sync_classify", sql(["cls"], f"SELECT {KEYS}, id, class FROM cls"))
+def sync_classify(spark, d):
+    return SY.classify(C.doc_state(spark, d), C.doc_incoming(spark, d)).select(*SY.KEY, "id", "class")
+
+
+@register("sync_prune", sql(["state", "incoming"], f"""
+    SELECT a.* FROM state a
+    WHERE EXISTS (SELECT 1 FROM incoming b WHERE {ON_KEY})
+       OR NOT EXISTS (SELECT 1 FROM incoming b WHERE b.repository = a.repository AND b.context = a.context)"""))
+def sync_prune(spark, d):
+    return SY.prune(C.doc_state(spark, d), C.doc_incoming(spark, d))
+
+
+@register("sync_refresh", sql(["state"], f"SELECT * FROM state WHERE repository <> '{REFRESH_REPOSITORY}'"))
+def sync_refresh(spark, d):
+    return SY.refresh(C.doc_state(spark, d), REFRESH_REPOSITORY)
+
+
+_MERGE_UPDATE = f"""
+    SELECT a.id, coalesce(a.repository, b.repository) AS repository, coalesce(a.context, b.context) AS context,
+           coalesce(a.filepath, b.filepath) AS filepath,
+           CASE WHEN b.filepath IS NOT NULL THEN b.description ELSE a.description END AS description,
+           CASE WHEN b.filepath IS NOT NULL THEN b.updated_at ELSE a.updated_at END AS updated_at
+    FROM state a FULL OUTER JOIN changes b ON {ON_KEY}"""
+
+
+@register("upsert_new_values", sql(["state", "changes"], sql_with_new_ids(
+    f"SELECT * FROM ({_MERGE_UPDATE}) WHERE id IS NOT NULL", f"SELECT * FROM ({_MERGE_UPDATE}) WHERE id IS NULL")))
+def upsert_new_values(spark, d):
+    return SY.upsert(C.doc_state(spark, d), _changes(spark, d), on_conflict="update")
+
+
+@register("upsert_ignore", sql(["state", "changes"], sql_with_new_ids(
+    "SELECT * FROM state",
+    f"SELECT b.* FROM changes b WHERE NOT EXISTS (SELECT 1 FROM state a WHERE {ON_KEY})")))
+def upsert_ignore(spark, d):
+    return SY.upsert(C.doc_state(spark, d), _changes(spark, d), on_conflict="ignore")
+
+
+_MERGE_CUSTOM = f"""
+    SELECT a.id, coalesce(a.repository, b.repository) AS repository, coalesce(a.context, b.context) AS context,
+           coalesce(a.filepath, b.filepath) AS filepath,
+           CASE WHEN b.filepath IS NULL THEN a.description WHEN a.id IS NULL THEN b.description
+                ELSE b.description || ' (was ' || length(a.description)::VARCHAR || ' chars)' END AS description,
+           CASE WHEN b.filepath IS NULL THEN a.updated_at WHEN a.id IS NULL THEN b.updated_at
+                ELSE greatest(a.updated_at, b.updated_at) END AS updated_at
+    FROM state a FULL OUTER JOIN changes b ON {ON_KEY}"""
+
+
+@register("upsert_custom", sql(["state", "changes"], sql_with_new_ids(
+    f"SELECT * FROM ({_MERGE_CUSTOM}) WHERE id IS NOT NULL", f"SELECT * FROM ({_MERGE_CUSTOM}) WHERE id IS NULL")))
+def upsert_custom(spark, d):
+    sets = {
+        "description": F.concat(F.col("new.description"), F.lit(" (was "),
+                                F.length("old.description").cast("string"), F.lit(" chars)")),
+        "updated_at": F.greatest(F.col("old.updated_at"), F.col("new.updated_at")),
+    }
+    return SY.upsert(C.doc_state(spark, d), _changes(spark, d), on_conflict="custom", set_cols=sets)
+
+
+@register("insert_checked", sql(["state", "allchanges"], sql_with_new_ids(
+    "SELECT * FROM state",
+    f"""SELECT b.* FROM allchanges b WHERE coalesce(length(b.description), 0) > 0
+          AND NOT EXISTS (SELECT 1 FROM state a WHERE {ON_KEY})""")))
+def insert_checked(spark, d):
+    nxt, _rejected = SY.insert_checked(C.doc_state(spark, d), _all_changes(spark, d), required=["description"])
+    return nxt
+
+
+@register("key_violations", sql(["state", "allchanges"], f"""
+    SELECT {KEYS}, count(*) AS n FROM (SELECT {KEYS} FROM state UNION ALL SELECT {KEYS} FROM allchanges)
+    GROUP BY {KEYS} HAVING count(*) > 1"""))
+def key_violations(spark, d):
+    return SY.key_violations(C.doc_state(spark, d), _all_changes(spark, d))
+
+
+@register("update_where", sql(["state"], f"""
+    SELECT id, repository, context, filepath,
+           CASE WHEN context = 'en' AND updated_at < TIMESTAMP '{STALE_BEFORE}' THEN 'stale' ELSE description END
+             AS description, updated_at
+    FROM state"""))
+def update_where(spark, d):
+    pred = (F.col("context") == "en") & (F.col("updated_at") < F.lit(STALE_BEFORE).cast("timestamp_ntz"))
+    return SY.update_where(C.doc_state(spark, d), pred, {"description": F.lit("stale")})
+
+
+@register("update_affected", sql(["state"], f"""
+    SELECT count(*) AS affected FROM state WHERE context = 'en' AND updated_at < TIMESTAMP '{STALE_BEFORE}'"""))
+def update_affected(spark, d):
+    pred = (F.col("context") == "en") & (F.col("updated_at") < F.lit(STALE_BEFORE).cast("timestamp_ntz"))
+    return SY.affected(C.doc_state(spark, d), pred)
+
+
+@register("delete_where", sql(["state"], """
+    SELECT * FROM state WHERE NOT (context = 'de' AND starts_with(filepath, 'src1'))"""))
+def delete_where(spark, d):
+    pred = (F.col("context") == "de") & F.col("filepath").startswith("src1")
+    return SY.delete_where(C.doc_state(spark, d), pred)
+
+
+def word_summary(text):
+    """Example enrichment function (stands in for a model call): fails on empty text."""
+    if text is None or not text.strip():
+        raise ValueError("empty content")
+    return f"{len(text.split())} words, {text.count(chr(10)) + 1} lines"
+
+
+@register("enrich_batch")
+def enrich_batch(spark, d):
+    inc = C.doc_incoming(spark, d)
+    out = EN.enrich_batch(inc, word_summary, input_col="content", output_col="summary")
+    return out.select(*SY.KEY, "summary", "error")
+
+
+@register("stream_sync", sql([], """
+    SELECT source, doc_id, lang, n_chars FROM (
+      SELECT source, doc_id, lang, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn
+      FROM documents) WHERE rn = 1"""))
+def stream_sync(spark, d):
+    from quarry.streaming.sync import stream_latest_per_key_from_table
+    return stream_latest_per_key_from_table(spark, d)
