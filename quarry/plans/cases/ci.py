@@ -1 +1,43 @@
-"""Catalogued queries."""
+"""CI queries (K1-K4) over runs and pull requests derived from ``events``."""
+
+from __future__ import annotations
+
+from quarry.operators import ci as CI
+from quarry.plans.catalog import register
+from quarry.plans.oracle import sql
+from quarry.sources import corpus as C
+from quarry.sources.tables import read_table
+
+
+@register("ci_runs_for_pr", sql(["ciprs", "ciruns"], """
+    SELECT p.number, p.head_ref, r.id, r.name, r.status, r.conclusion, r.html_url
+    FROM ciprs p JOIN ciruns r ON r.branch = p.head_ref"""))
+def ci_runs_for_pr(spark, d):
+    return CI.runs_for_prs(C.ci_prs(spark, d), C.ci_runs(spark, d)).select(
+        "number", "head_ref", "id", "name", "status", "conclusion", "html_url")
+
+
+@register("ci_failed_runs", sql(["ciruns", "cilogs"], """
+    SELECT r.id, r.name, r.branch, r.html_url, l.logs_url
+    FROM ciruns r JOIN cilogs l ON l.run_id = r.id WHERE r.status = 'completed' AND r.conclusion = 'failure'"""))
+def ci_failed_runs(spark, d):
+    return CI.failed_runs(C.ci_runs(spark, d), C.ci_logs(spark, d)).select(
+        "id", "name", "branch", "html_url", "logs_url")
+
+
+@register("pr_listing", sql(["ciprs"], "SELECT number, printf('#%d %s [%s]', number, title, state) AS line FROM ciprs"))
+def pr_listing(spark, d):
+    return CI.pr_listing(C.ci_prs(spark, d))
+
+
+@register("url_owner_repo", sql([], r"""
+    SELECT page_id, url,
+           CASE WHEN len(string_split(regexp_replace(url, '\.git$', ''), '/')) >= 2
+                THEN string_split(regexp_replace(url, '\.git$', ''), '/')[-2] END AS owner,
+           CASE WHEN len(string_split(regexp_replace(url, '\.git$', ''), '/')) >= 2
+                THEN string_split(regexp_replace(url, '\.git$', ''), '/')[-1] END AS repo,
+           CASE WHEN len(string_split(regexp_replace(url, '\.git$', ''), '/')) < 2 THEN 'invalid remote URL' END
+             AS error
+    FROM pages"""))
+def url_owner_repo(spark, d):
+    return CI.owner_repo(read_table(spark, d, "pages", "page_id", "url"))

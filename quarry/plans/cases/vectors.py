@@ -47,32 +47,45 @@ def l2_distance(spark, d):
     return v.withColumn("__q", q).select("id", l2d("embedding", "__q").alias("score"))
 
 
-@register("vector_neighbors_cosine", sql(["vectors"], f"""
+# Every vector as a query, within its scope (the SQL side enumerates all pairs;
+# the Spark side never does, see operators.vectors.knn_join).
+BATCH_SQL = f"""
+    SELECT qid, id, score, rank FROM (
+      SELECT q.id AS qid, c.id AS id, {l2('c.embedding', 'q.embedding')} AS score,
+             row_number() OVER (PARTITION BY q.id ORDER BY {l2('c.embedding', 'q.embedding')}, c.id) AS rank
+      FROM vectors q JOIN vectors c ON q.repository = c.repository AND q.context = c.context)
+    WHERE rank <= {K_SEARCH}"""
+
+NEIGHBORS_SQL = f"""
     SELECT qid, id, score, rank FROM (
       SELECT q.id AS qid, c.id AS id, {cosine('c.embedding', 'q.embedding')} AS score,
              row_number() OVER (PARTITION BY q.id ORDER BY {cosine('c.embedding', 'q.embedding')} NULLS LAST, c.id)
                AS rank
       FROM vectors q, vectors c WHERE q.id <> c.id)
-    WHERE rank <= {K_NEIGHBORS}"""))
-def vector_neighbors_cosine(spark, d):
-    v = C.vectors(spark, d)
-    return V.knn_join(v.select(F.col("id").alias("qid"), "embedding"), v, K_NEIGHBORS,
-                      metric="cosine", exclude_self=True).select("qid", "id", "score", F.col("rank").cast("long"))
+    WHERE rank <= {{k}}"""
 
 
-@register("vector_search_batch", sql(["vectors"], f"""
-    SELECT qid, id, score, rank FROM (
-      SELECT q.id AS qid, c.id AS id, {l2('c.embedding', 'q.embedding')} AS score,
-             row_number() OVER (PARTITION BY q.id ORDER BY {l2('c.embedding', 'q.embedding')}, c.id) AS rank
-      FROM vectors q JOIN vectors c ON q.repository = c.repository AND q.context = c.context)
-    WHERE rank <= {K_SEARCH}"""))
-def vector_search_batch(spark, d):
+def batch_hits(spark, d):
     v = C.vectors(spark, d)
     q = v.select(F.col("id").alias("qid"), "repository", "context", "embedding")
     return V.knn_join(q, v, K_SEARCH, scope=["repository", "context"]).select(
         "qid", "id", "score", F.col("rank").cast("long"))
 
 
+def neighbor_hits(spark, d, k):
+    v = C.vectors(spark, d)
+    return V.knn_join(v.select(F.col("id").alias("qid"), "embedding"), v, k,
+                      metric="cosine", exclude_self=True).select("qid", "id", "score", F.col("rank").cast("long"))
+
+
+register("vector_search_batch", sql(["vectors"], BATCH_SQL))(batch_hits)
+
+
+@register("vector_neighbors_cosine", sql(["vectors"], NEIGHBORS_SQL.format(k=K_NEIGHBORS)))
+def vector_neighbors_cosine(spark, d):
+    return neighbor_hits(spark, d, K_NEIGHBORS)
+
+
 @register("vector_search_ann")
 def vector_search_ann(spark, d):
     v = C.vectors(spark, d)

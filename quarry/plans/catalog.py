@@ -18,7 +18,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 _LOADED = False
 
-AREAS = ("vectors", "tree", "sync", "query", "retrieve", "blocks", "edits", "plans", "ci")
+AREAS = ("vectors", "tree", "sync", "query", "retrieve", "digest", "blocks", "edits", "plans", "ci")
 
 
 def register(name: str, oracle: str | None = None):
