@@ -98,8 +98,8 @@ def block_index_hcl(spark, d):
     return blocks.select("path", "block_type", "block_name", "start_line", "end_line", "content")
 
 
-@register("hcl_attributes", sql(["hcllines", "hclev", "hclblocks"], """
-    , net AS (SELECT path, line_no, sum(CASE WHEN is_open THEN 1 ELSE -1 END) AS net FROM hclev GROUP BY 1, 2),
+derived("hclattrs", ("hcllines", "hclev", "hclblocks"), """
+    WITH net AS (SELECT path, line_no, sum(CASE WHEN is_open THEN 1 ELSE -1 END) AS net FROM hclev GROUP BY 1, 2),
     dep AS (SELECT l.*, coalesce(sum(coalesce(n.net, 0)) OVER (PARTITION BY l.path ORDER BY l.line_no
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth
             FROM hcllines l LEFT JOIN net n ON n.path = l.path AND n.line_no = l.line_no),
@@ -111,7 +111,10 @@ def block_index_hcl(spark, d):
                ON b.path = a.path AND b.level = a.level AND b.start_line < a.line_no
                QUALIFY row_number() OVER (PARTITION BY a.path, a.line_no ORDER BY b.start_line DESC) = 1)
     SELECT path, block_name, start_line AS block_start, name, value, line_no::INTEGER AS line_no
-    FROM tagged WHERE line_no < end_line"""))
+    FROM tagged WHERE line_no < end_line""")
+
+
+@register("hcl_attributes", sql(["hclattrs"], "SELECT * FROM hclattrs"))
 def hcl_attributes(spark, d):
     _, attrs = BK.hcl_index(C.hcl_files(spark, d))
     return attrs.select("path", "block_name", "block_start", "name", "value", F.col("line_no").cast("int"))

@@ -1 +1,217 @@
-"""Catalogued queries."""
+"""Edit queries (H1-H8) over the generated Go and HCL files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators import blocks as BK
+from quarry.operators import edits as ED
+from quarry.plans.catalog import register
+from quarry.plans.oracle import derived, sql
+from quarry.sources import corpus as C
+from quarry.sources.tables import read_table
+
+# ---------------------------------------------------------------- edit tables
+
+
+def go_edits(spark, d):
+    """One edit per part with line items: new body ``return <count>``, a doc comment."""
+    li = read_table(spark, d, "lineitem", "l_partkey")
+    g = li.groupBy("l_partkey").agg(F.count("*").alias("n"))
+    k = F.col("l_partkey").cast("string")
+    return g.select(F.concat(F.lit("f"), k, F.lit(".go")).alias("path"), F.lit("function").alias("target_type"),
+                    F.concat(F.lit("F"), k).alias("target_name"),
+                    F.concat(F.lit("return "), F.col("n").cast("string")).alias("new_content"),
+                    F.concat(F.lit("F"), k, F.lit(" has "), F.col("n").cast("string"), F.lit(" line items"))
+                    .alias("new_comment"),
+                    F.lit(1).alias("seq"))
+
+
+derived("goedits", (), """
+    SELECT 'f' || l_partkey::VARCHAR || '.go' AS path, 'F' || l_partkey::VARCHAR AS name,
+           'return ' || count(*)::VARCHAR AS new_content,
+           'F' || l_partkey::VARCHAR || ' has ' || count(*)::VARCHAR || ' line items' AS new_comment
+    FROM lineitem GROUP BY l_partkey""")
+
+
+def _indent_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, chr(10)), "
+            f"lambda y: CASE WHEN y = '' THEN y ELSE chr(9) || y END), chr(10))")
+
+
+def _splice_sql(lines: str, splices: str) -> str:
+    """SQL of ``operators.edits.splice``: ``path, content`` for every file of ``lines``."""
+    return f"""
+    SELECT path, string_agg(text, chr(10) ORDER BY line_no, kind, sub) AS content FROM (
+      SELECT l.path, l.line_no, 1 AS kind, 0 AS sub, l.text FROM {lines} l
+      WHERE NOT EXISTS (SELECT 1 FROM {splices} s WHERE s.path = l.path AND l.line_no BETWEEN s.s AND s.e)
+      UNION ALL
+      SELECT path, s AS line_no, 0 AS kind, unnest(range(0, len(string_split(new_text, chr(10))))) AS sub,
+             unnest(string_split(new_text, chr(10))) AS text FROM {splices})
+    GROUP BY path"""
+
+
+derived("bodysplices", ("gofuncs", "goedits"), f"""
+    SELECT f.path, f.start_line + 1 AS s, f.end_line - 1 AS e, {_indent_sql('e.new_content')} AS new_text
+    FROM gofuncs f JOIN goedits e ON e.path = f.path AND e.name = f.name WHERE length(e.new_content) > 0""")
+derived("commentsplices", ("gofuncs", "golines", "goedits"), """
+    SELECT f.path, coalesce(r.run_start, 1) AS s, f.start_line - 1 AS e,
+           array_to_string(list_transform(string_split(e.new_comment, chr(10)), lambda y: '// ' || y), chr(10))
+             AS new_text
+    FROM gofuncs f
+    JOIN (SELECT path, line_no, last(CASE WHEN NOT regexp_matches(text, '^\\s*//') THEN line_no + 1 END IGNORE NULLS)
+            OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run_start
+          FROM golines) r ON r.path = f.path AND r.line_no = f.start_line
+    JOIN goedits e ON e.path = f.path AND e.name = f.name WHERE length(e.new_comment) > 0""")
+derived("editedgo", ("golines", "bodysplices"), _splice_sql("golines", "bodysplices"))
+
+
+def _edited_go(spark, d):
+    files = C.go_files(spark, d)
+    funcs, _ = BK.go_index(files)
+    return ED.splice(files, ED.function_body_splices(funcs, go_edits(spark, d)))
+
+
+# ---------------------------------------------------------------- queries
+
+
+@register("edit_file", sql(["gofiles"], """
+    SELECT f.path, coalesce(e.new_content, f.content) AS content FROM gofiles f
+    LEFT JOIN (SELECT 'f' || p_partkey::VARCHAR || '.go' AS path,
+                      'package p' || chr(10) || '// replaced: ' || p_name || chr(10) AS new_content
+               FROM part WHERE p_size > 25) e ON e.path = f.path"""))
+def edit_file(spark, d):
+    p = read_table(spark, d, "part", "p_partkey", "p_name", "p_size")
+    edits = p.filter(F.col("p_size") > 25).select(
+        F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"),
+        F.concat(F.lit("package p\n// replaced: "), F.col("p_name"), F.lit("\n")).alias("new_content"))
+    return ED.replace_files(C.go_files(spark, d), edits)
+
+
+@register("edit_function", sql(["editedgo"], "SELECT path, content FROM editedgo"))
+def edit_function(spark, d):
+    return _edited_go(spark, d)
+
+
+@register("edit_comment", sql(["golines", "commentsplices"],
+                              "," + _splice_sql("golines", "commentsplices").replace("SELECT path,", "x AS (SELECT path,", 1)
+                              + ") SELECT * FROM x"))
+def edit_comment(spark, d):
+    files = C.go_files(spark, d)
+    funcs, _ = BK.go_index(files)
+    return ED.splice(files, ED.comment_splices(files, funcs, go_edits(spark, d)))
+
+
+def hcl_edits(spark, d):
+    s = read_table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    k = F.col("s_suppkey").cast("string")
+    return s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"), F.lit("resource").alias("target_type"),
+                    F.concat(F.lit("supplier,s"), k).alias("target_name"),
+                    F.concat(F.lit('  name = "s'), k, F.lit('-renamed"\n  nation = '),
+                             F.col("s_nationkey").cast("string")).alias("new_content"),
+                    F.lit(1).alias("seq"))
+
+
+derived("hclsplices", ("hclblocks",), """
+    SELECT b.path, b.start_line + 1 AS s, b.end_line - 1 AS e,
+           '  name = "s' || s_suppkey::VARCHAR || '-renamed"' || chr(10) || '  nation = ' || s_nationkey::VARCHAR
+             AS new_text
+    FROM supplier JOIN (SELECT * FROM hclblocks
+                        QUALIFY row_number() OVER (PARTITION BY path, block_type, block_name ORDER BY start_line) = 1) b
+      ON b.path = 's' || s_suppkey::VARCHAR || '.tf' AND b.block_type = 'resource'
+     AND b.block_name = 'supplier,s' || s_suppkey::VARCHAR""")
+
+
+@register("edit_hcl_block", sql(["hcllines", "hclsplices"],
+                                "," + _splice_sql("hcllines", "hclsplices").replace("SELECT path,", "x AS (SELECT path,", 1)
+                                + ") SELECT * FROM x"))
+def edit_hcl_block(spark, d):
+    files = C.hcl_files(spark, d)
+    blocks, _ = BK.hcl_index(files)
+    return ED.splice(files, ED.hcl_block_splices(blocks, hcl_edits(spark, d)))
+
+
+derived("attrsplices", ("hclattrs", "hclblocks", "hcllines"), """
+    SELECT a.path, a.line_no AS s, a.line_no AS e,
+           regexp_extract(l.text, '^(\\s*)', 1) || a.name || ' = "n' || s_suppkey::VARCHAR || '"' AS new_text
+    FROM supplier
+    JOIN hclattrs a ON a.path = 's' || s_suppkey::VARCHAR || '.tf' AND a.block_name = 'supplier,s' || s_suppkey::VARCHAR
+     AND a.name = 'name'
+    JOIN (SELECT path, block_name, min(start_line) AS block_start FROM hclblocks GROUP BY 1, 2) f
+      ON f.path = a.path AND f.block_name = a.block_name AND f.block_start = a.block_start
+    JOIN hcllines l ON l.path = a.path AND l.line_no = a.line_no""")
+
+
+@register("edit_hcl_attr", sql(["hcllines", "attrsplices"],
+                               "," + _splice_sql("hcllines", "attrsplices").replace("SELECT path,", "x AS (SELECT path,", 1)
+                               + ") SELECT * FROM x"))
+def edit_hcl_attr(spark, d):
+    files = C.hcl_files(spark, d)
+    blocks, attrs = BK.hcl_index(files)
+    s = read_table(spark, d, "supplier", "s_suppkey")
+    k = F.col("s_suppkey").cast("string")
+    sets = s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"),
+                    F.concat(F.lit("supplier,s"), k).alias("block_name"), F.lit("name").alias("name"),
+                    F.concat(F.lit("n"), k).alias("value"), F.lit(1).alias("seq"))
+    return ED.splice(files, ED.hcl_attribute_splices(files, attrs, blocks, sets))
+
+
+@register("edit_validate", sql([], """
+    SELECT path, target_type,
+           CASE WHEN suffix(path, '.go') AND target_type <> 'function'
+                  THEN 'unsupported change type for go file: ' || target_type
+                WHEN NOT (suffix(path, '.go') OR suffix(path, '.hcl') OR suffix(path, '.tf')) AND target_type <> 'file'
+                  THEN 'unsupported file type: ' || path END AS error
+    FROM (SELECT CASE l_returnflag WHEN 'R' THEN 'p' || l_partkey::VARCHAR || '.py'
+                                   ELSE 'f' || l_partkey::VARCHAR || '.go' END AS path,
+                 CASE l_returnflag WHEN 'A' THEN 'file' ELSE 'function' END AS target_type FROM lineitem)"""))
+def edit_validate(spark, d):
+    li = read_table(spark, d, "lineitem", "l_partkey", "l_returnflag")
+    k = F.col("l_partkey").cast("string")
+    ch = li.select(
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("p"), k, F.lit(".py")))
+        .otherwise(F.concat(F.lit("f"), k, F.lit(".go"))).alias("path"),
+        F.when(F.col("l_returnflag") == "A", F.lit("file")).otherwise(F.lit("function")).alias("target_type"))
+    return ED.validate(ch)
+
+
+def _lines(src: str) -> str:
+    return f"""SELECT path, unnest(string_split(content, chr(10))) AS text FROM {src}"""
+
+
+@register("edit_delta", sql(["gofiles", "editedgo"], f"""
+    SELECT path, op, text, count(*) AS n FROM (
+      SELECT *, '-' AS op FROM ({_lines('gofiles')} EXCEPT ALL {_lines('editedgo')})
+      UNION ALL
+      SELECT *, '+' AS op FROM ({_lines('editedgo')} EXCEPT ALL {_lines('gofiles')}))
+    GROUP BY path, op, text"""))
+def edit_delta(spark, d):
+    return ED.line_delta(C.go_files(spark, d), _edited_go(spark, d))
+
+
+derived("allsplices", ("gofuncs", "commentsplices"), f"""
+    SELECT f.path, f.start_line + 1 AS s, f.end_line - 1 AS e, {_indent_sql("'return ' || w.o::VARCHAR")} AS new_text
+    FROM gofuncs f JOIN (SELECT l_partkey, max(l_orderkey) AS o FROM lineitem GROUP BY l_partkey) w
+      ON f.path = 'f' || w.l_partkey::VARCHAR || '.go' AND f.name = 'F' || w.l_partkey::VARCHAR
+    UNION ALL SELECT path, s, e, new_text FROM commentsplices""")
+
+
+@register("edit_apply_all", sql(["golines", "allsplices"],
+                                "," + _splice_sql("golines", "allsplices").replace("SELECT path,", "x AS (SELECT path,", 1)
+                                + ") SELECT * FROM x"))
+def edit_apply_all(spark, d):
+    """Every line item edits its part's function in order (last one wins), and
+    the per-part doc comment is set in the same pass."""
+    files = C.go_files(spark, d)
+    funcs, _ = BK.go_index(files)
+    li = read_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    k = F.col("l_partkey").cast("string")
+    body_edits = li.select(F.concat(F.lit("f"), k, F.lit(".go")).alias("path"), F.concat(F.lit("F"), k)
+                           .alias("target_name"),
+                           F.concat(F.lit("return "), F.col("l_orderkey").cast("string")).alias("new_content"),
+                           F.struct("l_orderkey", "l_linenumber").alias("seq"))
+    bodies = ED.function_body_splices(funcs, body_edits)
+    comments = ED.comment_splices(files, funcs, go_edits(spark, d)).withColumn(
+        "seq", F.struct(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber")))
+    ok, _conflicts = ED.resolve_overlaps(bodies.unionByName(comments))
+    return ED.splice(files, ok)
