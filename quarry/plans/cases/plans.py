@@ -1 +1,200 @@
-"""Catalogued queries."""
+"""Plan, review, repair and investigation queries (A8, A9, I1-I9): one change
+plan per order whose changes are its line items (see ``sources.corpus.plans``)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quarry import schemas as S
+from quarry.operators import plans as PL
+from quarry.plans.cases.blocks import located_json
+from quarry.plans.catalog import register
+from quarry.plans.oracle import derived, sql
+from quarry.session import scratch_path
+from quarry.sources import corpus as C
+from quarry.sources.tables import read_table
+
+CHANGE_COLS = ["plan_id", "query", "change_index", "path", "target_type", "target_name", "block_content",
+               "new_content", "new_comment"]
+
+
+def _plans(spark, d):
+    return C.plans(spark, d).select(F.struct("id", "query", "changes").alias("plan"))
+
+
+@register("plan_changes", sql(["planchanges"], "SELECT * FROM planchanges"))
+def plan_changes(spark, d):
+    return PL.flatten_plan(_plans(spark, d))
+
+
+@register("json_plan", sql(["planchanges"], "SELECT * FROM planchanges"))
+def json_plan(spark, d):
+    """Plans written as the model's JSON text, then read back with the plan schema."""
+    js = C.plans(spark, d).select(F.to_json(F.struct("id", "query", "changes")).alias("json"))
+    return PL.flatten_plan(PL.parse_json(js, S.CHANGES_PLAN, out="plan"))
+
+
+@register("json_locations", sql([], """
+    SELECT o_orderpriority AS query, 'f' || l_partkey::VARCHAR || '.go' AS path, count(*) AS n_blocks
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2"""))
+def json_locations(spark, d):
+    j = PL.parse_json(located_json(spark, d), S.LOCATION_OUTPUT)
+    files = j.select(F.col("j.Query").alias("query"), F.explode("j.BlockList.files").alias("f"))
+    return files.groupBy("query", F.col("f.path").alias("path")).agg(
+        F.sum(F.size("f.blocks")).cast("long").alias("n_blocks"))
+
+
+@register("json_repo_summary")
+def json_repo_summary(spark, d):
+    """Repository summaries written as JSON (F3 shape) and read back with that shape
+    (the reference reads them with another shape, which loses every field)."""
+    from quarry.plans.cases.digest import repo_summary_merge
+    out = scratch_path(spark, f"repo-summary-{uuid.uuid4().hex}")
+    repo_summary_merge(spark, d).select("json").write.mode("overwrite").text(out)
+    j = spark.read.text(out).select(F.from_json("value", S.REPO_SUMMARY).alias("j"))
+    return j.select(F.col("j.summary.project_name").alias("repository"),
+                    F.explode("j.directory_summaries").alias("directory", "s")).select(
+        "repository", "directory", F.col("s.purpose").alias("purpose"))
+
+
+@register("plan_review_match", sql(["reviews"], """
+    SELECT coalesce(p.id, r.plan_id) AS id, p.query, r.result, r.comment,
+           CASE WHEN p.id IS NULL THEN 'review_only' WHEN r.plan_id IS NULL THEN 'plan_only' ELSE 'matched' END
+             AS status
+    FROM (SELECT DISTINCT l_orderkey::VARCHAR AS id, o_orderpriority AS query
+          FROM lineitem JOIN orders ON o_orderkey = l_orderkey) p
+    FULL OUTER JOIN reviews r ON r.plan_id = p.id"""))
+def plan_review_match(spark, d):
+    return PL.pair_reviews(C.plans(spark, d), C.reviews(spark, d))
+
+
+@register("plans_approved", sql(["reviews"], """
+    SELECT DISTINCT l_orderkey::VARCHAR AS id, o_orderpriority AS query
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    WHERE l_orderkey::VARCHAR IN (SELECT plan_id FROM reviews WHERE result)"""))
+def plans_approved(spark, d):
+    return PL.approved(C.plans(spark, d), C.reviews(spark, d)).select("id", "query")
+
+
+def _sql_text(fmt: str) -> str:
+    """A Python text constant as a DuckDB string expression (newlines as chr(10))."""
+    return "('" + fmt.replace("\n", "' || chr(10) || '") + "')"
+
+
+@register("change_report", sql(["planchanges"], f"""
+    SELECT plan_id AS id,
+           string_agg(printf({_sql_text(PL.CHANGE_BLOCK)}, change_index, path, target_type, target_name, new_content,
+                             change_index), '' ORDER BY change_index) AS report
+    FROM planchanges GROUP BY plan_id"""))
+def change_report(spark, d):
+    return PL.change_report(C.plans(spark, d))
+
+
+@register("plan_ids")
+def plan_ids(spark, d):
+    p = C.plans(spark, d).select(F.when(F.col("query").startswith("1"), F.lit("")).otherwise(F.col("id")).alias("id"),
+                                 "query")
+    return PL.carry_ids(p)
+
+
+def repair_json(spark, d):
+    """The repairer's output per order: one file per line item, one block, two samples."""
+    o = read_table(spark, d, "orders", "o_orderkey", "o_orderpriority")
+    li = read_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    k = F.col("l_partkey").cast("string")
+    diff = lambda s: F.concat(F.lit("<<<<<<< SEARCH\nreturn 0\n=======\nreturn "),
+                              (F.col("l_linenumber") + s).cast("string"), F.lit("\n>>>>>>> REPLACE"))
+    fr = li.select("l_orderkey", "l_linenumber", F.struct(
+        F.concat(F.lit("f"), k, F.lit(".go")).alias("File"),
+        F.array(F.struct(
+            F.struct(F.lit("function").alias("block_type"), F.concat(F.lit("F"), k).alias("name")).alias("Block"),
+            F.lit("").alias("BlockContent"),
+            F.array(*[F.struct(F.lit(s).alias("Sample"), F.struct(diff(s).alias("diff")).alias("Repair"))
+                      for s in (0, 1)]).alias("Repairs"))).alias("BlockRepairs")).alias("fr"))
+    per = fr.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "fr"))), lambda x: x["fr"]).alias("FileRepairs"))
+    return o.join(per, "o_orderkey").select(
+        F.to_json(F.struct(F.col("o_orderpriority").alias("Query"), "FileRepairs")).alias("json"))
+
+
+@register("repair_samples", sql([], """
+    SELECT o_orderpriority AS query, 'f' || l_partkey::VARCHAR || '.go' AS file, 'function' AS block_type,
+           'F' || l_partkey::VARCHAR AS name, s AS sample,
+           '<<<<<<< SEARCH' || chr(10) || 'return 0' || chr(10) || '=======' || chr(10) || 'return '
+             || (l_linenumber + s)::VARCHAR || chr(10) || '>>>>>>> REPLACE' AS diff
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (SELECT unnest([0, 1])::INTEGER AS s)"""))
+def repair_samples(spark, d):
+    return PL.repair_rows(repair_json(spark, d))
+
+
+def _steps(spark, d):
+    """Investigation steps per plan: inspect each changed file, with a result."""
+    p = C.plans(spark, d)
+    steps = F.transform("changes", lambda c: F.struct(
+        F.concat(F.lit("inspect "), c["block"]["path"]).alias("step"),
+        F.struct(F.array(c["block"]["path"]).alias("target_files"),
+                 F.array(c["block"]["target_name"], F.lit("go.mod")).alias("reference_files"),
+                 F.concat(F.lit("needs "), c["new_content"]).alias("result")).alias("result")))
+    return p.select("id", steps.alias("steps"))
+
+
+@register("investigation_digest", sql(["planchanges"], r"""
+    SELECT plan_id AS id, string_agg(
+        chr(10) || '--- ' || change_index::VARCHAR || ' ---' || chr(10) || 'Investigation: inspect ' || path || chr(10)
+        || 'Target files:' || chr(10) || '[' || path || ']' || chr(10) || 'Reference files:' || chr(10)
+        || '[' || target_name || ' go.mod]' || chr(10) || 'Result:' || chr(10) || 'needs ' || new_content || chr(10)
+        || '--- ' || change_index::VARCHAR || ' end ---' || chr(10), '' ORDER BY change_index) AS digest
+    FROM planchanges GROUP BY plan_id"""))
+def investigation_digest(spark, d):
+    return PL.investigation_digest(_steps(spark, d))
+
+
+@register("action_plan_text", sql(["planchanges"], r"""
+    , ex AS (
+      SELECT plan_id, min(query) AS goal,
+             string_agg(chr(9) || '- check ' || path || chr(10), '' ORDER BY change_index) AS inv,
+             string_agg(chr(9) || '- update ' || target_name || chr(10), '' ORDER BY change_index) AS chg
+      FROM planchanges GROUP BY plan_id),
+    num AS (
+      SELECT o.o_custkey, ex.*, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS i
+      FROM ex JOIN orders o ON o.o_orderkey::VARCHAR = ex.plan_id)
+    SELECT o_custkey, string_agg('--- Example ' || i::VARCHAR || ' ---' || chr(10) || 'Goal: ' || goal || chr(10)
+                                 || 'Steps:' || chr(10) || '- Investigation:' || chr(10) || inv || '- Changes Plan:'
+                                 || chr(10) || chr || '--- Example end ' || i::VARCHAR || ' ---' || chr(10), ''
+                                 ORDER BY i) AS text
+    FROM (SELECT *, chg AS chr FROM num) GROUP BY o_custkey"""))
+def action_plan_text(spark, d):
+    """Past plans of each customer listed as numbered examples (1-based)."""
+    p = C.plans(spark, d)
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey")
+    ex = p.select("id", F.struct(
+        F.col("query").alias("goal"),
+        F.struct(F.transform("changes", lambda c: F.concat(F.lit("check "), c["block"]["path"])).alias(
+            "investigate_steps"),
+            F.transform("changes", lambda c: F.concat(F.lit("update "), c["block"]["target_name"])).alias(
+                "change_steps")).alias("plan")).alias("ex"))
+    j = ex.join(o.select(F.col("o_orderkey").cast("string").alias("id"), "o_custkey", "o_orderkey"), "id")
+    per = j.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "ex"))),
+                                                 lambda x: x["ex"]).alias("examples"))
+    return per.select("o_custkey", PL.action_plan_text(F.col("examples")).alias("text"))
+
+
+@register("record_text", sql(["planchanges"], """
+    SELECT plan_id AS id,
+           to_json({'id': plan_id, 'query': min(query),
+                    'changes': list({'block': {'path': path, 'target_type': target_type, 'target_name': target_name,
+                                               'content': block_content},
+                                     'new_content': new_content, 'new_comment': new_comment} ORDER BY change_index)})
+             ::VARCHAR AS plan_json,
+           'Target Files: [' || string_agg(path, ' ' ORDER BY change_index) || ']' || chr(10)
+             || 'Reference Files: []' || chr(10) || 'Result: ' || count(*)::VARCHAR || ' changes' AS investigation
+    FROM planchanges GROUP BY plan_id"""))
+def record_text(spark, d):
+    p = C.plans(spark, d)
+    res = F.struct(F.transform("changes", lambda c: c["block"]["path"]).alias("target_files"),
+                   F.array().cast("array<string>").alias("reference_files"),
+                   F.concat(F.size("changes").cast("string"), F.lit(" changes")).alias("result"))
+    return p.select("id", F.to_json(F.struct("id", "query", "changes")).alias("plan_json"),
+                    PL.investigation_record(res).alias("investigation"))

@@ -44,7 +44,9 @@ VIEWS: dict[str, str] = {
              || '" {' || chr(10) || '  default = "x"' || chr(10) || '}' || chr(10) AS content
       FROM supplier""",
     "planchanges": """
-      SELECT l_orderkey::VARCHAR AS plan_id, o_orderpriority AS query, l_linenumber - 1 AS change_index,
+      SELECT l_orderkey::VARCHAR AS plan_id, o_orderpriority AS query,
+             (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'f' || l_partkey::VARCHAR || '.go')
+              - 1)::INTEGER AS change_index,
              'f' || l_partkey::VARCHAR || '.go' AS path, 'function' AS target_type,
              'F' || l_partkey::VARCHAR AS target_name, '' AS block_content,
              'return ' || l_linenumber::VARCHAR AS new_content, 'line ' || l_linenumber::VARCHAR AS new_comment

@@ -64,7 +64,7 @@ REPO_SUMMARY = T.StructType([
 ])
 
 ACTION_PLAN = T.StructType([
-    _f("investigation_steps", T.ArrayType(S)), _f("change_steps", T.ArrayType(S)),
+    _f("investigate_steps", T.ArrayType(S)), _f("change_steps", T.ArrayType(S)),
 ])
 INVESTIGATION_RESULT = T.StructType([
     _f("target_files", T.ArrayType(S)), _f("reference_files", T.ArrayType(S)), _f("result", S),
