@@ -184,8 +184,10 @@ def _block_content(d: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def _attributes(d: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Attributes directly in a block body (not in nested blocks or object literals)."""
-    attr = d.filter(F.col("masked").rlike(HCL_ATTR) & ~F.col("masked").rlike(r"\{\s*$") & (F.col("depth") > 0)).select(
+    """Attributes directly in a block body (not in nested blocks or object
+    literals).  The value is the raw text on the attribute's line, so a value
+    spanning lines (an object literal) is reported by its first line."""
+    attr = d.filter(F.col("masked").rlike(HCL_ATTR) & (F.col("depth") > 0)).select(
         "path", "line_no", (F.col("depth") - 1).alias("level"),
         F.regexp_extract("text", HCL_ATTR, 1).alias("name"),
         F.trim(F.regexp_extract("text", HCL_ATTR, 2)).alias("value"))

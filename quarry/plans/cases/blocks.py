@@ -106,7 +106,7 @@ derived("hclattrs", ("hcllines", "hclev", "hclblocks"), """
     attr AS (SELECT path, line_no, depth - 1 AS level, regexp_extract(text, '^\\s*([A-Za-z_][A-Za-z0-9_-]*)\\s*=\\s*(.*)$', 1)
                       AS name, trim(regexp_extract(text, '^\\s*([A-Za-z_][A-Za-z0-9_-]*)\\s*=\\s*(.*)$', 2)) AS value
              FROM dep WHERE regexp_matches(masked, '^\\s*([A-Za-z_][A-Za-z0-9_-]*)\\s*=\\s*(.*)$')
-               AND NOT regexp_matches(masked, '\\{\\s*$') AND depth > 0),
+               AND depth > 0),
     tagged AS (SELECT a.*, b.block_name, b.start_line, b.end_line FROM attr a JOIN hclblocks b
                ON b.path = a.path AND b.level = a.level AND b.start_line < a.line_no
                QUALIFY row_number() OVER (PARTITION BY a.path, a.line_no ORDER BY b.start_line DESC) = 1)
