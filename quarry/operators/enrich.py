@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.plans.guards import ensure_parallelism
+
 # Fixed values of the hash embedder (must match the oracle): tokens are maximal
 # runs of [a-z0-9] in the lower-cased text; bucket = first 4 hex digits of the
 # token's md5, mod the dimension.
@@ -37,19 +39,20 @@ def hash_embed(df: DataFrame, *, id_col: str, text_col: str = "text", dim: int =
 
     Tokens are exploded map side and counted per (row, bucket) with a partial
     (map-side) aggregate, so at most ``dim`` small rows per input row and task are
-    shuffled; a second aggregate assembles the ``dim`` counts per row.  Output:
+    shuffled; a second aggregate assembles the ``dim`` counts per row.  When the
+    input is under-partitioned (one big row group) it is first hash-partitioned
+    by id, after which both aggregates run without another shuffle.  Output:
     ``id, counts array<bigint>, embedding array<float>`` (null embedding for a
     text without tokens; the reference treats empty input as an error)."""
-    words = df.select(F.col(id_col), F.explode(tokens(text_col)).alias("w"))
+    src = ensure_parallelism(df.select(id_col, text_col), id_col)
+    # explode_outer keeps rows without tokens (w = null) so no join back is needed
+    words = src.select(F.col(id_col), F.explode_outer(tokens(text_col)).alias("w"))
     per_bucket = words.select(id_col, token_bucket(F.col("w"), dim).alias("b")).groupBy(id_col, "b").count()
-    counts = per_bucket.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("m"))
+    entries = F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "count")))
+    counts = per_bucket.groupBy(id_col).agg(F.map_from_entries(entries).alias("m"))
     counts = counts.select(id_col, F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))
     ).alias("counts"))
-    # Rows without any token still get a (zero) count vector.
-    zero = F.array_repeat(F.lit(0).cast("long"), dim)
-    counts = df.select(id_col).join(counts, id_col, "left").select(
-        id_col, F.coalesce("counts", zero).alias("counts"))
     sumsq = F.aggregate("counts", F.lit(0.0).cast("double"), lambda s, c: s + (c * c).cast("double"))
     emb = F.when(sumsq > 0, F.transform("counts", lambda c: (c / F.sqrt(sumsq)).cast("float")))
     return counts.withColumn("embedding", emb)

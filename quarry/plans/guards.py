@@ -18,3 +18,15 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 def guarded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` when it is proven to hold at most ``max_rows`` rows."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def ensure_parallelism(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-repartition ``df`` by ``cols`` when it has fewer partitions than the
+    session's default parallelism (a table stored as one large row group is read
+    by a single task).  On a cluster reading many files this is a no-op; when it
+    applies, later aggregations keyed by a superset of ``cols`` need no shuffle."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *cols) if cols else df.repartition(want)
