@@ -53,10 +53,14 @@ def _last(c: Column) -> Column:
     return F.last(c, ignorenulls=True).over(_by_path())
 
 
-def go_index(files: DataFrame, *, path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
+def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
+             lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(functions, vars)``: functions ``path, name, start_line, end_line,
-    content``; vars ``path, name, start_line, end_line, content`` (content = name)."""
-    ln = line_table(files.filter(F.col(path).endswith(".go")), path=path, content=content)
+    content``; vars ``path, name, start_line, end_line, content`` (content = name).
+    Pass ``lines`` (a ``line_table``) to share one line table between operators."""
+    if lines is None:
+        lines = line_table(files, path=path, content=content)
+    ln = lines.filter(F.col("path").endswith(".go"))
     t = F.col("text")
     is_head = t.rlike(GO_FUNC)
     ln = ln.withColumn(
@@ -86,9 +90,10 @@ def go_index(files: DataFrame, *, path: str = "path", content: str = "content")
     return funcs, vars_
 
 
-def _hcl_lines(files: DataFrame, path: str, content: str) -> DataFrame:
-    f = files.filter(F.col(path).endswith(HCL_EXTENSIONS[0]) | F.col(path).endswith(HCL_EXTENSIONS[1]))
-    ln = line_table(f, path=path, content=content)
+def _hcl_lines(files: DataFrame, path: str, content: str, lines: DataFrame | None = None) -> DataFrame:
+    if lines is None:
+        lines = line_table(files, path=path, content=content)
+    ln = lines.filter(F.col("path").endswith(HCL_EXTENSIONS[0]) | F.col("path").endswith(HCL_EXTENSIONS[1]))
     masked = F.regexp_replace(F.regexp_replace("text", HCL_STRING, '""'), HCL_COMMENT, "")
     return ln.withColumn("masked", masked)
 
@@ -116,14 +121,15 @@ def _matched_blocks(ev: DataFrame) -> DataFrame:
     return opens.join(closes, ["path", "level", "idx"], "left")
 
 
-def hcl_index(files: DataFrame, *, path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
+def hcl_index(files: DataFrame, *, path: str = "path", content: str = "content",
+              lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(blocks, attributes)``.
 
     blocks: ``path, block_type, labels, block_name, level, start_line, end_line,
     content`` (content = the raw lines between the braces); attributes:
     ``path, block_name, block_start, name, value, line_no`` (value = raw text,
     quotes kept).  Unbalanced files are reported by ``hcl_unbalanced``."""
-    ln = _hcl_lines(files, path, content)
+    ln = _hcl_lines(files, path, content, lines)
     ev = _brace_events(ln)
     pairs = _matched_blocks(ev)
     # The block of a header line is its last open brace.
@@ -195,9 +201,10 @@ def _attributes(d: DataFrame, blocks: DataFrame) -> DataFrame:
     return tagged.select("path", "block_name", F.col("start_line").alias("block_start"), "name", "value", "line_no")
 
 
-def hcl_unbalanced(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+def hcl_unbalanced(files: DataFrame, *, path: str = "path", content: str = "content",
+                   lines: DataFrame | None = None) -> DataFrame:
     """Files whose masked braces do not balance (reported, not guessed)."""
-    ev = _brace_events(_hcl_lines(files, path, content))
+    ev = _brace_events(_hcl_lines(files, path, content, lines))
     return ev.groupBy("path").agg(F.sum(F.when(F.col("is_open"), 1).otherwise(-1)).alias("net"),
                                   F.min("level").alias("min_level")).filter(
         (F.col("net") != 0) | (F.col("min_level") < 0))
@@ -248,9 +255,10 @@ def block_candidates(files: DataFrame, *, path: str = "path", content: str = "co
     """Candidate blocks per file (G4): Go functions, HCL blocks (name = labels
     joined by ``,``), any other file as one ``file`` block.  HCL files whose
     braces do not balance are skipped, as the reference skips unparsable files."""
-    funcs, _ = go_index(files, path=path, content=content)
-    blocks, _ = hcl_index(files, path=path, content=content)
-    bad = hcl_unbalanced(files, path=path, content=content).select("path")
+    ln = line_table(files, path=path, content=content)
+    funcs, _ = go_index(files, lines=ln)
+    blocks, _ = hcl_index(files, lines=ln)
+    bad = hcl_unbalanced(files, lines=ln).select("path")
     go = funcs.select("path", F.lit("function").alias("target_type"), F.col("name").alias("target_name"),
                       "start_line", "end_line")
     hcl = blocks.join(bad, "path", "left_anti").select(

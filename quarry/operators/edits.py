@@ -21,11 +21,12 @@ EDITABLE_EXTENSIONS = (".go", ".hcl", ".tf")
 GO_COMMENT = r"^\s*//"
 
 
-def splice(files: DataFrame, splices: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+def splice(files: DataFrame, splices: DataFrame, *, path: str = "path", content: str = "content",
+           lines: DataFrame | None = None) -> DataFrame:
     """Apply non-overlapping splices; returns ``path, content`` for every file
     (files without splices unchanged).  Overlaps must be resolved before
-    (``resolve_overlaps``)."""
-    ln = line_table(files, path=path, content=content)
+    (``resolve_overlaps``).  ``lines`` shares a line table built by the caller."""
+    ln = lines if lines is not None else line_table(files, path=path, content=content)
     sp = splices.select("path", F.col("start_line").cast("int").alias("s"), F.col("end_line").cast("int").alias("e"),
                         "new_text")
     marks = sp.select("path", F.col("s").alias("line_no"), F.lit(0).alias("kind"), "s", "e",
@@ -80,10 +81,11 @@ def function_body_splices(funcs: DataFrame, edits: DataFrame) -> DataFrame:
                     indent_body(F.col("new_content")).alias("new_text"), "seq")
 
 
-def comment_splices(files: DataFrame, funcs: DataFrame, edits: DataFrame) -> DataFrame:
+def comment_splices(files: DataFrame, funcs: DataFrame, edits: DataFrame, *,
+                    lines: DataFrame | None = None) -> DataFrame:
     """Set the ``//`` doc comment above a function (H3): the contiguous comment
     lines directly above the declaration are replaced (or a comment inserted)."""
-    ln = line_table(files)
+    ln = lines if lines is not None else line_table(files)
     is_c = F.col("text").rlike(GO_COMMENT)
     # start of the comment run ending on each line: last non-comment line before + 1
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,13 +110,14 @@ def hcl_block_splices(blocks: DataFrame, edits: DataFrame) -> DataFrame:
                     F.col("new_content").alias("new_text"), "seq")
 
 
-def hcl_attribute_splices(files: DataFrame, attrs: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+def hcl_attribute_splices(files: DataFrame, attrs: DataFrame, blocks: DataFrame, sets: DataFrame, *,
+                          lines: DataFrame | None = None) -> DataFrame:
     """Set existing attributes of the first matching block to a quoted string (H5).
     ``sets``: ``path, block_name, name, value, seq``."""
     first = blocks.groupBy("path", "block_name").agg(F.min("start_line").alias("block_start"))
     a = attrs.drop("value").join(first, ["path", "block_name", "block_start"]).join(
         sets, ["path", "block_name", "name"])
-    ln = line_table(files).withColumnRenamed("text", "old")
+    ln = (lines if lines is not None else line_table(files)).select("path", "line_no", F.col("text").alias("old"))
     j = a.join(ln, ["path", "line_no"])
     new = F.concat(F.regexp_extract("old", r"^(\s*)", 1), F.col("name"), F.lit(' = "'), F.col("value"), F.lit('"'))
     return j.select("path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"),

@@ -150,26 +150,27 @@ def knn_join(
                        F.col(query_vec_col).alias("qvec"))
     c = corpus.select(F.col(id_col).cast("long").alias("id"), *[F.col(s).alias(s) for s in scope],
                       F.col(vector_col).alias("vec"))
-    if not scope:
-        q = q.withColumn("__scope", F.lit(0))
-        c = c.withColumn("__scope", F.lit(0))
-        scope = ["__scope"]
-
-    # Blocks per scope from the row counts: one small row per scope.
+    # Blocks per scope from the row counts.  Scoped: one small row per scope,
+    # joined on the scope key.  Unscoped: two scalar subqueries (no join at all).
     nblocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(block_rows))).cast("int")
-    stats = (
-        c.groupBy(*scope).agg(nblocks(F.count("*")).alias("ncb"))
-        .join(q.groupBy(*scope).agg(nblocks(F.count("*")).alias("nqb")), scope)
-    )
+    if scope:
+        stats = (
+            c.groupBy(*scope).agg(nblocks(F.count("*")).alias("ncb"))
+            .join(q.groupBy(*scope).agg(nblocks(F.count("*")).alias("nqb")), scope)
+        )
+        qs, cs = q.join(stats, scope), c.join(stats, scope)
+    else:
+        ncb = c.agg(nblocks(F.count("*"))).scalar()
+        nqb = q.agg(nblocks(F.count("*"))).scalar()
+        qs = q.withColumn("ncb", ncb).withColumn("nqb", nqb)
+        cs = c.withColumn("ncb", ncb).withColumn("nqb", nqb)
     qb = (
-        q.join(stats, scope)
-        .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int"))
+        qs.withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int"))
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("ncb") - 1)))
         .select(*scope, "qb", "cb", "qid", "qvec")
     )
     cb = (
-        c.join(stats, scope)
-        .withColumn("cb", F.pmod(F.xxhash64("id"), F.col("ncb")).cast("int"))
+        cs.withColumn("cb", F.pmod(F.xxhash64("id"), F.col("ncb")).cast("int"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)))
         .select(*scope, "qb", "cb", "id", "vec")
     )

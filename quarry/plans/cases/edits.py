@@ -68,8 +68,9 @@ derived("editedgo", ("golines", "bodysplices"), _splice_sql("golines", "bodyspli
 
 def _edited_go(spark, d):
     files = C.go_files(spark, d)
-    funcs, _ = BK.go_index(files)
-    return ED.splice(files, ED.function_body_splices(funcs, go_edits(spark, d)))
+    ln = BK.line_table(files)
+    funcs, _ = BK.go_index(files, lines=ln)
+    return ED.splice(files, ED.function_body_splices(funcs, go_edits(spark, d)), lines=ln)
 
 
 # ---------------------------------------------------------------- queries
@@ -98,8 +99,9 @@ def edit_function(spark, d):
                               + ") SELECT * FROM x"))
 def edit_comment(spark, d):
     files = C.go_files(spark, d)
-    funcs, _ = BK.go_index(files)
-    return ED.splice(files, ED.comment_splices(files, funcs, go_edits(spark, d)))
+    ln = BK.line_table(files)
+    funcs, _ = BK.go_index(files, lines=ln)
+    return ED.splice(files, ED.comment_splices(files, funcs, go_edits(spark, d), lines=ln), lines=ln)
 
 
 def hcl_edits(spark, d):
@@ -127,8 +129,9 @@ derived("hclsplices", ("hclblocks",), """
                                 + ") SELECT * FROM x"))
 def edit_hcl_block(spark, d):
     files = C.hcl_files(spark, d)
-    blocks, _ = BK.hcl_index(files)
-    return ED.splice(files, ED.hcl_block_splices(blocks, hcl_edits(spark, d)))
+    ln = BK.line_table(files)
+    blocks, _ = BK.hcl_index(files, lines=ln)
+    return ED.splice(files, ED.hcl_block_splices(blocks, hcl_edits(spark, d)), lines=ln)
 
 
 derived("attrsplices", ("hclattrs", "hclblocks", "hcllines"), """
@@ -147,13 +150,14 @@ derived("attrsplices", ("hclattrs", "hclblocks", "hcllines"), """
                                + ") SELECT * FROM x"))
 def edit_hcl_attr(spark, d):
     files = C.hcl_files(spark, d)
-    blocks, attrs = BK.hcl_index(files)
+    ln = BK.line_table(files)
+    blocks, attrs = BK.hcl_index(files, lines=ln)
     s = read_table(spark, d, "supplier", "s_suppkey")
     k = F.col("s_suppkey").cast("string")
     sets = s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"),
                     F.concat(F.lit("supplier,s"), k).alias("block_name"), F.lit("name").alias("name"),
                     F.concat(F.lit("n"), k).alias("value"), F.lit(1).alias("seq"))
-    return ED.splice(files, ED.hcl_attribute_splices(files, attrs, blocks, sets))
+    return ED.splice(files, ED.hcl_attribute_splices(files, attrs, blocks, sets, lines=ln), lines=ln)
 
 
 @register("edit_validate", sql([], """
@@ -203,7 +207,8 @@ def edit_apply_all(spark, d):
     """Every line item edits its part's function in order (last one wins), and
     the per-part doc comment is set in the same pass."""
     files = C.go_files(spark, d)
-    funcs, _ = BK.go_index(files)
+    ln = BK.line_table(files)
+    funcs, _ = BK.go_index(files, lines=ln)
     li = read_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
     k = F.col("l_partkey").cast("string")
     body_edits = li.select(F.concat(F.lit("f"), k, F.lit(".go")).alias("path"), F.concat(F.lit("F"), k)
@@ -211,7 +216,7 @@ def edit_apply_all(spark, d):
                            F.concat(F.lit("return "), F.col("l_orderkey").cast("string")).alias("new_content"),
                            F.struct("l_orderkey", "l_linenumber").alias("seq"))
     bodies = ED.function_body_splices(funcs, body_edits)
-    comments = ED.comment_splices(files, funcs, go_edits(spark, d)).withColumn(
+    comments = ED.comment_splices(files, funcs, go_edits(spark, d), lines=ln).withColumn(
         "seq", F.struct(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber")))
     ok, _conflicts = ED.resolve_overlaps(bodies.unionByName(comments))
-    return ED.splice(files, ok)
+    return ED.splice(files, ok, lines=ln)
