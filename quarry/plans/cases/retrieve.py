@@ -105,19 +105,23 @@ def paths_verified(spark, d):
     return R.verify_paths(_located(spark, d), man)
 
 
-@register("context_pack", sql([], """
-    SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_turns
-    FROM conversations GROUP BY conv_id"""))
+MAX_TURNS = 200
+_CHUNK = f"((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {MAX_TURNS})::INTEGER AS chunk"
+
+
+@register("context_pack", sql([], f"""
+    SELECT conv_id, chunk, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text,
+           count(*) AS n_items
+    FROM (SELECT *, {_CHUNK} FROM conversations) GROUP BY conv_id, chunk"""))
 def context_pack(spark, d):
     c = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text")
-    packed = R.pack(c, ["conv_id"], ["turn"], F.concat("role", F.lit(": "), "text"), sep="\n\n")
-    return packed.join(c.groupBy("conv_id").agg(F.count("*").alias("n_turns")), "conv_id")
+    return R.pack(c, ["conv_id"], ["turn"], F.concat("role", F.lit(": "), "text"), sep="\n\n", max_items=MAX_TURNS)
 
 
 @register("message_pack", sql([], f"""
-    SELECT conv_id, list({{'type': CASE WHEN role IN {tuple(R.ROLES)} THEN role ELSE 'system' END,
-                           'content': text}} ORDER BY turn) AS messages
-    FROM conversations GROUP BY conv_id"""))
+    SELECT conv_id, chunk, list({{'type': CASE WHEN role IN {tuple(R.ROLES)} THEN role ELSE 'system' END,
+                                  'content': text}} ORDER BY turn) AS messages
+    FROM (SELECT *, {_CHUNK} FROM conversations) GROUP BY conv_id, chunk"""))
 def message_pack(spark, d):
     c = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text")
-    return R.messages(c, group="conv_id", order="turn")
+    return R.messages(c, group="conv_id", order="turn", max_items=MAX_TURNS)
