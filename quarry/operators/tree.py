@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
-from quarry.plans.guards import guarded_broadcast
 
 
 def file_rows(files: DataFrame, *, path_col: str = "path", content_col: str | None = "content",
@@ -88,18 +87,25 @@ def apply_rules_pruned(files: DataFrame, exclude: Sequence[str], include: Sequen
     return files.filter(F.forall(checked, ok))
 
 
-def apply_rule_table(files: DataFrame, rules: DataFrame, *, path_col: str = "path",
-                     max_rules: int = 10_000) -> DataFrame:
-    """A4 with rules given as a table ``(kind, prefix)``, kind in include/exclude.
+def apply_rule_table(files: DataFrame, rules: DataFrame, *, path_col: str = "path") -> DataFrame:
+    """A4 with rules given as a table ``(kind, prefix)``, kind include/exclude.
 
-    The rule table is a configuration (bounded); it is broadcast only after its
-    row count is checked against ``max_rules``, otherwise joined by shuffle."""
-    r = guarded_broadcast(rules.select("kind", "prefix"), max_rules)
+    A prefix test is turned into an equi-join: every path is cut at the distinct
+    rule lengths only (a scalar-subquery array, bounded by the longest prefix),
+    and the cuts are hash-joined to the rules.  No nested-loop join, and the
+    work per path does not grow with the number of rules."""
+    r = rules.select("kind", "prefix")
+    lens = r.agg(F.array_sort(F.collect_set(F.length("prefix")))).scalar()
     p = F.col(path_col)
-    f = files.alias("f")
-    exc = f.join(r.filter(F.col("kind") == "exclude").alias("r"), p.startswith(F.col("r.prefix")), "left_semi")
-    inc = exc.join(r.filter(F.col("kind") == "include").alias("r"), p.startswith(F.col("r.prefix")), "left_semi")
-    dropped = exc.join(inc, path_col, "left_anti").select(path_col)
+    cuts = (
+        files.select(p.alias("__path")).withColumn("__lens", lens)
+        .select("__path", F.explode(F.filter("__lens", lambda n: n <= F.length("__path"))).alias("__n"))
+        .select("__path", F.substring("__path", 1, F.col("__n")).alias("prefix"))
+    )
+    hits = cuts.join(r, "prefix").groupBy("__path").agg(
+        F.max((F.col("kind") == "exclude").cast("int")).alias("__exc"),
+        F.max((F.col("kind") == "include").cast("int")).alias("__inc"))
+    dropped = hits.filter((F.col("__exc") == 1) & (F.col("__inc") == 0)).select(F.col("__path").alias(path_col))
     return files.join(dropped, path_col, "left_anti")
 
 
