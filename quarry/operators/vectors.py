@@ -4,7 +4,10 @@
   filter, score, ``orderBy(score, id).limit(k)``.  Catalyst plans this as a
   single scan + ``TakeOrderedAndProject``: every task keeps its own top k, the
   driver merges ``k x tasks`` rows.  No join, no Python.
-* ``knn_join``: many queries at once (exact).  Queries and corpus rows are hashed
+* ``knn_join``: many queries at once (exact).  A query set proven small by a
+  bounded count is broadcast and the corpus is scanned in place, each task
+  keeping a running top-k per query (no corpus shuffle).  Otherwise queries and
+  corpus rows are hashed
   into blocks of at most ``block_rows`` rows inside their scope; each
   (scope, query block, corpus block) group is scored by a NumPy kernel that keeps
   only the k best per query, then a ``row_number() <= k`` window (planned as
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine_distance, dimension_ok, l2_distance
+from quarry.plans.guards import ensure_parallelism, row_count_at_most
 
 METRICS = ("l2", "cosine")
 
@@ -65,65 +69,117 @@ def knn_search(
 # --------------------------------------------------------------------------- block kNN join
 
 
-def _block_kernel(metric: str, k: int, exclude_self: bool):
-    """Build the per-group NumPy kernel for ``knn_join``."""
-    take = k + 1 if exclude_self else k
+_PAD_ID = np.iinfo(np.int64).max
+
 
-    def scores(Q: np.ndarray, C: np.ndarray) -> np.ndarray:
-        # Same order of operations as functions.vectors: float32 difference,
-        # float64 square, left-to-right sum over dimensions.
-        nq, nc = Q.shape[0], C.shape[0]
-        acc = np.zeros((nq, nc), dtype=np.float64)
-        if metric == "l2":
-            for j in range(Q.shape[1]):
-                d = (C[None, :, j] - Q[:, None, j]).astype(np.float64)
-                acc += d * d
-            return np.sqrt(acc)
-        q64, c64 = Q.astype(np.float64), C.astype(np.float64)
-        nq_ = np.zeros(nq)
-        nc_ = np.zeros(nc)
+def _score_matrix(metric: str, Q: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """Scores of every query row against every corpus row, with the same order of
+    operations as functions.vectors: float32 difference, float64 square or
+    product, left-to-right sum over dimensions (bit-identical to the SQL form)."""
+    nq, nc = Q.shape[0], C.shape[0]
+    acc = np.zeros((nq, nc), dtype=np.float64)
+    if metric == "l2":
         for j in range(Q.shape[1]):
-            acc += q64[:, None, j] * c64[None, :, j]
-            nq_ += q64[:, j] * q64[:, j]
-            nc_ += c64[:, j] * c64[:, j]
-        den = np.sqrt(nc_)[None, :] * np.sqrt(nq_)[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = 1.0 - acc / den
-        out[den == 0] = np.nan
-        return out
+            d = (C[None, :, j] - Q[:, None, j]).astype(np.float64)
+            acc += d * d
+        return np.sqrt(acc)
+    q64, c64 = Q.astype(np.float64), C.astype(np.float64)
+    nq_, nc_ = np.zeros(nq), np.zeros(nc)
+    for j in range(Q.shape[1]):
+        acc += q64[:, None, j] * c64[None, :, j]
+        nq_ += q64[:, j] * q64[:, j]
+        nc_ += c64[:, j] * c64[:, j]
+    den = np.sqrt(nc_)[None, :] * np.sqrt(nq_)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = 1.0 - acc / den
+    out[den == 0] = np.nan
+    return out
+
+
+def _row_topk(S: np.ndarray, ids: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the ``m`` smallest scores ordered by (score, id), exactly (ties
+    included before cutting).  Null (NaN) scores sort last.  Rows are padded with
+    NaN / ``_PAD_ID`` when they hold fewer than ``m`` entries."""
+    nq, n = S.shape
+    key = np.where(np.isnan(S), np.inf, S)
+    kk = min(m, n)
+    out_s = np.full((nq, m), np.nan)
+    out_i = np.full((nq, m), _PAD_ID, dtype=np.int64)
+    if kk == 0 or nq == 0:
+        return out_s, out_i
+    thr = np.partition(key, kk - 1, axis=1)[:, kk - 1]
+    rows, cols = np.nonzero(key <= thr[:, None])
+    order = np.lexsort((ids[rows, cols], key[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(nq))[rows]
+    keep = rank < kk
+    rows, cols, rank = rows[keep], cols[keep], rank[keep]
+    out_s[rows, rank] = S[rows, cols]
+    out_i[rows, rank] = ids[rows, cols]
+    return out_s, out_i
+
+
+def _emit(qid: np.ndarray, best_s: np.ndarray, best_i: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    q = np.repeat(qid, best_s.shape[1])
+    out = pd.DataFrame({"qid": q, "id": best_i.ravel(), "score": best_s.ravel()})
+    out = out[out["id"] != _PAD_ID]
+    if exclude_self:
+        out = out[out["qid"] != out["id"]]
+    return out
+
+
+def _block_kernel(metric: str, k: int, exclude_self: bool):
+    """Per (scope, query block, corpus block) group: the k best corpus rows per query."""
+    take = k + 1 if exclude_self else k
 
     def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                              "score": pd.Series([], dtype="float64")})
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return empty
-        cpdf = cpdf.sort_values("id", kind="stable")
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
         cid = cpdf["id"].to_numpy(np.int64)
         qid = qpdf["qid"].to_numpy(np.int64)
         C = np.stack(cpdf["vec"].to_numpy()).astype(np.float32)
         Q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float32)
-        S = scores(Q, C)
-        null = np.isnan(S)
-        Ssel = np.where(null, np.inf, S)
-        kk = min(take, Ssel.shape[1])
-        # Exact top-k by (score, id): threshold = k-th smallest score per query,
-        # keep every candidate at or below it (ties included), order, cut at k.
-        thr = np.partition(Ssel, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero(Ssel <= thr[:, None])
-        order = np.lexsort((cid[cols], Ssel[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        starts = np.searchsorted(rows, np.arange(len(qid)))
-        rank = np.arange(len(rows)) - starts[rows]
-        keep = rank < kk
-        rows, cols = rows[keep], cols[keep]
-        out = pd.DataFrame({"qid": qid[rows], "id": cid[cols], "score": S[rows, cols]})
-        if exclude_self:
-            out = out[out["qid"] != out["id"]]
-        return out
+        S = _score_matrix(metric, Q, C)
+        best_s, best_i = _row_topk(S, np.broadcast_to(cid, S.shape), take)
+        return _emit(qid, best_s, best_i, k, exclude_self)
 
     return kernel
 
 
+def _broadcast_kernel(bq, metric: str, k: int, exclude_self: bool, block_rows: int, nscope: int):
+    """Per corpus partition: a running top-k per broadcast query (kept across the
+    partition's Arrow batches), emitted once at the end of the partition."""
+    take = k + 1 if exclude_self else k
+
+    def run(batches):
+        queries = bq.value  # scope tuple -> (qid array, query matrix)
+        best: dict = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            groups = pdf.groupby(list(pdf.columns[2:2 + nscope]), sort=False) if nscope else [((), pdf)]
+            for sk, part in groups:
+                sk = sk if isinstance(sk, tuple) else (sk,)
+                if sk not in queries:
+                    continue
+                qid, Q = queries[sk]
+                for lo in range(0, len(part), block_rows):
+                    blk = part.iloc[lo:lo + block_rows]
+                    cid = blk["id"].to_numpy(np.int64)
+                    C = np.stack(blk["vec"].to_numpy()).astype(np.float32)
+                    S = _score_matrix(metric, Q, C)
+                    ids = np.broadcast_to(cid, S.shape)
+                    if sk in best:
+                        S = np.concatenate([best[sk][0], S], axis=1)
+                        ids = np.concatenate([best[sk][1], ids], axis=1)
+                    best[sk] = _row_topk(S, ids, take)
+        for sk, (bs, bi) in best.items():
+            yield _emit(queries[sk][0], bs, bi, k, exclude_self)
+
+    return run
+
+
 def knn_join(
     queries: DataFrame,
     corpus: DataFrame,
@@ -133,6 +189,8 @@ def knn_join(
     metric: str = "l2",
     exclude_self: bool = False,
     block_rows: int = 2048,
+    strategy: str = "auto",
+    max_broadcast_queries: int = 20_000,
     qid_col: str = "qid",
     query_vec_col: str = "embedding",
     id_col: str = "id",
@@ -141,6 +199,12 @@ def knn_join(
     """Exact k nearest corpus rows for every query row, within equal ``scope``.
 
     Returns ``qid, id, score, rank`` (rank 1..k, ties broken by id).
+
+    ``strategy="broadcast"`` ships the queries to every task and scans the corpus
+    in place (no shuffle of the corpus; each task emits at most k candidates per
+    query); ``"blocks"`` is the block nested-loop join for query sets too large to
+    broadcast; ``"auto"`` broadcasts when a bounded count proves the query set
+    holds at most ``max_broadcast_queries`` rows.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -150,6 +214,10 @@ def knn_join(
                        F.col(query_vec_col).alias("qvec"))
     c = corpus.select(F.col(id_col).cast("long").alias("id"), *[F.col(s).alias(s) for s in scope],
                       F.col(vector_col).alias("vec"))
+    if strategy == "broadcast" or (strategy == "auto" and row_count_at_most(q, max_broadcast_queries)):
+        return _knn_broadcast(q, c, k, scope, metric, exclude_self, block_rows)
+    if strategy not in ("auto", "blocks"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     # Blocks per scope from the row counts.  Scoped: one small row per scope,
     # joined on the scope key.  Unscoped: two scalar subqueries (no join at all).
     nblocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(block_rows))).cast("int")
@@ -184,6 +252,23 @@ def knn_join(
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, scope: list[str], metric: str, exclude_self: bool,
+                   block_rows: int) -> DataFrame:
+    """Broadcast-query strategy of ``knn_join`` (the caller proved the query set small)."""
+    spark = q.sparkSession
+    by_scope: dict = {}
+    for r in q.collect():  # bounded by max_broadcast_queries
+        by_scope.setdefault(tuple(r[s] for s in scope), []).append((r["qid"], r["qvec"]))
+    payload = {sk: (np.array([x[0] for x in v], dtype=np.int64), np.array([x[1] for x in v], dtype=np.float32))
+               for sk, v in by_scope.items()}
+    bq = spark.sparkContext.broadcast(payload)
+    corpus = ensure_parallelism(c.select("id", "vec", *scope))
+    cand = corpus.mapInPandas(_broadcast_kernel(bq, metric, k, exclude_self, block_rows, len(scope)),
+                              "qid long, id long, score double")
+    w = Window.partitionBy("qid").orderBy(F.col("score").asc_nulls_last(), F.col("id"))
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 # --------------------------------------------------------------------------- approximate
 
 

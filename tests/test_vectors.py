@@ -61,9 +61,10 @@ def test_knn_join_matches_brute_force_with_many_blocks(spark):
     rows = [(i, "s" + str(i % 2), rng.normal(size=6).round(1).astype(float).tolist()) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, scope string, embedding array<float>")
     # block_rows=16 forces several query and corpus blocks per scope; rounding creates ties
-    for metric, excl in (("l2", False), ("cosine", True)):
+    for metric, excl, strategy in (("l2", False, "blocks"), ("cosine", True, "blocks"),
+                                   ("l2", False, "broadcast"), ("cosine", True, "broadcast")):
         got = V.knn_join(df.withColumnRenamed("id", "qid"), df, 4, scope=["scope"], metric=metric,
-                         exclude_self=excl, block_rows=16).collect()
+                         exclude_self=excl, block_rows=16, strategy=strategy).collect()
         res = {}
         for r in sorted(got, key=lambda r: (r.qid, r.rank)):
             res.setdefault(r.qid, []).append(r.id)
@@ -71,7 +72,7 @@ def test_knn_join_matches_brute_force_with_many_blocks(spark):
             part = [(i, e) for i, sc, e in rows if sc == s]
             exp = _brute(part, part, 4, metric, excl)
             for qi in exp:
-                assert res[qi] == exp[qi], (metric, qi)
+                assert res[qi] == exp[qi], (metric, strategy, qi)
 
 
 def test_batch_with_one_query_equals_single_search(spark):
@@ -93,11 +94,14 @@ def test_flagship_plan_is_scan_plus_top_k(spark):
     assert "PushedFilters: [IsNotNull(vec_id), EqualTo(vec_id,0)]" in txt  # the query-row subquery
 
 
-def test_batch_plan_uses_window_group_limit_and_no_cartesian(spark):
-    from quarry.plans.cases.vectors import batch_hits
-    txt = plan_text(batch_hits(spark, "/root/testdata/sf0.001"))
-    assert "WindowGroupLimit" in txt
-    assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt
+def test_batch_plans_use_window_group_limit_and_no_cartesian(spark):
+    from quarry.sources import corpus as C
+    v = C.vectors(spark, "/root/testdata/sf0.001")
+    q = v.select(F.col("id").alias("qid"), "repository", "context", "embedding")
+    for strategy, op in (("blocks", "FlatMapCoGroupsInPandas"), ("broadcast", "MapInPandas")):
+        txt = plan_text(V.knn_join(q, v, 10, scope=["repository", "context"], strategy=strategy))
+        assert "WindowGroupLimit" in txt and op in txt
+        assert "CartesianProduct" not in txt and "NestedLoopJoin" not in txt
 
 
 def test_ann_recall(spark):
