@@ -143,3 +143,30 @@ def line_delta(before: DataFrame, after: DataFrame, *, path: str = "path", conte
     removed = b.exceptAll(a).withColumn("op", F.lit("-"))
     added = a.exceptAll(b).withColumn("op", F.lit("+"))
     return removed.unionByName(added).groupBy("path", "op", "text").agg(F.count("*").alias("n"))
+
+
+def hcl_rename_splices(lines: DataFrame, blocks: DataFrame, renames: DataFrame) -> DataFrame:
+    """Rename the second label of the first block with the given type and joined
+    labels (H5): the header line is rewritten in place.  ``renames``:
+    ``path, block_type, block_name, new_name, seq``."""
+    first = blocks.groupBy("path", "block_type", "block_name").agg(F.min("start_line").alias("line_no"))
+    j = first.join(renames, ["path", "block_type", "block_name"]).join(
+        lines.select("path", "line_no", "text"), ["path", "line_no"])
+    # keep everything up to the opening quote of the 2nd label, replace its text
+    new = F.regexp_replace("text", r'^(\s*[A-Za-z_][A-Za-z0-9_-]*\s+"[^"]*"\s+")[^"]*(")',
+                           F.concat(F.lit("$1"), F.regexp_replace("new_name", r"\$", r"\\\$"), F.lit("$2")))
+    return j.select("path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"),
+                    new.alias("new_text"), "seq")
+
+
+def append_blocks(files: DataFrame, additions: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+    """Append new blocks at the end of files (H5), in ``seq`` order, separated by a
+    blank line.  ``additions``: ``path, text, seq`` (a file's additions are bounded
+    by the edits to that file)."""
+    add = additions.groupBy("path").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n").alias("__add"))
+    f = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    joined = F.when(F.col("__add").isNull(), F.col("content")).otherwise(
+        F.concat(F.col("content"), F.when(F.col("content").endswith("\n"), F.lit("\n")).otherwise(F.lit("\n\n")),
+                 F.col("__add"), F.lit("\n")))
+    return f.join(add, "path", "left").select("path", joined.alias("content"))

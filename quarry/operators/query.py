@@ -54,6 +54,19 @@ def only(df: DataFrame) -> DataFrame:
     return df
 
 
+def get(df: DataFrame, id_value, *, id_col: str = "id") -> DataFrame:
+    """The row with the given id; NotFound when absent (Get / UpdateOneID target)."""
+    return only(df.filter(F.col(id_col) == F.lit(id_value)))
+
+
+def first(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The first row by a total order (First); empty input gives NotFound."""
+    out = df.orderBy(*order).limit(1)
+    if out.limit(1).count() == 0:
+        raise NotFoundError("document not found")
+    return out
+
+
 def exists(df: DataFrame) -> DataFrame:
     """One row ``exists boolean``; stops reading after the first match."""
     return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("exists"))

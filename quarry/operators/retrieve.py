@@ -104,3 +104,18 @@ def messages(df: DataFrame, *, group: str, order: str, role: str = "role", conte
                                     F.col(content).alias("content")))
     return _chunked(df, [group], [order], max_items).groupBy(group, "chunk").agg(F.transform(F.array_sort(items), lambda x: F.struct(
         x["type"].alias("type"), x["content"].alias("content"))).alias("messages"))
+
+
+def judge_filter(files: DataFrame, judge, *, input_col: str = "content", strict: bool = True) -> DataFrame:
+    """Relevance filter with a judge function (E4 via C10): ``judge(text) -> bool``
+    runs in Arrow batches; rows it accepts are kept.  As in the reference, any
+    judge error fails the job when ``strict``; otherwise failed rows are dropped."""
+    from pyspark.sql import types as T
+
+    from quarry.operators.enrich import enrich_batch
+
+    out = enrich_batch(files, judge, input_col=input_col, output_col="__answer", output_type=T.BooleanType())
+    if strict:
+        out = out.withColumn("__answer", F.when(F.col("error").isNull(), F.col("__answer")).otherwise(
+            F.raise_error(F.concat(F.lit("relevance judge failed: "), F.col("error")))))
+    return out.filter(F.coalesce(F.col("__answer"), F.lit(False))).drop("__answer", "error")

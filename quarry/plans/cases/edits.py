@@ -220,3 +220,45 @@ def edit_apply_all(spark, d):
         "seq", F.struct(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber")))
     ok, _conflicts = ED.resolve_overlaps(bodies.unionByName(comments))
     return ED.splice(files, ok, lines=ln)
+
+
+derived("renamesplices", ("hclblocks", "hcllines"), """
+    SELECT b.path, b.start_line AS s, b.start_line AS e,
+           regexp_replace(l.text, '^(\\s*[A-Za-z_][A-Za-z0-9_-]*\\s+"[^"]*"\\s+")[^"]*(")',
+                          '\\1s' || s_suppkey::VARCHAR || '-n' || s_nationkey::VARCHAR || '\\2') AS new_text
+    FROM supplier
+    JOIN (SELECT path, block_type, block_name, min(start_line) AS start_line FROM hclblocks GROUP BY 1, 2, 3) b
+      ON b.path = 's' || s_suppkey::VARCHAR || '.tf' AND b.block_type = 'resource'
+     AND b.block_name = 'supplier,s' || s_suppkey::VARCHAR
+    JOIN hcllines l ON l.path = b.path AND l.line_no = b.start_line""")
+
+
+@register("edit_hcl_rename", sql(["hcllines", "renamesplices"],
+                                 "," + _splice_sql("hcllines", "renamesplices").replace("SELECT path,", "x AS (SELECT path,", 1)
+                                 + ") SELECT * FROM x"))
+def edit_hcl_rename(spark, d):
+    """Rename every supplier resource to ``s<k>-n<nation>`` (second label)."""
+    files = C.hcl_files(spark, d)
+    ln = BK.line_table(files)
+    blocks, _ = BK.hcl_index(files, lines=ln)
+    s = read_table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    k = F.col("s_suppkey").cast("string")
+    ren = s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"), F.lit("resource").alias("block_type"),
+                   F.concat(F.lit("supplier,s"), k).alias("block_name"),
+                   F.concat(F.lit("s"), k, F.lit("-n"), F.col("s_nationkey").cast("string")).alias("new_name"),
+                   F.lit(1).alias("seq"))
+    return ED.splice(files, ED.hcl_rename_splices(ln, blocks, ren), lines=ln)
+
+
+@register("edit_hcl_append", sql(["hclfiles"], """
+    SELECT path, content || chr(10) || 'output "o' || s_suppkey::VARCHAR || '" {' || chr(10) || '  value = '
+                 || s_nationkey::VARCHAR || chr(10) || '}' || chr(10) AS content
+    FROM hclfiles JOIN supplier ON path = 's' || s_suppkey::VARCHAR || '.tf'"""))
+def edit_hcl_append(spark, d):
+    """Append an output block to every supplier file."""
+    s = read_table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    k = F.col("s_suppkey").cast("string")
+    add = s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"),
+                   F.concat(F.lit('output "o'), k, F.lit('" {\n  value = '), F.col("s_nationkey").cast("string"),
+                            F.lit("\n}")).alias("text"), F.lit(1).alias("seq"))
+    return ED.append_blocks(C.hcl_files(spark, d), add)

@@ -102,3 +102,18 @@ def test_overlapping_edits_last_wins(spark):
     ok, conflicts = ED.resolve_overlaps(sp)
     assert [r.new_text for r in ok.collect()] == ["b"]
     assert [(r.start_line, r.end_line) for r in conflicts.collect()] == [(3, 4)]
+
+
+def test_hcl_rename_and_append(spark):
+    files = _files(spark, [("t.tf", HCL)])
+    ln = BK.line_table(files)
+    blocks, _ = BK.hcl_index(files, lines=ln)
+    ren = spark.createDataFrame([("t.tf", "resource", "aws_instance,example", "web", 1)],
+                                "path string, block_type string, block_name string, new_name string, seq int")
+    out = ED.splice(files, ED.hcl_rename_splices(ln, blocks, ren), lines=ln).first().content
+    assert out.splitlines()[4] == 'resource "aws_instance" "web" {'
+    add = spark.createDataFrame([("t.tf", 'output "o" {\n  value = 1\n}', 1)], "path string, text string, seq int")
+    app = ED.append_blocks(files, add).first().content
+    assert app == HCL + '\noutput "o" {\n  value = 1\n}\n'
+    b2, _ = BK.hcl_index(_files(spark, [("t.tf", app)]))
+    assert ("output", "o") in {(r.block_type, r.block_name) for r in b2.collect()}

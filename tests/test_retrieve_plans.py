@@ -64,3 +64,43 @@ def test_owner_repo(spark):
     df = spark.createDataFrame([("https://github.com/o/r.git",), ("x",)], "url string")
     got = [(r.owner, r.repo, r.error) for r in owner_repo(df).collect()]
     assert got == [("o", "r", None), (None, None, "invalid remote URL")]
+
+
+def test_judge_filter(spark):
+    import pytest
+    df = spark.createDataFrame([("a.go", "keep me"), ("b.go", "drop")], "path string, content string")
+    got = [r.path for r in R.judge_filter(df, lambda t: "keep" in t).collect()]
+    assert got == ["a.go"]
+
+    def bad(t):
+        raise RuntimeError("judge down")
+    with pytest.raises(Exception):
+        R.judge_filter(df, bad).collect()
+
+
+def test_get_and_first(spark):
+    import pytest
+    from quarry.operators.query import NotFoundError, first, get
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    assert get(df, 2).first().v == "b"
+    with pytest.raises(NotFoundError):
+        get(df, 3)
+    assert first(df, ["v"]).first().id == 1
+
+
+def test_ci_json_readers(spark):
+    import json
+    import os
+    import tempfile
+
+    from quarry.operators.ci import runs_for_prs
+    from quarry.sources.ci import read_prs, read_runs
+    d = tempfile.mkdtemp(prefix="quarry-ci-")
+    with open(os.path.join(d, "prs.json"), "w") as f:
+        f.write(json.dumps({"number": 7, "title": "t", "state": "open", "head": {"ref": "feat", "sha": "x"}}) + "\n")
+    with open(os.path.join(d, "runs.json"), "w") as f:
+        for i, b in enumerate(["feat", "main"]):
+            f.write(json.dumps({"id": i, "name": "ci", "head_branch": b, "status": "completed",
+                                "conclusion": "failure", "html_url": "u"}) + "\n")
+    got = runs_for_prs(read_prs(spark, d + "/prs.json"), read_runs(spark, d + "/runs.json")).collect()
+    assert [(r.number, r.id) for r in got] == [(7, 0)]
