@@ -1,14 +1,15 @@
 """Directory and repository digests.
 
 A directory's digest concatenates one entry per file.  A directory may hold a
-large share of all files, so the digest is cut into chunks of at most
-``max_files`` entries (``chunk`` 0, 1, ...): no single output row or group grows
-with the directory.
+large share of all files, so the digest is cut into ``ceil(n / max_files)``
+chunks by a hash of the path (``chunk`` 0, 1, ...; entries in path order inside
+a chunk): no output row or group grows with the directory, and no window or
+single task ever sees a whole directory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import dirname
@@ -18,15 +19,24 @@ def _entry(path: Column, summary: Column) -> Column:
     return F.concat(F.lit("File: "), path, F.lit("\nSummary: "), summary, F.lit("\n"))
 
 
+# 8 hex digits of md5(path) choose the chunk.
+CHUNK_HEX_DIGITS = 8
+
+
+def path_chunk(path: Column, n_chunks: Column) -> Column:
+    """Deterministic chunk of a path among ``n_chunks`` (md5-based, SQL-reproducible)."""
+    h = F.conv(F.substring(F.md5(path), 1, CHUNK_HEX_DIGITS), 16, 10).cast("long")
+    return F.pmod(h, n_chunks.cast("long")).cast("int")
+
+
 def directory_digest(docs: DataFrame, *, path: str = "filepath", summary: str = "description",
                      max_files: int = 200) -> DataFrame:
     """``Directory: d`` followed by ``File:``/``Summary:`` lines per file, files in
-    path order, in chunks of ``max_files`` (F1)."""
+    path order, in ``ceil(n / max_files)`` hash chunks per directory (F1)."""
     d = docs.select(dirname(F.col(path)).alias("directory"), F.col(path).alias("path"),
                     _entry(F.col(path), F.col(summary)).alias("entry"))
-    # The window only numbers rows (streaming after the sort, spills if needed).
-    d = d.withColumn("chunk", ((F.row_number().over(Window.partitionBy("directory").orderBy("path")) - 1)
-                               / F.lit(max_files)).cast("int"))
+    sizes = d.groupBy("directory").agg(F.ceil(F.count("*") / F.lit(max_files)).cast("int").alias("__n"))
+    d = d.join(sizes, "directory").withColumn("chunk", path_chunk(F.col("path"), F.col("__n")))
     items = F.array_sort(F.collect_list(F.struct("path", "entry")))
     return d.groupBy("directory", "chunk").agg(
         F.count("*").alias("n_files"),

@@ -73,19 +73,15 @@ def verify_paths(located: DataFrame, manifest: DataFrame, *, path: str = "path",
     return located.join(m, path, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
-def _chunked(df: DataFrame, group: Sequence[str], order: Sequence[str], max_items: int) -> DataFrame:
-    """Number the rows of each group by ``order`` and cut them into chunks of at
-    most ``max_items`` (the window only numbers rows; it streams after the sort)."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("chunk", ((rn - 1) / F.lit(max_items)).cast("int"))
-
-
-def pack(df: DataFrame, group: Sequence[str], order: Sequence[str], text: Column, *, sep: str = "\n",
+def pack(df: DataFrame, group: Sequence[str], order: str, text: Column, *, sep: str = "\n",
          out: str = "text", max_items: int = 200) -> DataFrame:
-    """Ordered concatenation of ``text`` per group (E6), in chunks of at most
-    ``max_items`` items (``chunk`` 0, 1, ...), so no output row grows with a group."""
-    d = _chunked(df.withColumn("__t", text), group, order, max_items)
-    items = F.collect_list(F.struct(*[F.col(c) for c in order], F.col("__t")))
+    """Ordered concatenation of ``text`` per group (E6), cut into chunks of
+    ``max_items`` consecutive positions: ``chunk = order div max_items``.  The
+    order column holds unique integer positions within a group (turn numbers),
+    so a chunk holds at most ``max_items`` items and no window is needed: a hot
+    group is spread over many chunks and tasks."""
+    d = df.withColumn("__t", text).withColumn("chunk", F.floor(F.col(order) / max_items).cast("int"))
+    items = F.collect_list(F.struct(F.col(order), F.col("__t")))
     return d.groupBy(*group, "chunk").agg(
         F.array_join(F.transform(F.array_sort(items), lambda x: x["__t"]), sep).alias(out),
         F.count("*").alias("n_items"))
@@ -99,10 +95,11 @@ def chat_role(role) -> Column:
 def messages(df: DataFrame, *, group: str, order: str, role: str = "role", content: str = "text",
              max_items: int = 200) -> DataFrame:
     """Ordered ``array<struct<type, content>>`` per conversation (E7), in chunks
-    of at most ``max_items`` messages."""
+    of ``max_items`` consecutive turns (``chunk = turn div max_items``)."""
     items = F.collect_list(F.struct(F.col(order).alias("o"), chat_role(role).alias("type"),
                                     F.col(content).alias("content")))
-    return _chunked(df, [group], [order], max_items).groupBy(group, "chunk").agg(F.transform(F.array_sort(items), lambda x: F.struct(
+    d = df.withColumn("chunk", F.floor(F.col(order) / max_items).cast("int"))
+    return d.groupBy(group, "chunk").agg(F.transform(F.array_sort(items), lambda x: F.struct(
         x["type"].alias("type"), x["content"].alias("content"))).alias("messages"))
 
 

@@ -23,8 +23,9 @@ derived("dirfiles", ("state",), f"""
 @register("dir_digest", sql(["dirfiles"], f"""
     SELECT directory, chunk, count(*) AS n_files,
            'Directory: ' || directory || chr(10) || string_agg(entry, '' ORDER BY filepath) AS digest
-    FROM (SELECT *, ((row_number() OVER (PARTITION BY directory ORDER BY filepath) - 1) // {MAX_FILES})::INTEGER
-                      AS chunk FROM dirfiles)
+    FROM (SELECT f.*, (('0x' || substr(md5(filepath), 1, 8))::BIGINT % n.nch)::INTEGER AS chunk
+          FROM dirfiles f JOIN (SELECT directory, ceil(count(*) / {MAX_FILES})::BIGINT AS nch
+                                FROM dirfiles GROUP BY directory) n USING (directory))
     GROUP BY directory, chunk"""))
 def dir_digest(spark, d):
     return DG.directory_digest(C.doc_state(spark, d), max_files=MAX_FILES)

@@ -106,7 +106,7 @@ def paths_verified(spark, d):
 
 
 MAX_TURNS = 200
-_CHUNK = f"((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {MAX_TURNS})::INTEGER AS chunk"
+_CHUNK = f"floor(turn / {MAX_TURNS})::INTEGER AS chunk"
 
 
 @register("context_pack", sql([], f"""
@@ -115,7 +115,7 @@ _CHUNK = f"((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {MAX
     FROM (SELECT *, {_CHUNK} FROM conversations) GROUP BY conv_id, chunk"""))
 def context_pack(spark, d):
     c = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text")
-    return R.pack(c, ["conv_id"], ["turn"], F.concat("role", F.lit(": "), "text"), sep="\n\n", max_items=MAX_TURNS)
+    return R.pack(c, ["conv_id"], "turn", F.concat("role", F.lit(": "), "text"), sep="\n\n", max_items=MAX_TURNS)
 
 
 @register("message_pack", sql([], f"""

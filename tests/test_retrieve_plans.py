@@ -104,3 +104,25 @@ def test_ci_json_readers(spark):
                                 "conclusion": "failure", "html_url": "u"}) + "\n")
     got = runs_for_prs(read_prs(spark, d + "/prs.json"), read_runs(spark, d + "/runs.json")).collect()
     assert [(r.number, r.id) for r in got] == [(7, 0)]
+
+
+def test_directory_digest_chunks_cover_every_file_once(spark):
+    from quarry.operators.digest import directory_digest
+    rows = [(f"d/f{i:02d}.go", f"s{i}") for i in range(10)] + [("top.go", "t")]
+    df = spark.createDataFrame(rows, "filepath string, description string")
+    out = directory_digest(df, max_files=3).collect()
+    d = [r for r in out if r.directory == "d"]
+    assert len(d) <= 4 and sum(r.n_files for r in d) == 10
+    seen = []
+    for r in d:
+        files = [ln[len("File: "):] for ln in r.digest.splitlines() if ln.startswith("File: ")]
+        assert files == sorted(files) and r.digest.startswith("Directory: d\n")
+        seen += files
+    assert sorted(seen) == [p for p, _ in rows[:10]]
+    assert [r.chunk for r in out if r.directory == "."] == [0]
+
+
+def test_pack_chunks_consecutive_turns(spark):
+    df = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(5)], "c int, turn int, role string, text string")
+    out = sorted(R.pack(df, ["c"], "turn", F.col("text"), max_items=2).collect(), key=lambda r: r.chunk)
+    assert [(r.chunk, r.text) for r in out] == [(0, "m0\nm1"), (1, "m2\nm3"), (2, "m4")]
