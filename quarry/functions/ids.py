@@ -1,8 +1,8 @@
 """Deterministic dense ids without a global single-partition window.
 
 ``max(id) + row_number() over (order by key)`` forces every row through one
-task.  Instead rows are spread over ``BUCKETS`` buckets by an md5 prefix of the
-key; a bounded window over the bucket counts (at most ``BUCKETS`` rows) gives
+task.  Instead rows are spread over 65536 buckets by an md5 prefix of the
+key; a bounded window over the bucket counts (at most 65536 rows) gives
 each bucket its offset, and a window partitioned by bucket numbers the rows.
 The result is dense (start+1 .. start+n), deterministic and reproducible in SQL.
 """
@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 3 hex digits of md5 -> 4096 buckets; key parts joined by U+0001.
-BUCKET_HEX_DIGITS = 3
+# 4 hex digits of md5 -> 65536 buckets; key parts joined by U+0001.
+BUCKET_HEX_DIGITS = 4
 KEY_SEPARATOR = "\u0001"
 
 
@@ -28,7 +28,7 @@ def assign_dense_ids(df: DataFrame, key_cols: Sequence[str], start: Column, id_c
     """Add ``id_col`` = ``start`` + 1.. n over the rows of ``df`` (keys unique)."""
     b = df.withColumn("__b", key_bucket(key_cols))
     counts = b.groupBy("__b").agg(F.count("*").alias("__n"))
-    # <= 4096 rows: a single-partition running sum here is bounded by construction.
+    # <= 65536 rows: a single-partition running sum here is bounded by construction.
     offs = counts.select(
         "__b",
         F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),

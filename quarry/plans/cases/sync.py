@@ -50,7 +50,7 @@ def sql_with_new_ids(kept: str, fresh: str) -> str:
     return f"""
     , kept AS ({kept}), fresh AS ({fresh}),
     mx AS (SELECT coalesce(max(id), 0) AS m FROM state),
-    bk AS (SELECT *, ('0x' || substr(md5(concat_ws(chr(1), repository, context, filepath)), 1, 3))::INTEGER AS b
+    bk AS (SELECT *, ('0x' || substr(md5(concat_ws(chr(1), repository, context, filepath)), 1, 4))::INTEGER AS b
            FROM fresh),
     offs AS (SELECT b, coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
              FROM (SELECT b, count(*) AS n FROM bk GROUP BY b))
