@@ -60,6 +60,14 @@ def resolve_overlaps(splices: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chk.filter(~conflict).drop("prev_end"), chk.filter(conflict).drop("prev_end")
 
 
+def latest_edits(edits: DataFrame, *, key: tuple[str, ...] = ("path", "target_name"), seq: str = "seq") -> DataFrame:
+    """Several edits of the same block: keep the highest ``seq`` (H8, last wins),
+    reduced by a partial aggregate before any splice is built."""
+    rest = [c for c in edits.columns if c not in key and c != seq]
+    w = edits.groupBy(*key).agg(F.max(F.struct(seq, *rest)).alias("__w"))
+    return w.select(*key, F.col(f"__w.{seq}").alias(seq), *[F.col(f"__w.{c}").alias(c) for c in rest])
+
+
 def replace_files(files: DataFrame, edits: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
     """Whole-file replacement (H1); empty new content keeps the file."""
     e = edits.filter(F.length("new_content") > 0).select(F.col("path").alias(path), "new_content")

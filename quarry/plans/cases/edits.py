@@ -215,7 +215,7 @@ def edit_apply_all(spark, d):
                            .alias("target_name"),
                            F.concat(F.lit("return "), F.col("l_orderkey").cast("string")).alias("new_content"),
                            F.struct("l_orderkey", "l_linenumber").alias("seq"))
-    bodies = ED.function_body_splices(funcs, body_edits)
+    bodies = ED.function_body_splices(funcs, ED.latest_edits(body_edits))
     comments = ED.comment_splices(files, funcs, go_edits(spark, d), lines=ln).withColumn(
         "seq", F.struct(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber")))
     ok, _conflicts = ED.resolve_overlaps(bodies.unionByName(comments))
