@@ -136,7 +136,9 @@ def validate(changes: DataFrame, *, path: str = "path", target_type: str = "targ
     """Edit eligibility (H6): .go/.hcl/.tf or type ``file``; .go accepts only
     ``function`` changes.  Adds ``error`` (null when valid)."""
     p, t = F.col(path), F.col(target_type)
-    editable = p.endswith(".go") | p.endswith(".hcl") | p.endswith(".tf")
+    editable = F.lit(False)
+    for ext in EDITABLE_EXTENSIONS:
+        editable = editable | p.endswith(ext)
     err = (
         F.when(p.endswith(".go") & (t != "function"), F.concat(F.lit("unsupported change type for go file: "), t))
         .when(~editable & (t != "file"), F.concat(F.lit("unsupported file type: "), p))
