@@ -55,8 +55,10 @@ def repository_digest(dir_summaries: DataFrame, *, repository: str = "repository
 
 
 def merge_summaries(overall: DataFrame, directories: DataFrame, *, key: str = "repository") -> DataFrame:
-    """Overall summary struct + map directory -> summary struct, as JSON."""
-    m = directories.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(
-        "directory", F.struct("purpose", "components", "description")))).alias("directory_summaries"))
+    """Overall summary struct + map directory -> summary struct, as JSON (F3);
+    map entries in directory order so the text is deterministic.  The map holds
+    one entry per directory of the repository."""
+    entries = F.array_sort(F.collect_list(F.struct("directory", F.struct("purpose", "components", "description"))))
+    m = directories.groupBy(key).agg(F.map_from_entries(entries).alias("directory_summaries"))
     j = overall.join(m, key, "left")
     return j.select(key, F.to_json(F.struct("summary", "directory_summaries")).alias("json"))

@@ -129,7 +129,11 @@ def py_files(spark, d):
     return p.select(F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), content.alias("content"))
 
 
-@register("block_index_python")
+@register("block_index_python", sql([], """
+    SELECT 'p' || p_partkey::VARCHAR || '.py' AS path, kind, name, start_line, end_line, NULL::VARCHAR AS error
+    FROM part, (VALUES ('function', 'f', 1, 4), ('function', 'inner', 2, 3), ('var', 'x', 7, 7))
+               AS t(kind, prefix, start_line, end_line),
+         LATERAL (SELECT CASE WHEN prefix = 'inner' THEN 'inner' ELSE prefix || p_partkey::VARCHAR END AS name)"""))
 def block_index_python(spark, d):
     return BK.python_index(py_files(spark, d))
 

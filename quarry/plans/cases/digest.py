@@ -48,7 +48,19 @@ def repo_digest(spark, d):
     return DG.repository_digest(_dir_summaries(spark, d))
 
 
-@register("repo_summary_merge")
+derived("dirsummaries", ("dirfiles",), """
+    SELECT repository, directory, 'Directory: ' || directory || ' (' || count(*)::VARCHAR || ' files)' AS summary
+    FROM dirfiles GROUP BY 1, 2""")
+
+
+@register("repo_summary_merge", sql(["dirsummaries", "state"], """
+    SELECT repository, to_json({'summary': {'project_name': repository, 'purpose': 'documents: ' || n::VARCHAR},
+                                'directory_summaries': m})::VARCHAR AS json
+    FROM (SELECT repository, count(*) AS n FROM state GROUP BY repository)
+    JOIN (SELECT repository, map_from_entries(list({'k': directory, 'v': {'purpose': summary,
+                                                    'components': [directory], 'description': summary}}
+                                                   ORDER BY directory)) AS m
+          FROM dirsummaries GROUP BY repository) USING (repository)"""))
 def repo_summary_merge(spark, d):
     ds = _dir_summaries(spark, d).select(
         "repository", "directory", F.col("summary").alias("purpose"),

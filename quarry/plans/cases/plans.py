@@ -12,6 +12,7 @@ from quarry.operators import plans as PL
 from quarry.plans.cases.blocks import located_json
 from quarry.plans.catalog import register
 from quarry.plans.oracle import sql
+import quarry.plans.cases.digest  # noqa: F401  (defines the dirsummaries view)
 from quarry.session import scratch_path
 from quarry.sources import corpus as C
 from quarry.sources.tables import read_table
@@ -42,7 +43,8 @@ def json_locations(spark, d):
         F.sum(F.size("f.blocks")).cast("long").alias("n_blocks"))
 
 
-@register("json_repo_summary")
+@register("json_repo_summary", sql(["dirsummaries"], """
+    SELECT repository, directory, summary AS purpose FROM dirsummaries"""))
 def json_repo_summary(spark, d):
     """Repository summaries written as JSON (F3 shape) and read back with that shape
     (the reference reads them with another shape, which loses every field)."""

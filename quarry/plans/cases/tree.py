@@ -49,7 +49,10 @@ def manifest(spark, d):
     return _manifest(spark, d)
 
 
-@register("content_hash")
+@register("content_hash", sql(["sitefiles"], """
+    SELECT path, sha1('blob ' || octet_length(encode(content))::VARCHAR || chr(0) || content) AS blob_hash,
+           octet_length(encode(content))::BIGINT AS size
+    FROM sitefiles"""))
 def content_hash(spark, d):
     f = C.site_files(spark, d)
     return f.select("path", P.git_blob_hash("content").alias("blob_hash"),

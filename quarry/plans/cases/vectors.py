@@ -94,7 +94,13 @@ def vector_search_ann(spark, d):
     return V.knn_ann(v.select("id", "filepath", "embedding"), qv, K_SEARCH).select("id", "filepath", "score")
 
 
-@register("search_report")
+@register("search_report", sql(["vectors"], f"""
+    SELECT rank, filepath, score, printf('%d. %s (Score: %.2f)', rank, filepath, score) AS line FROM (
+      SELECT v.filepath, v.id, {l2('v.embedding', 'q.embedding')} AS score,
+             row_number() OVER (ORDER BY {l2('v.embedding', 'q.embedding')}, v.id)::INTEGER AS rank
+      FROM vectors v, (SELECT * FROM vectors WHERE id = {QUERY_ID}) q
+      WHERE v.repository = q.repository AND v.context = q.context)
+    WHERE rank <= {K_SEARCH}"""))
 def search_report(spark, d):
     hits = flagship(spark, d)
     from pyspark.sql import Window
