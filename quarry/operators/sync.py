@@ -36,6 +36,7 @@ def classify(
     updated_col: str = "updated_at",
     modified_col: str = "modified_at",
     content_col: str = "content",
+    keep_content: bool = True,
 ) -> DataFrame:
     """One row per key of either side with its class (C2):
 
@@ -46,14 +47,18 @@ def classify(
     * stored only: ``prune`` when its scope is being loaded, else ``keep``.
 
     ``scopes`` defaults to the scopes present in ``incoming``; pass it explicitly
-    to prune a scope whose file list is empty.
+    to prune a scope whose file list is empty.  With ``keep_content=False`` only
+    the content length travels through the join (file texts are not shuffled);
+    ``changed_content`` fetches the text of the rows that need it afterwards.
     """
     key = list(key)
     s = state.select(*key, "id", F.col(updated_col).alias("updated_at"), F.lit(True).alias("__s"))
-    i = incoming.select(*key, F.col(modified_col).alias("modified_at"), F.col(content_col).alias("content"),
-                        F.lit(True).alias("__i"))
+    payload = F.col(content_col).alias("content") if keep_content else \
+        F.length(F.col(content_col)).alias("content_length")
+    i = incoming.select(*key, F.col(modified_col).alias("modified_at"), payload, F.lit(True).alias("__i"))
     j = s.join(i, key, "full_outer").join(_scopes(incoming, scopes), SCOPE, "left")
-    empty = F.coalesce(F.length("content"), F.lit(0)) == 0
+    n_chars = F.length("content") if keep_content else F.col("content_length")
+    empty = F.coalesce(n_chars, F.lit(0)) == 0
     cls = (
         F.when(F.col("__i").isNull(), F.when(F.col("__in_scope"), F.lit(PRUNE)).otherwise(F.lit(KEEP)))
         .when(F.col("__s").isNull(), F.when(empty, F.lit(SKIP)).otherwise(F.lit(INSERT)))
@@ -61,7 +66,18 @@ def classify(
         .when(empty, F.lit(SKIP))
         .otherwise(F.lit(UPDATE))
     )
-    return j.select(*key, "id", "updated_at", "modified_at", "content", cls.alias("class"))
+    return j.select(*key, "id", "updated_at", "modified_at", "content" if keep_content else "content_length",
+                    cls.alias("class"))
+
+
+def changed_content(classes: DataFrame, incoming: DataFrame, *, key: Sequence[str] = KEY,
+                    content_col: str = "content") -> DataFrame:
+    """Insert/update rows of a ``classify(keep_content=False)`` result with their
+    text, read from ``incoming`` only for those keys (a small change set is
+    broadcast by AQE, so unchanged texts are never shuffled)."""
+    key = list(key)
+    ch = classes.filter(F.col("class").isin(INSERT, UPDATE)).select(*key, "modified_at", "class")
+    return ch.join(incoming.select(*key, F.col(content_col).alias("content")), key)
 
 
 def prune(state: DataFrame, incoming: DataFrame, *, scopes: DataFrame | None = None,

@@ -62,8 +62,9 @@ def sql_with_new_ids(kept: str, fresh: str) -> str:
 
 
 def _changes(spark, d):
-    cls = SY.classify(C.doc_state(spark, d), C.doc_incoming(spark, d))
-    return cls.filter(F.col("class").isin(SY.INSERT, SY.UPDATE)).select(
+    inc = C.doc_incoming(spark, d)
+    cls = SY.classify(C.doc_state(spark, d), inc, keep_content=False)
+    return SY.changed_content(cls, inc).select(
         *SY.KEY, describe(F.col("content"), F.col("filepath")).alias("description"),
         F.col("modified_at").alias("updated_at"))
 
@@ -76,7 +77,8 @@ def _all_changes(spark, d):
 
 @register("sync_classify", sql(["cls"], f"SELECT {KEYS}, id, class FROM cls"))
 def sync_classify(spark, d):
-    return SY.classify(C.doc_state(spark, d), C.doc_incoming(spark, d)).select(*SY.KEY, "id", "class")
+    return SY.classify(C.doc_state(spark, d), C.doc_incoming(spark, d), keep_content=False).select(
+        *SY.KEY, "id", "class")
 
 
 @register("sync_prune", sql(["state", "incoming"], f"""
