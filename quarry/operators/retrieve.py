@@ -27,8 +27,13 @@ def first_per_path(hits: DataFrame, *, qid: str = "qid", path: str = "filepath",
 def attach_content(hits: DataFrame, files: DataFrame, *, path: str = "filepath",
                    file_path: str = "path", content: str = "content") -> DataFrame:
     """Left join content by path; ``missing`` flags hits without a file (the
-    reference aborts the whole retrieval; ``require_content`` does that)."""
+    reference aborts the whole retrieval; ``require_content`` does that).
+
+    The files are first semi-joined to the hit paths (at most queries x k
+    distinct paths, broadcast by AQE when small), so only the texts that are
+    needed reach the shuffle of the outer join."""
     f = files.select(F.col(file_path).alias(path), F.col(content).alias("content"))
+    f = f.join(hits.select(path).distinct(), path, "left_semi")
     return hits.join(f, path, "left").withColumn("missing", F.col("content").isNull())
 
 
