@@ -69,12 +69,17 @@ def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
                                           .otherwise(F.col("next_close"))))
     ln = ln.withColumn("f_start", _last(F.when(is_head, F.col("line_no")))).withColumn(
         "f_end", _last(F.when(is_head, F.col("head_end"))))
-    heads = ln.filter(is_head).select("path", F.regexp_extract(t, GO_FUNC, 2).alias("name"),
-                                      F.col("line_no").alias("start_line"), F.col("head_end").alias("end_line"))
-    body = ln.filter(F.col("f_end").isNotNull() & (F.col("line_no") <= F.col("f_end"))).groupBy(
-        "path", F.col("f_start").alias("start_line")).agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    funcs = heads.join(body, ["path", "start_line"], "left")
+    # One aggregate per function over its lines (header included): name and end
+    # come from the header row, so no join back to the header rows is needed.
+    head_row = F.col("line_no") == F.col("f_start")
+    in_func = F.col("f_start").isNotNull() & (head_row | (F.col("line_no") <= F.col("f_end")))
+    funcs = ln.filter(in_func).groupBy("path", F.col("f_start").alias("start_line")).agg(
+        F.max(F.when(head_row, F.regexp_extract(t, GO_FUNC, 2))).alias("name"),
+        F.max("f_end").alias("end_line"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]),
+                     "\n").alias("content"),
+    ).withColumn("content", F.when(F.col("end_line").isNotNull(), F.col("content")))
+    funcs = funcs.select("path", "name", "start_line", "end_line", "content")
 
     g_open = _last(F.when(t.rlike(GO_VAR_GROUP_OPEN), F.col("line_no")))
     g_close = _last(F.when(t.rlike(GO_GROUP_CLOSE), F.col("line_no")))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.guards import ensure_parallelism
 from quarry.sources.tables import read_table
 
 EPOCH = "2024-01-01 00:00:00"
@@ -115,7 +116,9 @@ def hcl_files(spark: SparkSession, d: str) -> DataFrame:
 def plans(spark: SparkSession, d: str) -> DataFrame:
     """One change plan per order; its line items are the changes, in line order."""
     o = read_table(spark, d, "orders", "o_orderkey", "o_orderpriority")
-    li = read_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    # hash-partitioned by order once when under-partitioned: the per-order
+    # aggregate below then runs in parallel without another shuffle
+    li = ensure_parallelism(read_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey")
     ch = li.select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber",
         F.struct(
