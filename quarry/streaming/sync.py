@@ -55,18 +55,18 @@ def continuous_upsert(
         .start()
     )
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else None
+    return latest_snapshot(spark, state_root, schema)
+
+
+def latest_snapshot(spark: SparkSession, state_root: str, schema: T.StructType) -> str:
+    """Path of the newest committed snapshot.  Snapshot folders are named
+    ``snapshot=<batch id>``, so partition discovery lists them; only the
+    partition column is read.  Works after a restart that had nothing new to do."""
+    full = T.StructType(schema.fields + [T.StructField("snapshot", T.LongType())])
+    last = spark.read.schema(full).parquet(state_root).agg(F.max("snapshot")).first()[0]
     if last is None:
-        raise RuntimeError("stream produced no batch")
-    # lastProgress may describe a trailing no-data batch; walk back to a written snapshot.
-    jvm_fs = spark.sparkContext._jsc.hadoopConfiguration()
-    path_cls = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while last >= 0:
-        p = path_cls(_snapshot(state_root, last))
-        if p.getFileSystem(jvm_fs).exists(p):
-            return _snapshot(state_root, last)
-        last -= 1
-    raise RuntimeError("no snapshot written")
+        raise RuntimeError("no snapshot written")
+    return _snapshot(state_root, int(last))
 
 
 STREAM_SCHEMA = T.StructType([

@@ -106,3 +106,22 @@ def test_enrich_reports_errors_per_row(spark):
     ok, bad = split_errors(enrich_batch(df, word_summary, input_col="content", output_col="summary"))
     assert [r.summary for r in ok.collect()] == ["3 words, 1 lines"]
     assert bad.first().error.startswith("ValueError")
+
+
+def test_stream_restart_is_idempotent(spark):
+    import uuid
+
+    from quarry.session import scratch_path
+    from quarry.sources.tables import read_table
+    from quarry.streaming.sync import STREAM_SCHEMA, continuous_upsert
+    run = scratch_path(spark, f"stream-test-{uuid.uuid4().hex}")
+    read_table(spark, SF, "documents", "source", "doc_id", "lang", "n_chars").repartition(3, "lang") \
+        .write.parquet(f"{run}/incoming")
+    args = dict(key=["source"], order_cols=["doc_id"], state_root=f"{run}/state", checkpoint=f"{run}/ckpt")
+    first = continuous_upsert(spark, f"{run}/incoming", STREAM_SCHEMA, **args)
+    again = continuous_upsert(spark, f"{run}/incoming", STREAM_SCHEMA, **args)  # restart: nothing new
+    assert first == again
+    got = {r.source: r.doc_id for r in spark.read.schema(STREAM_SCHEMA).parquet(again).collect()}
+    exp = {r.source: r.m for r in read_table(spark, SF, "documents", "source", "doc_id")
+           .groupBy("source").agg(F.max("doc_id").alias("m")).collect()}
+    assert got == exp
