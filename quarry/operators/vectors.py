@@ -214,7 +214,8 @@ def knn_join(
                        F.col(query_vec_col).alias("qvec"))
     c = corpus.select(F.col(id_col).cast("long").alias("id"), *[F.col(s).alias(s) for s in scope],
                       F.col(vector_col).alias("vec"))
-    if strategy == "broadcast" or (strategy == "auto" and row_count_at_most(q, max_broadcast_queries)):
+    if strategy == "broadcast" or (strategy == "auto" and _can_broadcast(q)
+                                   and row_count_at_most(q, max_broadcast_queries)):
         return _knn_broadcast(q, c, k, scope, metric, exclude_self, block_rows)
     if strategy not in ("auto", "blocks"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -252,6 +253,15 @@ def knn_join(
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _can_broadcast(df: DataFrame) -> bool:
+    """Broadcast variables need the classic API (not available over Spark Connect)."""
+    try:
+        df.sparkSession.sparkContext  # noqa: B018
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, scope: list[str], metric: str, exclude_self: bool,
                    block_rows: int) -> DataFrame:
     """Broadcast-query strategy of ``knn_join`` (the caller proved the query set small)."""

@@ -25,8 +25,11 @@ def ensure_parallelism(df: DataFrame, *cols: str) -> DataFrame:
     session's default parallelism (a table stored as one large row group is read
     by a single task).  On a cluster reading many files this is a no-op; when it
     applies, later aggregations keyed by a superset of ``cols`` need no shuffle."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:  # needs the classic API (RDD partition count); a no-op elsewhere
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return df
+    if have >= want:
         return df
     return df.repartition(want, *cols) if cols else df.repartition(want)
