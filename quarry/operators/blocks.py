@@ -149,16 +149,18 @@ def hcl_index(files: DataFrame, *, path: str = "path", content: str = "content",
         .select("path", "block_type", "labels", F.array_join("labels", ",").alias("block_name"), "level",
                 F.col("line_no").alias("start_line"), F.col("close_line").alias("end_line"))
     )
-    d = _line_depth(ln, ev)
+    d = _line_depth(ln)
     return blocks.join(_block_content(d, blocks), ["path", "start_line"], "left"), _attributes(d, blocks)
 
 
-def _line_depth(ln: DataFrame, ev: DataFrame) -> DataFrame:
-    """Depth (open brace pairs) at the start of every line."""
-    net = ev.groupBy("path", "line_no").agg(F.sum(F.when(F.col("is_open"), 1).otherwise(-1)).alias("net"))
+def _line_depth(ln: DataFrame) -> DataFrame:
+    """Depth (open brace pairs) at the start of every line: a running sum of each
+    masked line's brace balance, reusing the path partitioning (no join)."""
+    m = F.col("masked")
+    net = (F.length(m) - F.length(F.regexp_replace(m, "\\{", ""))) - \
+          (F.length(m) - F.length(F.regexp_replace(m, "\\}", "")))
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return ln.join(net, ["path", "line_no"], "left").withColumn(
-        "depth", F.coalesce(F.sum(F.coalesce("net", F.lit(0))).over(w), F.lit(0)))
+    return ln.withColumn("depth", F.coalesce(F.sum(net).over(w), F.lit(0)))
 
 
 def _enclosing(rows: DataFrame, blocks: DataFrame) -> DataFrame:
