@@ -127,13 +127,14 @@ def _matched_blocks(ev: DataFrame) -> DataFrame:
 
 
 def hcl_index(files: DataFrame, *, path: str = "path", content: str = "content",
-              lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+              lines: DataFrame | None = None, with_unbalanced: bool = False):
     """``(blocks, attributes)``.
 
     blocks: ``path, block_type, labels, block_name, level, start_line, end_line,
     content`` (content = the raw lines between the braces); attributes:
     ``path, block_name, block_start, name, value, line_no`` (value = raw text,
-    quotes kept).  Unbalanced files are reported by ``hcl_unbalanced``."""
+    quotes kept).  ``with_unbalanced=True`` also returns the files whose braces do
+    not balance, from the same brace events (see ``hcl_unbalanced``)."""
     ln = _hcl_lines(files, path, content, lines)
     ev = _brace_events(ln)
     pairs = _matched_blocks(ev)
@@ -150,7 +151,8 @@ def hcl_index(files: DataFrame, *, path: str = "path", content: str = "content",
                 F.col("line_no").alias("start_line"), F.col("close_line").alias("end_line"))
     )
     d = _line_depth(ln)
-    return blocks.join(_block_content(d, blocks), ["path", "start_line"], "left"), _attributes(d, blocks)
+    out = blocks.join(_block_content(d, blocks), ["path", "start_line"], "left"), _attributes(d, blocks)
+    return (*out, _unbalanced(ev)) if with_unbalanced else out
 
 
 def _line_depth(ln: DataFrame) -> DataFrame:
@@ -211,7 +213,10 @@ def _attributes(d: DataFrame, blocks: DataFrame) -> DataFrame:
 def hcl_unbalanced(files: DataFrame, *, path: str = "path", content: str = "content",
                    lines: DataFrame | None = None) -> DataFrame:
     """Files whose masked braces do not balance (reported, not guessed)."""
-    ev = _brace_events(_hcl_lines(files, path, content, lines))
+    return _unbalanced(_brace_events(_hcl_lines(files, path, content, lines)))
+
+
+def _unbalanced(ev: DataFrame) -> DataFrame:
     return ev.groupBy("path").agg(F.sum(F.when(F.col("is_open"), 1).otherwise(-1)).alias("net"),
                                   F.min("level").alias("min_level")).filter(
         (F.col("net") != 0) | (F.col("min_level") < 0))
@@ -264,8 +269,8 @@ def block_candidates(files: DataFrame, *, path: str = "path", content: str = "co
     braces do not balance are skipped, as the reference skips unparsable files."""
     ln = line_table(files, path=path, content=content)
     funcs, _ = go_index(files, lines=ln)
-    blocks, _ = hcl_index(files, lines=ln)
-    bad = hcl_unbalanced(files, lines=ln).select("path")
+    blocks, _, bad = hcl_index(files, lines=ln, with_unbalanced=True)
+    bad = bad.select("path")
     go = funcs.select("path", F.lit("function").alias("target_type"), F.col("name").alias("target_name"),
                       "start_line", "end_line")
     hcl = blocks.join(bad, "path", "left_anti").select(
