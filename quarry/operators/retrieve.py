@@ -82,7 +82,7 @@ def pack(df: DataFrame, group: Sequence[str], order: str, text: Column, *, sep:
          out: str = "text", max_items: int = 200) -> DataFrame:
     """Ordered concatenation of ``text`` per group (E6), cut into chunks of
     ``max_items`` consecutive positions: ``chunk = order div max_items``.  The
-    order column holds unique integer positions within a group (turn numbers),
+    order column holds unique 0-based integer positions within a group (turn numbers),
     so a chunk holds at most ``max_items`` items and no window is needed: a hot
     group is spread over many chunks and tasks."""
     d = df.withColumn("__t", text).withColumn("chunk", F.floor(F.col(order) / max_items).cast("int"))
