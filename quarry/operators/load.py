@@ -57,7 +57,8 @@ def load_documents(
     changes = described.withColumn("__k", key).join(emb.select("__k", "embedding"), "__k").select(
         *SY.KEY, "description", F.col("modified_at").alias("updated_at"), "embedding")
     pruned = SY.prune(state, files, scopes=scopes)
-    return SY.upsert(pruned, changes), errors
+    before = state.select(F.max("id")).scalar()  # ids are never reused after a prune
+    return SY.upsert(pruned, changes, start_after=before), errors
 
 
 def search_context(

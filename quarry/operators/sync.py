@@ -107,8 +107,10 @@ def latest_per_key(changes: DataFrame, order_cols: Sequence[str], key: Sequence[
     return agg.select(*key, *[F.col("__w")[c].alias(c) for c in rest])
 
 
-def _new_ids(rows: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFrame:
+def _new_ids(rows: DataFrame, state: DataFrame, key: Sequence[str], start_after: Column | None = None) -> DataFrame:
     start = F.coalesce(state.select(F.max("id")).scalar(), F.lit(0))
+    if start_after is not None:
+        start = F.greatest(start, F.coalesce(start_after, F.lit(0)))
     return assign_dense_ids(rows, key, start)
 
 
@@ -120,6 +122,7 @@ def upsert(
     on_conflict: str = "update",
     set_cols: Mapping[str, Column] | None = None,
     order_cols: Sequence[str] = ("updated_at",),
+    start_after: Column | None = None,
 ) -> DataFrame:
     """Insert ``changes`` into ``state`` keyed by ``key``.
 
@@ -129,7 +132,8 @@ def upsert(
       ``old.<col>`` / ``new.<col>``; unlisted columns keep the old value (C6).
 
     Duplicate keys inside ``changes`` are reduced to the latest first.  New keys
-    get dense ids after ``max(state.id)``.
+    get dense ids after ``max(state.id)`` (or after ``start_after`` when larger,
+    e.g. the maximum id before a prune: ids are never reused).
     """
     key = list(key)
     cols = [c for c in state.columns if c != "id"]
@@ -137,7 +141,7 @@ def upsert(
                         order_cols, key)
     if on_conflict == "ignore":
         new = ch.join(state.select(*key), key, "left_anti")
-        return state.unionByName(_new_ids(new, state, key).select(*state.columns))
+        return state.unionByName(_new_ids(new, state, key, start_after).select(*state.columns))
     old, new = state.alias("old"), ch.withColumn("__new", F.lit(True)).alias("new")
     j = old.join(new, key, "full_outer")
     has_new, has_old = F.col("new.__new").isNotNull(), F.col("old.id").isNotNull()
@@ -158,7 +162,7 @@ def upsert(
             raise ValueError(f"unknown on_conflict {on_conflict!r}")
     merged = j.select(F.col("old.id").alias("id"), *out)
     kept = merged.filter(F.col("id").isNotNull())
-    added = _new_ids(merged.filter(F.col("id").isNull()).drop("id"), state, key)
+    added = _new_ids(merged.filter(F.col("id").isNull()).drop("id"), state, key, start_after)
     return kept.unionByName(added.select(*merged.columns)).select(*state.columns)
 
 

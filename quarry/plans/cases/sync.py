@@ -45,8 +45,9 @@ derived("allchanges", ("incoming",), f"""
     SELECT repository, context, filepath, {SQL_DESCRIBE} AS description, modified_at AS updated_at FROM incoming""")
 
 
-def sql_with_new_ids(kept: str, fresh: str) -> str:
+def sql_with_new_ids(kept: str, fresh: str, cols: str = "id, repository, context, filepath, description, updated_at") -> str:
     """SQL of ``kept UNION ALL fresh-with-dense-ids`` (same bucketing as functions.ids)."""
+    rest = cols.split(", ", 1)[1]
     return f"""
     , kept AS ({kept}), fresh AS ({fresh}),
     mx AS (SELECT coalesce(max(id), 0) AS m FROM state),
@@ -54,10 +55,10 @@ def sql_with_new_ids(kept: str, fresh: str) -> str:
            FROM fresh),
     offs AS (SELECT b, coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
              FROM (SELECT b, count(*) AS n FROM bk GROUP BY b))
-    SELECT id, repository, context, filepath, description, updated_at FROM kept
+    SELECT {cols} FROM kept
     UNION ALL
     SELECT (mx.m + offs.off + row_number() OVER (PARTITION BY bk.b ORDER BY repository, context, filepath))::BIGINT
-             AS id, repository, context, filepath, description, updated_at
+             AS id, {rest}
     FROM bk JOIN offs ON bk.b = offs.b CROSS JOIN mx"""
 
 
@@ -197,3 +198,47 @@ def enrich_batch(spark, d):
 def stream_sync(spark, d):
     from quarry.streaming.sync import stream_latest_per_key_from_table
     return stream_latest_per_key_from_table(spark, d)
+
+
+# The load command end to end: prune + classify + summarise + embed + upsert.
+_EMBED_DIM = 64
+derived("loadchanges", ("cls", "incoming"), f"""
+    SELECT c.repository, c.context, c.filepath, i.content, c.modified_at FROM cls c
+    JOIN incoming i ON i.repository = c.repository AND i.context = c.context AND i.filepath = c.filepath
+    WHERE c.class IN ('insert', 'update')""")
+derived("loadembed", ("loadchanges",), f"""
+    SELECT repository, context, filepath,
+           CASE WHEN sumsq > 0 THEN list_transform(counts, lambda x: (x / sqrt(sumsq))::FLOAT) END AS embedding
+    FROM (SELECT *, list_sum(list_transform(counts, lambda x: (x * x)::DOUBLE)) AS sumsq FROM (
+      SELECT repository, context, filepath,
+             list_transform(range(0, {_EMBED_DIM}), lambda j: len(list_filter(b, lambda x: x = j))::BIGINT) AS counts
+      FROM (SELECT repository, context, filepath,
+                   list_transform(list_filter(string_split_regex(lower(content), '{EN.TOKEN_SPLIT}'), lambda w: w <> ''),
+                                  lambda w: ('0x' || substr(md5(w), 1, {EN.HASH_HEX_DIGITS}))::INTEGER % {_EMBED_DIM})
+                     AS b
+            FROM loadchanges)))""")
+derived("loadpruned", ("state", "incoming"), f"""
+    SELECT a.*, NULL::FLOAT[] AS embedding FROM state a
+    WHERE EXISTS (SELECT 1 FROM incoming b WHERE {ON_KEY})
+       OR NOT EXISTS (SELECT 1 FROM incoming b WHERE b.repository = a.repository AND b.context = a.context)""")
+_MERGE_LOAD = f"""
+    SELECT a.id, coalesce(a.repository, b.repository) AS repository, coalesce(a.context, b.context) AS context,
+           coalesce(a.filepath, b.filepath) AS filepath,
+           CASE WHEN b.filepath IS NOT NULL THEN b.description ELSE a.description END AS description,
+           CASE WHEN b.filepath IS NOT NULL THEN b.updated_at ELSE a.updated_at END AS updated_at,
+           CASE WHEN b.filepath IS NOT NULL THEN b.embedding ELSE a.embedding END AS embedding
+    FROM loadpruned a FULL OUTER JOIN (
+      SELECT c.repository, c.context, c.filepath, {SQL_DESCRIBE.replace("filepath", "c.filepath")} AS description,
+             c.modified_at AS updated_at, e.embedding
+      FROM loadchanges c JOIN loadembed e
+        ON e.repository = c.repository AND e.context = c.context AND e.filepath = c.filepath) b ON {ON_KEY}"""
+
+
+@register("load_documents", sql(["loadpruned", "loadchanges", "loadembed"], sql_with_new_ids(
+    f"SELECT * FROM ({_MERGE_LOAD}) WHERE id IS NOT NULL", f"SELECT * FROM ({_MERGE_LOAD}) WHERE id IS NULL",
+    cols="id, repository, context, filepath, description, updated_at, embedding")))
+def load_documents(spark, d):
+    from quarry.operators.load import load_documents as load
+    state = C.doc_state(spark, d).withColumn("embedding", F.lit(None).cast("array<float>"))
+    nxt, _errors = load(state, C.doc_incoming(spark, d), dim=_EMBED_DIM)
+    return nxt
