@@ -65,16 +65,21 @@ def search_context(
     spark: SparkSession,
     state: DataFrame,
     files: DataFrame,
-    query_text: str,
+    query: str | DataFrame,
     *,
     repository: str,
     context: str,
     k: int = 5,
     dim: int = 64,
 ) -> DataFrame:
-    """One row: the ranked hits of ``query_text`` inside (repository, context),
-    with their contents packed as ``File: path`` blocks in rank order."""
-    q = spark.createDataFrame([(0, query_text)], "qid long, text string")
+    """One row: the ranked hits of ``query`` inside (repository, context), with
+    their contents packed as ``File: path`` blocks in rank order.  ``query`` is a
+    text, or a one-row DataFrame with a ``text`` column (used as a scalar
+    subquery, so it never passes through the driver)."""
+    if isinstance(query, str):
+        query = spark.createDataFrame([(query,)], "text string")
+    q = query.select(F.lit(0).cast("long").alias("qid"), "text")
+    qtext = q.select("text").scalar()
     qvec = EN.hash_embed(q, id_col="qid", text_col="text", dim=dim).select("embedding").scalar()
     scoped = state.filter((F.col("repository") == repository) & (F.col("context") == context))
     hits = V.knn_search(scoped.select("id", "filepath", "embedding"), qvec, k)
@@ -84,4 +89,4 @@ def search_context(
     with_text = R.attach_content(ranked, files, file_path="filepath")
     block = F.concat(F.lit("File: "), F.col("filepath"), F.lit("\n"), F.coalesce("content", F.lit("")))
     return R.pack(with_text, ["qid"], "pos", block, sep="\n\n", max_items=k).select(
-        F.lit(query_text).alias("query"), "text", F.col("n_items").alias("n_hits"))
+        qtext.alias("query"), "text", F.col("n_items").alias("n_hits"))

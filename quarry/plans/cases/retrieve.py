@@ -8,7 +8,7 @@ from quarry import schemas as S
 from quarry.operators import retrieve as R
 from quarry.plans.cases.vectors import BATCH_SQL, K_SEARCH, NEIGHBORS_SQL, batch_hits, neighbor_hits
 from quarry.plans.catalog import register
-from quarry.plans.oracle import derived, sql
+from quarry.plans.oracle import derived, l2, sql
 from quarry.sources import corpus as C
 from quarry.sources.tables import read_table
 
@@ -125,3 +125,46 @@ def context_pack(spark, d):
 def message_pack(spark, d):
     c = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text")
     return R.messages(c, group="conv_id", order="turn", max_items=MAX_TURNS)
+
+
+# The search command end to end: every document embedded, the query text taken
+# from the benchmark table, scoped top-k, contents packed in rank order.
+SEARCH_ITEM, SEARCH_REPOSITORY, SEARCH_CONTEXT, SEARCH_K = 0, "repo0", "en", 5
+
+
+def _embed_sql(src: str, id_col: str) -> str:
+    from quarry.operators import enrich as EN
+    return f"""
+      SELECT {id_col}, CASE WHEN sumsq > 0 THEN list_transform(counts, lambda x: (x / sqrt(sumsq))::FLOAT) END
+               AS embedding
+      FROM (SELECT *, list_sum(list_transform(counts, lambda x: (x * x)::DOUBLE)) AS sumsq FROM (
+        SELECT {id_col}, list_transform(range(0, 64), lambda j: len(list_filter(b, lambda x: x = j))::BIGINT) AS counts
+        FROM (SELECT {id_col}, list_transform(list_filter(string_split_regex(lower(text), '{EN.TOKEN_SPLIT}'),
+                                                          lambda w: w <> ''),
+                                              lambda w: ('0x' || substr(md5(w), 1, {EN.HASH_HEX_DIGITS}))::INTEGER % 64)
+                       AS b
+              FROM {src})))"""
+
+
+@register("search_documents", sql(["state", "docfiles"], f"""
+    , emb AS ({_embed_sql("documents", "doc_id")}),
+    q AS ({_embed_sql(f"(SELECT 0 AS qid, text FROM benchmark WHERE item_id = {SEARCH_ITEM})", "qid")}),
+    hits AS (
+      SELECT s.id, s.filepath, {l2('e.embedding', 'q.embedding')} AS score
+      FROM state s JOIN emb e ON e.doc_id = s.id CROSS JOIN q
+      WHERE s.repository = '{SEARCH_REPOSITORY}' AND s.context = '{SEARCH_CONTEXT}'
+      ORDER BY score NULLS LAST, s.id LIMIT {SEARCH_K})
+    SELECT (SELECT text FROM benchmark WHERE item_id = {SEARCH_ITEM}) AS query,
+           string_agg('File: ' || h.filepath || chr(10) || coalesce(f.content, ''), chr(10) || chr(10)
+                      ORDER BY h.score NULLS LAST, h.id) AS text,
+           count(*) AS n_hits
+    FROM hits h LEFT JOIN docfiles f ON f.path = h.filepath"""))
+def search_documents(spark, d):
+    from quarry.operators import enrich as EN
+    from quarry.operators.load import search_context
+    emb = EN.hash_embed(read_table(spark, d, "documents", "doc_id", "text"), id_col="doc_id", text_col="text")
+    state = C.doc_state(spark, d).join(emb.select(F.col("doc_id").alias("id"), "embedding"), "id")
+    files = C.doc_files(spark, d).withColumnRenamed("path", "filepath")
+    query = read_table(spark, d, "benchmark", "item_id", "text").filter(F.col("item_id") == SEARCH_ITEM)
+    return search_context(spark, state, files, query, repository=SEARCH_REPOSITORY, context=SEARCH_CONTEXT,
+                          k=SEARCH_K)
