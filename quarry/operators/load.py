@@ -37,19 +37,29 @@ def load_documents(
     dim: int = 64,
     refresh_repository: str | None = None,
     scopes: DataFrame | None = None,
+    materialize: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Sync ``state`` (documents) with ``files`` (repository, context, filepath,
     content, modified_at).  Returns ``(next_state, errors)``; ``errors`` holds
-    the changed files whose summariser call failed (they are not upserted)."""
+    the changed files whose summariser call failed (they are not upserted).
+
+    With ``materialize`` the changed rows (texts and summaries: the only
+    model-dependent, expensive part) are checkpointed to the shared
+    ``spark.checkpoint.dir`` once, so the embedding, the upsert and the error
+    report read them instead of re-running classification and the summariser."""
     if refresh_repository is not None:
         state = SY.refresh(state, refresh_repository)
     classes = SY.classify(state, files, scopes=scopes, keep_content=False)
     changed = SY.changed_content(classes, files)
     if summarize is None:
         described = changed.withColumn("description", default_summary(F.col("content"), F.col("filepath")))
+        if materialize:
+            described = described.checkpoint()
         errors = described.limit(0).withColumn("error", F.lit(None).cast("string"))
     else:
         enriched = EN.enrich_batch(changed, summarize, input_col="content", output_col="description")
+        if materialize:
+            enriched = enriched.checkpoint()
         described, errors = EN.split_errors(enriched)
         described = described.drop("error")
     key = F.concat_ws("\u0001", *[F.col(c) for c in SY.KEY])
