@@ -21,6 +21,7 @@ from quarry.operators import enrich as EN
 from quarry.operators import retrieve as R
 from quarry.operators import sync as SY
 from quarry.operators import vectors as V
+from quarry.session import ensure_checkpoint_dir
 
 
 def default_summary(content: F.Column, filepath: F.Column) -> F.Column:
@@ -47,6 +48,8 @@ def load_documents(
     model-dependent, expensive part) are checkpointed to the shared
     ``spark.checkpoint.dir`` once, so the embedding, the upsert and the error
     report read them instead of re-running classification and the summariser."""
+    if materialize:
+        ensure_checkpoint_dir(state.sparkSession)
     if refresh_repository is not None:
         state = SY.refresh(state, refresh_repository)
     classes = SY.classify(state, files, scopes=scopes, keep_content=False)
