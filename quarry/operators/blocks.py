@@ -28,6 +28,7 @@ GO_VAR_LINE = r"^\s*var\s+([A-Za-z_][A-Za-z0-9_]*(\s*,\s*[A-Za-z_][A-Za-z0-9_]*)
 GO_VAR_GROUP_OPEN = r"^\s*var\s*\(\s*$"
 GO_GROUP_CLOSE = r"^\s*\)\s*$"
 GO_SPEC_NAMES = r"^\s*([A-Za-z_][A-Za-z0-9_]*(\s*,\s*[A-Za-z_][A-Za-z0-9_]*)*)"
+GO_DOC_COMMENT = r"^\s*//"
 HCL_STRING = r'"(\\.|[^"\\])*"'
 HCL_COMMENT = r"(#|//).*$"
 HCL_HEADER = r'^\s*([A-Za-z_][A-Za-z0-9_-]*)((\s+("[^"]*"|[A-Za-z_][A-Za-z0-9_-]*))*)\s*\{\s*$'
@@ -56,7 +57,8 @@ def _last(c: Column) -> Column:
 def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
              lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(functions, vars)``: functions ``path, name, start_line, end_line,
-    content``; vars ``path, name, start_line, end_line, content`` (content = name).
+    content, doc_start`` (first line of the ``//`` comment run directly above the
+    declaration, or the declaration line when there is none); vars ``path, name, start_line, end_line, content`` (content = name).
     Pass ``lines`` (a ``line_table``) to share one line table between operators."""
     if lines is None:
         lines = line_table(files, path=path, content=content)
@@ -69,6 +71,10 @@ def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
                                           .otherwise(F.col("next_close"))))
     ln = ln.withColumn("f_start", _last(F.when(is_head, F.col("line_no")))).withColumn(
         "f_end", _last(F.when(is_head, F.col("head_end"))))
+    # first line of the // comment run directly above each line (doc comment start)
+    above = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    ln = ln.withColumn("doc_start", F.coalesce(
+        F.last(F.when(~t.rlike(GO_DOC_COMMENT), F.col("line_no") + 1), ignorenulls=True).over(above), F.lit(1)))
     # One aggregate per function over its lines (header included): name and end
     # come from the header row, so no join back to the header rows is needed.
     head_row = F.col("line_no") == F.col("f_start")
@@ -76,10 +82,11 @@ def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
     funcs = ln.filter(in_func).groupBy("path", F.col("f_start").alias("start_line")).agg(
         F.max(F.when(head_row, F.regexp_extract(t, GO_FUNC, 2))).alias("name"),
         F.max("f_end").alias("end_line"),
+        F.max(F.when(head_row, F.col("doc_start"))).alias("doc_start"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]),
                      "\n").alias("content"),
     ).withColumn("content", F.when(F.col("end_line").isNotNull(), F.col("content")))
-    funcs = funcs.select("path", "name", "start_line", "end_line", "content")
+    funcs = funcs.select("path", "name", "start_line", "end_line", "content", "doc_start")
 
     g_open = _last(F.when(t.rlike(GO_VAR_GROUP_OPEN), F.col("line_no")))
     g_close = _last(F.when(t.rlike(GO_GROUP_CLOSE), F.col("line_no")))

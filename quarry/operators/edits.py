@@ -14,11 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.blocks import GO_FUNC, line_table
+from quarry.operators.blocks import line_table
 
 # Fixed values of edit eligibility.
 EDITABLE_EXTENSIONS = (".go", ".hcl", ".tf")
-GO_COMMENT = r"^\s*//"
 
 
 def splice(files: DataFrame, splices: DataFrame, *, path: str = "path", content: str = "content",
@@ -92,17 +91,13 @@ def function_body_splices(funcs: DataFrame, edits: DataFrame) -> DataFrame:
 def comment_splices(files: DataFrame, funcs: DataFrame, edits: DataFrame, *,
                     lines: DataFrame | None = None) -> DataFrame:
     """Set the ``//`` doc comment above a function (H3): the contiguous comment
-    lines directly above the declaration are replaced (or a comment inserted)."""
-    ln = lines if lines is not None else line_table(files)
-    is_c = F.col("text").rlike(GO_COMMENT)
-    # start of the comment run ending on each line: last non-comment line before + 1
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    runs = ln.withColumn("run_start", F.last(F.when(~is_c, F.col("line_no") + 1), ignorenulls=True).over(w)).filter(
-        F.col("text").rlike(GO_FUNC)).select("path", F.col("line_no").alias("start_line"),
-                                             F.coalesce("run_start", F.lit(1)).alias("doc_start"))
+    lines directly above the declaration (``doc_start`` of the Go index) are
+    replaced, or a comment is inserted."""
+    if "doc_start" not in funcs.columns:
+        from quarry.operators.blocks import go_index
+        funcs, _ = go_index(files, lines=lines)
     e = edits.filter(F.length("new_comment") > 0)
-    j = funcs.join(runs, ["path", "start_line"]).join(
-        e.select("path", F.col("target_name").alias("name"), "new_comment", "seq"), ["path", "name"])
+    j = funcs.join(e.select("path", F.col("target_name").alias("name"), "new_comment", "seq"), ["path", "name"])
     text = F.array_join(F.transform(F.split("new_comment", "\n"), lambda x: F.concat(F.lit("// "), x)), "\n")
     return j.select("path", F.col("doc_start").alias("start_line"), (F.col("start_line") - 1).alias("end_line"),
                     text.alias("new_text"), "seq")
