@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine_distance, dimension_ok, l2_distance
-from quarry.plans.guards import ensure_parallelism, row_count_at_most
+from quarry.plans.guards import ensure_parallelism
 
 METRICS = ("l2", "cosine")
 
@@ -191,6 +191,7 @@ def knn_join(
     block_rows: int = 2048,
     strategy: str = "auto",
     max_broadcast_queries: int = 20_000,
+    max_broadcast_bytes: int = 64 << 20,
     qid_col: str = "qid",
     query_vec_col: str = "embedding",
     id_col: str = "id",
@@ -204,7 +205,8 @@ def knn_join(
     in place (no shuffle of the corpus; each task emits at most k candidates per
     query); ``"blocks"`` is the block nested-loop join for query sets too large to
     broadcast; ``"auto"`` broadcasts when a bounded count proves the query set
-    holds at most ``max_broadcast_queries`` rows.
+    holds at most ``max_broadcast_queries`` rows whose vectors take at most
+    ``max_broadcast_bytes`` (rows x dimension x 4 bytes).
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -215,7 +217,7 @@ def knn_join(
     c = corpus.select(F.col(id_col).cast("long").alias("id"), *[F.col(s).alias(s) for s in scope],
                       F.col(vector_col).alias("vec"))
     if strategy == "broadcast" or (strategy == "auto" and _can_broadcast(q)
-                                   and row_count_at_most(q, max_broadcast_queries)):
+                                   and _query_set_fits(q, max_broadcast_queries, max_broadcast_bytes)):
         return _knn_broadcast(q, c, k, scope, metric, exclude_self, block_rows)
     if strategy not in ("auto", "blocks"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -253,6 +255,18 @@ def knn_join(
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _query_set_fits(q: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Bounded checks: at most ``max_rows`` queries (reads at most max_rows + 1)
+    and at most ``max_bytes`` of float32 vectors (dimension from one row)."""
+    n = q.limit(max_rows + 1).count()
+    if n > max_rows:
+        return False
+    if n == 0:
+        return True
+    dim = q.select(F.size("qvec")).first()[0] or 0
+    return n * max(dim, 0) * 4 <= max_bytes
+
+
 def _can_broadcast(df: DataFrame) -> bool:
     """Broadcast variables need the classic API (not available over Spark Connect)."""
     try:

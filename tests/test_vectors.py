@@ -113,3 +113,11 @@ def test_ann_recall(spark):
     approx = vector_search_ann(spark, d).collect()
     recall = len({r.id for r in exact} & {r.id for r in approx}) / 10
     assert recall >= 0.5, recall
+
+
+def test_query_set_byte_bound(spark):
+    from quarry.operators.vectors import _query_set_fits
+    q = spark.createDataFrame([(i, [0.5] * 100) for i in range(10)], "qid long, qvec array<float>")
+    assert _query_set_fits(q, 10, 10 * 100 * 4)
+    assert not _query_set_fits(q, 9, 1 << 30)          # too many rows
+    assert not _query_set_fits(q, 10, 10 * 100 * 4 - 1)  # too many bytes
