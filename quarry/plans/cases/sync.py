@@ -177,14 +177,30 @@ def delete_where(spark, d):
     return SY.delete_where(C.doc_state(spark, d), pred)
 
 
+# Fixed values of the example summariser: ASCII whitespace separates words.
+WHITESPACE = " \t\n\r\f\v"
+
+
 def word_summary(text):
     """Example enrichment function (stands in for a model call): fails on empty text."""
-    if text is None or not text.strip():
+    import re
+    if text is None or not text.strip(WHITESPACE):
         raise ValueError("empty content")
-    return f"{len(text.split())} words, {text.count(chr(10)) + 1} lines"
+    words = re.split(r"[ \t\n\r\f\v]+", text.strip(WHITESPACE))
+    return f"{len(words)} words, {text.count(chr(10)) + 1} lines"
+
 
+_SQL_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 
-@register("enrich_batch")
+
+@register("enrich_batch", sql(["incoming"], f"""
+    SELECT repository, context, filepath,
+           CASE WHEN content IS NULL OR trim(content, {_SQL_WS}) = '' THEN NULL
+                ELSE len(string_split_regex(trim(content, {_SQL_WS}), '[ \\t\\n\\r\\f\\v]+'))::VARCHAR || ' words, '
+                     || (length(content) - length(replace(content, chr(10), '')) + 1)::VARCHAR || ' lines' END
+             AS summary,
+           CASE WHEN content IS NULL OR trim(content, {_SQL_WS}) = '' THEN 'ValueError: empty content' END AS error
+    FROM incoming"""))
 def enrich_batch(spark, d):
     inc = C.doc_incoming(spark, d)
     out = EN.enrich_batch(inc, word_summary, input_col="content", output_col="summary")
