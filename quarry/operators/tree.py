@@ -141,13 +141,14 @@ def tree_lines(man: DataFrame) -> DataFrame:
     the flags and re-aggregated per node (depth-bounded per node)."""
     last = man.groupBy("parent").agg(F.max("name").alias("last_name"))
     nodes = (
-        man.select("path", "name", "parent", "depth", "segments")
+        man.select("path", "name", "parent", "depth", "segments", "is_dir")
         .join(last, "parent")
         .withColumn("is_last", F.col("name") == F.col("last_name"))
         .drop("last_name")
     )
-    flags = nodes.select(F.col("path").alias("anc"), F.col("is_last").alias("anc_last"),
-                         F.col("depth").alias("anc_depth"))
+    # ancestors are directories: only directory rows are needed on this side
+    flags = nodes.filter("is_dir").select(F.col("path").alias("anc"), F.col("is_last").alias("anc_last"),
+                                          F.col("depth").alias("anc_depth"))
     indents = (
         nodes.select("path", F.explode(P.ancestors("path")).alias("anc"))
         .join(flags, "anc")
