@@ -142,9 +142,11 @@ def upsert(
     if on_conflict == "ignore":
         new = ch.join(state.select(*key), key, "left_anti")
         return state.unionByName(_new_ids(new, state, key, start_after).select(*state.columns))
+    # Stored rows (left join keeps their ids) and keys only in the changes (anti
+    # join, new ids): two joins over the same key shuffles, each evaluated once.
     old, new = state.alias("old"), ch.withColumn("__new", F.lit(True)).alias("new")
-    j = old.join(new, key, "full_outer")
-    has_new, has_old = F.col("new.__new").isNotNull(), F.col("old.id").isNotNull()
+    j = old.join(new, key, "left")
+    has_new = F.col("new.__new").isNotNull()
     out = []
     for c in cols:
         if c in key:
@@ -156,14 +158,15 @@ def upsert(
         elif on_conflict == "custom":
             expr = (set_cols or {}).get(c)
             val = expr if expr is not None else F.col(f"old.{c}")
-            out.append(F.when(~has_new, F.col(f"old.{c}")).when(~has_old, F.col(f"new.{c}"))
-                       .otherwise(val).alias(c))
+            out.append(F.when(~has_new, F.col(f"old.{c}")).otherwise(val).alias(c))
         else:
             raise ValueError(f"unknown on_conflict {on_conflict!r}")
-    merged = j.select(F.col("old.id").alias("id"), *out)
-    kept = merged.filter(F.col("id").isNotNull())
-    added = _new_ids(merged.filter(F.col("id").isNull()).drop("id"), state, key, start_after)
-    return kept.unionByName(added.select(*merged.columns)).select(*state.columns)
+    kept = j.select(F.col("old.id").alias("id"), *out)
+    fresh = ch.join(state.select(*key), key, "left_anti")
+    types = dict(state.dtypes)
+    fresh = fresh.select(*[F.col(c) if c in ch.columns else F.lit(None).cast(types[c]).alias(c) for c in cols])
+    added = _new_ids(fresh, state, key, start_after)
+    return kept.unionByName(added.select(*kept.columns)).select(*state.columns)
 
 
 def key_violations(state: DataFrame, changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
