@@ -9,8 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, mixing
+from quarry.llm import decontaminate, mixing, quality, token_store
 from quarry.llm.common import table
+from quarry.llm.queries import TOKENIZER
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +29,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take(docs)
 
 
-STAGES = [("benchmark decontamination", decontaminated), ("mixing sources", mixed)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of the mixed corpus, and what they hold of each document."""
+    return token_store.report(docs, TOKENIZER)
+
+
+STAGES = [("quality classifier", good_quality), ("benchmark decontamination", decontaminated), ("mixing sources", mixed), ("token output", tokens)]
 
 ORACLE_SQL = None
 
