@@ -7,10 +7,12 @@ columns start with ``_q_`` so that they cannot clash with a caller's columns.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, scratch_path
 
 #: Rows up to which a list of 64-bit ids may be broadcast (8 MB).
 MAX_BROADCAST_IDS = 1_000_000
@@ -29,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut`` for large results: a compressed Parquet table in the shared folder."""
+    path = scratch_path(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def id_order(col: str = "doc_id") -> Column:
     """Order of documents: by id, null ids last."""
     return F.coalesce(F.col(col).cast("long"), F.lit(2**63 - 1))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, token_store, toxicity
+from quarry.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, substring_dedup, suffix_dedup, token_store, toxicity
 from quarry.llm.common import table
 
 #: The tokenizer file, the same path on every machine.
@@ -34,16 +34,27 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_token_store, op4_exact_dedup, op5_quality, op8_line_dedup, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_toxicity, op3_token_store, op4_exact_dedup, op5_quality, op7_suffix_dedup, op8_line_dedup, op9_substring_dedup, op10_mixing,
+    )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,6 +89,14 @@ g AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS x FROM r WHERE k > 1)
 e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS x, l FROM d),
 k AS (SELECT e.doc_id, string_agg(e.l[e.x], chr(10) ORDER BY e.x) FILTER (g.x IS NULL) AS kept, count(*) AS n, count(g.x) AS gone FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.x = g.x GROUP BY e.doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op9_substring_dedup": """
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(w, i, i + 19), ' ') ORDER BY doc_id, i) AS k FROM p),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS x FROM r WHERE k > 1),
+e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS x FROM d),
+k AS (SELECT e.doc_id, count(g.x) AS gone, string_agg(e.w[e.x], ' ' ORDER BY e.x) FILTER (g.x IS NULL) AS kept FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.x = g.x GROUP BY e.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op10_mixing": """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),

@@ -18,6 +18,7 @@ both halves of a window: 128 bits.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,9 +44,10 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> _SHIFT)
 
 
-def grams(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each ``size`` consecutive units, by doubling (the two parts may overlap)."""
-    have, out = 1, hashes
+def grams(hashes: np.ndarray, size: int, have: int = 1) -> np.ndarray:
+    """Hash of each ``size`` consecutive units, by doubling (the last two parts may
+    overlap); ``hashes`` covers ``have`` units each."""
+    out = hashes
     while have * 2 <= size:
         out, have = mix(out[:-have], out[have:]), have * 2
     if have < size:
@@ -65,11 +67,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def runs(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(hashes: np.ndarray, length: int, gram: int, have: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, last window) of each run of windows with one minimiser."""
-    if len(hashes) < length:
+    if len(hashes) + have - 1 < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    each = grams(hashes, gram)
+    each = grams(hashes, gram, have)
     tagged = (each & ~np.uint64(0xFFFFFFFF)) | np.arange(len(each), dtype=np.uint64)
     at = (sliding_min(tagged, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
@@ -77,8 +79,22 @@ def runs(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
     return each[at[first]], first, last
 
 
-#: text -> (bytes of the units, bytes in a unit, hash of each unit)
-Units = Callable[[str], tuple[bytes, int, np.ndarray]]
+@dataclass(frozen=True)
+class Units:
+    """How a text becomes units: ``parse`` gives their bytes, ``size`` bytes each, and
+    ``hashes`` the hash of every ``have`` consecutive units of such bytes."""
+
+    parse: Callable[[str], bytes]
+    hashes: Callable[[bytes], np.ndarray]
+    size: int
+    have: int = 1
+
+    def runs(self, raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return runs(self.hashes(raw), length, gram, self.have)
+
+    def windows(self, raw: bytes, length: int) -> np.ndarray:
+        """Hash of each window of a stretch."""
+        return grams(self.hashes(raw), length, self.have)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -106,8 +122,8 @@ def entries(docs: DataFrame, units: Units, length: int, gram: int) -> DataFrame:
         for batch in batches:
             keys, digests, rids, ats = [], [], [], []
             for rid, text in zip(batch["_q_rid"].to_numpy(), batch["text"]):
-                raw, size, hashes = units(text)
-                key, first, last = runs(hashes, length, gram)
+                raw, size = units.parse(text), units.size
+                key, first, last = units.runs(raw, length, gram)
                 if not len(key):
                     continue
                 view = memoryview(raw)
@@ -132,7 +148,7 @@ def contents(docs: DataFrame, classes: DataFrame, units: Units, length: int) ->
         for batch in batches:
             rows = []
             for text, wanted_ in zip(batch["text"], batch["_q_wanted"]):
-                raw, size, _ = units(text)
+                raw, size = units.parse(text), units.size
                 for row in wanted_:
                     a, b = row["at"] >> SPAN, (row["at"] >> SPAN) + (row["at"] & ((1 << SPAN) - 1))
                     rows.append((*(row[c] for c in columns), bytes(raw[a * size : (b + length) * size])))
@@ -143,11 +159,7 @@ def contents(docs: DataFrame, classes: DataFrame, units: Units, length: int) ->
     return few.dropDuplicates(["_q_rid"]).join(wanted, "_q_rid").select("text", "_q_wanted").mapInPandas(run, f"{kinds}, content binary")
 
 
-def _window_hashes(content: bytes, size: int, length: int, hashes: Callable[[bytes], np.ndarray]) -> np.ndarray:
-    return grams(hashes(content), length)
-
-
-def compared(classes: DataFrame, hashes: Callable[[bytes], np.ndarray], length: int, earlier: bool, max_classes: int = MAX_CLASSES) -> DataFrame:
+def compared(classes: DataFrame, units: Units, length: int, earlier: bool, max_classes: int = MAX_CLASSES) -> DataFrame:
     """(rid, start, stop): windows [start, stop) of each class' own place that another
     class holds too -- at an earlier place only, if ``earlier``.
 
@@ -155,8 +167,8 @@ def compared(classes: DataFrame, hashes: Callable[[bytes], np.ndarray], length:
     and ``m`` the classes of its key.  Keys of at most ``max_classes`` classes are
     compared where the key's rows lie together; the windows of larger ones are spread
     over the cluster one by one."""
-    return _compared_together(classes.filter(F.col("m") <= max_classes), hashes, length, earlier).unionAll(
-        _compared_apart(classes.filter(F.col("m") > max_classes), hashes, length, earlier)
+    return _compared_together(classes.filter(F.col("m") <= max_classes), units, length, earlier).unionAll(
+        _compared_apart(classes.filter(F.col("m") > max_classes), units, length, earlier)
     )
 
 
@@ -166,9 +178,9 @@ def _ranges(rid: int, first: int, hit: np.ndarray) -> Iterator[tuple[int, int, i
         yield rid, first + int(a), first + int(b)
 
 
-def _compared_together(classes: DataFrame, hashes: Callable[[bytes], np.ndarray], length: int, earlier: bool) -> DataFrame:
+def _compared_together(classes: DataFrame, units: Units, length: int, earlier: bool) -> DataFrame:
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        each = [grams(hashes(c), length) for c in rows["content"]]
+        each = [units.windows(c, length) for c in rows["content"]]
         counts = np.array([len(e) for e in each])
         flat, owner = np.concatenate(each), np.repeat(np.arange(len(each)), counts)
         if earlier:  # the place's rank among these rows decides
@@ -205,11 +217,11 @@ def _compared_together(classes: DataFrame, hashes: Callable[[bytes], np.ndarray]
     return classes.repartition("key").sortWithinPartitions("key").mapInPandas(run, "rid long, start long, stop long")
 
 
-def _compared_apart(classes: DataFrame, hashes: Callable[[bytes], np.ndarray], length: int, earlier: bool) -> DataFrame:
+def _compared_apart(classes: DataFrame, units: Units, length: int, earlier: bool) -> DataFrame:
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rid, at, content in zip(batch["rid"], batch["at"], batch["content"]):
-                each = grams(hashes(content), length)
+                each = units.windows(content, length)
                 yield pd.DataFrame({"w": _signed(each), "rid": rid, "start": (at >> SPAN) + np.arange(len(each))})
 
     rows = cut(classes.select("rid", "at", "content").mapInPandas(spread, "w long, rid long, start long"))
