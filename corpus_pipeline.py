@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, mixing, quality, token_store
+from quarry.llm import decontaminate, jaccard_join, mixing, quality, token_store
 from quarry.llm.common import table
 from quarry.llm.queries import TOKENIZER
 
@@ -19,6 +19,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 80 % of their shingles, one of each component stays."""
+    return jaccard_join.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a test item go."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
@@ -34,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_store.report(docs, TOKENIZER)
 
 
-STAGES = [("quality classifier", good_quality), ("benchmark decontamination", decontaminated), ("mixing sources", mixed), ("token output", tokens)]
+STAGES = [("quality classifier", good_quality), ("n-gram Jaccard join", distinct_documents), ("benchmark decontamination", decontaminated), ("mixing sources", mixed), ("token output", tokens)]
 
 ORACLE_SQL = None
 

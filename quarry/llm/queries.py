@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, substring_dedup, suffix_dedup, token_store, toxicity
+from quarry.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, quality, substring_dedup, suffix_dedup, token_store, toxicity
 from quarry.llm.common import table
 
 #: The tokenizer file, the same path on every machine.
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_decontaminate, op2_toxicity, op3_token_store, op4_exact_dedup, op5_quality, op7_suffix_dedup, op8_line_dedup, op9_substring_dedup, op10_mixing,
+        op1_decontaminate, op2_toxicity, op3_token_store, op4_exact_dedup, op5_quality, op6_jaccard_join, op7_suffix_dedup, op8_line_dedup, op9_substring_dedup, op10_mixing,
     )
 }
 
@@ -80,6 +84,16 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
 WITH n AS (SELECT doc_id, coalesce(length(text), 0) AS l, translate(coalesce(text, ''), {_BLANKS}, '') AS t FROM documents),
 r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY l DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM r""",
+    "op6_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.y, r.c FROM r JOIN l ON r.doc_id = l.x WHERE r.c < l.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
     "op8_line_dedup": """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, l FROM d WHERE len(l) >= 3),
