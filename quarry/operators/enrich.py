@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.plans.guards import ensure_parallelism
+from quarry.plans.guards import spread
 
 # Fixed values of the hash embedder (must match the oracle): tokens are maximal
 # runs of [a-z0-9] in the lower-cased text; bucket = first 4 hex digits of the
@@ -37,14 +37,12 @@ def token_bucket(word: F.Column, dim: int) -> F.Column:
 def hash_embed(df: DataFrame, *, id_col: str, text_col: str = "text", dim: int = 64) -> DataFrame:
     """Deterministic bag-of-hashed-tokens embedding, L2-normalised.
 
-    Tokens are exploded map side and counted per (row, bucket) with a partial
-    (map-side) aggregate, so at most ``dim`` small rows per input row and task are
-    shuffled; a second aggregate assembles the ``dim`` counts per row.  When the
-    input is under-partitioned (one big row group) it is first hash-partitioned
-    by id, after which both aggregates run without another shuffle.  Output:
+    The texts are dealt out by id once; tokens are exploded, counted per (row,
+    bucket) and assembled to the ``dim`` counts per row on that partitioning, without
+    another shuffle.  Output:
     ``id, counts array<bigint>, embedding array<float>`` (null embedding for a
     text without tokens; the reference treats empty input as an error)."""
-    src = ensure_parallelism(df.select(id_col, text_col), id_col)
+    src = spread(df.select(id_col, text_col), id_col)
     # explode_outer keeps rows without tokens (w = null) so no join back is needed
     words = src.select(F.col(id_col), F.explode_outer(tokens(text_col)).alias("w"))
     per_bucket = words.select(id_col, token_bucket(F.col("w"), dim).alias("b")).groupBy(id_col, "b").count()
@@ -60,15 +58,17 @@ def hash_embed(df: DataFrame, *, id_col: str, text_col: str = "text", dim: int =
 
 def enrich_batch(
     df: DataFrame,
-    fn: Callable[[pd.Series], pd.Series],
+    fn: Callable[[str], object],
     *,
     input_col: str,
     output_col: str,
     output_type: T.DataType = T.StringType(),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Apply ``fn`` (text -> value, one call per row inside Arrow batches) to
     ``input_col``; failures are reported per row in ``error`` (C10).
-    Empty results count as skipped (``output_col`` null, ``error`` null)."""
+    Empty results count as skipped (``output_col`` null, ``error`` null).  Rows are dealt
+    over ``partitions`` tasks (the rate limit; default: the session's shuffle partitions)."""
     out_schema = T.StructType(df.schema.fields + [T.StructField(output_col, output_type, True),
                                                    T.StructField("error", T.StringType(), True)])
 
@@ -88,7 +88,7 @@ def enrich_batch(
             pdf["error"] = errs
             yield pdf
 
-    return df.mapInPandas(run, out_schema)
+    return spread(df, partitions=partitions).mapInPandas(run, out_schema)
 
 
 def split_errors(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,16 +39,20 @@ def load_documents(
     dim: int = 64,
     refresh_repository: str | None = None,
     scopes: DataFrame | None = None,
+    loaded_at: dt.datetime | None = None,
     materialize: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Sync ``state`` (documents) with ``files`` (repository, context, filepath,
     content, modified_at).  Returns ``(next_state, errors)``; ``errors`` holds
-    the changed files whose summariser call failed (they are not upserted).
+    the changed files whose summariser call failed (they are not upserted, nor are
+    files with an empty summary).  The embedding is that of the summary, and
+    ``updated_at`` is ``loaded_at`` (default: now), so a file that has not changed
+    since is fresh in the next load.
 
-    With ``materialize`` the changed rows (texts and summaries: the only
-    model-dependent, expensive part) are checkpointed to the shared
-    ``spark.checkpoint.dir`` once, so the embedding, the upsert and the error
-    report read them instead of re-running classification and the summariser."""
+    With ``materialize`` the changed rows (keys and summaries, not the texts) are
+    checkpointed to the shared ``spark.checkpoint.dir`` once, so the embedding, the
+    upsert and the error report read them instead of re-running classification and
+    the summariser."""
     if materialize:
         ensure_checkpoint_dir(state.sparkSession)
     if refresh_repository is not None:
@@ -55,20 +60,22 @@ def load_documents(
     classes = SY.classify(state, files, scopes=scopes, keep_content=False)
     changed = SY.changed_content(classes, files)
     if summarize is None:
-        described = changed.withColumn("description", default_summary(F.col("content"), F.col("filepath")))
+        described = changed.withColumn("description", default_summary(F.col("content"), F.col("filepath"))).drop("content")
         if materialize:
             described = described.checkpoint()
         errors = described.limit(0).withColumn("error", F.lit(None).cast("string"))
     else:
-        enriched = EN.enrich_batch(changed, summarize, input_col="content", output_col="description")
+        enriched = EN.enrich_batch(changed, summarize, input_col="content", output_col="description").drop("content")
         if materialize:
             enriched = enriched.checkpoint()
         described, errors = EN.split_errors(enriched)
         described = described.drop("error")
+    described = described.filter(F.length("description") > 0)
+    stamp = F.lit(loaded_at).cast("timestamp_ntz") if loaded_at is not None else F.current_timestamp().cast("timestamp_ntz")
     key = F.concat_ws("\u0001", *[F.col(c) for c in SY.KEY])
-    emb = EN.hash_embed(described.select(key.alias("__k"), "content"), id_col="__k", text_col="content", dim=dim)
+    emb = EN.hash_embed(described.select(key.alias("__k"), "description"), id_col="__k", text_col="description", dim=dim)
     changes = described.withColumn("__k", key).join(emb.select("__k", "embedding"), "__k").select(
-        *SY.KEY, "description", F.col("modified_at").alias("updated_at"), "embedding")
+        *SY.KEY, "description", stamp.alias("updated_at"), "embedding")
     pruned = SY.prune(state, files, scopes=scopes)
     before = state.select(F.max("id")).scalar()  # ids are never reused after a prune
     return SY.upsert(pruned, changes, start_after=before), errors

@@ -3,7 +3,7 @@
 The built-in catalog has no MERGE/UPDATE/DELETE, and a snapshot cannot be
 overwritten while it is read, so every mutation is a pure function
 ``(state, changes) -> next_state``; callers write the result to a new snapshot
-folder (``write_snapshot``).  All joins are on the document key
+folder (``sources.files.write_snapshot``).  All joins are on the document key
 ``(repository, context, filepath)``; scopes are ``(repository, context)``.
 """
 
@@ -136,37 +136,35 @@ def upsert(
     e.g. the maximum id before a prune: ids are never reused).
     """
     key = list(key)
+    if on_conflict not in ("update", "ignore", "custom"):
+        raise ValueError(f"unknown on_conflict {on_conflict!r}")
     cols = [c for c in state.columns if c != "id"]
     ch = latest_per_key(changes.select(*key, *[c for c in cols if c not in key and c in changes.columns]),
                         order_cols, key)
-    if on_conflict == "ignore":
-        new = ch.join(state.select(*key), key, "left_anti")
-        return state.unionByName(_new_ids(new, state, key, start_after).select(*state.columns))
-    # Stored rows (left join keeps their ids) and keys only in the changes (anti
-    # join, new ids): two joins over the same key shuffles, each evaluated once.
-    old, new = state.alias("old"), ch.withColumn("__new", F.lit(True)).alias("new")
-    j = old.join(new, key, "left")
-    has_new = F.col("new.__new").isNotNull()
+    # Ids of the keys that are not stored yet, from keys alone; then one full outer
+    # join carries the payload of either side once.
+    keys = changes.select(*key).distinct().join(state.select(*key), key, "left_anti")
+    ids = _new_ids(keys, state, key, start_after).withColumnRenamed("id", "__id")
+    new = ch.join(ids, key, "left").withColumn("__new", F.lit(True)).alias("new")
+    old = state.withColumn("__old", F.lit(True)).alias("old")
+    j = old.join(new, key, "full_outer")
+    stored, changed = F.col("old.__old").isNotNull(), F.col("new.__new").isNotNull()
+    types = dict(state.dtypes)
     out = []
     for c in cols:
         if c in key:
             out.append(F.col(c))
-        elif c not in ch.columns:
-            out.append(F.col(f"old.{c}").alias(c))
+            continue
+        had = F.col(f"old.{c}")
+        came = F.col(f"new.{c}") if c in ch.columns else F.lit(None).cast(types[c])
+        if c not in ch.columns or on_conflict == "ignore":
+            val = had
         elif on_conflict == "update":
-            out.append(F.when(has_new, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c))
-        elif on_conflict == "custom":
-            expr = (set_cols or {}).get(c)
-            val = expr if expr is not None else F.col(f"old.{c}")
-            out.append(F.when(~has_new, F.col(f"old.{c}")).otherwise(val).alias(c))
+            val = came
         else:
-            raise ValueError(f"unknown on_conflict {on_conflict!r}")
-    kept = j.select(F.col("old.id").alias("id"), *out)
-    fresh = ch.join(state.select(*key), key, "left_anti")
-    types = dict(state.dtypes)
-    fresh = fresh.select(*[F.col(c) if c in ch.columns else F.lit(None).cast(types[c]).alias(c) for c in cols])
-    added = _new_ids(fresh, state, key, start_after)
-    return kept.unionByName(added.select(*kept.columns)).select(*state.columns)
+            val = (set_cols or {}).get(c, had)
+        out.append(F.when(~stored, came).when(changed, val).otherwise(had).alias(c))
+    return j.select(F.coalesce(F.col("old.id"), F.col("new.__id")).alias("id"), *out).select(*state.columns)
 
 
 def key_violations(state: DataFrame, changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -180,30 +178,32 @@ def insert_checked(state: DataFrame, changes: DataFrame, *, required: Sequence[s
                    key: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
     """Plain insert with the reference's checks (C7): rows missing a required
     field or violating the unique key are rejected (returned with a reason),
-    the rest are appended with new ids.  Returns ``(next_state, rejected)``."""
+    the rest are appended with new ids.  A rejected row takes no part in the key
+    check; of valid rows that share a key all are rejected.  Returns
+    ``(next_state, rejected)``."""
     key = list(key)
-    missing = None
+    missing = F.lit(False)
     for c in required:
         t = F.col(c).isNull() | ((F.length(F.col(c)) == 0) if dict(changes.dtypes)[c] == "string" else F.lit(False))
-        missing = t if missing is None else (missing | t)
-    dup = key_violations(state, changes, key).select(*key, F.lit(True).alias("__dup"))
-    tagged = changes.join(dup, key, "left").withColumn(
+        missing = missing | t
+    # only rows that pass the field check can collide
+    valid = changes.filter(~missing)
+    dup = key_violations(state, valid, key).select(*key, F.lit(True).alias("__dup"))
+    tagged = changes.withColumn("__missing", missing).join(dup, key, "left").withColumn(
         "reason",
-        F.when(missing if missing is not None else F.lit(False), F.lit("missing required field"))
+        F.when(F.col("__missing"), F.lit("missing required field"))
         .when(F.col("__dup"), F.lit("unique key violation")),
-    ).drop("__dup")
+    ).drop("__dup", "__missing")
     ok = tagged.filter(F.col("reason").isNull()).drop("reason")
-    nxt = state.unionByName(_new_ids(ok, state, key).select(*state.columns))
+    nxt = upsert(state, ok, key=key, on_conflict="ignore", order_cols=())
     return nxt, tagged.filter(F.col("reason").isNotNull())
 
 
 def update_where(state: DataFrame, pred: Column, sets: Mapping[str, Column]) -> DataFrame:
-    """``UPDATE .. SET .. WHERE pred`` as a projection."""
-    out = state
+    """``UPDATE .. SET .. WHERE pred`` as one projection over the original row (C8):
+    the predicate and the new values see no column already set."""
     hit = F.coalesce(pred, F.lit(False))
-    for c, v in sets.items():
-        out = out.withColumn(c, F.when(hit, v).otherwise(F.col(c)))
-    return out
+    return state.select(*[F.when(hit, sets[c]).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in state.columns])
 
 
 def affected(state: DataFrame, pred: Column) -> DataFrame:
@@ -214,8 +214,3 @@ def affected(state: DataFrame, pred: Column) -> DataFrame:
 def delete_where(state: DataFrame, pred: Column) -> DataFrame:
     """``DELETE .. WHERE pred`` (C9); rows where pred is null are kept, as in SQL."""
     return state.filter(~F.coalesce(pred, F.lit(False)))
-
-
-def write_snapshot(df: DataFrame, path: str, *, partition_by: Sequence[str] = SCOPE) -> None:
-    """Write a state snapshot partitioned by scope, so scoped reads prune folders."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine_distance, dimension_ok, l2_distance
-from quarry.plans.guards import ensure_parallelism
+from quarry.plans.guards import spread
 
 METRICS = ("l2", "cosine")
 
@@ -286,7 +286,7 @@ def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, scope: list[str], metric:
     payload = {sk: (np.array([x[0] for x in v], dtype=np.int64), np.array([x[1] for x in v], dtype=np.float32))
                for sk, v in by_scope.items()}
     bq = spark.sparkContext.broadcast(payload)
-    corpus = ensure_parallelism(c.select("id", "vec", *scope))
+    corpus = spread(c.select("id", "vec", *scope), "id")
     cand = corpus.mapInPandas(_broadcast_kernel(bq, metric, k, exclude_self, block_rows, len(scope)),
                               "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").asc_nulls_last(), F.col("id"))

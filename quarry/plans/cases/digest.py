@@ -15,9 +15,9 @@ SCOPE_REPOSITORY, SCOPE_CONTEXT = "repo1", "en"
 
 _DIR = "CASE WHEN position('/' IN filepath) = 0 THEN '.' ELSE regexp_replace(filepath, '/[^/]*$', '') END"
 
-derived("dirfiles", ("state",), f"""
+derived("dirfiles", ("doctable",), f"""
     SELECT repository, {_DIR} AS directory, filepath,
-           'File: ' || filepath || chr(10) || 'Summary: ' || description || chr(10) AS entry FROM state""")
+           'File: ' || filepath || chr(10) || 'Summary: ' || description || chr(10) AS entry FROM doctable""")
 
 
 @register("dir_digest", sql(["dirfiles"], f"""
@@ -28,11 +28,11 @@ derived("dirfiles", ("state",), f"""
                                 FROM dirfiles GROUP BY directory) n USING (directory))
     GROUP BY directory, chunk"""))
 def dir_digest(spark, d):
-    return DG.directory_digest(C.doc_state(spark, d), max_files=MAX_FILES)
+    return DG.directory_digest(C.doc_table(spark, d), max_files=MAX_FILES)
 
 
 def _dir_summaries(spark, d):
-    s = C.doc_state(spark, d)
+    s = C.doc_table(spark, d)
     return s.groupBy("repository", dirname("filepath").alias("directory")).agg(F.count("*").alias("n")).select(
         "repository", "directory",
         F.concat(F.lit("Directory: "), "directory", F.lit(" ("), F.col("n").cast("string"), F.lit(" files)"))
@@ -53,10 +53,10 @@ derived("dirsummaries", ("dirfiles",), """
     FROM dirfiles GROUP BY 1, 2""")
 
 
-@register("repo_summary_merge", sql(["dirsummaries", "state"], """
+@register("repo_summary_merge", sql(["dirsummaries", "doctable"], """
     SELECT repository, to_json({'summary': {'project_name': repository, 'purpose': 'documents: ' || n::VARCHAR},
                                 'directory_summaries': m})::VARCHAR AS json
-    FROM (SELECT repository, count(*) AS n FROM state GROUP BY repository)
+    FROM (SELECT repository, count(*) AS n FROM doctable GROUP BY repository)
     JOIN (SELECT repository, map_from_entries(list({'k': directory, 'v': {'purpose': summary,
                                                     'components': [directory], 'description': summary}}
                                                    ORDER BY directory)) AS m
@@ -65,7 +65,7 @@ def repo_summary_merge(spark, d):
     ds = _dir_summaries(spark, d).select(
         "repository", "directory", F.col("summary").alias("purpose"),
         F.array(F.col("directory")).alias("components"), F.col("summary").alias("description"))
-    overall = C.doc_state(spark, d).groupBy("repository").agg(F.count("*").alias("n")).select(
+    overall = C.doc_table(spark, d).groupBy("repository").agg(F.count("*").alias("n")).select(
         "repository", F.struct(
             F.col("repository").alias("project_name"),
             F.concat(F.lit("documents: "), F.col("n").cast("string")).alias("purpose"),
@@ -73,10 +73,10 @@ def repo_summary_merge(spark, d):
     return DG.merge_summaries(overall, ds)
 
 
-@register("documents_scope", sql(["state"], f"""
-    SELECT id, filepath, description FROM state
+@register("documents_scope", sql(["doctable"], f"""
+    SELECT id, filepath, description FROM doctable
     WHERE repository = '{SCOPE_REPOSITORY}' AND context = '{SCOPE_CONTEXT}'"""))
 def documents_scope(spark, d):
-    s = C.doc_state(spark, d)
+    s = C.doc_table(spark, d)
     return s.filter((F.col("repository") == SCOPE_REPOSITORY) & (F.col("context") == SCOPE_CONTEXT)).select(
         "id", "filepath", "description")

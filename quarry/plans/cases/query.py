@@ -13,27 +13,27 @@ T0, T1 = "2024-01-01 06:00:00", "2024-01-01 18:00:00"
 
 
 def _state(spark, d):
-    return C.doc_state(spark, d)
+    return C.doc_table(spark, d)
 
 
 def _ts(s):
     return F.lit(s).cast("timestamp_ntz")
 
 
-@register("pred_eq", sql(["state"], "SELECT * FROM state WHERE context = 'en' AND repository <> 'repo1'"))
+@register("pred_eq", sql(["doctable"], "SELECT * FROM doctable WHERE context = 'en' AND repository <> 'repo1'"))
 def pred_eq(spark, d):
     return _state(spark, d).filter((F.col("context") == "en") & (F.col("repository") != "repo1"))
 
 
-@register("pred_in", sql(["state"], """
-    SELECT * FROM state WHERE context IN ('de', 'fr') AND repository NOT IN ('repo0')"""))
+@register("pred_in", sql(["doctable"], """
+    SELECT * FROM doctable WHERE context IN ('de', 'fr') AND repository NOT IN ('repo0')"""))
 def pred_in(spark, d):
     s = _state(spark, d)
     return s.filter(F.col("context").isin("de", "fr") & ~F.col("repository").isin("repo0"))
 
 
-@register("pred_range", sql(["state"], f"""
-    SELECT * FROM state WHERE updated_at >= TIMESTAMP '{T0}' AND updated_at < TIMESTAMP '{T1}'
+@register("pred_range", sql(["doctable"], f"""
+    SELECT * FROM doctable WHERE updated_at >= TIMESTAMP '{T0}' AND updated_at < TIMESTAMP '{T1}'
       AND filepath > 'src5'"""))
 def pred_range(spark, d):
     s = _state(spark, d)
@@ -41,8 +41,8 @@ def pred_range(spark, d):
                     & (F.col("filepath") > "src5"))
 
 
-@register("pred_string", sql(["state"], """
-    SELECT * FROM state WHERE contains(description, 'the') AND starts_with(filepath, 'src1')
+@register("pred_string", sql(["doctable"], """
+    SELECT * FROM doctable WHERE contains(description, 'the') AND starts_with(filepath, 'src1')
       AND suffix(filepath, '1.txt')"""))
 def pred_string(spark, d):
     s = _state(spark, d)
@@ -50,92 +50,92 @@ def pred_string(spark, d):
                     & F.col("filepath").endswith("1.txt"))
 
 
-@register("pred_fold", sql(["state"], """
-    SELECT * FROM state WHERE lower(context) = lower('EN') OR contains(lower(description), lower('ÉTION'))"""))
+@register("pred_fold", sql(["doctable"], """
+    SELECT * FROM doctable WHERE lower(context) = lower('EN') OR contains(lower(description), lower('ÉTION'))"""))
 def pred_fold(spark, d):
     s = _state(spark, d)
     return s.filter(Q.equal_fold("context", "EN") | Q.contains_fold("description", "ÉTION"))
 
 
-@register("pred_bool", sql(["state"], """
-    SELECT * FROM state WHERE NOT ((context = 'en' AND repository = 'repo0') OR starts_with(filepath, 'src2'))"""))
+@register("pred_bool", sql(["doctable"], """
+    SELECT * FROM doctable WHERE NOT ((context = 'en' AND repository = 'repo0') OR starts_with(filepath, 'src2'))"""))
 def pred_bool(spark, d):
     s = _state(spark, d)
     return s.filter(~(((F.col("context") == "en") & (F.col("repository") == "repo0"))
                       | F.col("filepath").startswith("src2")))
 
 
-@register("project", sql(["state"], "SELECT filepath, context FROM state"))
+@register("project", sql(["doctable"], "SELECT filepath, context FROM doctable"))
 def project(spark, d):
     return _state(spark, d).select("filepath", "context")
 
 
-@register("project_entity", sql(["state"], "SELECT id, filepath, context FROM state"))
+@register("project_entity", sql(["doctable"], "SELECT id, filepath, context FROM doctable"))
 def project_entity(spark, d):
     return _state(spark, d).select("id", "filepath", "context")
 
 
-@register("order_by", sql(["state"], "SELECT id, filepath, updated_at FROM state ORDER BY updated_at DESC, id"))
+@register("order_by", sql(["doctable"], "SELECT id, filepath, updated_at FROM doctable ORDER BY updated_at DESC, id"))
 def order_by(spark, d):
     return _state(spark, d).select("id", "filepath", "updated_at").orderBy(F.desc("updated_at"), "id")
 
 
-@register("page", sql(["state"], "SELECT id, filepath FROM state ORDER BY filepath, id LIMIT 20 OFFSET 10"))
+@register("page", sql(["doctable"], "SELECT id, filepath FROM doctable ORDER BY filepath, id LIMIT 20 OFFSET 10"))
 def page(spark, d):
     return Q.page(_state(spark, d).select("id", "filepath"), ["filepath", "id"], offset=10, limit=20)
 
 
-@register("only", sql(["state"], "SELECT * FROM state WHERE filepath = 'src1/1.txt'"))
+@register("only", sql(["doctable"], "SELECT * FROM doctable WHERE filepath = 'src1/1.txt'"))
 def only(spark, d):
     return Q.only(_state(spark, d).filter(F.col("filepath") == "src1/1.txt"))
 
 
-@register("ids", sql(["state"], "SELECT id FROM state WHERE context = 'fr'"))
+@register("ids", sql(["doctable"], "SELECT id FROM doctable WHERE context = 'fr'"))
 def ids(spark, d):
     return _state(spark, d).filter(F.col("context") == "fr").select("id")
 
 
-@register("count_where", sql(["state"], "SELECT count(*) AS n FROM state WHERE context = 'en'"))
+@register("count_where", sql(["doctable"], "SELECT count(*) AS n FROM doctable WHERE context = 'en'"))
 def count_where(spark, d):
     return Q.count_where(_state(spark, d), F.col("context") == "en")
 
 
-@register("exists_where", sql(["state"], """
-    SELECT count(*) > 0 AS "exists" FROM (SELECT 1 FROM state WHERE starts_with(filepath, 'src19/') LIMIT 1)"""))
+@register("exists_where", sql(["doctable"], """
+    SELECT count(*) > 0 AS "exists" FROM (SELECT 1 FROM doctable WHERE starts_with(filepath, 'src19/') LIMIT 1)"""))
 def exists_where(spark, d):
     return Q.exists(_state(spark, d).filter(F.col("filepath").startswith("src19/")))
 
 
-@register("distinct_fields", sql(["state"], "SELECT DISTINCT repository, context FROM state"))
+@register("distinct_fields", sql(["doctable"], "SELECT DISTINCT repository, context FROM doctable"))
 def distinct_fields(spark, d):
     return _state(spark, d).select("repository", "context").distinct()
 
 
-@register("count_distinct", sql(["state"], """
-    SELECT count(DISTINCT context) AS n_contexts, count(DISTINCT repository) AS n_repositories FROM state"""))
+@register("count_distinct", sql(["doctable"], """
+    SELECT count(DISTINCT context) AS n_contexts, count(DISTINCT repository) AS n_repositories FROM doctable"""))
 def count_distinct(spark, d):
     return _state(spark, d).agg(F.countDistinct("context").alias("n_contexts"),
                                 F.countDistinct("repository").alias("n_repositories"))
 
 
-@register("group_by", sql(["state"], "SELECT repository, context, count(*) AS n FROM state GROUP BY 1, 2"))
+@register("group_by", sql(["doctable"], "SELECT repository, context, count(*) AS n FROM doctable GROUP BY 1, 2"))
 def group_by(spark, d):
     return _state(spark, d).groupBy("repository", "context").agg(F.count("*").alias("n"))
 
 
-@register("agg_group", sql(["state"], """
+@register("agg_group", sql(["doctable"], """
     SELECT context, count(*) AS n, max(updated_at) AS max_updated, min(updated_at) AS min_updated,
            avg(length(description)) AS mean_chars, sum(id)::BIGINT AS sum_id
-    FROM state GROUP BY context"""))
+    FROM doctable GROUP BY context"""))
 def agg_group(spark, d):
     return _state(spark, d).groupBy("context").agg(
         F.count("*").alias("n"), F.max("updated_at").alias("max_updated"), F.min("updated_at").alias("min_updated"),
         F.avg(F.length("description")).alias("mean_chars"), F.sum("id").alias("sum_id"))
 
 
-@register("agg_global", sql(["state"], """
+@register("agg_global", sql(["doctable"], """
     SELECT count(*) AS n, max(id) AS max_id, min(id) AS min_id, avg(id) AS mean_id, sum(id)::BIGINT AS sum_id
-    FROM state"""))
+    FROM doctable"""))
 def agg_global(spark, d):
     return _state(spark, d).agg(F.count("*").alias("n"), F.max("id").alias("max_id"), F.min("id").alias("min_id"),
                                 F.avg("id").alias("mean_id"), F.sum("id").alias("sum_id"))

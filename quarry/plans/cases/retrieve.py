@@ -146,12 +146,12 @@ def _embed_sql(src: str, id_col: str) -> str:
               FROM {src})))"""
 
 
-@register("search_documents", sql(["state", "docfiles"], f"""
+@register("search_documents", sql(["doctable", "docfiles"], f"""
     , emb AS ({_embed_sql("documents", "doc_id")}),
     q AS ({_embed_sql(f"(SELECT 0 AS qid, text FROM benchmark WHERE item_id = {SEARCH_ITEM})", "qid")}),
     hits AS (
       SELECT s.id, s.filepath, {l2('e.embedding', 'q.embedding')} AS score
-      FROM state s JOIN emb e ON e.doc_id = s.id CROSS JOIN q
+      FROM doctable s JOIN emb e ON e.doc_id = s.id CROSS JOIN q
       WHERE s.repository = '{SEARCH_REPOSITORY}' AND s.context = '{SEARCH_CONTEXT}'
       ORDER BY score NULLS LAST, s.id LIMIT {SEARCH_K})
     SELECT (SELECT text FROM benchmark WHERE item_id = {SEARCH_ITEM}) AS query,
@@ -163,7 +163,7 @@ def search_documents(spark, d):
     from quarry.operators import enrich as EN
     from quarry.operators.load import search_context
     emb = EN.hash_embed(read_table(spark, d, "documents", "doc_id", "text"), id_col="doc_id", text_col="text")
-    state = C.doc_state(spark, d).join(emb.select(F.col("doc_id").alias("id"), "embedding"), "id")
+    state = C.doc_table(spark, d).join(emb.select(F.col("doc_id").alias("id"), "embedding"), "id")
     files = C.doc_files(spark, d).withColumnRenamed("path", "filepath")
     query = read_table(spark, d, "benchmark", "item_id", "text").filter(F.col("item_id") == SEARCH_ITEM)
     return search_context(spark, state, files, query, repository=SEARCH_REPOSITORY, context=SEARCH_CONTEXT,

@@ -3,6 +3,8 @@ an incoming file set (see ``quarry.sources.corpus``)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from quarry.operators import enrich as EN
@@ -12,6 +14,7 @@ from quarry.plans.oracle import derived, sql
 from quarry.sources import corpus as C
 
 REFRESH_REPOSITORY = "repo0"
+LOADED_AT = "2024-02-01 00:00:00"  # the time of the load, after every modification time
 STALE_BEFORE = "2024-01-01 12:00:00"
 
 KEYS = "repository, context, filepath"
@@ -39,7 +42,7 @@ derived("cls", ("state", "incoming"), """
     LEFT JOIN (SELECT DISTINCT repository, context FROM incoming) sc
       ON sc.repository = coalesce(a.repository, b.repository) AND sc.context = coalesce(a.context, b.context)""")
 derived("changes", ("cls",), f"""
-    SELECT repository, context, filepath, {SQL_DESCRIBE} AS description, modified_at AS updated_at
+    SELECT repository, context, filepath, {SQL_DESCRIBE} AS description, TIMESTAMP '{LOADED_AT}' AS updated_at
     FROM cls WHERE class IN ('insert', 'update')""")
 derived("allchanges", ("incoming",), f"""
     SELECT repository, context, filepath, {SQL_DESCRIBE} AS description, modified_at AS updated_at FROM incoming""")
@@ -67,7 +70,7 @@ def _changes(spark, d):
     cls = SY.classify(C.doc_state(spark, d), inc, keep_content=False)
     return SY.changed_content(cls, inc).select(
         *SY.KEY, describe(F.col("content"), F.col("filepath")).alias("description"),
-        F.col("modified_at").alias("updated_at"))
+        F.lit(LOADED_AT).cast("timestamp_ntz").alias("updated_at"))
 
 
 def _all_changes(spark, d):
@@ -163,6 +166,34 @@ def update_where(spark, d):
     return SY.update_where(C.doc_state(spark, d), pred, {"description": F.lit("stale")})
 
 
+@register("update_where_two", sql(["state"], f"""
+    SELECT id, repository, context, filepath,
+           CASE WHEN updated_at < TIMESTAMP '{STALE_BEFORE}' THEN 'stale' ELSE description END AS description,
+           CASE WHEN updated_at < TIMESTAMP '{STALE_BEFORE}' THEN TIMESTAMP '{LOADED_AT}' ELSE updated_at END AS updated_at
+    FROM state"""))
+def update_where_two(spark, d):
+    """Two columns set, one of them the predicate's own."""
+    return SY.update_where(C.doc_state(spark, d), F.col("updated_at") < F.lit(STALE_BEFORE).cast("timestamp_ntz"), {
+        "updated_at": F.lit(LOADED_AT).cast("timestamp_ntz"), "description": F.lit("stale")})
+
+
+# every change twice, the second time without a description: the field check comes first
+_TWICE = """SELECT repository, context, filepath, description, updated_at FROM allchanges
+            UNION ALL SELECT repository, context, filepath, NULL, updated_at FROM allchanges"""
+
+
+@register("insert_rejected", sql(["state", "allchanges"], f"""
+    SELECT {KEYS}, description, CASE WHEN description IS NULL OR description = '' THEN 'missing required field'
+      ELSE 'unique key violation' END AS reason
+    FROM ({_TWICE}) a
+    WHERE description IS NULL OR description = '' OR EXISTS (SELECT 1 FROM state b WHERE {ON_KEY})"""))
+def insert_rejected(spark, d):
+    every = _all_changes(spark, d)
+    blank = every.withColumn("description", F.lit(None).cast("string"))
+    _nxt, rejected = SY.insert_checked(C.doc_state(spark, d), every.unionByName(blank), required=["description"])
+    return rejected.select(*SY.KEY, "description", "reason")
+
+
 @register("update_affected", sql(["state"], f"""
     SELECT count(*) AS affected FROM state WHERE context = 'en' AND updated_at < TIMESTAMP '{STALE_BEFORE}'"""))
 def update_affected(spark, d):
@@ -229,7 +260,7 @@ derived("loadembed", ("loadchanges",), f"""
       SELECT repository, context, filepath,
              list_transform(range(0, {_EMBED_DIM}), lambda j: len(list_filter(b, lambda x: x = j))::BIGINT) AS counts
       FROM (SELECT repository, context, filepath,
-                   list_transform(list_filter(string_split_regex(lower(content), '{EN.TOKEN_SPLIT}'), lambda w: w <> ''),
+                   list_transform(list_filter(string_split_regex(lower({SQL_DESCRIBE}), '{EN.TOKEN_SPLIT}'), lambda w: w <> ''),
                                   lambda w: ('0x' || substr(md5(w), 1, {EN.HASH_HEX_DIGITS}))::INTEGER % {_EMBED_DIM})
                      AS b
             FROM loadchanges)))""")
@@ -245,7 +276,7 @@ _MERGE_LOAD = f"""
            CASE WHEN b.filepath IS NOT NULL THEN b.embedding ELSE a.embedding END AS embedding
     FROM loadpruned a FULL OUTER JOIN (
       SELECT c.repository, c.context, c.filepath, {SQL_DESCRIBE.replace("filepath", "c.filepath")} AS description,
-             c.modified_at AS updated_at, e.embedding
+             TIMESTAMP '{LOADED_AT}' AS updated_at, e.embedding
       FROM loadchanges c JOIN loadembed e
         ON e.repository = c.repository AND e.context = c.context AND e.filepath = c.filepath) b ON {ON_KEY}"""
 
@@ -256,5 +287,16 @@ _MERGE_LOAD = f"""
 def load_documents(spark, d):
     from quarry.operators.load import load_documents as load
     state = C.doc_state(spark, d).withColumn("embedding", F.lit(None).cast("array<float>"))
-    nxt, _errors = load(state, C.doc_incoming(spark, d), dim=_EMBED_DIM)
+    nxt, _errors = load(state, C.doc_incoming(spark, d), dim=_EMBED_DIM, loaded_at=dt.datetime.fromisoformat(LOADED_AT))
     return nxt
+
+
+@register("sync_twice", sql(["cls"], """
+    SELECT CASE WHEN class IN ('insert', 'update') THEN 'fresh' ELSE class END AS class, count(*) AS n
+    FROM cls WHERE class <> 'prune' GROUP BY 1"""))
+def sync_twice(spark, d):
+    """What a second load of the same files finds: nothing to insert or update."""
+    inc = C.doc_incoming(spark, d)
+    state = C.doc_state(spark, d)
+    once = SY.upsert(SY.prune(state, inc), _changes(spark, d))
+    return SY.classify(once, inc, keep_content=False).groupBy("class").agg(F.count("*").alias("n"))

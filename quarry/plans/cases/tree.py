@@ -93,14 +93,14 @@ def manifest_roundtrip(spark, d):
     return spark.read.schema(S.MANIFEST_NODE).json(out)
 
 
-@register("documents_scan", sql(["state"], "SELECT * FROM state"))
+@register("documents_scan", sql(["doctable"], "SELECT * FROM doctable"))
 def documents_scan(spark, d):
-    return C.doc_state(spark, d)
+    return C.doc_table(spark, d)
 
 
-@register("scan_column", sql(["state"], "SELECT filepath FROM state"))
+@register("scan_column", sql(["doctable"], "SELECT filepath FROM doctable"))
 def scan_column(spark, d):
-    return C.doc_state(spark, d).select(F.col("filepath").cast("string"))
+    return C.doc_table(spark, d).select(F.col("filepath").cast("string"))
 
 
 @register("tree_preorder", sql(["manifest"], "SELECT path, depth, is_dir FROM manifest"))
@@ -132,12 +132,12 @@ def tree_lines(spark, d):
     return T.tree_lines(_manifest(spark, d)).select("path", "depth", "line")
 
 
-@register("dir_groups", sql(["state"], """
+@register("dir_groups", sql(["doctable"], """
     SELECT CASE WHEN position('/' IN filepath) = 0 THEN '.' ELSE regexp_replace(filepath, '/[^/]*$', '') END
              AS directory, count(*) AS n_files
-    FROM state GROUP BY 1"""))
+    FROM doctable GROUP BY 1"""))
 def dir_groups(spark, d):
-    return T.directory_groups(C.doc_state(spark, d))
+    return T.directory_groups(C.doc_table(spark, d))
 
 
 @register("dir_children", sql(["manifest"], """

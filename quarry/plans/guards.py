@@ -20,16 +20,10 @@ def guarded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
-def ensure_parallelism(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-repartition ``df`` by ``cols`` when it has fewer partitions than the
-    session's default parallelism (a table stored as one large row group is read
-    by a single task).  On a cluster reading many files this is a no-op; when it
-    applies, later aggregations keyed by a superset of ``cols`` need no shuffle."""
-    try:  # needs the classic API (RDD partition count); a no-op elsewhere
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want, *cols) if cols else df.repartition(want)
+def spread(df: DataFrame, *cols: str, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt over ``partitions`` (default: the session's shuffle partitions), by
+    ``cols`` where given.  Always an exchange in the plan, whatever the input's size:
+    for inputs stored in few row groups before expensive per-row work.  Later
+    aggregations keyed by a superset of ``cols`` need no further shuffle."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)

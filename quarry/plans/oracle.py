@@ -10,11 +10,11 @@ from __future__ import annotations
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 
 VIEWS: dict[str, str] = {
-    "state": f"""
+    "doctable": f"""
       SELECT doc_id AS id, 'repo' || (doc_id % 2)::VARCHAR AS repository, lang AS context,
              source || '/' || doc_id::VARCHAR || '.txt' AS filepath, text AS description,
              {EPOCH} + to_minutes(((doc_id * 37) % 1440)::BIGINT) AS updated_at
-      FROM documents WHERE doc_id % 3 <> 0""",
+      FROM documents""",
     "incoming": f"""
       SELECT 'repo' || (doc_id % 2)::VARCHAR AS repository, lang AS context,
              source || '/' || doc_id::VARCHAR || '.txt' AS filepath, text AS content,
@@ -69,7 +69,9 @@ VIEWS: dict[str, str] = {
 }
 
 # Views that depend on other views (ordered after their inputs).
-DERIVED: dict[str, tuple[tuple[str, ...], str]] = {}
+DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
+    "state": (("doctable",), "SELECT * FROM doctable WHERE id % 3 <> 0"),
+}
 
 
 def sql(views: list[str] | tuple[str, ...], body: str) -> str:

@@ -42,15 +42,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) a scratch folder is
-    created.  Lineage is cut with ``checkpoint()`` or a written table there, never
-    with ``localCheckpoint``.
+    The cluster names it; only when it is unset on a ``local`` master (tests) a
+    scratch folder is created, elsewhere it is an error: executors could not read
+    a folder of the driver's machine.  Lineage is cut with ``checkpoint()`` or a
+    written table there, never with ``localCheckpoint``.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 

@@ -6,8 +6,9 @@ labels and conversations; these functions derive the reference's inputs from
 them with DataFrame expressions only, so every query's work grows with the
 tables.  ``quarry.plans.oracle.VIEWS`` holds the same definitions as DuckDB SQL.
 
-Splits such as ``doc_id % 3 <> 0`` define *which* rows form the stored state and
-which the incoming file set (so that all sync classes occur); they never cap work.
+``doc_state`` and ``doc_incoming`` split the documents into a stored state and a file
+set, which is what the sync operators (C1-C9, load) compare; every other operator
+reads ``doc_table``, the whole table.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.guards import ensure_parallelism
+from quarry.plans.guards import spread
 from quarry.sources.tables import read_table
 
 EPOCH = "2024-01-01 00:00:00"
@@ -34,10 +35,15 @@ def _doc_key_cols(doc_id: F.Column, lang: F.Column, source: F.Column) -> list[F.
 
 
 def doc_state(spark: SparkSession, d: str) -> DataFrame:
-    """Stored ``documents`` rows: id, repository, context, filepath, description, updated_at."""
+    """The stored side of a sync: id, repository, context, filepath, description, updated_at."""
+    return doc_table(spark, d).filter(F.col("id") % 3 != 0)
+
+
+def doc_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of ``documents``, with the columns of ``doc_state``."""
     docs = read_table(spark, d, "documents", "doc_id", "text", "lang", "source")
     i = F.col("doc_id")
-    return docs.filter(i % 3 != 0).select(
+    return docs.select(
         i.alias("id"), *_doc_key_cols(i, F.col("lang"), F.col("source")),
         F.col("text").alias("description"),
         _minutes_after_epoch((i * 37) % 1440).alias("updated_at"),
@@ -116,9 +122,8 @@ def hcl_files(spark: SparkSession, d: str) -> DataFrame:
 def plans(spark: SparkSession, d: str) -> DataFrame:
     """One change plan per order; its line items are the changes, in line order."""
     o = read_table(spark, d, "orders", "o_orderkey", "o_orderpriority")
-    # hash-partitioned by order once when under-partitioned: the per-order
-    # aggregate below then runs in parallel without another shuffle
-    li = ensure_parallelism(read_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey")
+    # hash-partitioned by order once: the per-order aggregate below needs no other shuffle
+    li = spread(read_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey")
     ch = li.select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber",
         F.struct(

@@ -1,6 +1,6 @@
 """Plan guards: bounded broadcast and parallelism spreading."""
 
-from quarry.plans.guards import ensure_parallelism, guarded_broadcast, row_count_at_most
+from quarry.plans.guards import guarded_broadcast, row_count_at_most, spread
 from quarry.plans.inspect import plan_text
 
 
@@ -17,8 +17,10 @@ def test_guarded_broadcast_only_below_bound(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
 
 
-def test_ensure_parallelism_spreads_single_partition(spark):
+def test_spread_is_part_of_the_plan(spark):
     one = spark.range(100).coalesce(1)
-    assert ensure_parallelism(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert ensure_parallelism(many) is many
+    assert spread(one, "id", partitions=5).rdd.getNumPartitions() == 5
+    runs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    plan = plan_text(spread(one, "id"))
+    assert "REPARTITION_BY_NUM" in plan
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == runs  # planning runs no job

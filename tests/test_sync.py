@@ -81,6 +81,30 @@ def test_insert_checked_rejects_conflicts(spark):
     assert {r.filepath: r.id for r in nxt.collect()} == {"a": 1, "c": 2}
 
 
+def test_insert_checked_null_beside_valid(spark):
+    ch = spark.createDataFrame([("r", "c", "k", None, T), ("r", "c", "k", "ok", T)],
+                               "repository string, context string, filepath string, description string, "
+                               "updated_at timestamp_ntz")
+    nxt, rej = SY.insert_checked(_state(spark, [(1, "r", "c", "a", "d", T)]), ch, required=["description"])
+    assert {r.filepath: r.description for r in nxt.collect()} == {"a": "d", "k": "ok"}
+    assert [r.reason for r in rej.collect()] == ["missing required field"]
+
+
+def test_update_where_sees_the_original_row(spark):
+    st = _state(spark, [(1, "r", "c", "a", "d", T), (2, "r", "c", "b", "e", T)])
+    later = T + dt.timedelta(days=1)
+    out = SY.update_where(st, F.col("description") == "d", {"description": F.lit("x"), "updated_at": F.lit(later)})
+    assert {r.id: (r.description, r.updated_at) for r in out.collect()} == {1: ("x", later), 2: ("e", T)}
+
+
+def test_upsert_exchanges(spark):
+    """One full outer join: the payload of either side is shuffled once."""
+    from quarry.plans.cases.sync import upsert_new_values
+    from quarry.plans.inspect import plan_text
+    plan = plan_text(upsert_new_values(spark, SF))
+    assert plan.count("FullOuter") >= 1 and "Union" not in plan
+
+
 def test_only_contract(spark):
     from quarry.operators.query import NotFoundError, NotSingularError, only
     st = C.doc_state(spark, SF)
