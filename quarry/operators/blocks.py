@@ -1,232 +1,144 @@
 """Block index over code files (G1-G7): functions, variables, HCL blocks and
-attributes with 1-based line ranges, computed for a whole files table at once.
-
-Layout: the files table is hash-partitioned by path once (one shuffle of file
-rows); lines are then exploded in place, so every window below, partitioned by
-path (or by path and something more), reuses that partitioning and only sorts.
-A file is one row of the input, so per-file work is bounded by the largest file.
-
-* Go (gofmt layout): a declaration line ``func [recv] Name(``; the function ends
-  at the first later line starting with ``}`` (a reverse running minimum, linear);
-  a one-line function ends on its own line.  Vars: ``var a, b ...`` lines and the
-  specs inside ``var ( ... )`` groups, at any nesting; ``:=`` and const are not vars.
-* HCL: strings and comments are masked, brace events are exploded, depth is a
-  running sum, and the i-th ``{`` at a level is matched with the i-th ``}`` at the
-  same level (an equi-join on ``(path, level, index)``: exact, no range join).
+attributes with 1-based line ranges and character offsets, for a whole files table.
+
+A file is one row, and it is indexed inside its row: a scanner of one text
+(``functions.source_code``) runs in Arrow batches where the file lies, so no text and
+no line is shuffled.  Only the small index rows leave the scan.  A file whose brackets
+do not match gives one ``error`` row instead of guesses.
+
+* Go: top-level functions with their body's brace range (any layout: one line,
+  signatures over several lines, methods, type parameters); variables of ``var``
+  declarations and groups, inside functions too; ``:=`` and const are not vars.
+* HCL: blocks at any level (one-line blocks too) and the attributes of their bodies;
+  a value is its tokens without the blanks between them, over all its lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed patterns (Go and HCL surface syntax).
-GO_FUNC = r"^func\s+(\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*[\[(]"
-GO_ONE_LINE = r"\{.*\}\s*$"
-GO_VAR_LINE = r"^\s*var\s+([A-Za-z_][A-Za-z0-9_]*(\s*,\s*[A-Za-z_][A-Za-z0-9_]*)*)"
-GO_VAR_GROUP_OPEN = r"^\s*var\s*\(\s*$"
-GO_GROUP_CLOSE = r"^\s*\)\s*$"
-GO_SPEC_NAMES = r"^\s*([A-Za-z_][A-Za-z0-9_]*(\s*,\s*[A-Za-z_][A-Za-z0-9_]*)*)"
-GO_DOC_COMMENT = r"^\s*//"
-HCL_STRING = r'"(\\.|[^"\\])*"'
-HCL_COMMENT = r"(#|//).*$"
-HCL_HEADER = r'^\s*([A-Za-z_][A-Za-z0-9_-]*)((\s+("[^"]*"|[A-Za-z_][A-Za-z0-9_-]*))*)\s*\{\s*$'
-HCL_LABEL = r'"[^"]*"|[A-Za-z_][A-Za-z0-9_-]*'
-HCL_ATTR = r"^\s*([A-Za-z_][A-Za-z0-9_-]*)\s*=\s*(.*)$"
+from quarry.functions import source_code as SC
+
 HCL_EXTENSIONS = (".hcl", ".tf")
 
+# One row per thing found; spans are character offsets, ends exclusive.
+INDEX = (
+    "path string, kind string, name string, labels array<string>, level int, block_start int, block_name string, start_line int, end_line int, "
+    "start int, stop int, body_from int, body_to int, doc_start int, doc_from int, label_from int, label_to int, value string, content string"
+)
+_COLUMNS = [c.strip().split(" ")[0] for c in INDEX.split(",")]
+
 
 def line_table(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
-    """``(path, line_no, text)`` with 1-based line numbers, partitioned by path."""
-    f = files.select(F.col(path).alias("path"), F.col(content).alias("content")).repartition("path")
+    """``(path, line_no, text)`` with 1-based line numbers."""
+    f = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
     return f.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text")).select(
         "path", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def _by_path(order: Column | str = "line_no", desc: bool = False) -> Window:
-    o = F.col(order) if isinstance(order, str) else order
-    return Window.partitionBy("path").orderBy(o.desc() if desc else o).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+def _go_rows(path: str, src: str) -> list[dict]:
+    found = SC.scan_go(src)
+    if found is None:
+        return [{"path": path, "kind": "error", "content": "brackets do not match"}]
+    rows = []
+    for f in found[0]:
+        doc = SC.doc_start(src, f.start)
+        rows.append({
+            "path": path, "kind": "function", "name": f.name, "start_line": SC.line_of(src, f.start), "end_line": SC.line_of(src, f.stop - 1),
+            "start": f.start, "stop": f.stop, "body_from": f.body and f.body[0], "body_to": f.body and f.body[1],
+            "doc_start": SC.line_of(src, doc), "doc_from": doc, "content": src[f.start : f.stop],
+        })
+    for name, at in found[1]:
+        line = SC.line_of(src, at)
+        rows.append({"path": path, "kind": "var", "name": name, "start_line": line, "end_line": line, "start": at, "stop": at + len(name), "content": name})
+    return rows
+
+
+def body_text(src: str, masked: str, span: tuple[int, int]) -> str:
+    """A block's body: its lines without the rest of the header's line and the last line break."""
+    first = masked.find("\n", *span)
+    start = first + 1 if first >= 0 and not masked[span[0] : first].strip("# \t\r") else span[0]
+    text = src[start : span[1]].rstrip()
+    return text if first >= 0 else text.strip()
+
+
+def _hcl_rows(path: str, src: str) -> list[dict]:
+    found = SC.scan_hcl(src)
+    if found is None:
+        return [{"path": path, "kind": "error", "content": "not blocks and attributes, or brackets do not match"}]
+    blocks, attributes = found
+    masked = SC.mask_hcl(src)
+    rows = []
+    for b in blocks:
+        second = b.label_spans[1] if len(b.label_spans) > 1 else (None, None)
+        rows.append({
+            "path": path, "kind": "block", "name": b.type, "labels": b.labels, "level": b.level, "block_name": ",".join(b.labels),
+            "start_line": SC.line_of(src, b.start), "end_line": SC.line_of(src, b.body[1]), "start": b.start, "stop": b.body[1] + 1,
+            "body_from": b.body[0], "body_to": b.body[1], "label_from": second[0], "label_to": second[1],
+            "value": SC.format_hcl(src[b.body[0] : b.body[1]], 0), "content": body_text(src, masked, b.body),
+        })
+    for a in attributes:
+        if a.block < 0:
+            continue
+        own, line = blocks[a.block], SC.line_of(src, a.start)
+        rows.append({
+            "path": path, "kind": "attribute", "name": a.name, "block_start": SC.line_of(src, own.start), "block_name": ",".join(own.labels),
+            "start_line": line, "end_line": line, "start": a.value[0], "stop": a.value[1], "value": SC.hcl_value(src, masked, a.value),
+        })
+    return rows
+
+
+def code_index(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+    """All functions, vars, blocks, attributes and errors of the .go, .hcl and .tf files
+    (columns ``INDEX``).  Null content counts as empty."""
+    p = F.col(path)
+    code = files.filter(p.endswith(".go") | p.endswith(HCL_EXTENSIONS[0]) | p.endswith(HCL_EXTENSIONS[1]))
 
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            rows = [r for name, src in zip(pdf["path"], pdf["content"])
+                    for r in (_go_rows if name.endswith(".go") else _hcl_rows)(name, src or "")]
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLUMNS})
 
-def _last(c: Column) -> Column:
-    return F.last(c, ignorenulls=True).over(_by_path())
+    return code.select(p.alias("path"), F.col(content).alias("content")).mapInPandas(run, INDEX)
 
 
 def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
-             lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(functions, vars)``: functions ``path, name, start_line, end_line,
-    content, doc_start`` (first line of the ``//`` comment run directly above the
-    declaration, or the declaration line when there is none); vars ``path, name, start_line, end_line, content`` (content = name).
-    Pass ``lines`` (a ``line_table``) to share one line table between operators."""
-    if lines is None:
-        lines = line_table(files, path=path, content=content)
-    ln = lines.filter(F.col("path").endswith(".go"))
-    t = F.col("text")
-    is_head = t.rlike(GO_FUNC)
-    ln = ln.withColumn(
-        "next_close", F.min(F.when(t.startswith("}"), F.col("line_no"))).over(_by_path("line_no", desc=True)))
-    ln = ln.withColumn("head_end", F.when(is_head, F.when(t.rlike(GO_ONE_LINE), F.col("line_no"))
-                                          .otherwise(F.col("next_close"))))
-    ln = ln.withColumn("f_start", _last(F.when(is_head, F.col("line_no")))).withColumn(
-        "f_end", _last(F.when(is_head, F.col("head_end"))))
-    # first line of the // comment run directly above each line (doc comment start)
-    above = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    ln = ln.withColumn("doc_start", F.coalesce(
-        F.last(F.when(~t.rlike(GO_DOC_COMMENT), F.col("line_no") + 1), ignorenulls=True).over(above), F.lit(1)))
-    # One aggregate per function over its lines (header included): name and end
-    # come from the header row, so no join back to the header rows is needed.
-    head_row = F.col("line_no") == F.col("f_start")
-    in_func = F.col("f_start").isNotNull() & (head_row | (F.col("line_no") <= F.col("f_end")))
-    funcs = ln.filter(in_func).groupBy("path", F.col("f_start").alias("start_line")).agg(
-        F.max(F.when(head_row, F.regexp_extract(t, GO_FUNC, 2))).alias("name"),
-        F.max("f_end").alias("end_line"),
-        F.max(F.when(head_row, F.col("doc_start"))).alias("doc_start"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]),
-                     "\n").alias("content"),
-    ).withColumn("content", F.when(F.col("end_line").isNotNull(), F.col("content")))
-    funcs = funcs.select("path", "name", "start_line", "end_line", "content", "doc_start")
-
-    g_open = _last(F.when(t.rlike(GO_VAR_GROUP_OPEN), F.col("line_no")))
-    g_close = _last(F.when(t.rlike(GO_GROUP_CLOSE), F.col("line_no")))
-    in_group = (g_open > F.coalesce(g_close, F.lit(0))) & (F.col("line_no") > g_open)
-    names = (
-        F.when(t.rlike(GO_VAR_LINE) & ~t.rlike(GO_VAR_GROUP_OPEN), F.regexp_extract(t, GO_VAR_LINE, 1))
-        .when(in_group & t.rlike(GO_SPEC_NAMES), F.regexp_extract(t, GO_SPEC_NAMES, 1))
-    )
-    vars_ = ln.select("path", "line_no", names.alias("names")).filter(F.col("names").isNotNull()).select(
-        "path", F.explode(F.split("names", r"\s*,\s*")).alias("name"), "line_no").select(
-        "path", "name", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"),
-        F.col("name").alias("content"))
-    return funcs, vars_
-
-
-def _hcl_lines(files: DataFrame, path: str, content: str, lines: DataFrame | None = None) -> DataFrame:
-    if lines is None:
-        lines = line_table(files, path=path, content=content)
-    ln = lines.filter(F.col("path").endswith(HCL_EXTENSIONS[0]) | F.col("path").endswith(HCL_EXTENSIONS[1]))
-    masked = F.regexp_replace(F.regexp_replace("text", HCL_STRING, '""'), HCL_COMMENT, "")
-    return ln.withColumn("masked", masked)
-
-
-def _brace_events(ln: DataFrame) -> DataFrame:
-    """One row per brace: ``path, line_no, k, is_open, level`` (level = depth
-    outside the brace pair)."""
-    ev = ln.select("path", "line_no", F.posexplode(F.split(F.regexp_replace("masked", "[^{}]", ""), "")).alias(
-        "k", "ch")).filter(F.col("ch") != "")
-    step = F.when(F.col("ch") == "{", 1).otherwise(-1)
-    w = Window.partitionBy("path").orderBy("line_no", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.withColumn("depth_after", F.sum(step).over(w))
-    return ev.select("path", "line_no", "k", (F.col("ch") == "{").alias("is_open"),
-                     F.when(F.col("ch") == "{", F.col("depth_after") - 1).otherwise(F.col("depth_after"))
-                     .alias("level"))
-
-
-def _matched_blocks(ev: DataFrame) -> DataFrame:
-    """``path, level, open_line, open_k, close_line`` for every brace pair."""
-    w = Window.partitionBy("path", "level", "is_open").orderBy("line_no", "k")
-    ev = ev.withColumn("idx", F.row_number().over(w))
-    opens = ev.filter("is_open").select("path", "level", "idx", F.col("line_no").alias("open_line"),
-                                        F.col("k").alias("open_k"))
-    closes = ev.filter(~F.col("is_open")).select("path", "level", "idx", F.col("line_no").alias("close_line"))
-    return opens.join(closes, ["path", "level", "idx"], "left")
+             index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(functions, vars)``: functions ``path, name, start_line, end_line, content,
+    doc_start`` (first line of the ``//`` comment run directly above, or the
+    declaration's line) with offsets ``start, stop, body_from, body_to, doc_from`` (no
+    body: null); vars ``path, name, start_line, end_line, content`` (content = name)."""
+    ix = code_index(files, path=path, content=content) if index is None else index
+    funcs = ix.filter("kind = 'function'").select(
+        "path", "name", "start_line", "end_line", "content", "doc_start", "start", "stop", "body_from", "body_to", "doc_from")
+    return funcs, ix.filter("kind = 'var'").select("path", "name", "start_line", "end_line", "content")
 
 
 def hcl_index(files: DataFrame, *, path: str = "path", content: str = "content",
-              lines: DataFrame | None = None, with_unbalanced: bool = False):
+              index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(blocks, attributes)``.
 
-    blocks: ``path, block_type, labels, block_name, level, start_line, end_line,
-    content`` (content = the raw lines between the braces); attributes:
-    ``path, block_name, block_start, name, value, line_no`` (value = raw text,
-    quotes kept).  ``with_unbalanced=True`` also returns the files whose braces do
-    not balance, from the same brace events (see ``hcl_unbalanced``)."""
-    ln = _hcl_lines(files, path, content, lines)
-    ev = _brace_events(ln)
-    pairs = _matched_blocks(ev)
-    # The block of a header line is its last open brace.
-    last_open = ev.filter("is_open").groupBy("path", "line_no").agg(F.max("k").alias("open_k"))
-    heads = ln.filter(F.col("text").rlike(HCL_HEADER)).select(
-        "path", "line_no", F.regexp_extract("text", HCL_HEADER, 1).alias("block_type"),
-        F.transform(F.regexp_extract_all(F.regexp_extract("text", HCL_HEADER, 2), F.lit(HCL_LABEL), 0),
-                    lambda x: F.regexp_replace(x, '^"|"$', "")).alias("labels"))
-    blocks = (
-        heads.join(last_open, ["path", "line_no"])
-        .join(pairs.withColumnRenamed("open_line", "line_no"), ["path", "line_no", "open_k"])
-        .select("path", "block_type", "labels", F.array_join("labels", ",").alias("block_name"), "level",
-                F.col("line_no").alias("start_line"), F.col("close_line").alias("end_line"))
-    )
-    d = _line_depth(ln)
-    out = blocks.join(_block_content(d, blocks), ["path", "start_line"], "left"), _attributes(d, blocks)
-    return (*out, _unbalanced(ev)) if with_unbalanced else out
-
-
-def _line_depth(ln: DataFrame) -> DataFrame:
-    """Depth (open brace pairs) at the start of every line: a running sum of each
-    masked line's brace balance, reusing the path partitioning (no join)."""
-    m = F.col("masked")
-    net = (F.length(m) - F.length(F.regexp_replace(m, "\\{", ""))) - \
-          (F.length(m) - F.length(F.regexp_replace(m, "\\}", "")))
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return ln.withColumn("depth", F.coalesce(F.sum(net).over(w), F.lit(0)))
-
-
-def _enclosing(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Tag each ``(path, level, line_no, ...)`` row with the block open at that
-    level around it: the last block header at that level on an earlier line,
-    provided it has not closed yet.  Rows outside any such block are dropped
-    (they sit inside a non-block brace pair such as an object literal)."""
-    extra = [c for c in rows.columns if c not in ("path", "level", "line_no")]
-    heads = blocks.select("path", "level", F.col("start_line").alias("line_no"),
-                          F.col("start_line").alias("b_start"), F.col("end_line").alias("b_end"),
-                          F.col("block_name").alias("b_name"), F.lit(1).alias("__kind"))
-    for c in extra:
-        heads = heads.withColumn(c, F.lit(None).cast(dict(rows.dtypes)[c]))
-    u = rows.select("path", "level", "line_no", *extra, F.lit(None).cast("int").alias("b_start"),
-                    F.lit(None).cast("int").alias("b_end"), F.lit(None).cast("string").alias("b_name"),
-                    F.lit(0).alias("__kind")).unionByName(heads)
-    w = Window.partitionBy("path", "level").orderBy("line_no", "__kind").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    u = (u.withColumn("start_line", F.last("b_start", ignorenulls=True).over(w))
-         .withColumn("end_line", F.last("b_end", ignorenulls=True).over(w))
-         .withColumn("block_name", F.last("b_name", ignorenulls=True).over(w)))
-    return u.filter((F.col("__kind") == 0) & (F.col("line_no") < F.col("end_line"))).select(
-        "path", "level", "line_no", *extra, "start_line", "end_line", "block_name")
-
-
-def _block_content(d: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Raw lines strictly between each block's braces, nested blocks included.
-    A line at depth D is tagged once per enclosing level 0..D-1 (depth-bounded)."""
-    rows = d.filter(F.col("depth") > 0).select(
-        "path", "line_no", "text", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("level"))
-    per = _enclosing(rows, blocks)
-    return per.groupBy("path", "start_line").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("content"))
-
-
-def _attributes(d: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Attributes directly in a block body (not in nested blocks or object
-    literals).  The value is the raw text on the attribute's line, so a value
-    spanning lines (an object literal) is reported by its first line."""
-    attr = d.filter(F.col("masked").rlike(HCL_ATTR) & (F.col("depth") > 0)).select(
-        "path", "line_no", (F.col("depth") - 1).alias("level"),
-        F.regexp_extract("text", HCL_ATTR, 1).alias("name"),
-        F.trim(F.regexp_extract("text", HCL_ATTR, 2)).alias("value"))
-    tagged = _enclosing(attr, blocks)
-    return tagged.select("path", "block_name", F.col("start_line").alias("block_start"), "name", "value", "line_no")
-
-
-def hcl_unbalanced(files: DataFrame, *, path: str = "path", content: str = "content",
-                   lines: DataFrame | None = None) -> DataFrame:
-    """Files whose masked braces do not balance (reported, not guessed)."""
-    return _unbalanced(_brace_events(_hcl_lines(files, path, content, lines)))
-
-
-def _unbalanced(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("path").agg(F.sum(F.when(F.col("is_open"), 1).otherwise(-1)).alias("net"),
-                                  F.min("level").alias("min_level")).filter(
-        (F.col("net") != 0) | (F.col("min_level") < 0))
+    blocks: ``path, block_type, labels, block_name, level, start_line, end_line, content``
+    (the raw lines of the body) and ``formatted`` (the body at the left margin), with
+    offsets ``start, stop, body_from, body_to, label_from, label_to`` (of the second label);
+    attributes: ``path, block_name, block_start, name, value, line_no`` and the value's
+    offsets ``start, stop``."""
+    ix = code_index(files, path=path, content=content) if index is None else index
+    blocks = ix.filter("kind = 'block'").select(
+        "path", F.col("name").alias("block_type"), "labels", "block_name", "level", "start_line", "end_line", "content",
+        F.col("value").alias("formatted"), "start", "stop", "body_from", "body_to", "label_from", "label_to")
+    attrs = ix.filter("kind = 'attribute'").select(
+        "path", "block_name", "block_start", "name", "value", F.col("start_line").alias("line_no"), "start", "stop")
+    return blocks, attrs
+
+
+def unparsed(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+    """Code files that the scanners cannot read, with the reason (reported, not guessed)."""
+    return code_index(files, path=path, content=content).filter("kind = 'error'").select("path", F.col("content").alias("error"))
 
 
 # --------------------------------------------------------------------------- Python
@@ -251,8 +163,8 @@ def python_index(files: DataFrame, *, path: str = "path", content: str = "conten
             for p, src in zip(pdf["path"], pdf["content"]):
                 try:
                     tree = ast.parse(src or "")
-                except SyntaxError as e:
-                    out.append((p, "error", None, None, None, f"SyntaxError: {e.msg}"))
+                except Exception as e:  # noqa: BLE001 - one file never fails the job
+                    out.append((p, "error", None, None, None, f"{type(e).__name__}: {getattr(e, 'msg', e)}"))
                     continue
                 for node in ast.walk(tree):
                     if isinstance(node, ast.FunctionDef):
@@ -272,22 +184,28 @@ def python_index(files: DataFrame, *, path: str = "path", content: str = "conten
 
 def block_candidates(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
     """Candidate blocks per file (G4): Go functions, HCL blocks (name = labels
-    joined by ``,``), any other file as one ``file`` block.  HCL files whose
-    braces do not balance are skipped, as the reference skips unparsable files."""
-    ln = line_table(files, path=path, content=content)
-    funcs, _ = go_index(files, lines=ln)
-    blocks, _, bad = hcl_index(files, lines=ln, with_unbalanced=True)
-    bad = bad.select("path")
-    go = funcs.select("path", F.lit("function").alias("target_type"), F.col("name").alias("target_name"),
-                      "start_line", "end_line")
-    hcl = blocks.join(bad, "path", "left_anti").select(
-        "path", F.col("block_type").alias("target_type"), F.col("block_name").alias("target_name"),
+    joined by ``,``), any other file as one ``file`` block.  Code files that cannot be
+    read have none, as the reference skips unparsable files."""
+    found = code_index(files, path=path, content=content).filter("kind IN ('function', 'block')").select(
+        "path", F.when(F.col("kind") == "function", F.lit("function")).otherwise(F.col("name")).alias("target_type"),
+        F.when(F.col("kind") == "function", F.col("name")).otherwise(F.col("block_name")).alias("target_name"),
         "start_line", "end_line")
     p = F.col(path)
     other = files.filter(~(p.endswith(".go") | p.endswith(".hcl") | p.endswith(".tf"))).select(
         p.alias("path"), F.lit("file").alias("target_type"), p.alias("target_name"),
         F.lit(1).alias("start_line"), F.size(F.split(F.col(content), "\n")).alias("end_line"))
-    return go.unionByName(hcl).unionByName(other)
+    return found.unionByName(other)
+
+
+def resource_content(blocks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The formatted body of the first top-level ``resource`` block with the requested
+    second label (G5): ``path, name, content, error``; ``requests``: ``path, name``."""
+    own = blocks.filter("block_type = 'resource' AND level = 0 AND size(labels) > 1").select(
+        "path", F.col("labels")[1].alias("name"), "start", "formatted")
+    first = own.groupBy("path", "name").agg(F.min_by("formatted", "start").alias("__body"))
+    return requests.join(first, ["path", "name"], "left").select(
+        "path", "name", F.concat(F.lit("\n"), "__body", F.lit("\n")).alias("content"),
+        F.when(F.col("__body").isNull(), F.concat(F.lit("resource block not found: "), "name")).alias("error"))
 
 
 def block_lookup(index: DataFrame, requests: DataFrame) -> DataFrame:

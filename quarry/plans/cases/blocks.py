@@ -7,73 +7,12 @@ from pyspark.sql import functions as F
 
 from quarry.operators import blocks as BK
 from quarry.plans.catalog import register
-from quarry.plans.oracle import derived, sql
+from quarry.plans.oracle import sql
+from quarry.sources import code_shapes as SH
 from quarry.sources import corpus as C
 from quarry.sources.tables import read_table
 
 
-def _lines_sql(src: str) -> str:
-    return f"""SELECT path, unnest(range(1, len(arr) + 1)) AS line_no, unnest(arr) AS text
-               FROM (SELECT path, string_split(content, chr(10)) AS arr FROM {src})"""
-
-
-derived("golines", ("gofiles",), _lines_sql("gofiles"))
-derived("gofuncs", ("golines",), f"""
-    SELECT h.*, (SELECT string_agg(g.text, chr(10) ORDER BY g.line_no) FROM golines g
-                 WHERE g.path = h.path AND g.line_no BETWEEN h.start_line AND h.end_line) AS content
-    FROM (SELECT path, regexp_extract(text, '{BK.GO_FUNC}', 2) AS name, line_no::INTEGER AS start_line,
-                 (CASE WHEN regexp_matches(text, '{BK.GO_ONE_LINE}') THEN line_no ELSE next_close END)::INTEGER
-                   AS end_line
-          FROM (SELECT *, min(CASE WHEN starts_with(text, '}}') THEN line_no END) OVER (
-                  PARTITION BY path ORDER BY line_no DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-                  AS next_close FROM golines)
-          WHERE regexp_matches(text, '{BK.GO_FUNC}')) h""")
-derived("govars", ("golines",), f"""
-    SELECT path, unnest(string_split_regex(names, '\\s*,\\s*')) AS name, line_no::INTEGER AS start_line,
-           line_no::INTEGER AS end_line
-    FROM (SELECT path, line_no,
-                 CASE WHEN regexp_matches(text, '{BK.GO_VAR_LINE}') AND NOT regexp_matches(text, '{BK.GO_VAR_GROUP_OPEN}')
-                        THEN regexp_extract(text, '{BK.GO_VAR_LINE}', 1)
-                      WHEN g_open > coalesce(g_close, 0) AND line_no > g_open
-                           AND regexp_matches(text, '{BK.GO_SPEC_NAMES}')
-                        THEN regexp_extract(text, '{BK.GO_SPEC_NAMES}', 1) END AS names
-          FROM (SELECT *, last(CASE WHEN regexp_matches(text, '{BK.GO_VAR_GROUP_OPEN}') THEN line_no END IGNORE NULLS)
-                            OVER w AS g_open,
-                          last(CASE WHEN regexp_matches(text, '{BK.GO_GROUP_CLOSE}') THEN line_no END IGNORE NULLS)
-                            OVER w AS g_close
-                FROM golines WINDOW w AS (PARTITION BY path ORDER BY line_no
-                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
-    WHERE names IS NOT NULL""")
-
-derived("hcllines", ("hclfiles",), f"""
-    SELECT *, regexp_replace(regexp_replace(text, '{BK.HCL_STRING}', '""', 'g'), '{BK.HCL_COMMENT}', '', 'g') AS masked
-    FROM ({_lines_sql("hclfiles")})""")
-derived("hclev", ("hcllines",), """
-    SELECT path, line_no, k, is_open,
-           CASE WHEN is_open THEN depth_after - 1 ELSE depth_after END AS level
-    FROM (SELECT *, sum(CASE WHEN is_open THEN 1 ELSE -1 END) OVER (
-                   PARTITION BY path ORDER BY line_no, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth_after
-          FROM (SELECT path, line_no, unnest(range(0, len(br))) AS k, unnest(br) = '{' AS is_open
-                FROM (SELECT path, line_no, regexp_extract_all(masked, '[{}]') AS br FROM hcllines)))""")
-derived("hclblocks", ("hclev", "hcllines"), f"""
-    WITH pairs AS (
-      SELECT o.path, o.level, o.line_no AS open_line, o.k AS open_k, c.line_no AS close_line
-      FROM (SELECT *, row_number() OVER (PARTITION BY path, level ORDER BY line_no, k) AS idx FROM hclev WHERE is_open) o
-      LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY path, level ORDER BY line_no, k) AS idx
-                 FROM hclev WHERE NOT is_open) c
-        ON o.path = c.path AND o.level = c.level AND o.idx = c.idx),
-    lastopen AS (SELECT path, line_no, max(k) AS open_k FROM hclev WHERE is_open GROUP BY path, line_no),
-    heads AS (
-      SELECT path, line_no, regexp_extract(text, '{BK.HCL_HEADER}', 1) AS block_type,
-             list_transform(regexp_extract_all(regexp_extract(text, '{BK.HCL_HEADER}', 2), '{BK.HCL_LABEL}'),
-                            lambda x: regexp_replace(x, '^"|"$', '', 'g')) AS labels
-      FROM hcllines WHERE regexp_matches(text, '{BK.HCL_HEADER}'))
-    SELECT h.path, h.block_type, h.labels, array_to_string(h.labels, ',') AS block_name, p.level::BIGINT AS level,
-           h.line_no::INTEGER AS start_line, p.close_line::INTEGER AS end_line
-    FROM heads h JOIN lastopen l ON l.path = h.path AND l.line_no = h.line_no
-    JOIN pairs p ON p.path = h.path AND p.open_line = h.line_no AND p.open_k = l.open_k""")
-
-
 def _go(spark, d):
     return BK.go_index(C.go_files(spark, d))
 
@@ -88,36 +27,17 @@ def block_index_go(spark, d):
         vars_.select(F.lit("var").alias("kind"), *cols))
 
 
-@register("block_index_hcl", sql(["hcllines", "hclblocks"], """
-    SELECT b.path, b.block_type, b.block_name, b.start_line, b.end_line,
-           (SELECT string_agg(l.text, chr(10) ORDER BY l.line_no) FROM hcllines l
-            WHERE l.path = b.path AND l.line_no > b.start_line AND l.line_no < b.end_line) AS content
-    FROM hclblocks b"""))
+@register("block_index_hcl", sql(["hclblocks"], """
+    SELECT path, block_type, block_name, start_line, end_line, content FROM hclblocks"""))
 def block_index_hcl(spark, d):
     blocks, _ = BK.hcl_index(C.hcl_files(spark, d))
     return blocks.select("path", "block_type", "block_name", "start_line", "end_line", "content")
 
 
-derived("hclattrs", ("hcllines", "hclev", "hclblocks"), """
-    WITH net AS (SELECT path, line_no, sum(CASE WHEN is_open THEN 1 ELSE -1 END) AS net FROM hclev GROUP BY 1, 2),
-    dep AS (SELECT l.*, coalesce(sum(coalesce(n.net, 0)) OVER (PARTITION BY l.path ORDER BY l.line_no
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth
-            FROM hcllines l LEFT JOIN net n ON n.path = l.path AND n.line_no = l.line_no),
-    attr AS (SELECT path, line_no, depth - 1 AS level, regexp_extract(text, '^\\s*([A-Za-z_][A-Za-z0-9_-]*)\\s*=\\s*(.*)$', 1)
-                      AS name, trim(regexp_extract(text, '^\\s*([A-Za-z_][A-Za-z0-9_-]*)\\s*=\\s*(.*)$', 2)) AS value
-             FROM dep WHERE regexp_matches(masked, '^\\s*([A-Za-z_][A-Za-z0-9_-]*)\\s*=\\s*(.*)$')
-               AND depth > 0),
-    tagged AS (SELECT a.*, b.block_name, b.start_line, b.end_line FROM attr a JOIN hclblocks b
-               ON b.path = a.path AND b.level = a.level AND b.start_line < a.line_no
-               QUALIFY row_number() OVER (PARTITION BY a.path, a.line_no ORDER BY b.start_line DESC) = 1)
-    SELECT path, block_name, start_line AS block_start, name, value, line_no::INTEGER AS line_no
-    FROM tagged WHERE line_no < end_line""")
-
-
 @register("hcl_attributes", sql(["hclattrs"], "SELECT * FROM hclattrs"))
 def hcl_attributes(spark, d):
     _, attrs = BK.hcl_index(C.hcl_files(spark, d))
-    return attrs.select("path", "block_name", "block_start", "name", "value", F.col("line_no").cast("int"))
+    return attrs.select("path", "block_name", "block_start", "name", "value", "line_no")
 
 
 def py_files(spark, d):
@@ -142,12 +62,10 @@ def _all_files(spark, d):
     return C.go_files(spark, d).unionByName(C.hcl_files(spark, d)).unionByName(py_files(spark, d))
 
 
-@register("block_candidates", sql(["gofuncs", "hclblocks", "hclev"], """
+@register("block_candidates", sql(["gofuncs", "hclblocks"], """
     SELECT path, 'function' AS target_type, name AS target_name, start_line, end_line FROM gofuncs
     UNION ALL
     SELECT path, block_type, block_name, start_line, end_line FROM hclblocks
-    WHERE path NOT IN (SELECT path FROM hclev GROUP BY path
-                       HAVING sum(CASE WHEN is_open THEN 1 ELSE -1 END) <> 0 OR min(level) < 0)
     UNION ALL
     SELECT 'p' || p_partkey::VARCHAR || '.py', 'file', 'p' || p_partkey::VARCHAR || '.py', 1, 9 FROM part"""))
 def block_candidates(spark, d):
@@ -164,7 +82,7 @@ def _requests(spark, d):
 
 
 @register("block_lookup", sql(["gofuncs"], """
-    SELECT DISTINCT r.path, r.target_type, r.target_name, f.start_line, f.end_line, f.path IS NOT NULL AS found
+    SELECT DISTINCT r.path, r.target_type, r.target_name, f.start_line, f.end_line, f.content, f.path IS NOT NULL AS found
     FROM (SELECT 'f' || l_partkey::VARCHAR || '.go' AS path, 'function' AS target_type,
                  'F' || l_partkey::VARCHAR AS target_name FROM lineitem
           UNION ALL SELECT 's' || s_suppkey::VARCHAR || '.tf', 'function', 'F' || s_suppkey::VARCHAR FROM supplier) r
@@ -172,7 +90,7 @@ def _requests(spark, d):
 def block_lookup(spark, d):
     funcs, _ = _go(spark, d)
     index = funcs.select("path", F.lit("function").alias("target_type"), F.col("name").alias("target_name"),
-                         "start_line", "end_line")
+                         "start_line", "end_line", "content")
     s = read_table(spark, d, "supplier", "s_suppkey")
     missing = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".tf")).alias("path"),
                        F.lit("function").alias("target_type"),
@@ -181,6 +99,30 @@ def block_lookup(spark, d):
     return BK.block_lookup(index, req).distinct()
 
 
+# the formatted bodies of the supplier resources, by shape
+_BODIES = (
+    '\nname = "a}b"\nnested {\n  nation = <v>\n}\n',
+    None,
+    '\nname   = "${var.a["}"]}-x" // c\nnation = { id = <v>, n = 2 }\n\nnested "l" {\n  on = true\n}\n',
+)
+
+
+@register("resource_content", sql([], " UNION ALL ".join(f"""
+    SELECT 's' || s_suppkey::VARCHAR || '.tf' AS path, 's' || s_suppkey::VARCHAR AS name,
+           {SH.sql(body, v="s_nationkey")} AS content, NULL::VARCHAR AS error
+    FROM supplier WHERE s_suppkey % 3 = {i}""" for i, body in enumerate(_BODIES) if body) + """
+    UNION ALL SELECT 's' || s_suppkey::VARCHAR || '.tf', 'none' || s_suppkey::VARCHAR, NULL,
+           'resource block not found: none' || s_suppkey::VARCHAR FROM supplier"""))
+def resource_content(spark, d):
+    """Bodies of the resources of two shapes, and a request for a name that no file has."""
+    blocks, _ = BK.hcl_index(C.hcl_files(spark, d))
+    s = read_table(spark, d, "supplier", "s_suppkey")
+    k = F.col("s_suppkey").cast("string")
+    path = F.concat(F.lit("s"), k, F.lit(".tf")).alias("path")
+    known = s.filter(F.col("s_suppkey") % 3 != 1).select(path, F.concat(F.lit("s"), k).alias("name"))
+    return BK.resource_content(blocks, known.unionByName(s.select(path, F.concat(F.lit("none"), k).alias("name"))))
+
+
 @register("block_match", sql(["gofuncs", "hclblocks"], """
     SELECT DISTINCT l_orderkey::VARCHAR || ':' || l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR AS req_id,
            f.path, 'function' AS target_type, f.name AS target_name, f.start_line, f.end_line

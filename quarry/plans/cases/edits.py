@@ -8,6 +8,7 @@ from quarry.operators import blocks as BK
 from quarry.operators import edits as ED
 from quarry.plans.catalog import register
 from quarry.plans.oracle import derived, sql
+from quarry.sources import code_shapes as SH
 from quarry.sources import corpus as C
 from quarry.sources.tables import read_table
 
@@ -27,50 +28,30 @@ def go_edits(spark, d):
                     F.lit(1).alias("seq"))
 
 
-derived("goedits", (), """
-    SELECT 'f' || l_partkey::VARCHAR || '.go' AS path, 'F' || l_partkey::VARCHAR AS name,
-           'return ' || count(*)::VARCHAR AS new_content,
-           'F' || l_partkey::VARCHAR || ' has ' || count(*)::VARCHAR || ' line items' AS new_comment
-    FROM lineitem GROUP BY l_partkey""")
+_COUNTS = "(SELECT l_partkey AS k, count(*) AS n, max(l_orderkey) AS o FROM lineitem GROUP BY l_partkey)"
+_NOTE = "// F<k> has <n> line items\n"
 
 
-def _indent_sql(x: str) -> str:
-    return (f"array_to_string(list_transform(string_split({x}, chr(10)), "
-            f"lambda y: CASE WHEN y = '' THEN y ELSE chr(9) || y END), chr(10))")
+def _go_sql(edited: list[str]) -> str:
+    """``path, content`` of the Go files: the edited template where the part has line items."""
+    plain = SH.sql_by_shape("p_partkey", [g.text for g in SH.GO], k="p_partkey", v="p_size")
+    return f"""SELECT 'f' || p_partkey::VARCHAR || '.go' AS path, CASE WHEN c.k IS NULL THEN {plain}
+      ELSE {SH.sql_by_shape("p_partkey", edited, k="p_partkey", v="p_size", n="c.n", o="c.o")} END AS content
+    FROM part LEFT JOIN {_COUNTS} c ON c.k = p_partkey"""
 
 
-def _splice_sql(lines: str, splices: str) -> str:
-    """SQL of ``operators.edits.splice``: ``path, content`` for every file of ``lines``."""
-    return f"""
-    SELECT path, string_agg(text, chr(10) ORDER BY line_no, kind, sub) AS content FROM (
-      SELECT l.path, l.line_no, 1 AS kind, 0 AS sub, l.text FROM {lines} l
-      WHERE NOT EXISTS (SELECT 1 FROM {splices} s WHERE s.path = l.path AND l.line_no BETWEEN s.s AND s.e)
-      UNION ALL
-      SELECT path, s AS line_no, 0 AS kind, unnest(range(0, len(string_split(new_text, chr(10))))) AS sub,
-             unnest(string_split(new_text, chr(10))) AS text FROM {splices})
-    GROUP BY path"""
-
-
-derived("bodysplices", ("gofuncs", "goedits"), f"""
-    SELECT f.path, f.start_line + 1 AS s, f.end_line - 1 AS e, {_indent_sql('e.new_content')} AS new_text
-    FROM gofuncs f JOIN goedits e ON e.path = f.path AND e.name = f.name WHERE length(e.new_content) > 0""")
-derived("commentsplices", ("gofuncs", "golines", "goedits"), """
-    SELECT f.path, coalesce(r.run_start, 1) AS s, f.start_line - 1 AS e,
-           array_to_string(list_transform(string_split(e.new_comment, chr(10)), lambda y: '// ' || y), chr(10))
-             AS new_text
-    FROM gofuncs f
-    JOIN (SELECT path, line_no, last(CASE WHEN NOT regexp_matches(text, '^\\s*//') THEN line_no + 1 END IGNORE NULLS)
-            OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run_start
-          FROM golines) r ON r.path = f.path AND r.line_no = f.start_line
-    JOIN goedits e ON e.path = f.path AND e.name = f.name WHERE length(e.new_comment) > 0""")
-derived("editedgo", ("golines", "bodysplices"), _splice_sql("golines", "bodysplices"))
+def _hcl_sql(edited: list[str]) -> str:
+    return f"""SELECT 's' || s_suppkey::VARCHAR || '.tf' AS path,
+      {SH.sql_by_shape("s_suppkey", edited, k="s_suppkey", v="s_nationkey")} AS content FROM supplier"""
+
+
+derived("editedgo", (), _go_sql([g.pre + g.doc + g.decl + "\n\treturn <n>\n" + g.rest for g in SH.GO]))
 
 
 def _edited_go(spark, d):
     files = C.go_files(spark, d)
-    ln = BK.line_table(files)
-    funcs, _ = BK.go_index(files, lines=ln)
-    return ED.splice(files, ED.function_body_splices(funcs, go_edits(spark, d)), lines=ln)
+    funcs, _ = BK.go_index(files)
+    return ED.splice(files, ED.function_body_splices(funcs, go_edits(spark, d)))
 
 
 # ---------------------------------------------------------------- queries
@@ -94,14 +75,31 @@ def edit_function(spark, d):
     return _edited_go(spark, d)
 
 
-@register("edit_comment", sql(["golines", "commentsplices"],
-                              "," + _splice_sql("golines", "commentsplices").replace("SELECT path,", "x AS (SELECT path,", 1)
-                              + ") SELECT * FROM x"))
+@register("edit_comment", sql([], _go_sql([g.pre + _NOTE + g.decl + g.body + g.rest for g in SH.GO])))
 def edit_comment(spark, d):
     files = C.go_files(spark, d)
-    ln = BK.line_table(files)
-    funcs, _ = BK.go_index(files, lines=ln)
-    return ED.splice(files, ED.comment_splices(files, funcs, go_edits(spark, d), lines=ln), lines=ln)
+    funcs, _ = BK.go_index(files)
+    return ED.splice(files, ED.comment_splices(funcs, go_edits(spark, d)))
+
+
+_WHOLE = "func F<k>() int {\n\treturn <n> // {}\n}"
+
+
+@register("edit_function_text", sql([], f"""
+    SELECT path, content, error FROM (
+      SELECT 'f' || p_partkey::VARCHAR || '.go' AS path,
+             CASE WHEN c.k IS NULL THEN {SH.sql_by_shape("p_partkey", [g.text for g in SH.GO], k="p_partkey", v="p_size")}
+                  WHEN p_partkey % 4 < 2 THEN {SH.sql_by_shape("p_partkey", [g.pre + g.doc + _WHOLE + g.rest[1:] for g in SH.GO], k="p_partkey", v="p_size", n="c.n")}
+                  WHEN p_partkey % 4 = 2 THEN {SH.sql(SH.GO[2].pre + _WHOLE + chr(10) + "`" + chr(10) + chr(9) + "return len(s) + <v>" + chr(10) + SH.GO[2].rest, k="p_partkey", v="p_size", n="c.n")}
+                  ELSE {SH.sql(SH.GO[3].text, k="p_partkey", v="p_size")} END AS content,
+             CASE WHEN c.k IS NOT NULL AND p_partkey % 4 = 3 THEN 'function F' || p_partkey::VARCHAR || ' not found' END AS error
+      FROM part LEFT JOIN {_COUNTS} c ON c.k = p_partkey)"""))
+def edit_function_text(spark, d):
+    """Whole functions replaced by counting raw braces: the brace in shape 2's string ends
+    the function there, and shape 3's method is not found by ``func Name(``."""
+    edits = go_edits(spark, d).select("path", "target_name", SH.column(
+        _WHOLE, k=F.substring("target_name", 2, 20), n=F.regexp_extract("new_content", r"(\d+)", 1)).alias("new_content"))
+    return ED.replace_functions(C.go_files(spark, d), edits)
 
 
 def hcl_edits(spark, d):
@@ -109,55 +107,31 @@ def hcl_edits(spark, d):
     k = F.col("s_suppkey").cast("string")
     return s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"), F.lit("resource").alias("target_type"),
                     F.concat(F.lit("supplier,s"), k).alias("target_name"),
-                    F.concat(F.lit('  name = "s'), k, F.lit('-renamed"\n  nation = '),
+                    F.concat(F.lit('\nname = "s'), k, F.lit('-renamed"\nnation_id = '),
                              F.col("s_nationkey").cast("string")).alias("new_content"),
                     F.lit(1).alias("seq"))
 
 
-derived("hclsplices", ("hclblocks",), """
-    SELECT b.path, b.start_line + 1 AS s, b.end_line - 1 AS e,
-           '  name = "s' || s_suppkey::VARCHAR || '-renamed"' || chr(10) || '  nation = ' || s_nationkey::VARCHAR
-             AS new_text
-    FROM supplier JOIN (SELECT * FROM hclblocks
-                        QUALIFY row_number() OVER (PARTITION BY path, block_type, block_name ORDER BY start_line) = 1) b
-      ON b.path = 's' || s_suppkey::VARCHAR || '.tf' AND b.block_type = 'resource'
-     AND b.block_name = 'supplier,s' || s_suppkey::VARCHAR""")
+_NEW_BODY = '\n  name      = "s<k>-renamed"\n  nation_id = <v>\n'
 
 
-@register("edit_hcl_block", sql(["hcllines", "hclsplices"],
-                                "," + _splice_sql("hcllines", "hclsplices").replace("SELECT path,", "x AS (SELECT path,", 1)
-                                + ") SELECT * FROM x"))
+@register("edit_hcl_block", sql([], _hcl_sql([h.pre + h.head + _NEW_BODY + h.rest for h in SH.HCL])))
 def edit_hcl_block(spark, d):
     files = C.hcl_files(spark, d)
-    ln = BK.line_table(files)
-    blocks, _ = BK.hcl_index(files, lines=ln)
-    return ED.splice(files, ED.hcl_block_splices(blocks, hcl_edits(spark, d)), lines=ln)
+    blocks, _ = BK.hcl_index(files)
+    return ED.splice(files, ED.hcl_block_splices(blocks, hcl_edits(spark, d)))
 
 
-derived("attrsplices", ("hclattrs", "hclblocks", "hcllines"), """
-    SELECT a.path, a.line_no AS s, a.line_no AS e,
-           regexp_extract(l.text, '^(\\s*)', 1) || a.name || ' = "n' || s_suppkey::VARCHAR || '"' AS new_text
-    FROM supplier
-    JOIN hclattrs a ON a.path = 's' || s_suppkey::VARCHAR || '.tf' AND a.block_name = 'supplier,s' || s_suppkey::VARCHAR
-     AND a.name = 'name'
-    JOIN (SELECT path, block_name, min(start_line) AS block_start FROM hclblocks GROUP BY 1, 2) f
-      ON f.path = a.path AND f.block_name = a.block_name AND f.block_start = a.block_start
-    JOIN hcllines l ON l.path = a.path AND l.line_no = a.line_no""")
-
-
-@register("edit_hcl_attr", sql(["hcllines", "attrsplices"],
-                               "," + _splice_sql("hcllines", "attrsplices").replace("SELECT path,", "x AS (SELECT path,", 1)
-                               + ") SELECT * FROM x"))
+@register("edit_hcl_attr", sql([], _hcl_sql([h.named for h in SH.HCL])))
 def edit_hcl_attr(spark, d):
     files = C.hcl_files(spark, d)
-    ln = BK.line_table(files)
-    blocks, attrs = BK.hcl_index(files, lines=ln)
+    blocks, attrs = BK.hcl_index(files)
     s = read_table(spark, d, "supplier", "s_suppkey")
     k = F.col("s_suppkey").cast("string")
     sets = s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"),
                     F.concat(F.lit("supplier,s"), k).alias("block_name"), F.lit("name").alias("name"),
                     F.concat(F.lit("n"), k).alias("value"), F.lit(1).alias("seq"))
-    return ED.splice(files, ED.hcl_attribute_splices(files, attrs, blocks, sets, lines=ln), lines=ln)
+    return ED.splice(files, ED.hcl_attribute_splices(attrs, blocks, sets))
 
 
 @register("edit_validate", sql([], """
@@ -193,22 +167,12 @@ def edit_delta(spark, d):
     return ED.line_delta(C.go_files(spark, d), _edited_go(spark, d))
 
 
-derived("allsplices", ("gofuncs", "commentsplices"), f"""
-    SELECT f.path, f.start_line + 1 AS s, f.end_line - 1 AS e, {_indent_sql("'return ' || w.o::VARCHAR")} AS new_text
-    FROM gofuncs f JOIN (SELECT l_partkey, max(l_orderkey) AS o FROM lineitem GROUP BY l_partkey) w
-      ON f.path = 'f' || w.l_partkey::VARCHAR || '.go' AND f.name = 'F' || w.l_partkey::VARCHAR
-    UNION ALL SELECT path, s, e, new_text FROM commentsplices""")
-
-
-@register("edit_apply_all", sql(["golines", "allsplices"],
-                                "," + _splice_sql("golines", "allsplices").replace("SELECT path,", "x AS (SELECT path,", 1)
-                                + ") SELECT * FROM x"))
+@register("edit_apply_all", sql([], _go_sql([g.pre + _NOTE + g.decl + "\n\treturn <o>\n" + g.rest for g in SH.GO])))
 def edit_apply_all(spark, d):
     """Every line item edits its part's function in order (last one wins), and
     the per-part doc comment is set in the same pass."""
     files = C.go_files(spark, d)
-    ln = BK.line_table(files)
-    funcs, _ = BK.go_index(files, lines=ln)
+    funcs, _ = BK.go_index(files)
     li = read_table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
     k = F.col("l_partkey").cast("string")
     body_edits = li.select(F.concat(F.lit("f"), k, F.lit(".go")).alias("path"), F.concat(F.lit("F"), k)
@@ -216,49 +180,33 @@ def edit_apply_all(spark, d):
                            F.concat(F.lit("return "), F.col("l_orderkey").cast("string")).alias("new_content"),
                            F.struct("l_orderkey", "l_linenumber").alias("seq"))
     bodies = ED.function_body_splices(funcs, ED.latest_edits(body_edits))
-    comments = ED.comment_splices(files, funcs, go_edits(spark, d), lines=ln).withColumn(
+    comments = ED.comment_splices(funcs, go_edits(spark, d)).withColumn(
         "seq", F.struct(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber")))
     ok, _conflicts = ED.resolve_overlaps(bodies.unionByName(comments))
-    return ED.splice(files, ok, lines=ln)
-
-
-derived("renamesplices", ("hclblocks", "hcllines"), """
-    SELECT b.path, b.start_line AS s, b.start_line AS e,
-           regexp_replace(l.text, '^(\\s*[A-Za-z_][A-Za-z0-9_-]*\\s+"[^"]*"\\s+")[^"]*(")',
-                          '\\1s' || s_suppkey::VARCHAR || '-n' || s_nationkey::VARCHAR || '\\2') AS new_text
-    FROM supplier
-    JOIN (SELECT path, block_type, block_name, min(start_line) AS start_line FROM hclblocks GROUP BY 1, 2, 3) b
-      ON b.path = 's' || s_suppkey::VARCHAR || '.tf' AND b.block_type = 'resource'
-     AND b.block_name = 'supplier,s' || s_suppkey::VARCHAR
-    JOIN hcllines l ON l.path = b.path AND l.line_no = b.start_line""")
+    return ED.splice(files, ok)
 
 
-@register("edit_hcl_rename", sql(["hcllines", "renamesplices"],
-                                 "," + _splice_sql("hcllines", "renamesplices").replace("SELECT path,", "x AS (SELECT path,", 1)
-                                 + ") SELECT * FROM x"))
+@register("edit_hcl_rename", sql([], _hcl_sql([
+    h.pre + 'resource "supplier" "s<k>-n<v>" {' + h.body + h.rest for h in SH.HCL])))
 def edit_hcl_rename(spark, d):
     """Rename every supplier resource to ``s<k>-n<nation>`` (second label)."""
     files = C.hcl_files(spark, d)
-    ln = BK.line_table(files)
-    blocks, _ = BK.hcl_index(files, lines=ln)
+    blocks, _ = BK.hcl_index(files)
     s = read_table(spark, d, "supplier", "s_suppkey", "s_nationkey")
     k = F.col("s_suppkey").cast("string")
     ren = s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"), F.lit("resource").alias("block_type"),
                    F.concat(F.lit("supplier,s"), k).alias("block_name"),
                    F.concat(F.lit("s"), k, F.lit("-n"), F.col("s_nationkey").cast("string")).alias("new_name"),
                    F.lit(1).alias("seq"))
-    return ED.splice(files, ED.hcl_rename_splices(ln, blocks, ren), lines=ln)
+    return ED.splice(files, ED.hcl_rename_splices(blocks, ren))
 
 
-@register("edit_hcl_append", sql(["hclfiles"], """
-    SELECT path, content || chr(10) || 'output "o' || s_suppkey::VARCHAR || '" {' || chr(10) || '  value = '
-                 || s_nationkey::VARCHAR || chr(10) || '}' || chr(10) AS content
-    FROM hclfiles JOIN supplier ON path = 's' || s_suppkey::VARCHAR || '.tf'"""))
+@register("edit_hcl_append", sql([], _hcl_sql([h.text + 'output "o<k>" {\n  value = <v>\n }\n' for h in SH.HCL])))
 def edit_hcl_append(spark, d):
     """Append an output block to every supplier file."""
     s = read_table(spark, d, "supplier", "s_suppkey", "s_nationkey")
     k = F.col("s_suppkey").cast("string")
-    add = s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"),
-                   F.concat(F.lit('output "o'), k, F.lit('" {\n  value = '), F.col("s_nationkey").cast("string"),
-                            F.lit("\n}")).alias("text"), F.lit(1).alias("seq"))
+    text = ED.block_text(F.lit("output"), F.array(F.concat(F.lit("o"), k)),
+                         F.concat(F.lit("  value = "), F.col("s_nationkey").cast("string"), F.lit("\n")))
+    add = s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"), text.alias("text"), F.lit(1).alias("seq"))
     return ED.append_blocks(C.hcl_files(spark, d), add)

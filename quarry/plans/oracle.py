@@ -7,6 +7,8 @@ lambdas, ``regexp_replace(.., 'g')`` to replace all matches, lists are 1-based.
 
 from __future__ import annotations
 
+from quarry.sources import code_shapes as SH
+
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 
 VIEWS: dict[str, str] = {
@@ -30,19 +32,30 @@ VIEWS: dict[str, str] = {
       SELECT path, min(page_id) AS page_id, arg_min(html, page_id) AS content FROM (
         SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '/?([?#].*)?$', '', 'g') AS path, page_id, html
         FROM pages) GROUP BY path""",
-    "gofiles": """
+    "gofiles": f"""
       SELECT 'f' || p_partkey::VARCHAR || '.go' AS path,
-             'package p' || chr(10) || chr(10) || 'func F' || p_partkey::VARCHAR || '() int {' || chr(10) || chr(9)
-             || 'return ' || p_size::VARCHAR || chr(10) || '}' || chr(10) || chr(10) || 'var V' || p_partkey::VARCHAR
-             || ' = 1' || chr(10) AS content
-      FROM part""",
-    "hclfiles": """
+             {SH.sql_by_shape("p_partkey", [g.text for g in SH.GO], k="p_partkey", v="p_size")} AS content FROM part""",
+    "hclfiles": f"""
       SELECT 's' || s_suppkey::VARCHAR || '.tf' AS path,
-             '# { note' || chr(10) || 'resource "supplier" "s' || s_suppkey::VARCHAR || '" {' || chr(10)
-             || '  name = "a}b"' || chr(10) || '  nested {' || chr(10) || '    nation = ' || s_nationkey::VARCHAR
-             || chr(10) || '  }' || chr(10) || '}' || chr(10) || chr(10) || 'variable "v' || s_suppkey::VARCHAR
-             || '" {' || chr(10) || '  default = "x"' || chr(10) || '}' || chr(10) AS content
-      FROM supplier""",
+             {SH.sql_by_shape("s_suppkey", [h.text for h in SH.HCL], k="s_suppkey", v="s_nationkey")} AS content FROM supplier""",
+    "gofuncs": " UNION ALL ".join(
+      f"""SELECT 'f' || p_partkey::VARCHAR || '.go' AS path, 'F' || p_partkey::VARCHAR AS name, {g.func[0]} AS start_line,
+             {g.func[1]} AS end_line, {SH.sql(g.decl + g.body + "}", k="p_partkey", v="p_size")} AS content
+      FROM part WHERE p_partkey % {len(SH.GO)} = {i}""" for i, g in enumerate(SH.GO)),
+    "govars": " UNION ALL ".join(
+      f"""SELECT 'f' || p_partkey::VARCHAR || '.go' AS path, {SH.sql(name, k="p_partkey")} AS name, {line} AS start_line,
+             {line} AS end_line FROM part WHERE p_partkey % {len(SH.GO)} = {i}"""
+      for i, g in enumerate(SH.GO) for name, line in g.vars),
+    "hclblocks": " UNION ALL ".join(
+      f"""SELECT 's' || s_suppkey::VARCHAR || '.tf' AS path, '{kind}' AS block_type, {SH.sql(name, k="s_suppkey")} AS block_name,
+             {first} AS start_line, {last} AS end_line, {SH.sql(text, k="s_suppkey", v="s_nationkey")} AS content
+      FROM supplier WHERE s_suppkey % {len(SH.HCL)} = {i}"""
+      for i, h in enumerate(SH.HCL) for kind, name, first, last, text in h.blocks),
+    "hclattrs": " UNION ALL ".join(
+      f"""SELECT 's' || s_suppkey::VARCHAR || '.tf' AS path, {SH.sql(own, k="s_suppkey")} AS block_name, {first} AS block_start,
+             '{name}' AS name, {SH.sql(value, k="s_suppkey", v="s_nationkey")} AS value, {line} AS line_no
+      FROM supplier WHERE s_suppkey % {len(SH.HCL)} = {i}"""
+      for i, h in enumerate(SH.HCL) for own, first, name, value, line in h.attributes),
     "planchanges": """
       SELECT l_orderkey::VARCHAR AS plan_id, o_orderpriority AS query,
              (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'f' || l_partkey::VARCHAR || '.go')

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans.guards import spread
+from quarry.sources import code_shapes as SH
 from quarry.sources.tables import read_table
 
 EPOCH = "2024-01-01 00:00:00"
@@ -96,27 +97,19 @@ def site_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def go_files(spark: SparkSession, d: str) -> DataFrame:
-    """One Go file per part: ``F<k>`` at lines 3-5, ``var V<k>`` at line 7."""
+    """One Go file per part, of one of the shapes in ``code_shapes``."""
     p = read_table(spark, d, "part", "p_partkey", "p_size")
-    k = F.col("p_partkey").cast("string")
-    content = F.concat(
-        F.lit("package p\n\nfunc F"), k, F.lit("() int {\n\treturn "), F.col("p_size").cast("string"),
-        F.lit("\n}\n\nvar V"), k, F.lit(" = 1\n"),
-    )
-    return p.select(F.concat(F.lit("f"), k, F.lit(".go")).alias("path"), content.alias("content"))
+    k = F.col("p_partkey")
+    return p.select(F.concat(F.lit("f"), k.cast("string"), F.lit(".go")).alias("path"),
+                    SH.by_shape(k, [g.text for g in SH.GO], k=k, v=F.col("p_size")).alias("content"))
 
 
 def hcl_files(spark: SparkSession, d: str) -> DataFrame:
-    """One HCL file per supplier: resource at lines 2-7 (nested block 4-6, a brace
-    inside a string and inside a comment), variable at lines 9-11."""
+    """One HCL file per supplier, of one of the shapes in ``code_shapes``."""
     s = read_table(spark, d, "supplier", "s_suppkey", "s_nationkey")
-    k = F.col("s_suppkey").cast("string")
-    content = F.concat(
-        F.lit('# { note\nresource "supplier" "s'), k, F.lit('" {\n  name = "a}b"\n  nested {\n    nation = '),
-        F.col("s_nationkey").cast("string"), F.lit('\n  }\n}\n\nvariable "v'), k,
-        F.lit('" {\n  default = "x"\n}\n'),
-    )
-    return s.select(F.concat(F.lit("s"), k, F.lit(".tf")).alias("path"), content.alias("content"))
+    k = F.col("s_suppkey")
+    return s.select(F.concat(F.lit("s"), k.cast("string"), F.lit(".tf")).alias("path"),
+                    SH.by_shape(k, [h.text for h in SH.HCL], k=k, v=F.col("s_nationkey")).alias("content"))
 
 
 def plans(spark: SparkSession, d: str) -> DataFrame:
