@@ -22,16 +22,13 @@ def squared_l2(a, b) -> Column:
     return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda s, d: s + d * d)
 
 
-def l2_distance(a, b, strict: bool = False) -> Column:
-    """Euclidean distance.  ``zip_with`` pads the shorter array with nulls, so a
-    dimension mismatch yields null; ``strict=True`` raises instead (the reference
-    treats unequal lengths as fatal)."""
+def l2_distance(a, b, strict: bool = True) -> Column:
+    """Euclidean distance.  Vectors of different dimension are an error, as in the
+    reference; with ``strict=False`` they yield null.  A null vector yields null."""
     a, b = _col(a), _col(b)
     d = F.sqrt(squared_l2(a, b))
     if strict:
-        d = F.when(F.size(a) == F.size(b), d).otherwise(
-            F.raise_error(F.lit("vector dimensions differ"))
-        )
+        d = F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vector dimensions differ")).cast("double")).otherwise(d)
     return d
 
 

@@ -56,9 +56,16 @@ def change_report(plans: DataFrame, *, changes: str = "changes") -> DataFrame:
     return plans.select("id", txt.alias("report"))
 
 
-def carry_ids(plans: DataFrame, *, id_col: str = "id") -> DataFrame:
-    """Keep a non-empty plan id, otherwise a new UUID."""
-    return plans.withColumn(id_col, F.coalesce(F.nullif(F.col(id_col), F.lit("")), F.expr("uuid()")))
+def carry_ids(plans: DataFrame, *, id_col: str = "id", name: Column | None = None) -> DataFrame:
+    """Keep a non-empty plan id, otherwise a new id (I5).  The new id is a name-based
+    UUID (version 3 layout) of ``name``, by default of all other columns as JSON, so
+    that a lost and repeated task cannot change it."""
+    if name is None:
+        name = F.to_json(F.struct(*[c for c in plans.columns if c != id_col]))
+    h = F.md5(name)
+    part = lambda at, n: F.substring(h, at, n)
+    fresh = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12))
+    return plans.withColumn(id_col, F.coalesce(F.nullif(F.col(id_col), F.lit("")), fresh))
 
 
 def repair_rows(repairs: DataFrame, *, json_col: str = "json") -> DataFrame:

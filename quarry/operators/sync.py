@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.ids import assign_dense_ids
+from quarry.plans.guards import guarded_broadcast
 from quarry.schemas import DOCUMENT_KEY
 
 KEY = list(DOCUMENT_KEY)
@@ -23,8 +24,15 @@ SCOPE = ["repository", "context"]
 FRESH, UPDATE, INSERT, SKIP, PRUNE, KEEP = "fresh", "update", "insert", "skip", "prune", "keep"
 
 
+#: Scopes up to which their list is broadcast.
+MAX_SCOPES = 100_000
+
+
 def _scopes(incoming: DataFrame, scopes: DataFrame | None) -> DataFrame:
-    return (scopes if scopes is not None else incoming).select(*SCOPE).distinct().withColumn("__in_scope", F.lit(True))
+    """The loaded scopes, broadcast when counted to be few: joining the state to them must
+    not deal it by scope, of which one may hold a third of all rows."""
+    distinct = (scopes if scopes is not None else incoming).select(*SCOPE).distinct()
+    return guarded_broadcast(distinct.withColumn("__in_scope", F.lit(True)), MAX_SCOPES)
 
 
 def classify(

@@ -168,14 +168,15 @@ def _broadcast_kernel(bq, metric: str, k: int, exclude_self: bool, block_rows: i
                     blk = part.iloc[lo:lo + block_rows]
                     cid = blk["id"].to_numpy(np.int64)
                     C = np.stack(blk["vec"].to_numpy()).astype(np.float32)
-                    S = _score_matrix(metric, Q, C)
-                    ids = np.broadcast_to(cid, S.shape)
-                    if sk in best:
-                        S = np.concatenate([best[sk][0], S], axis=1)
-                        ids = np.concatenate([best[sk][1], ids], axis=1)
-                    best[sk] = _row_topk(S, ids, take)
-        for sk, (bs, bi) in best.items():
-            yield _emit(queries[sk][0], bs, bi, k, exclude_self)
+                    for at in range(0, len(qid), block_rows):  # tiles of queries: the score matrix is bounded
+                        S = _score_matrix(metric, Q[at:at + block_rows], C)
+                        ids = np.broadcast_to(cid, S.shape)
+                        if (sk, at) in best:
+                            S = np.concatenate([best[sk, at][0], S], axis=1)
+                            ids = np.concatenate([best[sk, at][1], ids], axis=1)
+                        best[sk, at] = _row_topk(S, ids, take)
+        for (sk, at), (bs, bi) in best.items():
+            yield _emit(queries[sk][0][at:at + block_rows], bs, bi, k, exclude_self)
 
     return run
 
@@ -189,7 +190,7 @@ def knn_join(
     metric: str = "l2",
     exclude_self: bool = False,
     block_rows: int = 2048,
-    strategy: str = "auto",
+    strategy: str = "blocks",
     max_broadcast_queries: int = 20_000,
     max_broadcast_bytes: int = 64 << 20,
     qid_col: str = "qid",
@@ -201,12 +202,11 @@ def knn_join(
 
     Returns ``qid, id, score, rank`` (rank 1..k, ties broken by id).
 
-    ``strategy="broadcast"`` ships the queries to every task and scans the corpus
-    in place (no shuffle of the corpus; each task emits at most k candidates per
-    query); ``"blocks"`` is the block nested-loop join for query sets too large to
-    broadcast; ``"auto"`` broadcasts when a bounded count proves the query set
-    holds at most ``max_broadcast_queries`` rows whose vectors take at most
-    ``max_broadcast_bytes`` (rows x dimension x 4 bytes).
+    ``strategy="blocks"`` (default) is the block nested-loop join, for query sets of any
+    size.  ``strategy="broadcast"`` is for callers who know their query set to be small:
+    it ships the queries to every task and scans the corpus in place (no shuffle of the
+    corpus; each task emits at most k candidates per query), and raises when the set
+    has more than ``max_broadcast_queries`` rows or ``max_broadcast_bytes`` of vectors.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -216,11 +216,12 @@ def knn_join(
                        F.col(query_vec_col).alias("qvec"))
     c = corpus.select(F.col(id_col).cast("long").alias("id"), *[F.col(s).alias(s) for s in scope],
                       F.col(vector_col).alias("vec"))
-    if strategy == "broadcast" or (strategy == "auto" and _can_broadcast(q)
-                                   and _query_set_fits(q, max_broadcast_queries, max_broadcast_bytes)):
-        return _knn_broadcast(q, c, k, scope, metric, exclude_self, block_rows)
-    if strategy not in ("auto", "blocks"):
+    if strategy not in ("blocks", "broadcast"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "broadcast":
+        if not _query_set_fits(q, max_broadcast_queries, max_broadcast_bytes):
+            raise ValueError("query set too large to broadcast; use strategy='blocks'")
+        return _knn_broadcast(q, c, k, scope, metric, exclude_self, block_rows)
     # Blocks per scope from the row counts.  Scoped: one small row per scope,
     # joined on the scope key.  Unscoped: two scalar subqueries (no join at all).
     nblocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(block_rows))).cast("int")
@@ -256,35 +257,21 @@ def knn_join(
 
 
 def _query_set_fits(q: DataFrame, max_rows: int, max_bytes: int) -> bool:
-    """Bounded checks: at most ``max_rows`` queries (reads at most max_rows + 1)
-    and at most ``max_bytes`` of float32 vectors (dimension from one row)."""
-    n = q.limit(max_rows + 1).count()
-    if n > max_rows:
-        return False
-    if n == 0:
-        return True
-    dim = q.select(F.size("qvec")).first()[0] or 0
-    return n * max(dim, 0) * 4 <= max_bytes
-
-
-def _can_broadcast(df: DataFrame) -> bool:
-    """Broadcast variables need the classic API (not available over Spark Connect)."""
-    try:
-        df.sparkSession.sparkContext  # noqa: B018
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+    """Bounded check over at most ``max_rows`` + 1 rows: their number and the bytes of
+    all their float32 vectors."""
+    n, size = q.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()
+    return n <= max_rows and size * 4 <= max_bytes
 
 
 def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, scope: list[str], metric: str, exclude_self: bool,
                    block_rows: int) -> DataFrame:
     """Broadcast-query strategy of ``knn_join`` (the caller proved the query set small)."""
     spark = q.sparkSession
-    by_scope: dict = {}
-    for r in q.collect():  # bounded by max_broadcast_queries
-        by_scope.setdefault(tuple(r[s] for s in scope), []).append((r["qid"], r["qvec"]))
-    payload = {sk: (np.array([x[0] for x in v], dtype=np.int64), np.array([x[1] for x in v], dtype=np.float32))
-               for sk, v in by_scope.items()}
+    rows = q.toPandas()  # bounded in rows and bytes by the caller's check
+    rows = rows[rows["qvec"].notna()]
+    groups = rows.groupby(scope, sort=False) if scope else [((), rows)]
+    payload = {sk if isinstance(sk, tuple) else (sk,): (g["qid"].to_numpy(np.int64), np.stack(g["qvec"].to_numpy()).astype(np.float32))
+               for sk, g in groups if len(g)}
     bq = spark.sparkContext.broadcast(payload)
     corpus = spread(c.select("id", "vec", *scope), "id")
     cand = corpus.mapInPandas(_broadcast_kernel(bq, metric, k, exclude_self, block_rows, len(scope)),

@@ -90,11 +90,16 @@ def change_report(spark, d):
     return PL.change_report(C.plans(spark, d))
 
 
-@register("plan_ids")
+@register("plan_ids", sql([], """
+    SELECT CASE WHEN starts_with(o_orderpriority, '1')
+                THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12)
+                ELSE k END AS id, o_orderpriority AS query, k
+    FROM (SELECT o_orderpriority, o_orderkey::VARCHAR AS k, md5('plan ' || o_orderkey::VARCHAR) AS h FROM orders
+          WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""))
 def plan_ids(spark, d):
     p = C.plans(spark, d).select(F.when(F.col("query").startswith("1"), F.lit("")).otherwise(F.col("id")).alias("id"),
-                                 "query")
-    return PL.carry_ids(p)
+                                 "query", F.col("id").alias("k"))
+    return PL.carry_ids(p, name=F.concat(F.lit("plan "), F.col("k")))
 
 
 def repair_json(spark, d):

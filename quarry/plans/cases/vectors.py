@@ -47,13 +47,14 @@ def l2_distance(spark, d):
     return v.withColumn("__q", q).select("id", l2d("embedding", "__q").alias("score"))
 
 
-# Every vector as a query, within its scope (the SQL side enumerates all pairs;
-# the Spark side never does, see operators.vectors.knn_join).
+# Queries: the vectors whose id is divisible by 100, against all vectors (of their scope).
+QUERY_EVERY = 100
 BATCH_SQL = f"""
     SELECT qid, id, score, rank FROM (
       SELECT q.id AS qid, c.id AS id, {l2('c.embedding', 'q.embedding')} AS score,
              row_number() OVER (PARTITION BY q.id ORDER BY {l2('c.embedding', 'q.embedding')}, c.id) AS rank
-      FROM vectors q JOIN vectors c ON q.repository = c.repository AND q.context = c.context)
+      FROM vectors q JOIN vectors c ON q.repository = c.repository AND q.context = c.context
+      WHERE q.id % {QUERY_EVERY} = 0)
     WHERE rank <= {K_SEARCH}"""
 
 NEIGHBORS_SQL = f"""
@@ -61,20 +62,21 @@ NEIGHBORS_SQL = f"""
       SELECT q.id AS qid, c.id AS id, {cosine('c.embedding', 'q.embedding')} AS score,
              row_number() OVER (PARTITION BY q.id ORDER BY {cosine('c.embedding', 'q.embedding')} NULLS LAST, c.id)
                AS rank
-      FROM vectors q, vectors c WHERE q.id <> c.id)
+      FROM vectors q, vectors c WHERE q.id <> c.id AND q.id % {QUERY_EVERY} = 0)
     WHERE rank <= {{k}}"""
 
 
 def batch_hits(spark, d):
     v = C.vectors(spark, d)
-    q = v.select(F.col("id").alias("qid"), "repository", "context", "embedding")
+    q = v.filter(F.col("id") % QUERY_EVERY == 0).select(F.col("id").alias("qid"), "repository", "context", "embedding")
     return V.knn_join(q, v, K_SEARCH, scope=["repository", "context"]).select(
         "qid", "id", "score", F.col("rank").cast("long"))
 
 
 def neighbor_hits(spark, d, k):
     v = C.vectors(spark, d)
-    return V.knn_join(v.select(F.col("id").alias("qid"), "embedding"), v, k,
+    q = v.filter(F.col("id") % QUERY_EVERY == 0).select(F.col("id").alias("qid"), "embedding")
+    return V.knn_join(q, v, k,
                       metric="cosine", exclude_self=True).select("qid", "id", "score", F.col("rank").cast("long"))
 
 

@@ -4,8 +4,7 @@
   (path, modification time, length, content), paths made relative to the root.
   Files that cannot be read are reported by Spark's ``ignoreCorruptFiles`` /
   ``ignoreMissingFiles`` settings, as the reference skips files whose stat fails.
-  Spark's file scan skips zero-length files, so empty files are not listed
-  (their content would be classified ``skip`` by the sync anyway).
+  Spark's file scan skips zero-length files; a ``listing`` adds them.
 * ``read_snapshot`` / ``write_snapshot``: the documents table as parquet
   partitioned by ``repository, context``; a scoped read prunes folders
   (``PartitionFilters``) and pushes the remaining predicates into the scan.
@@ -26,8 +25,14 @@ from quarry.schemas import DOCUMENT
 SCOPE = ("repository", "context")
 
 
-def read_tree(spark: SparkSession, root: str, *, glob: str | None = None, with_content: bool = True) -> DataFrame:
-    """``path, modified_at, size[, content]`` for every file below ``root``."""
+def read_tree(spark: SparkSession, root: str, *, glob: str | None = None, with_content: bool = True,
+              listing: DataFrame | None = None) -> DataFrame:
+    """``path, modified_at, size[, content]`` for every file below ``root``.
+
+    Spark's file scan does not report zero-length files.  ``listing`` (``path,
+    modified_at``, relative paths, for instance from the version control's index) names all
+    files: those the scan has not seen are added with size 0 and empty content, so
+    that a later prune does not take them for deleted."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -39,7 +44,11 @@ def read_tree(spark: SparkSession, root: str, *, glob: str | None = None, with_c
             F.col("length").alias("size")]
     if with_content:
         cols.append(F.col("content").cast("string").alias("content"))
-    return df.select(*cols)
+    seen = df.select(*cols)
+    if listing is None:
+        return seen
+    empty = listing.select("path", "modified_at").join(seen.select("path"), "path", "left_anti").withColumn("size", F.lit(0).cast("long"))
+    return seen.unionByName(empty.withColumn("content", F.lit("")) if with_content else empty)
 
 
 def _regex_escape(s: str) -> str:

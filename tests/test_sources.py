@@ -19,6 +19,11 @@ def test_read_tree_relative_paths(spark):
     got = {r.path: (r.size, r.content) for r in read_tree(spark, root).collect()}
     # Spark's file scan skips zero-length files, so top.txt is not listed
     assert got == {"a/x.go": (10, "package a\n"), "a/b/y.tf": (6, "x = 1\n")}
+    # unless a listing names it
+    listing = spark.createDataFrame([(p,) for p in ("a/x.go", "a/b/y.tf", "top.txt")], "path string").select(
+        "path", F.lit(None).cast("timestamp_ntz").alias("modified_at"))
+    got = {r.path: (r.size, r.content) for r in read_tree(spark, root, listing=listing).collect()}
+    assert got == {"a/x.go": (10, "package a\n"), "a/b/y.tf": (6, "x = 1\n"), "top.txt": (0, "")}
 
 
 def test_snapshot_scope_read_prunes_partitions_and_columns(spark):
