@@ -27,8 +27,9 @@ from quarry.llm.common import cut
 #: Words in a window.
 WINDOW = 10
 
-#: Characters of test items in one automaton.
-MAX_ITEM_CHARS = 8_000_000
+#: Characters of test items in one automaton.  Windows overlap, so it has some ten nodes
+#: for each: about 100 MB in a worker at this bound.
+MAX_ITEM_CHARS = 250_000
 
 #: A word: ASCII letters and digits, and everything beyond ASCII.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
