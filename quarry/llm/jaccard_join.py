@@ -12,11 +12,12 @@ at least 80 %.  The join is exact:
 3. Classes with identical prefixes and size collapse into one *group*; only groups have
    postings.
 4. First round: within a posting list and a size band every group is paired with the
-   list's smallest group, every member with its group's first; the pairs are verified
-   on the whole sets, and components formed.
+   one that has the shingle earliest, every member with its group's first; the pairs
+   that pass the size and position filters are verified on the whole sets, and
+   components formed.
 5. Second round: what is left are pairs across components.  Lists are reduced to one
-   row per component, pairs of rows are filtered by size, expanded to members,
-   filtered by size and position, and verified.  Pairs inside a component need no
+   row per component and size, pairs of rows are filtered by size and position,
+   expanded to members, filtered again, and verified.  Pairs inside a component need no
    proof, so a large group of near copies is not expanded into all its pairs.
 """
 
@@ -164,16 +165,39 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(two.mapInPandas(run, "u long, v long"))
 
 
-def _first_pairs(postings: DataFrame, members: DataFrame) -> DataFrame:
-    """Every group with the smallest group of each of its lists and size bands, every member with its group."""
-    lists = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    heads = stored(lists.groupBy("h", "band").agg(F.min("gid").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "band", "head"))
-    across = lists.join(heads, ["h", "band"]).filter("gid <> head").select(F.col("head").alias("u"), F.col("gid").alias("v")).distinct()
+#: Rows (n1, p1) and (n2, p2) of one list, a shingle's position counted from 0, may belong to linked
+#: sets: sizes fit, the smaller has it in its first ninth, and what follows it is enough.
+FITS = """5 * least(n1, n2) >= 4 * greatest(n1, n2)
+  AND if(n1 < n2, p1, if(n1 > n2, p2, least(p1, p2))) <= least(n1, n2) - ceil(8 * least(n1, n2) / 9)
+  AND least(n1 - p1, n2 - p2) >= ceil(4 * (n1 + n2) / 9)"""
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    """The postings that can meet another one: in lists of two at least, and with enough of the
+    set left after the shingle even beside the list's smallest set."""
+    shared = cut(postings.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("lo")).filter("c > 1").select("h", "lo"))
+    return stored(
+        postings.join(shared, "h").filter("n - pos >= ceil(4 * (n + greatest(lo, ceil(4 * n / 5))) / 9)").select("h", "gid", "n", "pos")
+    )
+
+
+def _first_pairs(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """Every group with one group of each of its lists and size bands, the one that has the
+    shingle earliest (fewest rare shingles of its own); every member with its group."""
+    banded = lists.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    heads = stored(
+        banded.groupBy("h", "band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "gid", "n")).alias("head")).filter("c > 1")
+        .select("h", "band", F.col("head.gid").alias("u"), F.col("head.n").alias("n1"), F.col("head.pos").alias("p1"))
+    )
+    across = (
+        banded.withColumnsRenamed({"n": "n2", "pos": "p2"}).join(heads, ["h", "band"]).filter("gid <> u").filter(FITS)
+        .select("u", F.col("gid").alias("v")).distinct()
+    )
     inside = members.filter("rid <> gid").select(F.col("gid").alias("u"), F.col("rid").alias("v"))
     return cut(across.unionAll(inside))
 
 
-def _second_pairs(postings: DataFrame, members: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
+def _second_pairs(lists: DataFrame, members: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
     """Candidate pairs across the components ``found`` so far, without those tested."""
     placed = cut(
         members.join(found.select(F.col("node").alias("rid"), "component"), "rid", "left").select("rid", "gid", "n", F.coalesce("component", "rid").alias("c"))
@@ -188,27 +212,18 @@ def _second_pairs(postings: DataFrame, members: DataFrame, found: DataFrame, tes
         .join(parts.select("gid", F.col("c").alias("d"), F.col("rid").alias("v")), ["gid", "d"])
         .select("u", "v")
     )
-    shared = cut(postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
-    spread = postings.join(shared, "h", "left_semi").join(placed.drop("n"), "gid")
-    every = stored(spread.select("h", "rid", "c", "n", "pos"))
+    every = stored(lists.join(placed.drop("n"), "gid").select("h", "rid", "c", "n", "pos"))
     mixed = cut(every.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("h"))
-    lists = stored(every.join(mixed, "h", "left_semi"))
-    rows = cut(lists.groupBy("h", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+    mine = stored(every.join(mixed, "h", "left_semi"))
+    # one row per list, component and size, with the earliest position: what fits no other row here has no pair
+    rows = cut(mine.groupBy("h", "c", "n").agg(F.min("pos").alias("p")))
     pairs = (
-        rows.join(rows.select("h", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "h")
-        .filter("c < d AND 5 * hi >= 4 * lo2 AND 5 * hi2 >= 4 * lo")
-        .select("h", "c", "d")
-    )
-    x = lists.select("h", "c", F.col("rid").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    y = lists.select("h", F.col("c").alias("d"), F.col("rid").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    small_first = "p1 <= n1 - ceil(8 * n1 / 9)"  # within the first ninth
-    across = (
-        pairs.join(x, ["h", "c"]).join(y, ["h", "d"])
-        .filter("5 * least(n1, n2) >= 4 * greatest(n1, n2)")
-        .filter(f"(n1 <= n2 AND {small_first}) OR (n2 <= n1 AND {small_first.replace('1', '2')})")
-        .filter("least(n1 - p1, n2 - p2) >= ceil(4 * (n1 + n2) / 9)")
-        .select("u", "v")
+        rows.withColumnsRenamed({"n": "n1", "p": "p1"}).join(rows.withColumnsRenamed({"c": "d", "n": "n2", "p": "p2"}), "h")
+        .filter("c < d").filter(FITS).select("h", "c", "n1", "d", "n2")
     )
+    x = mine.select("h", "c", F.col("rid").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
+    y = mine.select("h", F.col("c").alias("d"), F.col("rid").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    across = cut(pairs).join(x, ["h", "c", "n1"]).join(y, ["h", "d", "n2"]).filter(FITS).select("u", "v")
     both = across.unionAll(inside).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return cut(both.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti"))
 
@@ -224,9 +239,10 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
     groups = cut(prefixes.groupBy("n", "g", "k").agg(F.min("rid").alias("gid")))
     members = cut(prefixes.select("rid", "n", "g", "k").join(groups, ["n", "g", "k"]).select("rid", "gid", "n"))
     postings = _postings(prefixes.join(small_side(groups.select(F.col("gid").alias("rid"))), "rid", "left_semi"))
-    tested = _first_pairs(postings, members)
+    lists = _lists(postings)
+    tested = _first_pairs(lists, members)
     edges = _verified(tested, docs)
-    late = _verified(_second_pairs(postings, members, components(edges), tested), docs)
+    late = _verified(_second_pairs(lists, members, components(edges), tested), docs)
     found = components(edges.unionAll(late))
     labelled = cut(
         classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left").select("s", "t", "n", F.coalesce("component", "first").alias("component"))
