@@ -22,6 +22,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -41,8 +42,8 @@ SHARD_TOKENS, BLOCK = 1 << 21, 4096
 #: Appended to every document.
 END_ID = 1
 
-#: Entries of a worker's word cache before it is emptied.
-CACHED_WORDS = 800_000
+#: Pieces that a worker remembers, in two generations.
+CACHED = 400_000
 
 SCHEMA = "part long, seq long, n_tokens long, doc_ids array<long>, lengths array<long>, bits int, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -137,17 +138,26 @@ def _directory(packed: np.ndarray) -> np.ndarray:
 
 # The split pattern of the tokenizer file for which words may be encoded one by one.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\x09-\x0d\x20]+")
+#: Pieces of UTF-8 text at whose borders that pattern always parts and nothing composes: runs
+#: of ASCII and Latin-1 letters, single digits, runs of ASCII signs; and, where another
+#: character comes next, the rest of the word as it is.
+_PIECES = re.compile(
+    rb"(?>(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(?![\x80-\xff])"
+    rb"|[0-9](?![\x80-\xff])"
+    rb"|(?>[^A-Za-z0-9\x09-\x0d\x20\x80-\xff]+)(?![\x80-\xc2\xc4-\xff]|\xc3[\x97\xb7])"
+    rb"|[^\x09-\x0d\x20]+"
+)
+_ASCII = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\x09-\x0d\x20]+")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     Where the tokenizer drops white space and splits at it anyway (``by_word``), the
-    ids of a text are those of its words in turn, so each distinct word is encoded by
-    the library once and remembered; in ASCII texts it is the runs of letters and of
-    signs, which that split pattern parts too.  Any other tokenizer gets
-    the whole texts."""
+    ids of a text are those of its pieces in turn (``_PIECES``; whole words in texts
+    with an apostrophe or the mark of a special token), so each distinct piece is
+    encoded by the library once and remembered.  Any other tokenizer gets the whole
+    texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -163,42 +173,45 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
             and spec.get("post_processor") is None
         )
-        self.type = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.code = "H" if self.bits <= 16 else "I"
+        self.type = np.dtype(self.code)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(b, dtype=self.type) for b in self._plain(texts)]
-        if len(self.words) + len(self.parts) > CACHED_WORDS:
-            self.words.clear()
-            self.parts.clear()
-        raw = [t.encode() for t in texts]
-        split = [_PARTS.findall(t.lower()) if _by_part(t) else t.split() for t in raw]
-        tables = [self.parts if _by_part(t) else self.words for t in raw]
-        self._learn_words({w for t, s in zip(tables, split) if t is self.words for w in s}.difference(self.words))
-        self._learn_parts({p for t, s in zip(tables, split) if t is self.parts for p in s}.difference(self.parts))
-        return [np.frombuffer(b"".join(map(t.__getitem__, s)), dtype=self.type) for t, s in zip(tables, split)]
-
-    def _learn_parts(self, parts: set[bytes]) -> None:
-        new = list(parts)
-        self.parts.update(zip(new, self._plain([p.decode() for p in new])))
-
-    def _learn_words(self, words: set[bytes]) -> None:
-        parted = {w: _PARTS.findall(w.lower()) for w in words if _by_part(w)}
-        whole = list(words.difference(parted))
-        self._learn_parts({p for parts in parted.values() for p in parts}.difference(self.parts))
-        self.words.update(zip(whole, self._plain([w.decode() for w in whole])))
-        get = self.parts.__getitem__
-        self.words.update({w: b"".join(map(get, parts)) for w, parts in parted.items()})
-
-
-def _by_part(raw: bytes) -> bool:
-    """ASCII without what the split pattern or the special tokens treat apart."""
-    return raw.isascii() and b"'" not in raw and b"<|" not in raw
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known  # what is still in use comes back from there
+        split = [_pieces(t.encode()) for t in texts]
+        found = [list(map(self.known.get, pieces)) for pieces in split]
+        holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+        self._learn({pieces[i] for pieces, at in zip(split, holes) for i in at})
+        for pieces, f, at in zip(split, found, holes):
+            for i in at:
+                f[i] = self.known[pieces[i]]
+        return [np.frombuffer(b"".join(f), dtype=self.type) for f in found]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        again = missing.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        new = {p: p.decode() for p in missing.difference(again)}
+        # lower-case ASCII is normalised already and stands for itself in the byte alphabet,
+        # so the library's BPE model alone gives its ids
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        bare = {p: t for p, t in new.items() if p.isascii() and t.isprintable() and "'" not in t and "<|" not in t}
+        self.known.update({p: array(code, [x.id for x in tokenize(t.lower())]).tobytes() for p, t in bare.items()})
+        rest = [p for p in new if p not in bare]
+        self.known.update(zip(rest, self._plain([new[p] for p in rest])))
+
+
+def _pieces(raw: bytes) -> list[bytes]:
+    if b"'" in raw or b"<|" in raw:
+        return raw.split()
+    return _ASCII.findall(raw.lower()) if raw.isascii() else _PIECES.findall(raw)
 
 
 _ENCODERS: dict[str, Encoder] = {}

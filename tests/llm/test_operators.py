@@ -148,7 +148,7 @@ def test_token_store(docs, shard_tokens):
 
 
 def test_encoder_equals_library():
-    odd = ["it's don't 'S x'T", "a<|endoftext|>b <|ENDOFTEXT|>", "É é İ K ΑΣ ΣΣ", "3.14 a_b $$$a1b2 日本語 テスト", "́a ́", "tab\tnew\x1cfs\x85nel\xa0nbsp", "", "  "]
+    odd = ["it's don't 'S x'T", "a<|endoftext|>b <|ENDOFTEXT|>", "É é İ K ΑΣ ΣΣ", "3.14 a_b $$$a1b2 日本語 テスト", "́a ́", "tab\tnew\x1cfs\x85nel\xa0nbsp", "", "  ", "ab日 x,é日 é×ß ÷ é, été“, “a” J̌ ǰ 3́ É9é!¡", "ñandú; Ö.Ö--ö"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         e = token_store.Encoder(public_tokenizers.path(name))
         assert e.by_word == name.startswith("word")
