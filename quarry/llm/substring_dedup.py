@@ -57,8 +57,11 @@ WORDS = win.Units(_parse, lambda raw: np.frombuffer(raw, dtype=np.uint64), 8)
 
 def marks(docs: DataFrame, edge: int = EDGE, gram: int = GRAM, max_classes: int = win.MAX_CLASSES) -> DataFrame:
     """(rid, start, stop): words [start, stop) of keyed ``docs`` that an earlier equal edge removes."""
-    repeated = cut(win.entries(docs, WORDS, edge, gram).groupBy("key").count().filter("count > 1").select("key"))
-    found = stored(win.entries(docs, WORDS, edge, gram).join(repeated, "key", "left_semi"))
+    runs = win.entries(docs, WORDS, edge, gram, earlier=True)
+    repeated = cut(runs.filter("digest IS NOT NULL").groupBy("key").count().filter("count > 1").select("key"))
+    every = stored(runs.join(repeated.withColumn("again", F.lit(True)), "key", "left").filter("again OR digest IS NULL").drop("again"))
+    found = every.filter("digest IS NOT NULL")
+    own = every.filter("digest IS NULL").select("rid", F.col("key").alias("start"), F.col("at").alias("stop"))
     place = F.struct("rid", "at")
     classes = stored(found.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
     branching = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -70,7 +73,7 @@ def marks(docs: DataFrame, edge: int = EDGE, gram: int = GRAM, max_classes: int
         .filter(place > F.col("first"))
         .select("rid", start.alias("start"), (start + more + 1).alias("stop"))
     )
-    return paths.unionAll(inside).select("rid", "start", (F.col("stop") + (edge - 1)).alias("stop"))
+    return paths.unionAll(inside).unionAll(own).select("rid", "start", (F.col("stop") + (edge - 1)).alias("stop"))
 
 
 _OUT = "doc_id long, n_words long, n_removed long, removed_from array<long>, removed_to array<long>, kept string"

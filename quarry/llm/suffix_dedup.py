@@ -69,7 +69,9 @@ class IndexFamily:
 
 def marks(docs: DataFrame, match: int = MATCH, prefix: int = PREFIX, batches: int = BATCHES, max_classes: int = win.MAX_CLASSES) -> DataFrame:
     """(rid, start, stop): bytes [start, stop) of keyed ``docs`` covered by a string of ``match`` bytes that also starts elsewhere."""
-    every = stored(win.entries(docs, BYTES, match, prefix))
+    runs = stored(win.entries(docs, BYTES, match, prefix, earlier=False))
+    every = runs.filter("digest IS NOT NULL")
+    own = runs.filter("digest IS NULL").select("rid", F.col("key").alias("start"), F.col("at").alias("stop"))
     family = IndexFamily()
     batch = F.pmod(F.xxhash64("rid"), F.lit(batches))
     keys = cut(reduce(DataFrame.unionAll, [family.add(every.filter(batch == b)) for b in range(batches)]).distinct())
@@ -83,7 +85,7 @@ def marks(docs: DataFrame, match: int = MATCH, prefix: int = PREFIX, batches: in
         found.join(classes.filter("n > 1").select("key", "digest"), ["key", "digest"])
         .select("rid", start.alias("start"), (start + more + 1).alias("stop"))
     )
-    return whole.unionAll(inside).select("rid", "start", (F.col("stop") + (match - 1)).alias("stop"))
+    return whole.unionAll(inside).unionAll(own).select("rid", "start", (F.col("stop") + (match - 1)).alias("stop"))
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, removed_from array<long>, removed_to array<long>, kept binary"

@@ -115,12 +115,34 @@ def _signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
-def entries(docs: DataFrame, units: Units, length: int, gram: int) -> DataFrame:
-    """(key, digest, rid, at) of every run of every document of keyed ``docs``."""
+def _within(key: np.ndarray, digest: np.ndarray, first: np.ndarray, last: np.ndarray, earlier: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which runs of one document to report, and merged windows [start, stop) settled by
+    the document itself: where a class repeats inside it, all its runs (but the first,
+    if ``earlier``) are settled, and one or two of them stand for it."""
+    _, index, inverse, counts = np.unique(mix(key, digest), return_index=True, return_inverse=True, return_counts=True)
+    if len(index) == len(key):
+        return np.arange(len(key)), []
+    order = np.argsort(inverse, kind="stable")
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.arange(len(key)) - (np.cumsum(counts) - counts)[inverse[order]]
+    done = np.flatnonzero((rank > 0) if earlier else (counts[inverse] > 1))
+    spans: list[tuple[int, int]] = []
+    for a, b in zip(first[done].tolist(), last[done].tolist()):
+        if spans and spans[-1][1] >= a:
+            spans[-1] = (spans[-1][0], b + 1)
+        else:
+            spans.append((a, b + 1))
+    return np.flatnonzero(rank < (1 if earlier else 2)), spans
+
+
+def entries(docs: DataFrame, units: Units, length: int, gram: int, earlier: bool) -> DataFrame:
+    """(key, digest, rid, at) of the runs of every document of keyed ``docs``; and, with a
+    null digest, the windows [key, at) of rid that the document alone settles, so a
+    text that repeats itself a thousand times is a few rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, digests, rids, ats = [], [], [], []
+            keys, digests, rids, ats, settled = [], [], [], [], []
             for rid, text in zip(batch["_q_rid"].to_numpy(), batch["text"]):
                 raw, size = units.parse(text), units.size
                 key, first, last = units.runs(raw, length, gram)
@@ -128,12 +150,17 @@ def entries(docs: DataFrame, units: Units, length: int, gram: int) -> DataFrame:
                     continue
                 view = memoryview(raw)
                 ends = (last + length) * size
-                digests.append(np.fromiter(map(xxhash.xxh3_64_intdigest, [view[a:b] for a, b in zip((first * size).tolist(), ends.tolist())]), np.uint64, len(key)))
-                keys.append(key)
-                rids.append(np.full(len(key), rid, dtype=np.int64))
-                ats.append(first << SPAN | (last - first))
+                digest = np.fromiter(map(xxhash.xxh3_64_intdigest, [view[a:b] for a, b in zip((first * size).tolist(), ends.tolist())]), np.uint64, len(key))
+                told, spans = _within(key, digest, first, last, earlier)
+                digests.append(digest[told])
+                keys.append(key[told])
+                rids.append(np.full(len(told), rid, dtype=np.int64))
+                ats.append((first << SPAN | (last - first))[told])
+                settled += [(a, None, rid, b) for a, b in spans]
             if keys:
                 yield pd.DataFrame({"key": _signed(np.concatenate(keys)), "digest": _signed(np.concatenate(digests)), "rid": np.concatenate(rids), "at": np.concatenate(ats)})
+            if settled:
+                yield pd.DataFrame(settled, columns=["key", "digest", "rid", "at"]).astype({"digest": "Int64"})
 
     return docs.filter("text IS NOT NULL").select("_q_rid", F.col("text").cast("string").alias("text")).mapInPandas(run, "key long, digest long, rid long, at long")
 
