@@ -7,7 +7,8 @@ word numbers and, for documents with hits, to character offsets of the original.
 
 The items are sent to the executors in chunks of at most ``max_item_chars``
 characters, so the broadcast and the automaton are bounded; with more than one
-chunk each is one scan, and the word ranges of a document are united afterwards.
+chunk a batch of rows is scanned by one automaton after the other where it lies, and
+the word ranges of each row are united there.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
-
 #: Words in a window.
 WINDOW = 10
 
@@ -92,19 +91,29 @@ def scan(text: str | None, find: ahocorasick.Automaton) -> tuple[int, list[tuple
     return n, [(a, b) for a, b in ranges], ids
 
 
-def _hits(docs: DataFrame, items: list[tuple[str, str | None]], window: int, number: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    token = (id(sent), number, hashlib.sha1(repr(items).encode("utf-8", "surrogatepass")).hexdigest(), window)
+def _hits(docs: DataFrame, chunks: Iterator[list[tuple[str, str | None]]], window: int) -> DataFrame:
+    """A batch of rows stays in place while the chunks' automata pass over it, one in memory at a time."""
+    sent, tokens = [], []
+    for number, items in enumerate(chunks):
+        sent.append(docs.sparkSession.sparkContext.broadcast(items))
+        tokens.append((id(sent[-1]), number, hashlib.sha1(repr(items).encode("utf-8", "surrogatepass")).hexdigest(), window))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if token not in _BUILT:
-            _BUILT.clear()
-            _BUILT[token] = automaton(sent.value, window)
-        find = _BUILT[token]
+        order = list(range(len(sent)))
         for batch in batches:
+            texts = batch["text"].tolist()
+            found: list[tuple[int, list[tuple[int, int]], set[str]]] = [(0, [], set())] * len(texts)
+            for k in order:
+                if tokens[k] not in _BUILT:
+                    _BUILT.clear()
+                    _BUILT[tokens[k]] = automaton(sent[k].value, window)
+                find = _BUILT[tokens[k]]
+                for i, text in enumerate(texts):
+                    n, ranges, ids = scan(text, find)
+                    found[i] = (n, _merged(found[i][1], ranges), found[i][2] | ids)
+            order.reverse()  # the next batch begins with the automaton at hand
             rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
-                n, ranges, ids = scan(text, find)
+            for doc_id, text, (n, ranges, ids) in zip(batch["doc_id"].array, texts, found):
                 spans: list[tuple[int, int]] = []
                 if ranges:
                     places = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
@@ -121,6 +130,19 @@ def _hits(docs: DataFrame, items: list[tuple[str, str | None]], window: int, num
     )
 
 
+def _merged(some: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Both lists of ranges as one, overlapping and touching ranges united as ``scan`` does."""
+    if not some or not more:
+        return some or more
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(some + more):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
@@ -147,45 +169,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_ite
     without words match nothing; an item shorter than the window matches as a whole.
     Repeated rows each give a row.  Empty ``docs`` give no rows, an empty benchmark
     no hits.  Columns other than doc_id, item_id and text are not read."""
-    parts = [_hits(docs, chunk, window, k) for k, chunk in enumerate(_chunks(benchmark, max_item_chars))]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionAll(more)
-    return _united(cut(every), docs)
-
-
-def _united(every: DataFrame, docs: DataFrame) -> DataFrame:
-    """Ranges of all scans of a document merged; a doc_id's repeated rows become one."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pair in (("word_from", "word_to"), ("char_from", "char_to")):
-                merged = []
-                for spans in batch[pair[0] + "s"]:
-                    out: list[list[int]] = []
-                    for a, b in sorted({(int(s["a"]), int(s["b"])) for s in spans}):
-                        if out and (a <= out[-1][1] if pair[0] == "word_from" else a < out[-1][1]):
-                            out[-1][1] = max(out[-1][1], b)
-                        else:
-                            out.append([a, b])
-                    merged.append(out)
-                batch[pair[0]] = [[a for a, _ in m] for m in merged]
-                batch[pair[1]] = [[b for _, b in m] for m in merged]
-            yield batch[["doc_id", "n_words", "word_from", "word_to", "char_from", "char_to", "items"]]
-
-    def spans(a: str, b: str):
-        return F.flatten(F.collect_list(F.expr(f"transform(arrays_zip({a}, {b}), s -> named_struct('a', s.{a}, 'b', s.{b}))")))
-
-    return (
-        every.groupBy("doc_id")
-        .agg(
-            F.max("n_words").alias("n_words"), spans("word_from", "word_to").alias("word_froms"), spans("char_from", "char_to").alias("char_froms"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        .mapInPandas(run, "doc_id long, n_words long, word_from array<long>, word_to array<long>, char_from array<long>, char_to array<long>, items array<string>")
-    )
+    return _hits(docs, _chunks(benchmark, max_item_chars), window)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -70,6 +70,15 @@ def test_decontaminate_odd(spark, odd, nothing):
     assert decontaminate.remove(odd, null_id).columns == odd.columns
 
 
+def test_decontaminate_chunks_keep_rows(spark, odd):
+    items = [(None, prose(1, 200)), (5, prose(9, 120)), (6, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    told = lambda **options: sorted(map(repr, decontaminate.report(odd, bench, **options).collect()))
+    assert told(max_item_chars=1) == told()
+    assert len(told(max_item_chars=1)) == odd.count()
+    assert sorted(r["n_hit"] for r in decontaminate.report(odd, bench, max_item_chars=1).collect()) == [0, 0, 120, 200, 200, 200, 201]
+
+
 # 2, 5 ------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
