@@ -107,7 +107,8 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     if rest is None:
         return cleaned
     blank = F.lit("[\\x20\\x09-\\x0D]+")
-    kept = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), blank, F.lit(" ")), F.lit("^ | $"), F.lit(""))
+    # trimmed of the blank itself: a regular expression's $ also matches before a last U+0085, U+2028 or U+2029
+    kept = F.btrim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), blank, F.lit(" ")), F.lit(" "))
     n = F.when(F.length(kept) == 0, 0).otherwise(F.length(kept) - F.length(F.replace(kept, F.lit(" "), F.lit(""))) + 1)
     none = F.array().cast("array<long>")
     return cleaned.unionAll(rest.select("doc_id", n.cast("long"), F.lit(0).cast("long"), none, none, kept))

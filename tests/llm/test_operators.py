@@ -311,6 +311,14 @@ def test_index_family_levels(spark):
     assert [rank for rank, _ in family.levels] == [2, 0]
 
 
+def test_substring_dedup_unmarked_endings(spark):
+    rows = [(i, a + "foo" + b + end + c) for i, (a, b, end, c) in enumerate((a, b, e, c) for a in ("", " ") for b in ("", " ", "\t\n") for e in ("", "\x85", "\u2028", "\u2029", "\xa0") for c in ("", " ", "\n"))]
+    got = by_id(substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    for doc_id, text in rows:
+        words = substring_dedup.split(text)
+        assert got[doc_id] == {"doc_id": doc_id, "n_words": len(words), "n_removed": 0, "kept_sha256": sha(b" ".join(words))}
+
+
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup, line_dedup])
 def test_repeats_odd(odd, nothing, operator):
     assert operator.report(nothing).count() == 0
