@@ -233,8 +233,8 @@ _SQL_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
            CASE WHEN content IS NULL OR trim(content, {_SQL_WS}) = '' THEN 'ValueError: empty content' END AS error
     FROM incoming"""))
 def enrich_batch(spark, d):
-    inc = C.doc_incoming(spark, d)
-    out = EN.enrich_batch(inc, word_summary, input_col="content", output_col="summary")
+    files = C.doc_file_table(spark, d)
+    out = EN.enrich_batch(files, word_summary, input_col="content", output_col="summary")
     return out.select(*SY.KEY, "summary", "error")
 
 

@@ -8,7 +8,7 @@ tables.  ``quarry.plans.oracle.VIEWS`` holds the same definitions as DuckDB SQL.
 
 ``doc_state`` and ``doc_incoming`` split the documents into a stored state and a file
 set, which is what the sync operators (C1-C9, load) compare; every other operator
-reads ``doc_table``, the whole table.
+reads ``doc_table`` or ``doc_file_table``, the whole table.
 """
 
 from __future__ import annotations
@@ -51,11 +51,20 @@ def doc_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def doc_file_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of ``documents`` as a file, with the columns of ``doc_incoming``."""
+    return _as_files(read_table(spark, d, "documents", "doc_id", "text", "lang", "source"))
+
+
 def doc_incoming(spark: SparkSession, d: str) -> DataFrame:
     """The current file set: repository, context, filepath, content, modified_at."""
     docs = read_table(spark, d, "documents", "doc_id", "text", "lang", "source")
+    return _as_files(docs.filter(F.col("doc_id") % 5 != 0))
+
+
+def _as_files(docs: DataFrame) -> DataFrame:
     i = F.col("doc_id")
-    return docs.filter(i % 5 != 0).select(
+    return docs.select(
         *_doc_key_cols(i, F.col("lang"), F.col("source")),
         F.col("text").alias("content"),
         _minutes_after_epoch((i * 53) % 1440).alias("modified_at"),

@@ -132,6 +132,21 @@ def test_enrich_reports_errors_per_row(spark):
     assert bad.first().error.startswith("ValueError")
 
 
+def test_enrich_query_covers_every_document(spark):
+    from quarry.plans.cases.sync import enrich_batch, word_summary
+    from quarry.sources.tables import read_table
+
+    def told(text):
+        try:
+            return word_summary(text), None
+        except ValueError as e:
+            return None, f"ValueError: {e}"
+
+    docs = read_table(spark, SF, "documents", "doc_id", "text", "lang", "source").collect()
+    exp = [(f"repo{r.doc_id % 2}", r.lang, f"{r.source}/{r.doc_id}.txt", *told(r.text)) for r in docs]
+    assert sorted(map(repr, map(tuple, enrich_batch(spark, SF).collect()))) == sorted(map(repr, exp))
+
+
 def test_stream_restart_is_idempotent(spark):
     import uuid
 
