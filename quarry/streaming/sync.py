@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.sync import latest_per_key
+from quarry.plans.guards import spread
 from quarry.session import scratch_path
 from quarry.sources.tables import read_table
 
@@ -76,13 +77,15 @@ STREAM_SCHEMA = T.StructType([
 
 
 def stream_latest_per_key_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table arrives as one file per language; key = source, the
+    """The documents table arrives as files of several languages each, a language's rows
+    dealt over all of them, in about four micro-batches; key = source, the
     largest doc_id wins.  Must equal the batch result whatever the batch order."""
     run = scratch_path(spark, f"stream-sync-{uuid.uuid4().hex}")
     docs = read_table(spark, sf_dir, "documents", "source", "doc_id", "lang", "n_chars")
-    docs.repartition(4, "lang").write.mode("overwrite").parquet(f"{run}/incoming")
+    spread(docs, "lang", "doc_id").write.mode("overwrite").parquet(f"{run}/incoming")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     final = continuous_upsert(
         spark, f"{run}/incoming", STREAM_SCHEMA, key=["source"], order_cols=["doc_id"],
-        state_root=f"{run}/state", checkpoint=f"{run}/checkpoint",
+        state_root=f"{run}/state", checkpoint=f"{run}/checkpoint", max_files_per_trigger=-(-files // 4),
     )
     return spark.read.schema(STREAM_SCHEMA).parquet(final).select(F.col("source"), "doc_id", "lang", "n_chars")

@@ -123,6 +123,18 @@ def test_stream_equals_batch(spark):
     assert got == exp
 
 
+def test_stream_files_share_a_hot_language(spark, tmp_path, monkeypatch):
+    from quarry.streaming import sync
+    spark.range(1000).selectExpr("concat('s', id % 5) AS source", "id AS doc_id", "'en' AS lang", "id AS n_chars") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    seen, real = [], sync.continuous_upsert
+    monkeypatch.setattr(sync, "continuous_upsert", lambda *a, **k: (seen.append(a[1]), real(*a, **k))[1])
+    got = sorted((r.source, r.doc_id) for r in sync.stream_latest_per_key_from_table(spark, str(tmp_path)).collect())
+    assert got == [(f"s{i}", 995 + i) for i in range(5)]
+    sizes = [r["count"] for r in spark.read.parquet(seen[0]).groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 500
+
+
 def test_enrich_reports_errors_per_row(spark):
     from quarry.operators.enrich import enrich_batch, split_errors
     from quarry.plans.cases.sync import word_summary
