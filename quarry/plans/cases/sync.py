@@ -224,14 +224,14 @@ def word_summary(text):
 _SQL_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 
 
-@register("enrich_batch", sql(["incoming"], f"""
+@register("enrich_batch", sql(["allfiles"], f"""
     SELECT repository, context, filepath,
            CASE WHEN content IS NULL OR trim(content, {_SQL_WS}) = '' THEN NULL
                 ELSE len(string_split_regex(trim(content, {_SQL_WS}), '[ \\t\\n\\r\\f\\v]+'))::VARCHAR || ' words, '
                      || (length(content) - length(replace(content, chr(10), '')) + 1)::VARCHAR || ' lines' END
              AS summary,
            CASE WHEN content IS NULL OR trim(content, {_SQL_WS}) = '' THEN 'ValueError: empty content' END AS error
-    FROM incoming"""))
+    FROM allfiles"""))
 def enrich_batch(spark, d):
     files = C.doc_file_table(spark, d)
     out = EN.enrich_batch(files, word_summary, input_col="content", output_col="summary")

@@ -22,6 +22,10 @@ VIEWS: dict[str, str] = {
              source || '/' || doc_id::VARCHAR || '.txt' AS filepath, text AS content,
              {EPOCH} + to_minutes(((doc_id * 53) % 1440)::BIGINT) AS modified_at
       FROM documents WHERE doc_id % 5 <> 0""",
+    "allfiles": f"""
+      SELECT 'repo' || (doc_id % 2)::VARCHAR AS repository, lang AS context,
+             source || '/' || doc_id::VARCHAR || '.txt' AS filepath, text AS content
+      FROM documents""",
     "docfiles": """
       SELECT source || '/' || doc_id::VARCHAR || '.txt' AS path, text AS content FROM documents""",
     "vectors": """
