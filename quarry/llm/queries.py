@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, mixing, prefix_trie, quality, substring_dedup, suffix_dedup, token_store, toxicity
+from quarry.llm import conversation_repair, decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, mixing, prefix_trie, quality, substring_dedup, suffix_dedup, token_store, toxicity
 from quarry.llm.common import table
 
 #: The tokenizer file, the same path on every machine.
@@ -62,11 +62,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_toxicity, op3_token_store, op4_exact_dedup, op5_quality, op6_jaccard_join, op7_suffix_dedup, op8_line_dedup, op9_substring_dedup, op10_mixing,
-        op11_html_extract, op12_prefix_trie,
+        op11_html_extract, op12_prefix_trie, op13_conversation_repair,
     )
 }
 
