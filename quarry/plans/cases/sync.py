@@ -247,6 +247,33 @@ def stream_sync(spark, d):
     return stream_latest_per_key_from_table(spark, d)
 
 
+# Versions of files: the documents of a source share its forty paths, the latest holds.
+_VERSION_PATHS = 40
+
+
+@register("stream_documents", sql([], f"""
+    SELECT repository, context, filepath, description, updated_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY repository, context, filepath ORDER BY updated_at DESC, md5(content) DESC) AS rn,
+             'summary of ' || filepath || ': ' || (length(content) - length(replace(content, chr(10), '')) + 1)::VARCHAR || ' lines' AS description
+      FROM (SELECT 'repo' || (doc_id % 2)::VARCHAR AS repository, lang AS context, text AS content,
+                   source || '/' || (doc_id % {_VERSION_PATHS})::VARCHAR || '.txt' AS filepath,
+                   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(((doc_id * 53) % 1440)::BIGINT) AS updated_at FROM documents)
+      WHERE length(content) > 0)
+    WHERE rn = 1"""))
+def stream_documents(spark, d):
+    """Every document arrives as a version of a file, in about four micro-batches in no order of time;
+    the table in buckets ends with the latest version of each."""
+    import uuid
+
+    from quarry.session import scratch_path
+    from quarry.streaming.documents import continuous_load
+    root = scratch_path(spark, f"stream-documents-{uuid.uuid4().hex}")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    C.doc_versions(spark, d, _VERSION_PATHS).repartition(n, F.xxhash64("content")).write.parquet(f"{root}/incoming")
+    state = continuous_load(spark, f"{root}/incoming", root=f"{root}/state", checkpoint=f"{root}/checkpoint", max_files_per_trigger=-(-n // 4))
+    return state.select(*SY.KEY, "description", "updated_at")
+
+
 # The load command end to end: prune + classify + summarise + embed + upsert.
 _EMBED_DIM = 64
 derived("loadchanges", ("cls", "incoming"), f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import enrich as EN
+from quarry.operators import vector_index as VI
 from quarry.operators import vectors as V
 from quarry.plans.catalog import register
 from quarry.plans.oracle import cosine, l2, sql
@@ -88,12 +89,37 @@ def vector_neighbors_cosine(spark, d):
     return neighbor_hits(spark, d, K_NEIGHBORS)
 
 
+def _index(spark, rows):
+    """A new index over the vectors in the shared scratch folder."""
+    import uuid
+
+    from quarry.session import scratch_path
+    return VI.build(rows, scratch_path(spark, f"index-{uuid.uuid4().hex}"), dim=DIM, k=K_SEARCH)
+
+
+def _index_queries(v):
+    return v.filter(F.col("id") % QUERY_EVERY == 0).select(F.col("id").alias("qid"), "embedding")
+
+
 @register("vector_search_ann")
 def vector_search_ann(spark, d):
+    """Every vector whose id is divisible by 100 against all, through the calibrated index."""
+    v = C.vectors(spark, d)
+    return VI.search(_index(spark, v), _index_queries(v), K_SEARCH).select("qid", "id", "score", F.col("rank").cast("long"))
+
+
+@register("vector_index_full", sql(["vectors"], f"""
+    SELECT qid, id, score, rank FROM (
+      SELECT q.id AS qid, c.id AS id, {l2('c.embedding', 'q.embedding')} AS score,
+             row_number() OVER (PARTITION BY q.id ORDER BY {l2('c.embedding', 'q.embedding')}, c.id) AS rank
+      FROM vectors q, vectors c WHERE q.id % {QUERY_EVERY} = 0)
+    WHERE rank <= {K_SEARCH}"""))
+def vector_index_full(spark, d):
+    """An index of two labels in three, the others added to it later, searched in all cells: exact."""
     v = C.vectors(spark, d)
-    # One bounded vector (the query) comes to the driver: the LSH API takes a local key.
-    qv = v.filter(F.col("id") == QUERY_ID).select("embedding").first()[0]
-    return V.knn_ann(v.select("id", "filepath", "embedding"), qv, K_SEARCH).select("id", "filepath", "score")
+    index = VI.add(_index(spark, v.filter(F.col("label") % 3 != 0)), v.filter(F.col("label") % 3 == 0))
+    hits = VI.search(index, _index_queries(v), K_SEARCH, nprobe=len(index.cells))
+    return hits.select("qid", "id", "score", F.col("rank").cast("long"))
 
 
 @register("search_report", sql(["vectors"], f"""

@@ -56,6 +56,17 @@ def doc_file_table(spark: SparkSession, d: str) -> DataFrame:
     return _as_files(read_table(spark, d, "documents", "doc_id", "text", "lang", "source"))
 
 
+def doc_versions(spark: SparkSession, d: str, paths: int) -> DataFrame:
+    """Every document as a version of one of ``paths`` files of its source, with the columns of ``doc_incoming``."""
+    docs = read_table(spark, d, "documents", "doc_id", "text", "lang", "source")
+    i = F.col("doc_id")
+    path = F.concat(F.col("source"), F.lit("/"), (i % paths).cast("string"), F.lit(".txt"))
+    return docs.select(
+        F.concat(F.lit("repo"), (i % 2).cast("string")).alias("repository"), F.col("lang").alias("context"), path.alias("filepath"),
+        F.col("text").alias("content"), _minutes_after_epoch((i * 53) % 1440).alias("modified_at"),
+    )
+
+
 def doc_incoming(spark: SparkSession, d: str) -> DataFrame:
     """The current file set: repository, context, filepath, content, modified_at."""
     docs = read_table(spark, d, "documents", "doc_id", "text", "lang", "source")
