@@ -42,8 +42,8 @@ SHARD_TOKENS, BLOCK = 1 << 21, 4096
 #: Appended to every document.
 END_ID = 1
 
-#: Pieces that a worker remembers, in two generations.
-CACHED = 400_000
+#: Bytes of words and of pieces that a worker remembers at most.
+WORD_BYTES, PIECE_BYTES = 96 << 20, 64 << 20
 
 SCHEMA = "part long, seq long, n_tokens long, doc_ids array<long>, lengths array<long>, bits int, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -138,7 +138,7 @@ def _directory(packed: np.ndarray) -> np.ndarray:
 
 # The split pattern of the tokenizer file for which words may be encoded one by one.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces of UTF-8 text at whose borders that pattern always parts and nothing composes: runs
+#: Pieces of a UTF-8 word at whose borders that pattern always parts and nothing composes: runs
 #: of ASCII and Latin-1 letters, single digits, runs of ASCII signs; and, where another
 #: character comes next, the rest of the word as it is.
 _PIECES = re.compile(
@@ -148,16 +148,47 @@ _PIECES = re.compile(
     rb"|[^\x09-\x0d\x20]+"
 )
 _ASCII = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\x09-\x0d\x20]+")
+#: Pieces that the split and the normaliser leave alone but for lower case: the model alone gives their ids.
+_BARE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+class _Memory:
+    """A dictionary in two generations that together stay below ``limit`` bytes: when the newer one
+    is half of that, it becomes the older one; what is still asked for comes back from there."""
+
+    #: What an entry takes besides the bytes of its key and value.
+    ENTRY = 170
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def put(self, keys: list[bytes], values: list[bytes]) -> None:
+        self.new.update(zip(keys, values))
+        self.size += sum(map(len, keys)) + sum(map(len, values)) + self.ENTRY * len(keys)
+
+    def turn(self) -> None:
+        if 2 * self.size > self.limit:
+            self.new, self.old, self.size = {}, self.new, 0
+
+    def recall(self, keys: set[bytes]) -> set[bytes]:
+        """Takes what the older generation has of ``keys`` into the newer one; the rest of them."""
+        again = list(keys.intersection(self.old))
+        self.put(again, list(map(self.old.__getitem__, again)))
+        return keys.difference(again)
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Where the tokenizer drops white space and splits at it anyway (``by_word``), the
-    ids of a text are those of its pieces in turn (``_PIECES``; whole words in texts
-    with an apostrophe or the mark of a special token), so each distinct piece is
-    encoded by the library once and remembered.  Any other tokenizer gets the whole
-    texts."""
+    Where the tokenizer drops white space and splits at it anyway (``by_word``), the ids of a
+    text are those of its words in turn, and each distinct word is worked out once and
+    remembered (``WORD_BYTES``).  A word with an apostrophe or the mark of a special token goes
+    to the library whole; any other falls into pieces (``_PIECES``).  Pieces of one class of
+    plain letters, digits or signs (``_BARE``) need no normaliser and no split, so the library's
+    BPE model gives their ids at once; every other piece goes through the whole library.  Any other
+    tokenizer gets the whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -175,8 +206,11 @@ class Encoder:
         )
         self.code = "H" if self.bits <= 16 else "I"
         self.type = np.dtype(self.code)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.words, self.pieces = _Memory(WORD_BYTES), _Memory(PIECE_BYTES)
+        # a byte stands for itself in the byte alphabet where it is printable Latin-1, else for the next code point from 256
+        itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in set(itself)]
+        self.alphabet = {b: b for b in itself} | {b: 256 + i for i, b in enumerate(others)}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -184,34 +218,33 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(b, dtype=self.type) for b in self._plain(texts)]
-        if len(self.known) > CACHED:
-            self.known, self.older = {}, self.known  # what is still in use comes back from there
-        split = [_pieces(t.encode()) for t in texts]
-        found = [list(map(self.known.get, pieces)) for pieces in split]
+        self.words.turn()
+        self.pieces.turn()
+        split = [t.encode().split() for t in texts]
+        known = self.words.new
+        found = [list(map(known.get, words)) for words in split]
         holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
-        self._learn({pieces[i] for pieces, at in zip(split, holes) for i in at})
-        for pieces, f, at in zip(split, found, holes):
+        self._learn(self.words.recall({words[i] for words, at in zip(split, holes) for i in at}))
+        for words, f, at in zip(split, found, holes):
             for i in at:
-                f[i] = self.known[pieces[i]]
+                f[i] = known[words[i]]
         return [np.frombuffer(b"".join(f), dtype=self.type) for f in found]
 
-    def _learn(self, missing: set[bytes]) -> None:
-        again = missing.intersection(self.older)
-        self.known.update(zip(again, map(self.older.__getitem__, again)))
-        new = {p: p.decode() for p in missing.difference(again)}
-        # lower-case ASCII is normalised already and stands for itself in the byte alphabet,
-        # so the library's BPE model alone gives its ids
-        tokenize, code = self.tokenizer.model.tokenize, self.code
-        bare = {p: t for p, t in new.items() if p.isascii() and t.isprintable() and "'" not in t and "<|" not in t}
-        self.known.update({p: array(code, [x.id for x in tokenize(t.lower())]).tobytes() for p, t in bare.items()})
-        rest = [p for p in new if p not in bare]
-        self.known.update(zip(rest, self._plain([new[p] for p in rest])))
-
-
-def _pieces(raw: bytes) -> list[bytes]:
-    if b"'" in raw or b"<|" in raw:
-        return raw.split()
-    return _ASCII.findall(raw.lower()) if raw.isascii() else _PIECES.findall(raw)
+    def _learn(self, words: set[bytes]) -> None:
+        whole = [w for w in words if b"'" in w or b"<|" in w]
+        self.words.put(whole, self._plain([w.decode() for w in whole]))
+        rest = list(words.difference(whole))
+        parts = [_ASCII.findall(w.lower()) if w.isascii() else _PIECES.findall(w) for w in rest]
+        needed = {p for ps in parts for p in ps}
+        known = self.pieces.new
+        missing = self.pieces.recall(needed.difference(known))
+        bare = list(filter(_BARE.fullmatch, missing))
+        tokenize, code, alphabet = self.tokenizer.model.tokenize, self.code, self.alphabet
+        spelled = [p.lower().decode() if p.isascii() else p.decode().lower().encode().decode("latin-1").translate(alphabet) for p in bare]
+        self.pieces.put(bare, [array(code, [x.id for x in tokenize(t)]).tobytes() for t in spelled])
+        odd = list(missing.difference(bare))
+        self.pieces.put(odd, self._plain([p.decode() for p in odd]))
+        self.words.put(rest, [known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)) for ps in parts])
 
 
 _ENCODERS: dict[str, Encoder] = {}
