@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import blocks as BK
+from quarry.operators import diff as DF
 from quarry.operators import edits as ED
 from quarry.plans.catalog import register
 from quarry.plans.oracle import derived, sql
@@ -167,6 +168,56 @@ def edit_delta(spark, d):
     return ED.line_delta(C.go_files(spark, d), _edited_go(spark, d))
 
 
+def _shape_hunks() -> str:
+    """The unified hunks of each shape's edit, from its two templates (placeholders hold no line feed)."""
+    import difflib
+    parts = []
+    for i, g in enumerate(SH.GO):
+        after = g.pre + g.doc + g.decl + "\n\treturn <n>\n" + g.rest
+        diff, hunks = list(difflib.unified_diff(g.text.split("\n")[:-1], after.split("\n")[:-1], lineterm=""))[2:], []
+        assert g.text.endswith("\n") and after.endswith("\n")
+        for line in diff:
+            if line.startswith("@@"):
+                hunks.append([line])
+            else:
+                hunks[-1].append(line)
+        for n, (header, *body) in enumerate(hunks, 1):
+            parts.append(f"""SELECT 'f' || p_partkey::VARCHAR || '.go' AS path, {n}::BIGINT AS hunk, '{header}' AS header,
+                {SH.sql(chr(10).join(body), k="p_partkey", v="p_size", n="c.n")} AS text
+              FROM part JOIN {_COUNTS} c ON c.k = p_partkey WHERE p_partkey % {len(SH.GO)} = {i}
+                AND {SH.sql(g.text, k="p_partkey", v="p_size", n="c.n")} <> {SH.sql(after, k="p_partkey", v="p_size", n="c.n")}""")
+    return " UNION ALL ".join(parts)
+
+
+@register("edit_diff", _shape_hunks())
+def edit_diff(spark, d):
+    """The dry run of the function edits as unified hunks in line order."""
+    return DF.unified(C.go_files(spark, d), _edited_go(spark, d))
+
+
+@register("diff_replay", sql(["editedgo"], "SELECT path, content FROM editedgo"))
+def diff_replay(spark, d):
+    """The line script between the files and their edited form, applied to the files."""
+    files = C.go_files(spark, d)
+    return DF.replay(files, DF.script(files, _edited_go(spark, d)))
+
+
+@register("diff_moved_line", """
+    WITH l AS (SELECT doc_id::VARCHAR AS path, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    m AS (SELECT path, len(l)::BIGINT AS n, '1: ' || l[1] AS text FROM l WHERE len(l) > 1)
+    SELECT path, '-' AS op, 1::BIGINT AS a_line, NULL::BIGINT AS b_line, text FROM m
+    UNION ALL SELECT path, '+', NULL, n, text FROM m""")
+def diff_moved_line(spark, d):
+    """The first line of every document moves to its end; the script shows that line alone."""
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x))
+    text = lambda c: F.concat(F.array_join(c, "\n"), F.lit("\n"))
+    path = F.col("doc_id").cast("string").alias("path")
+    before = docs.select(path, text(lines).alias("content"))
+    after = docs.select(path, text(F.concat(F.slice(lines, 2, F.size(lines)), F.slice(lines, 1, 1))).alias("content"))
+    return DF.script(before, after).select("path", "op", "a_line", "b_line", "text")
+
+
 @register("edit_apply_all", sql([], _go_sql([g.pre + _NOTE + g.decl + "\n\treturn <o>\n" + g.rest for g in SH.GO])))
 def edit_apply_all(spark, d):
     """Every line item edits its part's function in order (last one wins), and
