@@ -2,9 +2,10 @@
 
 Lines that occur once on both sides of a stretch are its anchors; of the anchors a longest
 increasing run (in both files) is kept, and the stretches between them are diffed in the same way until no
-common line is left.  A stretch without such lines pairs the k-th occurrence of a line with the k-th.
-Every round is a set operation over all files; only line digests travel, and texts come
-back for the lines that are shown.  A window or group never exceeds one stretch of one file.
+common line is left.  A stretch whose common lines all repeat matches what it starts and ends with on both
+sides, or else pairs the k-th occurrence of a line with the k-th.  Every round is a set operation over
+all files; only line digests travel, and texts come back for the lines that are shown.  A window or
+group never exceeds one stretch of one file.
 
 A file is read as lines that end with a line feed; a last line without one carries the usual
 mark, so that the script gives back the exact text.  Null content and an absent file have no lines.
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,30 +37,50 @@ def file_lines(files: DataFrame, *, path: str = "path", content: str = "content"
     return kept.select("path", (F.col("at") + 1).cast("long").alias("line"), F.when(F.col("at") == F.col("n") - 1, F.concat("text", F.lit(NO_NEWLINE))).otherwise(F.col("text")).alias("text"))
 
 
+def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of (a, b) pairs ascending in a, a longest run that ascends in b."""
+    tails: list[int] = []  # smallest last b of a run of each length
+    ends: list[int] = []  # its place
+    before = [-1] * len(pairs)
+    for i, (_, b) in enumerate(pairs):
+        k = bisect_left(tails, b)
+        before[i] = ends[k - 1] if k else -1
+        if k == len(tails):
+            tails.append(b)
+            ends.append(i)
+        else:
+            tails[k], ends[k] = b, i
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = before[i]
+    return out[::-1]
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _increasing(pairs: pd.Series) -> pd.Series:
-    """Of pairs a * 2^31 + b, ascending in a, a longest run that ascends in b."""
-
-    def longest(p: np.ndarray) -> list[int]:
-        b = (p % _SHIFT).tolist()
-        tails: list[int] = []  # smallest last b of a run of each length
-        ends: list[int] = []  # its place
-        before = [-1] * len(b)
-        for i, x in enumerate(b):
-            k = bisect_left(tails, x)
-            before[i] = ends[k - 1] if k else -1
-            if k == len(tails):
-                tails.append(x)
-                ends.append(i)
-            else:
-                tails[k], ends[k] = x, i
-        out, i = [], ends[-1] if ends else -1
-        while i >= 0:
-            out.append(int(p[i]))
-            i = before[i]
-        return out[::-1]
-
-    return pairs.map(longest)
+    """``_longest`` of pairs a * 2^31 + b."""
+    return pairs.map(lambda p: [a * _SHIFT + b for a, b in _longest([divmod(x, _SHIFT) for x in p.tolist()])])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _without_anchors(a: pd.Series, ah: pd.Series, b: pd.Series, bh: pd.Series) -> pd.Series:
+    """Matches of stretches whose common lines all repeat: the lines that both start and end with,
+    else the longest increasing run of k-th occurrences paired with k-th."""
+
+    def matched(a, ah, b, bh):
+        n = min(len(a), len(b))
+        head = next((i for i in range(n) if ah[i] != bh[i]), n)
+        tail = next((i for i in range(n - head) if ah[-1 - i] != bh[-1 - i]), n - head)
+        pairs = list(zip(a[:head], b[:head])) + list(zip(a[len(a) - tail :], b[len(b) - tail :]))
+        if not pairs:
+            places: dict[str, list[int]] = {}
+            for line, h in zip(b[::-1], bh[::-1]):
+                places.setdefault(h, []).append(line)
+            pairs = _longest([(line, places[h].pop()) for line, h in zip(a, ah) if places.get(h)])
+        return [int(x) * _SHIFT + int(y) for x, y in pairs]
+
+    return pd.Series([matched(*map(list, row)) for row in zip(a, ah, b, bh)])
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -73,14 +93,18 @@ def _matches(sides: DataFrame) -> DataFrame:
     found = None
     left = _cut(sides.withColumn("stretch", F.lit(0).cast("long")))
     while True:
-        of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("line"))))
-        common = left.groupBy("path", "stretch", "h").agg(of("a").alias("a"), of("b").alias("b")).filter("size(a) > 0 AND size(b) > 0")
-        n = F.least(F.size("a"), F.size("b"))
-        pairs = F.zip_with(F.slice("a", 1, n), F.slice("b", 1, n), lambda x, y: x * F.lit(_SHIFT) + y)
-        once = F.when((F.size("a") == 1) & (F.size("b") == 1), pairs)
-        runs = common.groupBy("path", "stretch").agg(F.flatten(F.collect_list(once)).alias("once"), F.flatten(F.collect_list(pairs)).alias("every"))
-        runs = runs.select("path", F.sort_array(F.when(F.size("once") > 0, F.col("once")).otherwise(F.col("every"))).alias("pairs"))
-        new = runs.select("path", F.explode(_increasing("pairs")).alias("p")).select("path", F.expr(f"p div {_SHIFT}").alias("a"), F.expr(f"p % {_SHIFT}").alias("b"))
+        side = lambda s, what: F.when(F.col("side") == s, what)
+        common = left.groupBy("path", "stretch", "h").agg(
+            F.count(side("a", F.lit(1))).alias("na"), F.count(side("b", F.lit(1))).alias("nb"), F.min(side("a", F.col("line"))).alias("a"), F.min(side("b", F.col("line"))).alias("b")
+        ).filter("na > 0 AND nb > 0")
+        once = F.when((F.col("na") == 1) & (F.col("nb") == 1), F.col("a") * F.lit(_SHIFT) + F.col("b"))
+        runs = _cut(common.groupBy("path", "stretch").agg(F.sort_array(F.collect_list(once)).alias("pairs")))
+        new = runs.filter("size(pairs) > 0").select("path", F.explode(_increasing("pairs")).alias("p"))
+        lines = lambda s: F.sort_array(F.collect_list(side(s, F.struct("line", "h"))))
+        hard = left.join(runs.filter("size(pairs) = 0").select("path", "stretch"), ["path", "stretch"], "left_semi")
+        hard = hard.groupBy("path", "stretch").agg(lines("a").alias("a"), lines("b").alias("b"))
+        new = new.unionAll(hard.select("path", F.explode(_without_anchors(F.col("a.line"), F.col("a.h"), F.col("b.line"), F.col("b.h"))).alias("p")))
+        new = new.select("path", F.expr(f"p div {_SHIFT}").alias("a"), F.expr(f"p % {_SHIFT}").alias("b"))
         new = _cut(new)
         if new.isEmpty():
             break
