@@ -23,17 +23,18 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_order, small_side
+from quarry.llm.common import id_order, only, remembers, small_side
 from quarry.session import scratch_path
 
 #: Tokens in a shard (a longer document is a shard of its own); bits in a directory block.
@@ -42,8 +43,8 @@ SHARD_TOKENS, BLOCK = 1 << 21, 4096
 #: Appended to every document.
 END_ID = 1
 
-#: Bytes of words and of pieces that a worker remembers at most.
-WORD_BYTES, PIECE_BYTES = 96 << 20, 64 << 20
+#: Bytes of units that a worker remembers at most, and of text that it takes apart at a time.
+MEMORY_BYTES, SLICE_BYTES = 96 << 20, 2 << 20
 
 SCHEMA = "part long, seq long, n_tokens long, doc_ids array<long>, lengths array<long>, bits int, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -138,22 +139,19 @@ def _directory(packed: np.ndarray) -> np.ndarray:
 
 # The split pattern of the tokenizer file for which words may be encoded one by one.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces of a UTF-8 word at whose borders that pattern always parts and nothing composes: runs
-#: of ASCII and Latin-1 letters, single digits, runs of ASCII signs; and, where another
-#: character comes next, the rest of the word as it is.
-_PIECES = re.compile(
-    rb"(?>(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(?![\x80-\xff])"
-    rb"|[0-9](?![\x80-\xff])"
-    rb"|(?>[^A-Za-z0-9\x09-\x0d\x20\x80-\xff]+)(?![\x80-\xc2\xc4-\xff]|\xc3[\x97\xb7])"
-    rb"|[^\x09-\x0d\x20]+"
-)
-_ASCII = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\x09-\x0d\x20]+")
-#: Pieces that the split and the normaliser leave alone but for lower case: the model alone gives their ids.
-_BARE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Classes of bytes: white space, letters (ASCII; Latin-1 ones are found by their two bytes), digits, ASCII signs, any other.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = _SPACE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27]] = _SIGN
+#: Units that the normaliser and the split leave alone: the model alone gives their ids.
+_BARE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class _Memory:
-    """A dictionary in two generations that together stay below ``limit`` bytes: when the newer one
+    """Ids of units in two generations that together stay below ``limit`` bytes: when the newer one
     is half of that, it becomes the older one; what is still asked for comes back from there."""
 
     #: What an entry takes besides the bytes of its key and value.
@@ -165,30 +163,22 @@ class _Memory:
         self.old: dict[bytes, bytes] = {}
 
     def put(self, keys: list[bytes], values: list[bytes]) -> None:
-        self.new.update(zip(keys, values))
-        self.size += sum(map(len, keys)) + sum(map(len, values)) + self.ENTRY * len(keys)
-
-    def turn(self) -> None:
         if 2 * self.size > self.limit:
             self.new, self.old, self.size = {}, self.new, 0
-
-    def recall(self, keys: set[bytes]) -> set[bytes]:
-        """Takes what the older generation has of ``keys`` into the newer one; the rest of them."""
-        again = list(keys.intersection(self.old))
-        self.put(again, list(map(self.old.__getitem__, again)))
-        return keys.difference(again)
+        self.new.update(zip(keys, values))
+        self.size += sum(map(len, keys)) + sum(map(len, values)) + self.ENTRY * len(keys)
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Where the tokenizer drops white space and splits at it anyway (``by_word``), the ids of a
-    text are those of its words in turn, and each distinct word is worked out once and
-    remembered (``WORD_BYTES``).  A word with an apostrophe or the mark of a special token goes
-    to the library whole; any other falls into pieces (``_PIECES``).  Pieces of one class of
-    plain letters, digits or signs (``_BARE``) need no normaliser and no split, so the library's
-    BPE model gives their ids at once; every other piece goes through the whole library.  Any other
-    tokenizer gets the whole texts."""
+    Where the tokenizer drops white space and splits at it anyway (``by_word``), the ids of a text are
+    those of its units in turn.  A word of ASCII and Latin-1 letters, digits and ASCII signs falls into
+    runs of letters, single digits and runs of signs, as the tokenizer splits it; any other word, and
+    one with an apostrophe or the mark of a special token, is a unit as it is.  Units are found for many
+    texts at once in their bytes, and each distinct one is encoded once and remembered
+    (``MEMORY_BYTES``): plain runs by the library's BPE model, all others by the whole library.  Any
+    other tokenizer gets the whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -201,12 +191,12 @@ class Encoder:
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_word = (
             split.get("pattern") == {"Regex": WORD_SPLIT} and split.get("behavior") == "Removed" and bool(split.get("invert"))
-            and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+            and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) or not t["content"].startswith("<|") for t in spec["added_tokens"])
             and spec.get("post_processor") is None
         )
         self.code = "H" if self.bits <= 16 else "I"
         self.type = np.dtype(self.code)
-        self.words, self.pieces = _Memory(WORD_BYTES), _Memory(PIECE_BYTES)
+        self.memory = _Memory(MEMORY_BYTES)
         # a byte stands for itself in the byte alphabet where it is printable Latin-1, else for the next code point from 256
         itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(itself)]
@@ -215,39 +205,116 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; at most a slice of texts is in work at a time."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            raw = text.encode()
+            if held and size + len(raw) > SLICE_BYTES:
+                yield from self._slice(held)
+                held, size = [], 0
+            if len(raw) > SLICE_BYTES and self.by_word:  # a very long text goes in parts that end at white space
+                yield np.concatenate([ids for part in _parts(raw) for ids in self._slice([part])])
+            else:
+                held.append(raw)
+                size += len(raw) + 1
+        if held:
+            yield from self._slice(held)
+
+    def _slice(self, raws: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text of a slice."""
         if not self.by_word:
-            return [np.frombuffer(b, dtype=self.type) for b in self._plain(texts)]
-        self.words.turn()
-        self.pieces.turn()
-        split = [t.encode().split() for t in texts]
-        known = self.words.new
-        found = [list(map(known.get, words)) for words in split]
-        holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
-        self._learn(self.words.recall({words[i] for words, at in zip(split, holes) for i in at}))
-        for words, f, at in zip(split, found, holes):
-            for i in at:
-                f[i] = known[words[i]]
-        return [np.frombuffer(b"".join(f), dtype=self.type) for f in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        whole = [w for w in words if b"'" in w or b"<|" in w]
-        self.words.put(whole, self._plain([w.decode() for w in whole]))
-        rest = list(words.difference(whole))
-        parts = [_ASCII.findall(w.lower()) if w.isascii() else _PIECES.findall(w) for w in rest]
-        needed = {p for ps in parts for p in ps}
-        known = self.pieces.new
-        missing = self.pieces.recall(needed.difference(known))
-        bare = list(filter(_BARE.fullmatch, missing))
+            return [np.frombuffer(b, dtype=self.type) for b in self._plain([r.decode() for r in raws])]
+        buffer = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+        stops = np.cumsum([len(r) + 1 for r in raws])
+        units, first = _units(buffer, stops)
+        coded = units.dictionary_encode()
+        ids, lengths = self._ids(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        begins = np.cumsum(lengths) - lengths
+        each = lengths[which]
+        after = np.cumsum(each)
+        total = int(after[-1]) if len(after) else 0
+        flat = ids[np.repeat(begins[which] - (after - each), each) + np.arange(total)]
+        bounds = np.concatenate([[0], after])[first]
+        return np.split(flat, bounds[1:-1])
+
+    def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct units one after the other, and how many each has."""
+        memory = self.memory
+        found = list(map(memory.new.get, units))
+        holes = [i for i, v in enumerate(found) if v is None]
+        learn, again = [], []
+        for i in holes:
+            found[i] = memory.old.get(units[i])
+            (learn if found[i] is None else again).append(i)
+        bare = [i for i in learn if _BARE.fullmatch(units[i])]
+        odd = [i for i in learn if not _BARE.fullmatch(units[i])] if len(bare) < len(learn) else []
         tokenize, code, alphabet = self.tokenizer.model.tokenize, self.code, self.alphabet
-        spelled = [p.lower().decode() if p.isascii() else p.decode().lower().encode().decode("latin-1").translate(alphabet) for p in bare]
-        self.pieces.put(bare, [array(code, [x.id for x in tokenize(t)]).tobytes() for t in spelled])
-        odd = list(missing.difference(bare))
-        self.pieces.put(odd, self._plain([p.decode() for p in odd]))
-        self.words.put(rest, [known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)) for ps in parts])
+        for i in bare:
+            unit = units[i]
+            spelled = unit.decode() if unit.isascii() else unit.decode("latin-1").translate(alphabet)
+            found[i] = array(code, [x.id for x in tokenize(spelled)]).tobytes()
+        for i, v in zip(odd, self._plain([units[i].decode() for i in odd])):
+            found[i] = v
+        memory.put([units[i] for i in again], [found[i] for i in again])
+        memory.put([units[i] for i in learn], [found[i] for i in learn])
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
+        return np.frombuffer(b"".join(found), self.type), lengths
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A long text cut before white space into parts of about SLICE_BYTES."""
+    at = 0
+    space = re.compile(rb"[\x09-\x0d\x20]")
+    while at < len(raw):
+        m = space.search(raw, at + SLICE_BYTES)
+        end = m.start() if m and m.start() > at else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def _units(buffer: np.ndarray, stops: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The units of texts that end at ``stops`` with a line feed each, plain ones in lower case, and the
+    number of units before each text and in all."""
+    kind = _CLASS[buffer]
+    lead = np.flatnonzero(buffer[:-1] == 0xC3)
+    then = buffer[lead + 1]
+    latin = lead[(then >= 0x80) & (then <= 0xBF) & (then != 0x97) & (then != 0xB7)]
+    kind[latin] = kind[latin + 1] = _LETTER
+    low = buffer.copy()
+    low[(buffer >= 0x41) & (buffer <= 0x5A)] += 0x20
+    upper = latin[buffer[latin + 1] <= 0x9E] + 1
+    low[upper] += 0x20
+    space = kind == _SPACE
+    starts = np.empty(len(buffer), bool)
+    starts[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    starts |= kind == _DIGIT
+    odd = kind == _OTHER
+    odd[:-1] |= (buffer[:-1] == 0x3C) & (buffer[1:] == 0x7C)
+    if odd.any():
+        word = np.empty(len(buffer), bool)
+        word[0] = True
+        word[1:] = space[:-1] != space[1:]
+        number = np.cumsum(word)
+        whole = np.zeros(int(number[-1]) + 1, bool)
+        whole[number[odd]] = True
+        mine = whole[number]
+        starts = np.where(mine, word, starts)
+        low = np.where(mine, buffer, low)
+    seen = ~space
+    offsets = np.flatnonzero(starts[seen])
+    data = low[seen]
+    before = np.concatenate([[0], np.cumsum(seen)[stops - 1]])
+    first = np.searchsorted(offsets, before)
+    edges = np.concatenate([offsets, [len(data)]]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets), [None, pa.py_buffer(edges), pa.py_buffer(data)]), first
 
 
 _ENCODERS: dict[str, Encoder] = {}
+remembers("encoders", _ENCODERS.clear)
 
 
 def _encoder(path: str) -> Encoder:
@@ -272,6 +339,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, shard_tokens: int = S
     text).  ``tokenizer`` is a path that executors can read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("encoders")
         encoder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         held: list[np.ndarray] = []
@@ -280,14 +348,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, shard_tokens: int = S
         for batch in batches:
             keys = [None if pd.isna(i) else int(i) for i in batch["doc_id"].array]
             texts = ["" if t is None else t for t in batch["text"]]
-            for at in range(0, len(texts), 256):
-                for key, ids in zip(keys[at : at + 256], encoder.encode(texts[at : at + 256])):
-                    if n and n + len(ids) + 1 > shard_tokens:
-                        yield pd.DataFrame([_shard(part, seq, doc_ids, held, encoder.bits)])
-                        doc_ids, held, n, seq = [], [], 0, seq + 1
-                    doc_ids.append(key)
-                    held.append(np.concatenate([ids, end]))
-                    n += len(ids) + 1
+            for key, ids in zip(keys, encoder.encode(texts)):
+                if n and n + len(ids) + 1 > shard_tokens:
+                    yield pd.DataFrame([_shard(part, seq, doc_ids, held, encoder.bits)])
+                    doc_ids, held, n, seq = [], [], 0, seq + 1
+                doc_ids.append(key)
+                held.append(np.concatenate([ids, end]))
+                n += len(ids) + 1
         if doc_ids:
             yield pd.DataFrame([_shard(part, seq, doc_ids, held, encoder.bits)])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -164,6 +165,31 @@ def test_encoder_equals_library():
         assert [x.tolist() for x in e.encode(odd)] == [x.ids for x in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_encoder_equals_library_on_random_words():
+    """Apostrophes, signs, digits, marks of special tokens and letters of many kinds beside each other."""
+    r = random.Random(1)
+    atoms = ["'", "'s", "'S", "'t", "'re", "'ll", "don't", "It's", "cat", "Cat", "É", "é", "ß", "ñ", "Ü", "x", "Q", "7", "42", "3.5", "$", "!?", "...", "(red)", "<|", "<|endoftext|>",
+             "<|startoftext|>", "<|EndOfText|>", "|>", " ", "  ", "\n", "\t", "\xa0", "\u2028", "\x85", "\x1c", "\x01", "\x7f", "\u0301", "\u030a", "W", "w", "日本", "µ", "×", "÷", "İ", "Σ", "ς", "😀",
+             "²", "½", "ﬁ", "-", "_", "&amp;", "a\u0301", "\x00", "\u212b", "ﷺ", "\u200d", "\ufeff", "٣"]
+    e = token_store.Encoder(TOKENIZER)
+    assert e.by_word
+    texts = ["".join(r.choice(atoms) for _ in range(r.randint(0, 9))) for _ in range(50_000)]
+    texts += ["don't stop, please.", "It's 2024, isn't it?", "the cat's hat (red).", "He said 'go' 25 times."]
+    for mine, theirs in zip(e.encode(texts), e._plain(texts), strict=True):
+        assert mine.astype(e.type).tobytes() == theirs
+
+
+def test_encoder_of_long_texts_and_small_memory(monkeypatch):
+    """Texts beyond a slice are taken in parts; a memory that turns over often changes nothing."""
+    monkeypatch.setattr(token_store, "SLICE_BYTES", 1_000)
+    monkeypatch.setattr(token_store, "MEMORY_BYTES", 40_000)
+    e = token_store.Encoder(TOKENIZER)
+    texts = [prose(i, n) + tail for i, (n, tail) in enumerate([(3, ""), (4_000, " it's"), (0, ""), (900, "é" * 3_000), (5_000, "\n"), (40, "x" * 5_000)])]
+    for mine, theirs in zip(e.encode(texts), e._plain(texts), strict=True):
+        assert mine.tobytes() == theirs
+    assert e.memory.size <= 40_000 and len(e.memory.old)
+
+
 def test_token_store_odd(odd, nothing, spark, tmp_path):
     assert token_store.report(odd, TOKENIZER).count() == odd.count()
     assert token_store.report(nothing, TOKENIZER).count() == 0
