@@ -7,7 +7,10 @@ columns start with ``_q_`` so that they cannot clash with a caller's columns.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +55,25 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_IDS) -> DataFrame:
     """``df`` (fixed-width columns only) hinted for broadcast when a count proves it
     has at most ``max_rows`` rows; otherwise unchanged, and Spark shuffles the join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+#: What each operator remembers in a Python worker, by the operator's name.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Registers how to empty what ``owner`` remembers in a worker between tasks."""
+    _REMEMBERED[owner] = forget
+
+
+def only(owner: str) -> None:
+    """Called as a task of ``owner`` begins: reused workers keep what modules remember, so
+    what other operators left there is emptied and its memory given back."""
+    for other, forget in _REMEMBERED.items():
+        if other != owner:
+            forget()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library: the allocator decides
+        pass

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import only, remembers
+
 #: Words in a window.
 WINDOW = 10
 
@@ -64,6 +66,7 @@ def automaton(items: list[tuple[str, str | None]], window: int = WINDOW) -> ahoc
 
 
 _BUILT: dict[object, ahocorasick.Automaton] = {}
+remembers("automaton", _BUILT.clear)
 
 
 def scan(text: str | None, find: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -91,23 +94,35 @@ def scan(text: str | None, find: ahocorasick.Automaton) -> tuple[int, list[tuple
     return n, [(a, b) for a, b in ranges], ids
 
 
-def _hits(docs: DataFrame, chunks: Iterator[list[tuple[str, str | None]]], window: int) -> DataFrame:
-    """A batch of rows stays in place while the chunks' automata pass over it, one in memory at a time."""
+def _sent(docs: DataFrame, chunks: Iterator[list[tuple[str, str | None]]], window: int) -> tuple[list, list]:
+    """The chunks of items as broadcasts, and the names under which their automata are remembered."""
     sent, tokens = [], []
     for number, items in enumerate(chunks):
         sent.append(docs.sparkSession.sparkContext.broadcast(items))
         tokens.append((id(sent[-1]), number, hashlib.sha1(repr(items).encode("utf-8", "surrogatepass")).hexdigest(), window))
+    return sent, tokens
+
+
+def _automaton(sent: list, tokens: list, k: int, window: int) -> ahocorasick.Automaton:
+    """The automaton of a chunk; a worker holds one at a time."""
+    if tokens[k] not in _BUILT:
+        _BUILT.clear()
+        _BUILT[tokens[k]] = automaton(sent[k].value, window)
+    return _BUILT[tokens[k]]
+
+
+def _hits(docs: DataFrame, chunks: Iterator[list[tuple[str, str | None]]], window: int) -> DataFrame:
+    """A batch of rows stays in place while the chunks' automata pass over it, one in memory at a time."""
+    sent, tokens = _sent(docs, chunks, window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("automaton")
         order = list(range(len(sent)))
         for batch in batches:
             texts = batch["text"].tolist()
             found: list[tuple[int, list[tuple[int, int]], set[str]]] = [(0, [], set())] * len(texts)
             for k in order:
-                if tokens[k] not in _BUILT:
-                    _BUILT.clear()
-                    _BUILT[tokens[k]] = automaton(sent[k].value, window)
-                find = _BUILT[tokens[k]]
+                find = _automaton(sent, tokens, k, window)
                 for i, text in enumerate(texts):
                     n, ranges, ids = scan(text, find)
                     found[i] = (n, _merged(found[i][1], ranges), found[i][2] | ids)
@@ -182,25 +197,24 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a window of a test item; same columns."""
+    """``docs`` without the documents that hold a window of a test item; same columns, rows in place.  A null
+    or empty text holds none and stays, repeated rows are judged alike, an empty benchmark removes nothing."""
     # scanned beside the other columns, so that no text has to meet its verdict in a shuffle
-    parts = list(_chunks(benchmark, options.get("max_item_chars", MAX_ITEM_CHARS)))
-    out = docs
-    for items in parts:
-        out = _without(out, items, options.get("window", WINDOW))
-    return out
-
-
-def _without(docs: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    token = (id(sent), hashlib.sha1(repr(items).encode("utf-8", "surrogatepass")).hexdigest(), window)
+    window = options.get("window", WINDOW)
+    sent, tokens = _sent(docs, _chunks(benchmark, options.get("max_item_chars", MAX_ITEM_CHARS)), window)
+    if not sent:
+        return docs
 
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        if token not in _BUILT:
-            _BUILT.clear()
-            _BUILT[token] = automaton(sent.value, window)
-        built = _BUILT[token]
-        return pd.Series([not scan(t, built)[2] for t in texts], dtype=bool)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only("automaton")
+        order = list(range(len(sent)))
+        for texts in batches:
+            left = pd.Series(True, index=texts.index)
+            for k in order:  # a text that one automaton has found needs no other
+                find = _automaton(sent, tokens, k, window)
+                left &= pd.Series([keep and not scan(t, find)[2] for keep, t in zip(left, texts)], index=texts.index, dtype=bool)
+            order.reverse()
+            yield left
 
     return docs.filter(clean(F.col("text").cast("string")))

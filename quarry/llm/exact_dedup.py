@@ -126,7 +126,13 @@ def groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that an equal text replaces; all columns are kept,
-    and rows repeated with the doc_id that stays come once."""
-    kept = groups(docs, **options).filter("kept").select(F.col("doc_id").alias("_q_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_q_id")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` without the rows that an equal text replaces; all columns are kept.  Rows are told apart by
+    doc_id and text: rows that share an id with different texts are judged each for itself, and of rows that
+    share the id and the text that stays the longest original comes once (of equal originals any one)."""
+    sha = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    kept = groups(docs, **options).filter("kept").select(F.col("doc_id").alias("_q_id"), F.unhex("text_sha256").alias("_q_kept_sha")).distinct()
+    rows = docs.withColumns({"_q_sha": sha, "_q_rank": F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("l"), F.xxhash64("text").alias("x"))})
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_q_id")) & (F.col("_q_sha") == F.col("_q_kept_sha")), "left_semi")
+    best = rows.groupBy(F.col("doc_id").alias("_q_id"), F.col("_q_sha").alias("_q_kept_sha")).agg(F.max("_q_rank").alias("_q_best"))
+    best_here = F.col("doc_id").eqNullSafe(F.col("_q_id")) & (F.col("_q_sha") == F.col("_q_kept_sha")) & (F.col("_q_rank") == F.col("_q_best"))
+    return rows.join(best, best_here, "left_semi").dropDuplicates(["doc_id", "_q_sha"]).select(*docs.columns)

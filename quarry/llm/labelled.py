@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_mod
 
-#: Rows taken of each class, and the longest text used for fitting.  Together they
-#: bound what the driver sees: 2 * rows * chars, and in practice some 20 MB.
-ROWS_PER_CLASS, MAX_CHARS = 2_000, 32_768
+#: Rows taken of each class, the longest text used for fitting, and the characters of all texts of a
+#: class together.  They bound what the driver sees: 2 * TOTAL_CHARS.
+ROWS_PER_CLASS, MAX_CHARS, TOTAL_CHARS = 2_000, 1 << 20, 16 << 20
 
 
 def sample(
     docs: DataFrame, labels: DataFrame, label: str, *, held_out_mod: tuple[int, int],
-    rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS,
+    rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS, total_chars: int = TOTAL_CHARS,
 ) -> list[tuple[str, int]]:
-    """(text, 0/1) of at most ``rows_per_class`` documents of each class, in hash order
-    of the id.  ``held_out_mod`` = (m, r): ids with crc32 mod m equal to r are never
-    used.  Null labels, ids and texts and texts above ``max_chars`` are left out; an id
-    labelled more than once takes its largest label."""
+    """(text, 0/1) of at most ``rows_per_class`` documents of each class, in hash order of the id, as
+    far as their texts stay within ``total_chars``.  ``held_out_mod`` = (m, r): ids with crc32 mod m equal
+    to r are never used.  Null labels, ids and texts and texts above ``max_chars`` are left out; an id
+    labelled more than once takes its largest label, and of texts that share an id the one with the
+    greatest hash is taken, so that the same tables always give the same sample."""
     m, r = held_out_mod
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -28,10 +29,11 @@ def sample(
     )
     ids = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for y in (0, 1)]
     texts = docs.select("doc_id", "text").filter(F.length("text") <= max_chars)
-    rows = (
+    taken = (
         texts.join(F.broadcast(ids[0].unionAll(ids[1])), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .select("text", "y", F.xxhash64("doc_id").alias("h"), "doc_id")
-        .collect()  # at most 2 * rows_per_class rows of at most max_chars
+        .groupBy("doc_id", "y").agg(F.max_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+        .withColumn("h", F.xxhash64("doc_id"))
     )
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy("h", "doc_id"))  # at most rows_per_class rows each
+    rows = taken.withColumn("chars", so_far).filter(F.col("chars") <= total_chars).select("text", "y", "h", "doc_id").collect()
     return [(row["text"], row["y"]) for row in sorted(rows, key=lambda x: (x["h"], x["doc_id"]))]

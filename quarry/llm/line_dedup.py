@@ -46,7 +46,8 @@ def covered(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def clean(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """``docs`` with ``text`` freed of covered lines, plus ``n_lines`` and ``n_removed``.
+    """``docs`` with ``text`` freed of covered lines, plus ``n_lines`` and ``n_removed`` (for a table that
+    has columns of these names ``n_lines_before`` and ``n_lines_removed``, and so on with more underscores).
 
     A line is what lies between ``\\n`` characters, unchanged; an empty text is one
     empty line, a null text stays null and has none.  Documents of fewer than three
@@ -66,10 +67,14 @@ def clean(docs: DataFrame, lines: int = LINES) -> DataFrame:
             "\n",
         )
     )
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    n_lines, n_removed = "n_lines", "n_removed"
+    if {n_lines, n_removed} & set(docs.columns):
+        n_lines, n_removed = "n_lines_before", "n_lines_removed"
+    while {n_lines, n_removed} & set(docs.columns):
+        n_lines, n_removed = n_lines + "_", n_removed + "_"
     return split.select(
-        *own, kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("_q_lines")).cast("long").alias("n_lines"),
-        F.size("_q_gone").cast("long").alias("n_removed"),
+        *(kept.alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("_q_lines")).cast("long").alias(n_lines), F.size("_q_gone").cast("long").alias(n_removed),
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import labelled
-from quarry.llm.common import crc_mod
+from quarry.llm.common import crc_mod, remembers
 
 #: Bytes in a piece, bytes in a dictionary, compression level.
 PIECE, DICT_BYTES, LEVEL = 1024, 65_536, 3
@@ -114,6 +114,7 @@ def known_share(labels: DataFrame) -> float:
 
 
 _SCORERS: dict[object, Scorer] = {}
+remembers("scorers", _SCORERS.clear)
 
 
 def score(model: Model | None, text: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import windows as win
-from quarry.llm.common import cut, stored
+from quarry.llm.common import cut, remembers, stored
 
 #: Words in an edge, and words hashed for its minimiser.
 EDGE, GRAM = 20, 5
@@ -40,6 +40,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+remembers("hashes", _HASHES.clear)
 
 
 def split(text: str) -> list[bytes]:

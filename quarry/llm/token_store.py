@@ -65,7 +65,10 @@ class WaveletMatrix:
             planes.append(packed)
             ranks.append(_directory(packed))
             zeros.append(int(len(values) - np.count_nonzero(ones)))
-            values = np.concatenate([values[~ones], values[ones]])
+            parted = np.empty_like(values)
+            np.compress(~ones, values, out=parted[: zeros[-1]])
+            np.compress(ones, values, out=parted[zeros[-1] :])
+            values = parted
         return cls(len(values), zeros, planes, ranks)
 
     def values(self) -> np.ndarray:
@@ -74,7 +77,7 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(out)
-            before[~ones], before[ones] = out[: self.zeros[level]], out[self.zeros[level] :]
+            before[np.flatnonzero(~ones)], before[np.flatnonzero(ones)] = out[: self.zeros[level]], out[self.zeros[level] :]
             out = before | (ones.astype(out.dtype) << out.dtype.type(self.bits - 1 - level))
         return out
 

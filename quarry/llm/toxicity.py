@@ -1,10 +1,16 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  Each sentence has a logistic score of its distinct
-words and word beginnings, and the document's score is their noisy-or: 1 - prod(1 - p).  Only documents carry
+words and word beginnings, and the document's score is their noisy-or.  Only documents carry
 labels, so the sentence weights are trained through the noisy-or; afterwards the same
 scores locate the offending sentences.
 
+The score p of a sentence is what it says beyond one without any weighted word: 1 - (1 - l) / (1 - l0), l
+being the logistic of BIAS and its weights and l0 that of BIAS alone.  So sentences without such words
+leave the noisy-or 1 - (1 - LEAK) * prod(1 - p) where it is however many they are, and a long clean
+text scores as a short one; LEAK is what a document has without any sentence.  BIAS is given, not
+learnt: the further below zero, the less do weak words of many sentences add up to.
+
 Fitting uses a bounded sample (``labelled.sample``); the model is a word -> weight
 table of at most ``VOCABULARY`` entries.
 """
@@ -31,6 +37,9 @@ VOCABULARY, MIN_DOCS = 30_000, 3
 #: Training steps, step size, and the pull of every weight towards zero.
 STEPS, RATE, SPARSE = 120, 0.2, 2e-4
 
+#: Score of a document without sentences; log-odds of a sentence without weighted words.
+LEAK, BIAS = 0.01, -8.0
+
 #: Words, and sentences.
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -39,7 +48,8 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
-    bias: float = -20.0
+    bias: float = BIAS
+    known: float | None = 0.0  # the score of every text where the labels know one class only
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -57,7 +67,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     Adam; weights are never negative and pulled to 0, so that words of no use have none)."""
     y = np.array([label for _, label in rows], dtype=float)
     if not len(y) or y.min() == y.max():
-        return Model(bias=-20.0 if not len(y) or y.max() == 0 else 20.0)
+        return Model(known=0.0 if not len(y) or y.max() == 0 else 1.0)
     bags = [[{f for w in s for f in features(w)} for s in bag(t)] for t, _ in rows]
     held: dict[str, int] = {}
     for one in bags:
@@ -76,26 +86,24 @@ def train(rows: list[tuple[str, int]]) -> Model:
     n_s, n_d = len(doc_of), len(y)
     # balanced classes, so that the rarer label is learnt as well
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w, bias = np.zeros(len(chosen)), -5.0
+    w = np.zeros(len(chosen))
     for steps in (STEPS, 4 * STEPS):  # all features, then those that got a weight
-        m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+        m, v = np.zeros(len(w)), np.zeros(len(w))
         for step in range(1, steps + 1):
-            z = np.clip(np.bincount(sentence_of, weights=w[ids], minlength=n_s) + bias, -30, 30)
+            z = np.minimum(np.bincount(sentence_of, weights=w[ids], minlength=n_s) + BIAS, 30)
             p = 1 / (1 + np.exp(-z))
-            clean = np.exp(np.bincount(doc_of, weights=-np.logaddexp(0, z), minlength=n_d))  # prod(1 - p)
+            clean = (1 - LEAK) * np.exp(np.bincount(doc_of, weights=np.logaddexp(0, BIAS) - np.logaddexp(0, z), minlength=n_d))
             # d loss / d z: p for a clean document; -(1 - P) / P * p for a toxic one
             pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * weight
-            g = pull[doc_of] * p / n_d
-            grad = np.r_[np.bincount(ids, weights=g[sentence_of], minlength=len(w)) + SPARSE, g.sum()]
+            grad = np.bincount(ids, weights=(pull[doc_of] * p / n_d)[sentence_of], minlength=len(w)) + SPARSE
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w, bias = np.maximum(w - move[:-1], 0.0), bias - move[-1]
+            w = np.maximum(w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8), 0.0)
         used = np.flatnonzero(w > 0.05)
         new = np.full(len(w), -1)
         new[used] = np.arange(len(used))
         keep = new[ids] >= 0 if len(ids) else np.zeros(0, dtype=bool)
         ids, sentence_of, chosen, w = new[ids][keep], sentence_of[keep], [chosen[i] for i in used], w[used]
-    return Model(dict(zip(chosen, map(float, w))), float(bias))
+    return Model(dict(zip(chosen, map(float, w))), known=None)
 
 
 class _Weights(dict):
@@ -123,7 +131,8 @@ def sentence_scores(model: Model, text: str | None, weights: _Weights | None = N
             found = {f for w in WORD.findall(part) if weights[w] for f in features(w) if f in model.weights}
             if found:
                 z[i] += sum(map(model.weights.__getitem__, sorted(found)))
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    # 1 - (1 - logistic(z)) / (1 - logistic(bias)), by the difference of the logarithms
+    return -np.expm1(np.minimum(np.logaddexp(0, model.bias) - np.logaddexp(0, z), 0.0))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -131,8 +140,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text) if WORD.search(m.group())]
 
 
-def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+def noisy_or(model: Model, p: np.ndarray) -> float:
+    """Score of a document from those of its sentences."""
+    if model.known is not None:
+        return model.known
+    return float(1 - (1 - LEAK) * np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
@@ -154,7 +166,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 p = sentence_scores(model, text, weights)
                 bad = np.flatnonzero(p >= threshold)
                 spans = sentences(text) if len(bad) else []
-                out.append((None if pd.isna(doc_id) else int(doc_id), noisy_or(p), [spans[i][0] for i in bad], [spans[i][1] for i in bad], [float(p[i]) for i in bad]))
+                out.append((None if pd.isna(doc_id) else int(doc_id), noisy_or(model, p), [spans[i][0] for i in bad], [spans[i][1] for i in bad], [float(p[i]) for i in bad]))
             yield pd.DataFrame(out, columns=["doc_id", "score", "sentence_from", "sentence_to", "sentence_score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
@@ -165,7 +177,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, and the offending sentences.
 
-    Empty and null texts have no sentences and score 0; repeated rows each get the same
+    Empty and null texts have no sentences and score LEAK; repeated rows each get the same
     score; an empty table gives no rows; without labels of both classes
     every text scores as the one class known (no labels: clean).  Columns other than
     doc_id, text and toxic are not read."""
