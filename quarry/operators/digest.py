@@ -5,6 +5,9 @@ large share of all files, so the digest is cut into ``ceil(n / max_files)``
 chunks by a hash of the path (``chunk`` 0, 1, ...; entries in path order inside
 a chunk): no output row or group grows with the directory, and no window or
 single task ever sees a whole directory.
+
+``directory_text``, ``repository_text`` and ``summary_parts`` keep the order of the reference's texts across
+chunks: chunks are bounded in bytes, and joined in order they are the text (``functions.running``).
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import dirname
+from quarry.functions.running import text_chunks
 
 
 def _entry(path: Column, summary: Column) -> Column:
@@ -62,3 +66,41 @@ def merge_summaries(overall: DataFrame, directories: DataFrame, *, key: str = "r
     m = directories.groupBy(key).agg(F.map_from_entries(entries).alias("directory_summaries"))
     j = overall.join(m, key, "left")
     return j.select(key, F.to_json(F.struct("summary", "directory_summaries")).alias("json"))
+
+
+#: Bytes after which a chunk of an ordered text ends.
+CHUNK_BYTES = 64 << 10
+
+
+def directory_text(docs: DataFrame, *, path: str = "filepath", summary: str = "description", max_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(directory, chunk, n_files, digest): F1 in path order; the first chunk begins with ``Directory: d``."""
+    d = docs.select(dirname(F.col(path)).alias("directory"), F.col(path).alias("path"), _entry(F.col(path), F.coalesce(F.col(summary), F.lit(""))).alias("entry"))
+    d = d.withColumn("head", F.concat(F.lit("Directory: "), F.col("directory"), F.lit("\n")))
+    return text_chunks(d, ["directory"], ["path"], "entry", max_bytes=max_bytes, lead="head").select("directory", "chunk", F.col("n_items").alias("n_files"), F.col("text").alias("digest"))
+
+
+def repository_text(dir_summaries: DataFrame, *, repository: str = "repository", directory: str = "directory", summary: str = "summary",
+                    max_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(repository, chunk, n_directories, digest): F2 in directory order, summaries apart by a blank line (which
+    ends every summary but the last: it is taken off the last chunk)."""
+    d = dir_summaries.select(F.col(repository).alias("repository"), F.col(directory).alias("directory"), F.concat(F.col(summary), F.lit("\n\n")).alias("entry"))
+    chunks = text_chunks(d, ["repository"], ["directory"], "entry", max_bytes=max_bytes)
+    last = chunks.groupBy("repository").agg(F.max("chunk").alias("last"))
+    text = F.when(F.col("chunk") == F.col("last"), F.expr("left(text, length(text) - 2)")).otherwise(F.col("text"))
+    return chunks.join(last, "repository").select("repository", "chunk", F.col("n_items").alias("n_directories"), text.alias("digest"))
+
+
+def summary_parts(overall: DataFrame, directories: DataFrame, *, key: str = "repository", max_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(key, part, json): F3 as fragments of its JSON text, in order of ``part``; joined they are the text of
+    ``merge_summaries``.  Part 0 opens the document with the overall summary, the last one closes it."""
+    name = F.regexp_extract(F.to_json(F.struct(F.col("directory").alias("d"))), r"(?s)^\{\"d\":(.*)\}$", 1)
+    entry = F.concat(F.lit(","), name, F.lit(":"), F.to_json(F.struct("purpose", "components", "description")))
+    chunks = text_chunks(directories.select(key, "directory", entry.alias("entry")), [key], ["directory"], "entry", max_bytes=max_bytes)
+    head = overall.select(key, F.to_json(F.struct("summary")).alias("head"))
+    head = head.withColumn("head", F.concat(F.expr("left(head, length(head) - 1)"), F.when(F.col("head") == "{}", F.lit("")).otherwise(F.lit(",")), F.lit('"directory_summaries":{')))
+    body = chunks.select(key, (F.col("chunk") + 1).alias("part"), F.when(F.col("chunk") == 0, F.expr("substring(text, 2)")).otherwise(F.col("text")).alias("json"))
+    known = chunks.groupBy(key).agg((F.max("chunk") + 2).alias("last"))
+    tail = head.join(known, key).select(key, F.col("last").alias("part"), F.lit("}}").alias("json"))
+    alone = head.join(known, key, "left_anti").select(key, F.lit(0).alias("part"), F.regexp_replace("head", ',?"directory_summaries":\\{$', "}").alias("json"))
+    opened = head.join(known, key, "left_semi").select(key, F.lit(0).alias("part"), F.col("head").alias("json"))
+    return body.unionByName(opened).unionByName(tail).unionByName(alone)

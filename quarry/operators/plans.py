@@ -1,8 +1,8 @@
 """Plans, reviews, repairs and investigations.
 
 Model output arrives as JSON text; it is parsed with explicit StructTypes
-(``from_json`` is case-sensitive, so the schemas carry the exact keys) and
-flattened with ``posexplode``.  Per-plan texts are built from the plan's own
+(``from_json`` is case-sensitive, so the schemas carry the exact keys; ``parse_json_any_case``
+takes them in any case) and flattened with ``posexplode``.  Per-plan texts are built from the plan's own
 arrays with higher-order functions: no shuffle, no grouping.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import schemas as S
+from quarry.functions.variant import parse_any_case
 
 # Fixed text layouts of the reports.
 CHANGE_BLOCK = "---- change %d -----\nPath: %s, Type: %s, Name: %s,\nNewContent: %s\n----- change %d end ----\n"
@@ -23,6 +24,13 @@ def parse_json(df: DataFrame, schema, *, json_col: str = "json", out: str = "j")
     return df.withColumn(out, F.from_json(F.col(json_col), schema))
 
 
+def parse_json_any_case(df: DataFrame, schema, *, json_col: str = "json", out: str = "j", bad: str | None = None) -> DataFrame:
+    """Like ``parse_json`` with keys in any case (A8); ``bad`` names a column that is true where the text
+    is not a JSON object."""
+    df = df.withColumn(out, parse_any_case(F.col(json_col), schema))
+    return df.withColumn(bad, F.col(out).isNull()) if bad else df
+
+
 def flatten_plan(plans: DataFrame, *, plan: str = "plan") -> DataFrame:
     """One row per change with its 0-based index."""
     p = F.col(plan)

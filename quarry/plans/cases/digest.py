@@ -48,6 +48,26 @@ def repo_digest(spark, d):
     return DG.repository_digest(_dir_summaries(spark, d))
 
 
+# Bytes of a chunk in the registered queries (small, so that several chunks occur).
+_CHUNK = 4096
+
+
+def _sql_chunks(group: str, order: str, src: str) -> str:
+    """``src`` with the number of each entry in its group and its chunk."""
+    return f"""SELECT *, row_number() OVER w - 1 AS n,
+        ((sum(strlen(entry)) OVER (PARTITION BY {group} ORDER BY {order} ROWS UNBOUNDED PRECEDING) - strlen(entry)) // {_CHUNK})::INTEGER AS chunk
+      FROM ({src}) WINDOW w AS (PARTITION BY {group} ORDER BY {order})"""
+
+
+@register("dir_digest_text", sql(["dirfiles"], f"""
+    SELECT directory, chunk, count(*) AS n_files,
+           string_agg(CASE WHEN n = 0 THEN 'Directory: ' || directory || chr(10) ELSE '' END || entry, '' ORDER BY n) AS digest
+    FROM ({_sql_chunks('directory', 'filepath', 'SELECT * FROM dirfiles')}) GROUP BY directory, chunk"""))
+def dir_digest_text(spark, d):
+    """Directory digests in path order, in chunks that joined are the whole text."""
+    return DG.directory_text(C.doc_table(spark, d), max_bytes=_CHUNK)
+
+
 derived("dirsummaries", ("dirfiles",), """
     SELECT repository, directory, 'Directory: ' || directory || ' (' || count(*)::VARCHAR || ' files)' AS summary
     FROM dirfiles GROUP BY 1, 2""")
@@ -62,6 +82,10 @@ derived("dirsummaries", ("dirfiles",), """
                                                    ORDER BY directory)) AS m
           FROM dirsummaries GROUP BY repository) USING (repository)"""))
 def repo_summary_merge(spark, d):
+    return DG.merge_summaries(*_summaries(spark, d))
+
+
+def _summaries(spark, d):
     ds = _dir_summaries(spark, d).select(
         "repository", "directory", F.col("summary").alias("purpose"),
         F.array(F.col("directory")).alias("components"), F.col("summary").alias("description"))
@@ -70,7 +94,7 @@ def repo_summary_merge(spark, d):
             F.col("repository").alias("project_name"),
             F.concat(F.lit("documents: "), F.col("n").cast("string")).alias("purpose"),
         ).alias("summary"))
-    return DG.merge_summaries(overall, ds)
+    return overall, ds
 
 
 @register("documents_scope", sql(["doctable"], f"""
@@ -80,3 +104,30 @@ def documents_scope(spark, d):
     s = C.doc_table(spark, d)
     return s.filter((F.col("repository") == SCOPE_REPOSITORY) & (F.col("context") == SCOPE_CONTEXT)).select(
         "id", "filepath", "description")
+
+
+@register("repo_digest_text", sql(["dirsummaries"], f"""
+    SELECT repository, chunk, count(*) AS n_directories,
+           string_agg(CASE WHEN n = last THEN substr(entry, 1, length(entry) - 2) ELSE entry END, '' ORDER BY n) AS digest
+    FROM (SELECT *, max(n) OVER (PARTITION BY repository) AS last
+          FROM ({_sql_chunks('repository', 'directory', "SELECT repository, directory, summary || chr(10) || chr(10) AS entry FROM dirsummaries")}))
+    GROUP BY repository, chunk"""))
+def repo_digest_text(spark, d):
+    return DG.repository_text(_dir_summaries(spark, d), max_bytes=_CHUNK)
+
+
+@register("repo_summary_parts", sql(["dirsummaries", "doctable"], f"""
+    SELECT repository, chunk + 1 AS part, string_agg(CASE WHEN n = 0 THEN substr(entry, 2) ELSE entry END, '' ORDER BY n) AS json
+    FROM ({_sql_chunks('repository', 'directory', """SELECT repository, directory, ',' || to_json(directory)::VARCHAR || ':' ||
+            to_json({'purpose': summary, 'components': [directory], 'description': summary})::VARCHAR AS entry FROM dirsummaries""")})
+    GROUP BY repository, chunk
+    UNION ALL
+    SELECT repository, 0, '{{"summary":' || to_json({{'project_name': repository, 'purpose': 'documents: ' || count(*)::VARCHAR}})::VARCHAR
+           || ',"directory_summaries":{{' FROM doctable GROUP BY repository
+    UNION ALL
+    SELECT repository, max(chunk) + 2, '}}}}'
+    FROM ({_sql_chunks('repository', 'directory', """SELECT repository, directory, ',' || to_json(directory)::VARCHAR || ':' ||
+            to_json({'purpose': summary, 'components': [directory], 'description': summary})::VARCHAR AS entry FROM dirsummaries""")})
+    GROUP BY repository"""))
+def repo_summary_parts(spark, d):
+    return DG.summary_parts(*_summaries(spark, d), max_bytes=_CHUNK)

@@ -33,6 +33,39 @@ def json_plan(spark, d):
     return PL.flatten_plan(PL.parse_json(js, S.CHANGES_PLAN, out="plan"))
 
 
+@register("json_plan_any_case", sql(["planchanges"], "SELECT * FROM planchanges"))
+def json_plan_any_case(spark, d):
+    """The plans' JSON with keys in upper, title and lower case by turns, and one unknown key each."""
+    p = C.plans(spark, d)
+    js = F.to_json(F.struct("id", "query", "changes"))
+    upper = F.array_join(F.transform(F.split(js, '":'), lambda x: F.concat(F.regexp_extract(x, r'(?s)^(.*?)\w*$', 1), F.upper(F.regexp_extract(x, r"(\w*)$", 1)))), '":')
+    k = F.col("id").cast("long") % 3
+    text = F.when(k == 0, upper).when(k == 1, F.regexp_replace(js, '"(id|new_content)":', '"unknown $1":[1],"$1":')).otherwise(js)
+    return PL.flatten_plan(PL.parse_json_any_case(p.select(text.alias("json")), S.CHANGES_PLAN, out="plan"))
+
+
+@register("json_yes_no", sql([], """
+    SELECT doc_id, CASE WHEN toxic IS NULL THEN NULL ELSE toxic = 1 END AS answer, toxic IS NULL AS bad FROM labels"""))
+def json_yes_no(spark, d):
+    """A judge's yes or no for each label, the key in several cases; a missing verdict is no JSON at all."""
+    lab = read_table(spark, d, "labels", "doc_id", "toxic")
+    key = F.element_at(F.array(*map(F.lit, ("answer", "Answer", "ANSWER", "aNSWER"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.concat(F.lit('{"'), key, F.lit('": '), F.when(F.col("toxic") == 1, "true").otherwise("false"), F.lit(', "why": "-"}'))
+    js = lab.select("doc_id", F.when(F.col("toxic").isNull(), F.lit("no verdict")).otherwise(text).alias("json"))
+    return PL.parse_json_any_case(js, S.YES_OR_NO, bad="bad").select("doc_id", F.col("j.answer").alias("answer"), "bad")
+
+
+@register("json_review", sql(["reviews"], "SELECT plan_id, result, comment FROM reviews"))
+def json_review(spark, d):
+    """Reviews written as JSON files with Go field names in place of some tags, and read back."""
+    out = scratch_path(spark, f"reviews-{uuid.uuid4().hex}")
+    r = C.reviews(spark, d)
+    named = F.when(F.col("result"), F.to_json(F.struct(F.col("plan_id").alias("PLAN_ID"), F.col("result").alias("Result"), F.col("comment").alias("Comment")))).otherwise(
+        F.to_json(F.struct("plan_id", "result", "comment")))
+    r.select(named.alias("json")).write.text(out)
+    return PL.parse_json_any_case(spark.read.text(out), S.REVIEW, json_col="value").select("j.*")
+
+
 @register("json_locations", sql([], """
     SELECT o_orderpriority AS query, 'f' || l_partkey::VARCHAR || '.go' AS path, count(*) AS n_blocks
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2"""))

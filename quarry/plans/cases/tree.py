@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry import schemas as S
 from quarry.functions import paths as P
+from quarry.operators import nested as NE
 from quarry.operators import tree as T
 from quarry.plans.catalog import register
 from quarry.plans.oracle import derived, sql
@@ -93,6 +94,15 @@ def manifest_roundtrip(spark, d):
     return spark.read.schema(S.MANIFEST_NODE).json(out)
 
 
+@register("manifest_nested", sql(["manifest"], "SELECT path, name, parent, depth, segments, is_dir FROM manifest"))
+def manifest_nested(spark, d):
+    """The manifest written as one nested JSON document a host, and read back at any depth."""
+    out = scratch_path(spark, f"nested-{uuid.uuid4().hex}")
+    man = _manifest(spark, d).withColumn("tree", F.element_at("segments", 1))
+    NE.to_nested(man, generated_at="2024-01-01T00:00:00Z").select("json").write.text(out)
+    return NE.from_nested(spark.read.text(out), json="value").select("path", "name", "parent", "depth", "segments", "is_dir")
+
+
 @register("documents_scan", sql(["doctable"], "SELECT * FROM doctable"))
 def documents_scan(spark, d):
     return C.doc_table(spark, d)
