@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import url_owner_repo
+from quarry.operators.skew import salted_join
 
 
-def runs_for_prs(prs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs on the head branch of each PR (K1; the reference filters by branch)."""
-    return prs.select("number", "head_ref").join(
-        runs.withColumnRenamed("branch", "head_ref"), "head_ref")
+def runs_for_prs(prs: DataFrame, runs: DataFrame, *, heavy: list | None = None) -> DataFrame:
+    """Runs on the head branch of each PR (K1; the reference filters by branch).  A branch such as main may
+    hold a large part of all runs: its runs are dealt over many tasks (``skew.salted_join``)."""
+    return salted_join(prs.select("number", "head_ref"), runs.withColumnRenamed("branch", "head_ref"), "head_ref", heavy=heavy)
 
 
 def failed_runs(runs: DataFrame, logs: DataFrame) -> DataFrame:

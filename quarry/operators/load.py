@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import enrich as EN
@@ -31,6 +31,16 @@ def default_summary(content: F.Column, filepath: F.Column) -> F.Column:
                     F.lit(" lines"))
 
 
+def _observed(rows: DataFrame, observation: Observation | None) -> DataFrame:
+    """``rows`` whose pass also counts what became of each."""
+    if observation is None:
+        return rows
+    failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    empty = ~failed & (F.coalesce(F.length("description"), F.lit(0)) == 0)
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    return rows.observe(observation, F.count(F.lit(1)).alias("n_changed"), count(failed).alias("n_failed"), count(empty).alias("n_skipped"), count(~failed & ~empty).alias("n_ok"))
+
+
 def load_documents(
     state: DataFrame,
     files: DataFrame,
@@ -41,6 +51,7 @@ def load_documents(
     scopes: DataFrame | None = None,
     loaded_at: dt.datetime | None = None,
     materialize: bool = True,
+    observation: Observation | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Sync ``state`` (documents) with ``files`` (repository, context, filepath,
     content, modified_at).  Returns ``(next_state, errors)``; ``errors`` holds
@@ -49,6 +60,9 @@ def load_documents(
     ``updated_at`` is ``loaded_at`` (default: now), so a file that has not changed
     since is fresh in the next load.
 
+    ``observation`` receives the counts of changed files as they are summarised: n_changed, n_failed (the
+    summariser raised), n_skipped (empty summary) and n_ok, from the pass that writes them, without another scan.
+
     With ``materialize`` the changed rows (keys and summaries, not the texts) are
     checkpointed to the shared ``spark.checkpoint.dir`` once, so the embedding, the
     upsert and the error report read them instead of re-running classification and
@@ -60,12 +74,13 @@ def load_documents(
     classes = SY.classify(state, files, scopes=scopes, keep_content=False)
     changed = SY.changed_content(classes, files)
     if summarize is None:
-        described = changed.withColumn("description", default_summary(F.col("content"), F.col("filepath"))).drop("content")
+        described = _observed(changed.withColumn("description", default_summary(F.col("content"), F.col("filepath"))).drop("content"), observation)
         if materialize:
             described = described.checkpoint()
         errors = described.limit(0).withColumn("error", F.lit(None).cast("string"))
     else:
         enriched = EN.enrich_batch(changed, summarize, input_col="content", output_col="description").drop("content")
+        enriched = _observed(enriched, observation)
         if materialize:
             enriched = enriched.checkpoint()
         described, errors = EN.split_errors(enriched)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
+from quarry.session import ensure_checkpoint_dir
 
 
 def file_rows(files: DataFrame, *, path_col: str = "path", content_col: str | None = "content",
@@ -56,9 +57,13 @@ def manifest(files: DataFrame, *, path_col: str = "path", with_dirs: bool = True
     return f.unionByName(directory_rows(files, path_col=path_col)) if with_dirs else f
 
 
-def subtree_scope(files: DataFrame, target: str, *, path_col: str = "path") -> DataFrame:
-    """Keep paths strictly below ``target``; empty target keeps everything (A3)."""
-    return files.filter(P.below(F.col(path_col), target))
+def subtree_scope(files: DataFrame, target: str, *, path_col: str = "path", missing_ok: bool = True) -> DataFrame:
+    """Keep paths strictly below ``target``; empty target keeps everything (A3).  With ``missing_ok=False`` a
+    target that no path lies below is an error, as in the reference; that reads up to the first such path."""
+    scoped = files.filter(P.below(F.col(path_col), target))
+    if not missing_ok and target and scoped.select(path_col).isEmpty():
+        raise FileNotFoundError(f"no file below {target!r}")
+    return scoped
 
 
 def apply_rules_flat(files: DataFrame, exclude: Sequence[str], include: Sequence[str], *,
@@ -135,36 +140,28 @@ def children_counts(man: DataFrame) -> DataFrame:
 def tree_lines(man: DataFrame) -> DataFrame:
     """One rendered line per node (B3): ``├── ``/``└── `` and 4-column indents.
 
-    ``is_last`` = the node holds the greatest name among its siblings, computed by
-    a grouped max and a join (no window over a possibly huge directory).  The
-    indent needs ``is_last`` of every ancestor: ancestors are exploded, joined to
-    the flags and re-aggregated per node (depth-bounded per node)."""
+    ``is_last`` = the node holds the greatest name among its siblings, a grouped max kept with the
+    parent directory.  A directory's indent is put together by pointer doubling over the
+    directories alone: each knows the piece of itself and an ancestor to go on from, and every
+    round joins it to that ancestor's piece, so a tree of depth d takes log2(d) rounds.  Nodes are joined
+    once, to their parent."""
     last = man.groupBy("parent").agg(F.max("name").alias("last_name"))
-    nodes = (
-        man.select("path", "name", "parent", "depth", "segments", "is_dir")
-        .join(last, "parent")
-        .withColumn("is_last", F.col("name") == F.col("last_name"))
-        .drop("last_name")
-    )
-    # ancestors are directories: only directory rows are needed on this side
-    flags = nodes.filter("is_dir").select(F.col("path").alias("anc"), F.col("is_last").alias("anc_last"),
-                                          F.col("depth").alias("anc_depth"))
-    indents = (
-        nodes.select("path", F.explode(P.ancestors("path")).alias("anc"))
-        .join(flags, "anc")
-        .groupBy("path")
-        .agg(F.array_sort(F.collect_list(F.struct("anc_depth", "anc_last"))).alias("chain"))
-        .select("path", F.array_join(F.transform(
-            "chain", lambda x: F.when(x["anc_last"], F.lit("    ")).otherwise(F.lit("│   "))), "").alias("indent"))
-    )
-    return (
-        nodes.join(indents, "path", "left")
-        .select(
-            "path", "segments", "depth",
-            F.concat(F.coalesce("indent", F.lit("")),
-                     F.when(F.col("is_last"), F.lit("└── ")).otherwise(F.lit("├── ")),
-                     F.col("name")).alias("line"),
-        )
+    dirs = man.filter("is_dir").select("path", "parent", "name", "depth").join(last, "parent")
+    piece = F.when(F.col("name") == F.col("last_name"), F.lit("    ")).otherwise(F.lit("│   "))
+    known = dirs.select("path", F.col("parent").alias("up"), piece.alias("indent"))
+    deepest = dirs.agg(F.max("depth")).first()[0] or 0
+    ensure_checkpoint_dir(man.sparkSession)
+    known = known.checkpoint()
+    reach = 1  # directories that a piece covers
+    while reach < deepest:
+        above = known.select(F.col("path").alias("up"), F.col("up").alias("next"), F.col("indent").alias("more"))
+        known = known.join(above, "up", "left").select(
+            "path", F.coalesce("next", F.lit("")).alias("up"), F.concat(F.coalesce("more", F.lit("")), "indent").alias("indent")).checkpoint()
+        reach *= 2
+    parents = last.join(known.select(F.col("path").alias("parent"), "indent"), "parent", "left")
+    return man.select("path", "name", "parent", "depth", "segments").join(parents, "parent").select(
+        "path", "segments", "depth",
+        F.concat(F.coalesce("indent", F.lit("")), F.when(F.col("name") == F.col("last_name"), F.lit("└── ")).otherwise(F.lit("├── ")), F.col("name")).alias("line"),
     )
 
 

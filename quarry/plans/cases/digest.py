@@ -131,3 +131,21 @@ def repo_digest_text(spark, d):
     GROUP BY repository"""))
 def repo_summary_parts(spark, d):
     return DG.summary_parts(*_summaries(spark, d), max_bytes=_CHUNK)
+
+
+@register("documents_scopes", sql(["doctable"], """
+    SELECT id, repository, context, filepath, description FROM doctable
+    WHERE repository = 'repo1' AND context IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 0.2 * (SELECT count(*) FROM documents))"""))
+def documents_scopes(spark, d):
+    """The documents of the scopes in a table (one repository, its larger languages), from a snapshot in folders."""
+    import uuid
+
+    from quarry.session import scratch_path
+    from quarry.sources.files import read_scopes, write_snapshot
+    path = scratch_path(spark, f"scoped-{uuid.uuid4().hex}")
+    docs = C.doc_table(spark, d)
+    write_snapshot(docs.withColumn("embedding", F.array().cast("array<float>")), path)
+    scopes = docs.groupBy("repository", "context").agg(F.count("*").alias("n"))
+    per = docs.groupBy("context").agg(F.count("*").alias("all")).withColumn("rows", docs.select(F.count("*")).scalar())
+    asked = scopes.join(per.filter(F.col("all") >= 0.2 * F.col("rows")), "context").filter(F.col("repository") == "repo1")
+    return read_scopes(spark, path, asked, columns=["id", "repository", "context", "filepath", "description"])

@@ -112,6 +112,23 @@ def upsert_new_values(spark, d):
     return SY.upsert(C.doc_state(spark, d), _changes(spark, d), on_conflict="update")
 
 
+@register("upsert_bucketed", sql(["state", "changes"], sql_with_new_ids(
+    f"SELECT * FROM ({_MERGE_UPDATE}) WHERE id IS NOT NULL", f"SELECT * FROM ({_MERGE_UPDATE}) WHERE id IS NULL")))
+def upsert_bucketed(spark, d):
+    """Classify and upsert against a state stored in buckets of the document key: only the changes are exchanged."""
+    import uuid
+
+    from quarry.session import scratch_path
+    from quarry.sources.files import write_bucketed
+    name = f"documents_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state = write_bucketed(C.doc_state(spark, d), scratch_path(spark, name), name, n_buckets=n)
+    inc = C.doc_incoming(spark, d)
+    changed = SY.changed_content(SY.classify(state, inc, keep_content=False), inc)
+    changes = changed.select(*SY.KEY, describe(F.col("content"), F.col("filepath")).alias("description"), F.lit(LOADED_AT).cast("timestamp_ntz").alias("updated_at"))
+    return SY.upsert(state, changes, on_conflict="update")
+
+
 @register("upsert_ignore", sql(["state", "changes"], sql_with_new_ids(
     "SELECT * FROM state",
     f"SELECT b.* FROM changes b WHERE NOT EXISTS (SELECT 1 FROM state a WHERE {ON_KEY})")))

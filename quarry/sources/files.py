@@ -8,6 +8,9 @@
 * ``read_snapshot`` / ``write_snapshot``: the documents table as parquet
   partitioned by ``repository, context``; a scoped read prunes folders
   (``PartitionFilters``) and pushes the remaining predicates into the scan.
+* ``read_scopes``: the rows of the scopes in a table, whose folders alone are read.
+* ``write_bucketed`` / ``read_bucketed``: the documents table bucketed by its key, for syncs that
+  exchange only their changes.
 * ``read_documents_jdbc``: the documents table from a database, read in parallel
   ranges of ``id`` (no database exists in the test sandbox, so this path is not
   exercised by the tests).
@@ -19,8 +22,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.schemas import DOCUMENT
+from quarry.plans.guards import guarded_broadcast
+from quarry.schemas import DOCUMENT, DOCUMENT_KEY
 
 SCOPE = ("repository", "context")
 
@@ -75,6 +80,34 @@ def read_snapshot(spark: SparkSession, path: str, *, repository: str | None = No
     return df.select(*columns) if columns else df
 
 
+def read_scopes(spark: SparkSession, path: str, scopes: DataFrame, *, columns: Sequence[str] | None = None, max_scopes: int = 100_000) -> DataFrame:
+    """The rows of a snapshot whose (repository, context) is in the table ``scopes``.  The scopes' own filters
+    run first and prune the snapshot's folders (dynamic partition pruning): only the asked ones are read."""
+    # Spark plans the pruning only for a side that is filtered by some comparison; every scope meets this one
+    known = scopes.select(*SCOPE).filter(F.octet_length("repository") >= 0).distinct()
+    asked = guarded_broadcast(known, max_scopes)
+    df = spark.read.schema(DOCUMENT).parquet(path).join(asked, list(SCOPE), "left_semi")
+    return df.select(*columns) if columns else df
+
+
+def write_bucketed(df: DataFrame, path: str, table: str, *, n_buckets: int = 64, key: Sequence[str] = DOCUMENT_KEY) -> DataFrame:
+    """Write a snapshot bucketed and sorted by the document key as the external table ``table`` at ``path``, and
+    read it.  Classify, prune and upsert against it exchange the changes only: the stored side lies
+    dealt by the key already."""
+    df.write.format("parquet").mode("overwrite").bucketBy(n_buckets, *key).sortBy(*key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def read_bucketed(spark: SparkSession, path: str, table: str, schema: T.StructType, *, n_buckets: int = 64, key: Sequence[str] = DOCUMENT_KEY) -> DataFrame:
+    """A snapshot that ``write_bucketed`` has written, also from another session, whose catalog
+    does not know the table yet."""
+    if not spark.catalog.tableExists(table):
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        by = ", ".join(f"`{k}`" for k in key)
+        spark.sql(f"CREATE TABLE `{table}` ({cols}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n_buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def read_documents_jdbc(spark: SparkSession, url: str, *, table: str = "documents", properties: dict | None = None,
                         num_partitions: int = 64, lower_id: int = 0, upper_id: int = 1 << 40) -> DataFrame:
     """Parallel JDBC read of the documents table, split into id ranges."""
