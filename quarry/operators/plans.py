@@ -101,6 +101,17 @@ def investigation_digest(steps: DataFrame, *, steps_col: str = "steps") -> DataF
     return steps.select("id", txt.alias("digest"))
 
 
+def investigation_examples_text(examples: Column) -> Column:
+    """Numbered listing of past investigations (I8) for ``array<struct<goal, files: array<struct<path,
+    content>>, result>>``."""
+    def one(e, i):
+        files = F.array_join(F.transform(e["files"], lambda f: F.concat(F.lit("\n---\nfile: "), f["path"], F.lit("\n```\n"), f["content"], F.lit("\n```"))), "")
+        return F.concat(F.format_string("\n--- Example %d ---\n", i + 1), F.lit("Goal: "), e["goal"], F.lit("\nFiles:"), files, F.lit("\nResult: "), e["result"],
+                        F.format_string("\n--- Example end %d ---", i + 1))
+
+    return F.array_join(F.transform(examples, one), "")
+
+
 def action_plan_text(examples: Column) -> Column:
     """Numbered example listing (I8) for ``array<struct<goal, plan: ActionPlan>>``."""
     def one(e, i):

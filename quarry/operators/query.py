@@ -8,7 +8,7 @@ have cardinality contracts: ``only``, ``exists``, ``page`` and ``count_where``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +67,27 @@ def first(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return out
 
 
+def update_one(df: DataFrame, id_value, sets: Mapping[str, Column], *, id_col: str = "id") -> DataFrame:
+    """The table with the columns of one row set (UpdateOneID); NotFound when the id is absent."""
+    only(df.filter(F.col(id_col) == F.lit(id_value)).select(id_col))
+    hit = F.col(id_col) == F.lit(id_value)
+    return df.select(*(F.when(hit, sets[c]).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in df.columns))
+
+
+#: Scalar forms of a scan (A11): the reference's name and the type of its values.
+SCALARS = {"strings": "string", "ints": "int", "float64s": "double", "bools": "boolean"}
+
+
+def scan_as(df: DataFrame, column: str, form: str) -> DataFrame:
+    """One column as strings, ints, float64s or bools; a value of another type is an error (ANSI cast)."""
+    return df.select(F.col(column).cast(SCALARS[form]).alias(column))
+
+
+def scalar_as(df: DataFrame, column: str, form: str) -> DataFrame:
+    """The singular form of ``scan_as``: NotFound for no value, NotSingular for more than one."""
+    return only(scan_as(df, column, form))
+
+
 def exists(df: DataFrame) -> DataFrame:
     """One row ``exists boolean``; stops reading after the first match."""
     return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("exists"))

@@ -92,6 +92,23 @@ def pack(df: DataFrame, group: Sequence[str], order: str, text: Column, *, sep:
         F.count("*").alias("n_items"))
 
 
+def located_file(path: Column, content: Column) -> Column:
+    """A file in the locator's layout (E6); files follow each other in path order with nothing between."""
+    return F.concat(F.lit("\n### File: "), path, F.lit(" ###\n```\n"), F.coalesce(content, F.lit("")), F.lit("\n```"))
+
+
+def planned_file(path: Column, content: Column, blocks: Column) -> Column:
+    """A file in the planner's layout with its blocks, ``array<struct<target_type, target_name>>`` or null."""
+    listed = F.array_join(F.transform(blocks, lambda b: F.concat(F.lit("\n- "), b["target_type"], F.lit(": "), b["target_name"])), "")
+    return F.concat(F.lit("\n--------------------\nfilepath:"), path, F.lit("\n--"), F.coalesce(content, F.lit("")),
+                    F.lit("\n--- content end---\n--- blocks ---\n"), F.when(blocks.isNull(), F.lit("No blocks found")).otherwise(listed))
+
+
+def investigated_file(path: Column, content: Column) -> Column:
+    """A relevant file in the layout of the investigation."""
+    return F.concat(F.lit("--- "), path, F.lit(" start ---\n"), F.coalesce(content, F.lit("")), F.lit("\n--- "), path, F.lit(" end ---\n"))
+
+
 def chat_role(role) -> Column:
     r = F.col(role) if isinstance(role, str) else role
     return F.when(r.isin(*ROLES), r).otherwise(F.lit("system"))

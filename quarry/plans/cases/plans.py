@@ -217,6 +217,29 @@ def action_plan_text(spark, d):
     return per.select("o_custkey", PL.action_plan_text(F.col("examples")).alias("text"))
 
 
+@register("investigation_examples", sql(["planchanges"], r"""
+    , ex AS (
+      SELECT plan_id, min(query) AS goal, count(*)::VARCHAR || ' changes' AS result,
+             string_agg(chr(10) || '---' || chr(10) || 'file: ' || path || chr(10) || '```' || chr(10) || new_content || chr(10) || '```', '' ORDER BY change_index) AS files
+      FROM planchanges GROUP BY plan_id),
+    num AS (
+      SELECT o.o_custkey, ex.*, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS i
+      FROM ex JOIN orders o ON o.o_orderkey::VARCHAR = ex.plan_id)
+    SELECT o_custkey, string_agg(chr(10) || '--- Example ' || i::VARCHAR || ' ---' || chr(10) || 'Goal: ' || goal || chr(10) || 'Files:' || files
+                                 || chr(10) || 'Result: ' || result || chr(10) || '--- Example end ' || i::VARCHAR || ' ---', '' ORDER BY i) AS text
+    FROM num GROUP BY o_custkey"""))
+def investigation_examples(spark, d):
+    """Past investigations of each customer listed as numbered examples: the plan's files and what came of it."""
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey")
+    ex = C.plans(spark, d).select("id", F.struct(
+        F.col("query").alias("goal"),
+        F.transform("changes", lambda c: F.struct(c["block"]["path"].alias("path"), c["new_content"].alias("content"))).alias("files"),
+        F.concat(F.size("changes").cast("string"), F.lit(" changes")).alias("result")).alias("ex"))
+    j = ex.join(o.select(F.col("o_orderkey").cast("string").alias("id"), "o_custkey", "o_orderkey"), "id")
+    per = j.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "ex"))), lambda x: x["ex"]).alias("examples"))
+    return per.select("o_custkey", PL.investigation_examples_text(F.col("examples")).alias("text"))
+
+
 @register("record_text", sql(["planchanges"], """
     SELECT plan_id AS id,
            to_json({'id': plan_id, 'query': min(query),

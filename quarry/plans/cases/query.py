@@ -8,6 +8,7 @@ from quarry.operators import query as Q
 from quarry.plans.catalog import register
 from quarry.plans.oracle import sql
 from quarry.sources import corpus as C
+from quarry.sources.tables import read_table
 
 T0, T1 = "2024-01-01 06:00:00", "2024-01-01 18:00:00"
 
@@ -139,3 +140,51 @@ def agg_group(spark, d):
 def agg_global(spark, d):
     return _state(spark, d).agg(F.count("*").alias("n"), F.max("id").alias("max_id"), F.min("id").alias("min_id"),
                                 F.avg("id").alias("mean_id"), F.sum("id").alias("sum_id"))
+
+
+@register("pred_id", sql(["doctable"], """
+    SELECT id, filepath FROM doctable WHERE id IN (3, 5, 8) OR (id >= 20 AND id < 90 AND id <> 50) OR id > 150"""))
+def pred_id(spark, d):
+    i = F.col("id")
+    return _state(spark, d).filter(i.isin(3, 5, 8) | ((i >= 20) & (i < 90) & (i != 50)) | (i > 150)).select("id", "filepath")
+
+
+@register("pred_embedding", sql(["vectors"], """
+    SELECT v.id, v.embedding = q.embedding AS same, v.embedding > q.embedding AS greater
+    FROM vectors v, (SELECT embedding FROM vectors WHERE id = 1) q WHERE v.embedding <> q.embedding OR v.embedding <= q.embedding"""))
+def pred_embedding(spark, d):
+    """Equality and order of whole vectors, element by element as arrays compare."""
+    v = C.vectors(spark, d)
+    one = v.withColumn("__q", v.filter(F.col("id") == 1).select("embedding").scalar())
+    e, q = F.col("embedding"), F.col("__q")
+    return one.filter((e != q) | (e <= q)).select("id", (e == q).alias("same"), (e > q).alias("greater"))
+
+
+@register("first_row", sql(["doctable"], "SELECT id, filepath, updated_at FROM doctable ORDER BY updated_at DESC, id LIMIT 1"))
+def first_row(spark, d):
+    return Q.first(_state(spark, d).select("id", "filepath", "updated_at"), [F.desc("updated_at"), F.col("id")])
+
+
+@register("get_row", sql(["doctable"], "SELECT * FROM doctable WHERE id = 7"))
+def get_row(spark, d):
+    return Q.get(_state(spark, d), 7)
+
+
+@register("offset_rows", sql(["doctable"], "SELECT id, filepath FROM doctable ORDER BY filepath, id OFFSET 25"))
+def offset_rows(spark, d):
+    """Everything after the first 25 rows, without a limit."""
+    return Q.page(_state(spark, d).select("id", "filepath"), ["filepath", "id"], offset=25)
+
+
+@register("update_one", sql(["doctable"], "SELECT id, CASE WHEN id = 7 THEN 'set' ELSE filepath END AS filepath FROM doctable"))
+def update_one(spark, d):
+    return Q.update_one(_state(spark, d).select("id", "filepath"), 7, {"filepath": F.lit("set")})
+
+
+@register("scan_typed", sql([], """
+    SELECT doc_id::VARCHAR AS strings, n_chars::INTEGER AS ints, n_chars::DOUBLE AS float64s, (n_chars % 2)::BOOLEAN AS bools FROM documents"""))
+def scan_typed(spark, d):
+    """The scalar forms side by side over every document."""
+    docs = read_table(spark, d, "documents", "doc_id", "n_chars")
+    cols = {"strings": F.col("doc_id"), "ints": F.col("n_chars"), "float64s": F.col("n_chars"), "bools": F.col("n_chars") % 2}
+    return docs.select(*(c.alias(k) for k, c in cols.items())).select(*(F.col(k).cast(Q.SCALARS[k]).alias(k) for k in cols))

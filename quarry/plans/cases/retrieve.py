@@ -127,6 +127,32 @@ def message_pack(spark, d):
     return R.messages(c, group="conv_id", order="turn", max_items=MAX_TURNS)
 
 
+@register("context_layouts", sql(["gofiles", "gofuncs"], """
+    , f AS (SELECT p_size AS qid, p_partkey AS pos, (p_partkey // 200)::INTEGER AS chunk, g.path, g.content, n.name
+            FROM part JOIN gofiles g ON g.path = 'f' || p_partkey::VARCHAR || '.go' LEFT JOIN gofuncs n ON n.path = g.path)
+    SELECT qid, chunk, count(*) AS n_items,
+           string_agg(chr(10) || '### File: ' || path || ' ###' || chr(10) || '```' || chr(10) || content || chr(10) || '```', '' ORDER BY pos) AS located,
+           string_agg(chr(10) || '--------------------' || chr(10) || 'filepath:' || path || chr(10) || '--' || content || chr(10) || '--- content end---' || chr(10)
+                      || '--- blocks ---' || chr(10) || coalesce(chr(10) || '- function: ' || name, 'No blocks found'), '' ORDER BY pos) AS planned,
+           string_agg('--- ' || path || ' start ---' || chr(10) || content || chr(10) || '--- ' || path || ' end ---' || chr(10), '' ORDER BY pos) AS investigated
+    FROM f GROUP BY qid, chunk"""))
+def context_layouts(spark, d):
+    """The Go files of each part size as context, in the layouts of the locator, the planner and the investigation."""
+    from quarry.operators import blocks as BK
+    files = C.go_files(spark, d)
+    funcs, _ = BK.go_index(files)
+    listed = funcs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", F.lit("function").alias("target_type"), F.col("name").alias("target_name")))).alias("blocks"))
+    ranked = read_table(spark, d, "part", "p_partkey", "p_size").select(F.col("p_size").alias("qid"), F.col("p_partkey").alias("pos"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"))
+    rows = ranked.join(files, "path").join(listed, "path", "left")
+    path, content = F.col("path"), F.col("content")
+    packed = [R.pack(rows, ["qid"], "pos", text, sep="", out=name, max_items=200) for name, text in (
+        ("located", R.located_file(path, content)), ("planned", R.planned_file(path, content, F.col("blocks"))), ("investigated", R.investigated_file(path, content)))]
+    out = packed[0]
+    for p in packed[1:]:
+        out = out.join(p.drop("n_items"), ["qid", "chunk"])
+    return out
+
+
 # The search command end to end: every document embedded, the query text taken
 # from the benchmark table, scoped top-k, contents packed in rank order.
 SEARCH_ITEM, SEARCH_REPOSITORY, SEARCH_CONTEXT, SEARCH_K = 0, "repo0", "en", 5

@@ -126,3 +126,30 @@ def test_pack_chunks_consecutive_turns(spark):
     df = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(5)], "c int, turn int, role string, text string")
     out = sorted(R.pack(df, ["c"], "turn", F.col("text"), max_items=2).collect(), key=lambda r: r.chunk)
     assert [(r.chunk, r.text) for r in out] == [(0, "m0\nm1"), (1, "m2\nm3"), (2, "m4")]
+
+
+def test_context_layouts_of_odd_files(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import retrieve as R
+    df = spark.createDataFrame([("a", None, None), ("b", "x\ny", [("function", "f"), ("function", "g")])], "path string, content string, blocks array<struct<target_type:string,target_name:string>>")
+    p, c = F.col("path"), F.col("content")
+    got = df.orderBy("path").select(R.located_file(p, c), R.planned_file(p, c, F.col("blocks")), R.investigated_file(p, c)).collect()
+    assert tuple(got[0]) == ("\n### File: a ###\n```\n\n```", "\n--------------------\nfilepath:a\n--\n--- content end---\n--- blocks ---\nNo blocks found", "--- a start ---\n\n--- a end ---\n")
+    assert got[1][1].endswith("--x\ny\n--- content end---\n--- blocks ---\n\n- function: f\n- function: g")
+
+
+def test_update_one_and_scalar_forms(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from quarry.operators import query as Q
+    df = spark.createDataFrame([(1, "7", True), (2, "x", False)], "id long, a string, b boolean")
+    assert [tuple(r) for r in Q.update_one(df, 2, {"a": F.concat("a", F.lit("!"))}).orderBy("id").collect()] == [(1, "7", True), (2, "x!", False)]
+    with pytest.raises(Q.NotFoundError):
+        Q.update_one(df, 3, {"a": F.lit("z")})
+    assert Q.scalar_as(df.filter("id = 1"), "a", "ints").first()[0] == 7
+    with pytest.raises(Q.NotSingularError):
+        Q.scalar_as(df, "b", "bools")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        Q.scan_as(df, "a", "ints").collect()
