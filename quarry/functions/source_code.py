@@ -1,167 +1,59 @@
-"""Small scanners of one Go or HCL text: where its declarations, blocks and bodies lie.
+"""Small per-row helpers for Go and HCL texts: their tokens, and the layout of an HCL body.
 
-Strings and comments are masked first (same length, line breaks kept), so braces,
-keywords and ``=`` inside them never count; positions are character offsets of the
-original text.
+``go_tokens`` and ``hcl_tokens`` only tell words, brackets, line ends, strings and comments apart; what
+the tokens mean (matching brackets, declarations, blocks, attributes, line ranges) is worked out
+in Spark (``operators.blocks``).  Positions are character offsets of the text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from typing import NamedTuple
 
-_GO_MASKED = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|`[^`]*`|'(?:\\.|[^'\\\n])*'""", re.S)
-_GO_WORD = re.compile(r"[{}()\[\]]|\bfunc\b|\bvar\b")
-_GO_NAMES = re.compile(r"\s*(\w+(?:\s*,\s*\w+)*)")
-_CLOSING = {"{": "}", "(": ")", "[": "]"}
+WORD, OPEN, CLOSE, NEWLINE, STRING, SIGN, COMMENT = "w", "o", "c", "n", "s", "p", "#"
 
 
-class GoFunc(NamedTuple):
-    name: str
-    start: int  # of ``func``
-    stop: int  # after the body's brace, or after the signature where there is no body
-    body: tuple[int, int] | None  # between the braces
+class Token(NamedTuple):
+    kind: str
+    text: str
+    pos: int
+    end: int
+    line: int
+    line_from: int  # offset of the line's first character
+    lead: str  # comments between the token before and this one
 
 
-def _fill(text: str, char: str) -> str:
-    return re.sub(r"[^\n]", char, text)
-
-
-def mask_go(src: str) -> str:
-    return _GO_MASKED.sub(lambda m: _fill(m.group(), " " if m.group()[0] == "/" else '"'), src)
-
-
-def matching(masked: str, at: int) -> int:
-    """Position of the bracket that closes the one at ``at``; -1 if none does."""
-    stack: list[str] = []
-    for m in re.compile(r"[{}()\[\]]").finditer(masked, at):
-        if m.group() in _CLOSING:
-            stack.append(_CLOSING[m.group()])
-        elif not stack or stack.pop() != m.group():
-            return -1
-        if not stack:
-            return m.start()
-    return -1
-
-
-def _blank(masked: str, at: int) -> int:
-    m = re.compile(r"\s*").match(masked, at)
-    return m.end()
-
-
-def _go_func(masked: str, at: int) -> GoFunc | None:
-    """The declaration whose ``func`` stands at ``at``."""
-    i = _blank(masked, at + 4)
-    if masked[i : i + 1] == "(":  # receiver
-        if (i := matching(masked, i)) < 0:
-            return None
-        i = _blank(masked, i + 1)
-    m = re.compile(r"\w+").match(masked, i)
-    if not m:
-        return None
-    i = _blank(masked, m.end())
-    for bracket in "[(":  # type parameters, parameters
-        if masked[i : i + 1] == bracket:
-            if (i := matching(masked, i)) < 0:
-                return None
-            i += 1
-            if bracket == "[":
-                i = _blank(masked, i)
-    while i < len(masked) and masked[i] != "\n":  # results, up to the body's brace or the line's end
-        if masked[i] == "{" and not re.search(r"\b(interface|struct)\s*$", masked[:i]):
-            close = matching(masked, i)
-            return GoFunc(m.group(), at, close + 1, (i + 1, close)) if close >= 0 else None
-        if masked[i] in _CLOSING:
-            if (i := matching(masked, i)) < 0:
-                return None
-        i += 1
-    return GoFunc(m.group(), at, len(masked[:i].rstrip()), None)
-
-
-def _specs(masked: str, start: int, stop: int):
-    """Starts of the specs of a ``var ( ... )`` group: after a line's end that ends a statement."""
-    depth, fresh, i = 0, True, start
-    while i < stop:
-        c = masked[i]
-        if fresh and not c.isspace() and c != ";":
-            yield i
-            fresh = False
-        if c in _CLOSING:
-            depth += 1
-        elif c in "})]":
-            depth -= 1
-        elif depth == 0 and (c == ";" or c == "\n" and masked[start:i].rstrip()[-1:] not in ("", *",=+-*/%&|^<>!(.:")):
-            fresh = True
-        i += 1
-
+# Groups in the order of the kinds: comment, string, word, open, close, newline, any other sign.
+_GO_TOKEN = re.compile(r"""(//[^\n]*|/\*.*?\*/)|("(?:\\.|[^"\\\n])*"|`[^`]*`|'(?:\\.|[^'\\\n])*')|(\w+)|([{(\[])|([})\]])|(\n)|(\S)""", re.S)
+_KINDS = (COMMENT, STRING, WORD, OPEN, CLOSE, NEWLINE, SIGN)
 
-def scan_go(src: str) -> tuple[list[GoFunc], list[tuple[str, int]]] | None:
-    """Top-level functions, and (name, offset) of the variables of every ``var``
-    declaration, in functions too; None where brackets do not match."""
-    masked = mask_go(src)
-    funcs: list[GoFunc] = []
-    found: list[tuple[str, int]] = []
-    stack: list[str] = []
-    for m in _GO_WORD.finditer(masked):
-        w = m.group()
-        if w in _CLOSING:
-            stack.append(_CLOSING[w])
-        elif w in "})]":
-            if not stack or stack.pop() != w:
-                return None
-        elif w == "func" and not stack and not masked[: m.start()].rstrip(" \t")[-1:].strip("\n;}"):
-            if (f := _go_func(masked, m.start())) is None:
-                return None
-            funcs.append(f)
-        elif w == "var" and not masked[: m.start()].rstrip(" \t")[-1:].strip("\n;{}"):
-            i = _blank(masked, m.end())
-            if masked[i : i + 1] == "(":
-                if (close := matching(masked, i)) < 0:
-                    return None
-                starts = list(_specs(masked, i + 1, close))
-            else:
-                starts = [i]
-            for at in starts:
-                if names := _GO_NAMES.match(masked, at):
-                    found += [(n.group(), names.start(1) + n.start()) for n in re.finditer(r"\w+", names.group(1))]
-    return None if stack else (funcs, found)
 
+def _placed(src: str, found: Iterator[tuple[str, int, int]]) -> Iterator[Token]:
+    """Tokens with their lines; a comment is a token and also the lead of the next other one."""
+    breaks = [m.start() for m in re.finditer("\n", src)]
+    lead = ""
+    for kind, pos, end in found:
+        n = bisect_right(breaks, pos - 1)
+        yield Token(kind, src[pos:end], pos, end, n + 1, breaks[n - 1] + 1 if n else 0, "" if kind == COMMENT else lead)
+        lead = lead + src[pos:end] if kind == COMMENT else ""
 
-def line_of(src: str, at: int) -> int:
-    return src.count("\n", 0, at) + 1
 
-
-def doc_start(src: str, at: int) -> int:
-    """Offset of the run of ``//`` lines directly above the line of ``at``, else of that line."""
-    start = src.rfind("\n", 0, at) + 1
-    while start and src[src.rfind("\n", 0, start - 1) + 1 : start].lstrip().startswith("//"):
-        start = src.rfind("\n", 0, start - 1) + 1
-    return start
+def go_tokens(src: str) -> Iterator[Token]:
+    return _placed(src, ((_KINDS[m.lastindex - 1], *m.span()) for m in _GO_TOKEN.finditer(src)))
 
 
 # --------------------------------------------------------------------------- HCL
 
 _HCL_TOKEN = re.compile(r'"|#[^\n]*|//[^\n]*|/\*.*?\*/|<<[-~]?(\w+)[ \t]*\n', re.S)
 _HCL_IN_STRING = re.compile(r'\\.|\$\$\{|%%\{|[$%]\{|"|\n', re.S)
-_HCL_BLOCK = re.compile(r'([A-Za-z_][\w-]*)((?:[ \t]*(?:"+|[A-Za-z_][\w-]*))*)[ \t]*\{')
-_HCL_LABEL = re.compile(r'"+|[A-Za-z_][\w-]*')
+_HCL_PLAIN = re.compile(r"([A-Za-z_][\w-]*)|([{(\[])|([})\]])|(\n)|([=!<>]=|=>|[^\s])")
 _HCL_ATTR = re.compile(r"([A-Za-z_][\w-]*)[ \t]*=(?![=>])[ \t]*")
 
 
-class HclBlock(NamedTuple):
-    type: str
-    labels: list[str]
-    label_spans: list[tuple[int, int]]  # without the quotes
-    level: int
-    start: int
-    body: tuple[int, int]
-
-
-class HclAttribute(NamedTuple):
-    block: int  # number of its block, -1 at the top
-    name: str
-    start: int
-    value: tuple[int, int]
+def _fill(text: str, char: str) -> str:
+    return re.sub(r"[^\n]", char, text)
 
 
 def _string_end(src: str, at: int) -> int:
@@ -181,63 +73,41 @@ def _string_end(src: str, at: int) -> int:
     return len(src)
 
 
-def mask_hcl(src: str) -> str:
-    """Strings and heredocs become quote characters, comments ``#``."""
-    out, i = [], 0
+def _hcl_masked(src: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the strings, heredocs and comments."""
+    i = 0
     while m := _HCL_TOKEN.search(src, i):
-        out.append(src[i : m.start()])
         if m.group() == '"':
             i = _string_end(src, m.start())
-            out.append(_fill(src[m.start() : i], '"'))
         elif m.group(1):
             end = re.compile(r"^[ \t]*" + m.group(1) + r"\b", re.M).search(src, m.end())
             i = end.end() if end else len(src)
-            out.append(_fill(src[m.start() : i], '"').replace("\n", '"'))  # one value, whatever its lines
         else:
             i = m.end()
-            out.append(_fill(m.group(), "#"))
-    return "".join(out) + src[i:]
+        yield (STRING if m.group() == '"' or m.group(1) else COMMENT), m.start(), i
 
 
-def scan_hcl(src: str) -> tuple[list[HclBlock], list[HclAttribute]] | None:
-    """Blocks (outer ones first) and attributes of their bodies; None where the text is neither."""
-    masked = mask_hcl(src)
-    blocks: list[HclBlock] = []
-    attributes: list[HclAttribute] = []
-
-    def body(i: int, stop: int, level: int, owner: int) -> bool:
-        while (i := re.compile(r"(?:\s|#)*").match(masked, i).end()) < stop:
-            if m := _HCL_BLOCK.match(masked, i):
-                close = matching(masked, m.end() - 1)
-                if close < 0 or close >= stop:
-                    return False
-                spans = [(s, e) if masked[s] != '"' else (s + 1, e - 1) for s, e in (x.span() for x in _HCL_LABEL.finditer(masked, m.start(2), m.end(2)))]
-                blocks.append(HclBlock(m.group(1), [src[s:e] for s, e in spans], spans, level, i, (m.end(), close)))
-                if not body(m.end(), close, level + 1, len(blocks) - 1):
-                    return False
-                i = close + 1
-            elif m := _HCL_ATTR.match(masked, i):
-                j = m.end()
-                while j < stop and masked[j] != "\n":
-                    if masked[j] in _CLOSING:
-                        j = matching(masked, j)
-                        if j < 0 or j >= stop:
-                            return False
-                    elif masked[j] in "})]":
-                        return False
-                    j += 1
-                attributes.append(HclAttribute(owner, m.group(1), i, (m.end(), m.end() + len(masked[m.end() : j].rstrip("# \t\r")))))
-                i = j
-            else:
-                return False
-        return True
+def mask_hcl(src: str) -> str:
+    """Strings and heredocs become quote characters, comments ``#``."""
+    out, i = [], 0
+    for kind, start, end in _hcl_masked(src):
+        # a heredoc is one value, whatever its lines
+        out += [src[i:start], _fill(src[start:end], "#") if kind == COMMENT else _fill(src[start:end], '"').replace("\n", '"')]
+        i = end
+    return "".join(out) + src[i:]
 
-    return (blocks, attributes) if body(0, len(masked), 0, -1) else None
 
+def hcl_tokens(src: str) -> Iterator[Token]:
+    def found():
+        i = 0
+        for kind, start, end in [*_hcl_masked(src), (None, len(src), len(src))]:
+            for m in _HCL_PLAIN.finditer(src, i, start):
+                yield (WORD, OPEN, CLOSE, NEWLINE, SIGN)[m.lastindex - 1], m.start(), m.end()
+            if kind:
+                yield kind, start, end
+            i = end
 
-def hcl_value(src: str, masked: str, span: tuple[int, int]) -> str:
-    """A value as its tokens in turn: without the blanks between them."""
-    return "".join(src[i] for i in range(*span) if masked[i] not in " \t\r")
+    return _placed(src, found())
 
 
 def format_hcl(text: str, depth: int) -> str:

@@ -1,10 +1,11 @@
 """Block index over code files (G1-G7): functions, variables, HCL blocks and
 attributes with 1-based line ranges and character offsets, for a whole files table.
 
-A file is one row, and it is indexed inside its row: a scanner of one text
-(``functions.source_code``) runs in Arrow batches where the file lies, so no text and
-no line is shuffled.  Only the small index rows leave the scan.  A file whose brackets
-do not match gives one ``error`` row instead of guesses.
+A small lexer (``functions.source_code``) tells the tokens of a file apart where the file lies.  From there on
+the index is windows and groups over token rows: running sums give every token its level, the next
+bracket of a level is an open one's mate, and declarations, specs, blocks and attributes are short groups
+of tokens of one level.  No window or group exceeds one file; texts are read again only to cut out what
+was found.  A file whose brackets do not match gives one ``error`` row instead of guesses.
 
 * Go: top-level functions with their body's brace range (any layout: one line,
   signatures over several lines, methods, type parameters); variables of ``var``
@@ -15,7 +16,7 @@ do not match gives one ``error`` row instead of guesses.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,72 +39,230 @@ def line_table(files: DataFrame, *, path: str = "path", content: str = "content"
         "path", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def _go_rows(path: str, src: str) -> list[dict]:
-    found = SC.scan_go(src)
-    if found is None:
-        return [{"path": path, "kind": "error", "content": "brackets do not match"}]
-    rows = []
-    for f in found[0]:
-        doc = SC.doc_start(src, f.start)
-        rows.append({
-            "path": path, "kind": "function", "name": f.name, "start_line": SC.line_of(src, f.start), "end_line": SC.line_of(src, f.stop - 1),
-            "start": f.start, "stop": f.stop, "body_from": f.body and f.body[0], "body_to": f.body and f.body[1],
-            "doc_start": SC.line_of(src, doc), "doc_from": doc, "content": src[f.start : f.stop],
-        })
-    for name, at in found[1]:
-        line = SC.line_of(src, at)
-        rows.append({"path": path, "kind": "var", "name": name, "start_line": line, "end_line": line, "start": at, "stop": at + len(name), "content": name})
-    return rows
-
-
-def body_text(src: str, masked: str, span: tuple[int, int]) -> str:
-    """A block's body: its lines without the rest of the header's line and the last line break."""
-    first = masked.find("\n", *span)
-    start = first + 1 if first >= 0 and not masked[span[0] : first].strip("# \t\r") else span[0]
-    text = src[start : span[1]].rstrip()
-    return text if first >= 0 else text.strip()
-
-
-def _hcl_rows(path: str, src: str) -> list[dict]:
-    found = SC.scan_hcl(src)
-    if found is None:
-        return [{"path": path, "kind": "error", "content": "not blocks and attributes, or brackets do not match"}]
-    blocks, attributes = found
-    masked = SC.mask_hcl(src)
-    rows = []
-    for b in blocks:
-        second = b.label_spans[1] if len(b.label_spans) > 1 else (None, None)
-        rows.append({
-            "path": path, "kind": "block", "name": b.type, "labels": b.labels, "level": b.level, "block_name": ",".join(b.labels),
-            "start_line": SC.line_of(src, b.start), "end_line": SC.line_of(src, b.body[1]), "start": b.start, "stop": b.body[1] + 1,
-            "body_from": b.body[0], "body_to": b.body[1], "label_from": second[0], "label_to": second[1],
-            "value": SC.format_hcl(src[b.body[0] : b.body[1]], 0), "content": body_text(src, masked, b.body),
-        })
-    for a in attributes:
-        if a.block < 0:
-            continue
-        own, line = blocks[a.block], SC.line_of(src, a.start)
-        rows.append({
-            "path": path, "kind": "attribute", "name": a.name, "block_start": SC.line_of(src, own.start), "block_name": ",".join(own.labels),
-            "start_line": line, "end_line": line, "start": a.value[0], "stop": a.value[1], "value": SC.hcl_value(src, masked, a.value),
-        })
-    return rows
+_TOKEN = "path string, kind string, text string, pos int, end int, line int, line_from int, lead string"
+_MATES = "{([", "})]"
+#: Characters after which a line's end does not end a Go statement.
+_GO_CONTINUES = tuple(",=+-*/%&|^<>!(.:")
 
 
-def code_index(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
-    """All functions, vars, blocks, attributes and errors of the .go, .hcl and .tf files
-    (columns ``INDEX``).  Null content counts as empty."""
+def tokens(files: DataFrame, extensions: tuple[str, ...], split, *, path: str = "path", content: str = "content") -> DataFrame:
+    """The tokens (columns ``_TOKEN``) of the files with these extensions, by a small lexer where the file lies."""
     p = F.col(path)
-    code = files.filter(p.endswith(".go") | p.endswith(HCL_EXTENSIONS[0]) | p.endswith(HCL_EXTENSIONS[1]))
+    mine = F.lit(False)
+    for x in extensions:
+        mine = mine | p.endswith(x)
 
     def run(batches):
         import pandas as pd
         for pdf in batches:
-            rows = [r for name, src in zip(pdf["path"], pdf["content"])
-                    for r in (_go_rows if name.endswith(".go") else _hcl_rows)(name, src or "")]
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLUMNS})
+            rows = [(name, t.kind, t.text, t.pos, t.end, t.line, t.line_from, t.lead) for name, src in zip(pdf["path"], pdf["content"]) for t in split(src or "")]
+            yield pd.DataFrame(rows, columns=["path", "kind", "text", "pos", "end", "line", "line_from", "lead"])
+
+    return files.filter(mine).select(p.alias("path"), F.col(content).alias("content")).mapInPandas(run, _TOKEN)
+
+
+def _nested(found: DataFrame) -> DataFrame:
+    """Tokens but comments, with ``level`` (open brackets around them; a bracket has the level of what is around
+    it), ``mate`` (of an open bracket: where its closing one stands), the token before, and ``broken``: brackets of
+    the file do not match."""
+    along = Window.partitionBy("path").orderBy("pos")
+    is_open, is_close = F.col("kind") == SC.OPEN, F.col("kind") == SC.CLOSE
+    t = found.filter(F.col("kind") != SC.COMMENT)
+    t = t.withColumn("after", F.sum(F.when(is_open, 1).when(is_close, -1).otherwise(0)).over(along)).withColumns({
+        "level": F.col("after") - is_open.cast("int"), "prev_kind": F.lag("kind").over(along), "prev_text": F.lag("text").over(along)})
+    # of one level the bracket that follows an open one is its mate
+    ahead = Window.partitionBy("path", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(is_open | is_close, F.struct("kind", "text", "pos", "line")), ignorenulls=True).over(ahead)
+    fits = (F.col("nxt.kind") == SC.CLOSE) & (F.col("nxt.text") == F.translate("text", *_MATES))
+    t = t.withColumn("nxt", nxt).withColumn("mate", F.when(is_open & fits, F.struct("nxt.pos", "nxt.line"))).drop("nxt")
+    bad = (is_open & F.col("mate").isNull()) | (F.col("after") < 0)
+    return t.withColumn("broken", F.max(bad).over(Window.partitionBy("path")))
+
+
+def _regions(t: DataFrame) -> tuple[DataFrame, Window]:
+    """Each token beside the others of its own level, and every open bracket once more (``mark``) as the
+    beginning of what it encloses; with the window that runs along a level of a file."""
+    opens = F.array(F.lit(False), F.lit(True))
+    t = t.withColumn("mark", F.explode(F.when(F.col("kind") == SC.OPEN, opens).otherwise(F.array(F.lit(False)))))
+    return t.withColumn("region", F.col("level") + F.col("mark").cast("int")), Window.partitionBy("path", "region").orderBy("pos", "mark")
+
+
+def _row(kind: str, **cols) -> list[Column]:
+    """The columns of ``INDEX``, null where not given."""
+    kinds = dict(c.strip().split(" ") for c in INDEX.split(","))
+    given = {"path": F.col("path"), "kind": F.lit(kind), **cols}
+    return [given[c].cast(kinds[c]).alias(c) if c in given else F.lit(None).cast(kinds[c]).alias(c) for c in _COLUMNS]
+
+
+def _go_functions(t: DataFrame, found: DataFrame) -> DataFrame:
+    """Declarations: their top-level tokens up to the next one are few (what brackets enclose is deeper)."""
+    starts = (F.col("text") == "func") & (F.col("kind") == SC.WORD) & (F.col("level") == 0) & (
+        F.col("prev_kind").isNull() | (F.col("prev_kind") == SC.NEWLINE) | F.col("prev_text").isin(";", "}"))
+    along = Window.partitionBy("path").orderBy("pos")
+    top = t.filter("level = 0").withColumn("decl", F.sum(starts.cast("int")).over(along)).filter("decl > 0")
+    item = F.struct("pos", "end", "kind", "text", "prev_text", "line", "line_from", F.col("mate.pos").alias("mate"), F.col("mate.line").alias("mate_line"))
+    d = top.groupBy("path", "decl").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    d = d.withColumn("h", F.filter("all", lambda x: x["kind"] != SC.NEWLINE))
+    at = lambda i: F.try_element_at(F.col("h"), i)
+    # func [ "(" receiver ")" ] name [ "[" type parameters "]" ] "(" parameters ")"
+    d = d.withColumn("i", F.when(at(F.lit(2))["text"] == "(", 4).otherwise(2))
+    d = d.withColumn("name", at(F.col("i")))
+    d = d.withColumn("i", F.col("i") + 1)
+    for bracket in "[(":
+        d = d.withColumn("i", F.col("i") + F.when(at(F.col("i"))["text"] == bracket, 2).otherwise(0))
+    d = d.withColumn("head_end", at(F.col("i") - 1)["end"])
+    ends = lambda x: (x["kind"] == SC.NEWLINE) | ((x["text"] == "{") & ~F.coalesce(x["prev_text"], F.lit("")).isin("interface", "struct"))
+    d = d.withColumn("rest", F.filter("all", lambda x: x["pos"] >= F.col("head_end")))
+    d = d.withColumn("stop_at", F.try_element_at(F.filter("rest", ends), F.lit(1)))
+    d = d.withColumn("shown", F.filter("h", lambda x: F.col("stop_at").isNull() | (x["pos"] < F.col("stop_at.pos"))))
+    body = F.coalesce(F.col("stop_at.text") == "{", F.lit(False))
+    last = F.element_at("shown", -1)
+    d = d.select("path", F.element_at("h", 1).alias("func"), F.col("name.text").alias("name"), F.col("name.kind").alias("name_kind"), body.alias("body"),
+                 F.when(body, F.col("stop_at.mate") + 1).otherwise(last["end"]).alias("stop"), F.when(body, F.col("stop_at.mate_line")).otherwise(last["line"]).alias("end_line"),
+                 F.when(body, F.col("stop_at.end")).alias("body_from"), F.when(body, F.col("stop_at.mate")).alias("body_to"))
+    # runs of lines that hold a // comment alone; the run that ends above a declaration is its doc comment
+    notes = found.filter((F.col("kind") == SC.COMMENT) & F.col("text").startswith("//"))
+    others = found.filter(F.col("kind") != SC.COMMENT).filter(F.col("kind") != SC.NEWLINE).select("path", "line").distinct()
+    notes = notes.join(others, ["path", "line"], "left_anti")
+    runs = notes.withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line"))).groupBy("path", "run").agg(
+        F.max("line").alias("above"), F.min(F.struct("line", "line_from")).alias("doc"))
+    j = d.join(runs.select("path", (F.col("above") + 1).alias("line"), "doc").withColumnRenamed("path", "_p"), (F.col("path") == F.col("_p")) & (F.col("func.line") == F.col("line")), "left")
+    return j.select(*_row(
+        "function", name=F.col("name"), start_line=F.col("func.line"), end_line=F.col("end_line"), start=F.col("func.pos"), stop=F.col("stop"), body_from=F.col("body_from"),
+        body_to=F.col("body_to"), doc_start=F.coalesce("doc.line", "func.line"), doc_from=F.coalesce("doc.line_from", "func.line_from")), "name_kind")
+
+
+def _go_vars(t: DataFrame) -> DataFrame:
+    """Names of ``var`` declarations: those that stand first, parted by commas, in each spec."""
+    along = Window.partitionBy("path").orderBy("pos")
+    is_var = (F.col("kind") == SC.WORD) & (F.col("text") == "var") & (F.col("prev_kind").isNull() | (F.col("prev_kind") == SC.NEWLINE) | F.col("prev_text").isin(";", "{", "}"))
+    t = t.withColumn("after_var", F.coalesce(F.lag(is_var).over(along), F.lit(False)))
+    r, region = _regions(t)
+    before = region.rowsBetween(Window.unboundedPreceding, -1)
+    text = F.when(F.col("mark"), F.lit("")).otherwise(F.col("text"))
+    r = r.withColumns({
+        "grouped": F.last(F.when(F.col("mark"), F.col("after_var") & (F.col("text") == "(")), ignorenulls=True).over(region),
+        "last_text": F.last(F.when(F.col("mark") | (F.col("kind") != SC.NEWLINE), text), ignorenulls=True).over(before),
+        "last_kind": F.lag(F.when(F.col("mark"), "m").otherwise(F.col("kind"))).over(region),
+    }).filter("NOT mark")
+    fresh = F.col("last_text").isin("", ";") | ((F.col("last_kind") == SC.NEWLINE) & ~F.substring("last_text", -1, 1).isin(*_GO_CONTINUES))
+    in_group = F.coalesce("grouped", F.lit(False)) & (F.col("kind") != SC.NEWLINE) & (F.col("text") != ";") & fresh
+    spec = (F.col("after_var") & (F.col("text") != "(")) | in_group
+    names = r.withColumn("spec", spec).withColumn("run", F.sum(F.col("spec").cast("int")).over(along)).filter("run > 0")
+    word = F.col("kind") == SC.WORD
+    fine = (word & (F.col("spec") | (F.col("prev_text") == ","))) | ((F.col("text") == ",") & (F.col("prev_kind") == SC.WORD))
+    names = names.withColumn("off", F.sum((~fine).cast("int")).over(Window.partitionBy("path", "run").orderBy("pos"))).filter((F.col("off") == 0) & word)
+    line = F.col("line")
+    return names.select(*_row("var", name=F.col("text"), start_line=line, end_line=line, start=F.col("pos"), stop=F.col("end"), content=F.col("text")))
+
+
+def _hcl_items(t: DataFrame) -> DataFrame:
+    """Blocks and attributes: the items of bodies, each with its own level's tokens (``item``) in order.  A bracket
+    whose line has an ``=`` before it opens a value, and what values enclose are no items."""
+    along = Window.partitionBy("path").orderBy("pos")
+    ahead = Window.partitionBy("path").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumns({"next_kind": F.lead("kind").over(along), "next_end": F.lead("end").over(along),
+                       "line_break": F.last(F.when(F.col("kind") == SC.NEWLINE, F.col("pos")), ignorenulls=True).over(ahead)})
+    r, region = _regions(t)
+    before = region.rowsBetween(Window.unboundedPreceding, -1)
+    is_open, is_close, plain = F.col("kind") == SC.OPEN, F.col("kind") == SC.CLOSE, ~F.col("mark")
+    pos_if = lambda c: F.coalesce(F.max(F.when(c, F.col("pos"))).over(before), F.lit(-1))
+    value = (pos_if(plain & (F.col("text") == "=")) > pos_if(F.col("mark") | (F.col("kind") == SC.NEWLINE))) | F.col("text").isin("(", "[")
+    r = r.withColumn("value", is_open & value)
+    r = r.withColumns({
+        "closes_value": is_close & F.coalesce(F.last(F.when(plain & is_open, F.col("value")), ignorenulls=True).over(before), F.lit(False)),
+        "owner": F.last(F.when(F.col("mark"), F.col("pos")), ignorenulls=True).over(region),
+    })
+    inside = F.sum(F.when(plain & F.col("value"), 1).when(plain & F.col("closes_value"), -1).otherwise(0)).over(Window.partitionBy("path").orderBy("pos", "mark"))
+    r = r.withColumn("inside", inside - (plain & F.col("value")).cast("int"))
+    r = r.filter(F.col("mark") | (F.col("inside") == 0))
+    ended = F.lag(F.when(F.col("mark") | (F.col("kind") == SC.NEWLINE) | (is_close & ~F.col("closes_value")), True).otherwise(False)).over(region)
+    starts = plain & (F.col("kind") != SC.NEWLINE) & ~(is_close & ~F.col("closes_value")) & F.coalesce(ended, F.lit(True))
+    r = r.withColumn("start", F.last(F.when(starts, F.col("pos")), ignorenulls=True).over(region))
+    item = F.struct("pos", "end", "kind", "text", "line", F.col("mate.pos").alias("mate"), F.col("mate.line").alias("mate_line"), "next_kind", "next_end", "line_break")
+    own = r.filter(plain & (F.col("kind") != SC.NEWLINE) & (F.col("start") >= F.coalesce("owner", F.lit(-1))))
+    # a block's closing brace belongs to the item that it closes
+    return own.groupBy("path", "region", "start").agg(F.max("owner").alias("owner"), F.sort_array(F.collect_list(item)).alias("item"))
+
+
+def _hcl_rows(t: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the index, paths that hold anything that is neither block nor attribute)."""
+    items = _hcl_items(t)
+    first, second = F.element_at("item", 1), F.try_element_at("item", F.lit(2))
+    brace = F.try_element_at(F.filter("item", lambda x: x["text"] == "{"), F.lit(1))
+    items = items.withColumns({"brace": brace, "is_attr": F.coalesce(second["text"] == "=", F.lit(False))})
+    labels = F.filter(F.slice("item", 2, F.size("item")), lambda x: x["pos"] < F.col("brace.pos"))
+    items = items.withColumn("labels", F.when(~F.col("is_attr") & F.col("brace").isNotNull(), labels))
+    block = ~F.col("is_attr") & F.col("brace").isNotNull() & F.forall("labels", lambda x: x["kind"].isin(SC.WORD, SC.STRING)) & (F.element_at("item", -1)["pos"] == F.col("brace.mate"))
+    items = items.withColumn("is_block", F.coalesce(block & (first["kind"] == SC.WORD), F.lit(False)))
+    wrong = items.filter(~(F.col("is_block") | (F.col("is_attr") & (first["kind"] == SC.WORD)))).select("path").distinct()
+    named = F.transform("labels", lambda x: F.when(x["kind"] == SC.STRING, F.substring(x["text"], F.lit(2), F.length(x["text"]) - 2)).otherwise(x["text"]))
+    inner = F.transform("labels", lambda x: F.when(x["kind"] == SC.STRING, F.struct((x["pos"] + 1).alias("a"), (x["end"] - 1).alias("b"))).otherwise(F.struct(x["pos"].alias("a"), x["end"].alias("b"))))
+    blocks = items.filter("is_block").select(
+        "path", F.col("brace.pos").alias("at"), first["text"].alias("type"), named.alias("labels"), F.try_element_at(inner, F.lit(2)).alias("second"), F.col("region").alias("level"),
+        first["line"].alias("line"), F.col("start"), F.col("brace.end").alias("body_from"), F.col("brace.mate").alias("body_to"), F.col("brace.mate_line").alias("end_line"),
+        F.when(F.col("brace.next_kind") == SC.NEWLINE, F.col("brace.next_end")).otherwise(F.col("brace.end")).alias("text_from"),
+        F.coalesce(F.col("brace.line_break") < F.col("brace.mate"), F.lit(False)).alias("lines"))
+    src = files.withColumnRenamed("content", "_src")
+    cut = lambda a, b: F.substring("_src", F.col(a) + 1, F.col(b) - F.col(a))
+    whole = F.regexp_replace(cut("text_from", "body_to"), r"\s+$", "")
+
+    @F.pandas_udf("string")
+    def formatted(body):
+        return body.map(lambda b: SC.format_hcl(b, 0))
+
+    block_rows = blocks.join(src, "path").select(*_row(
+        "block", name=F.col("type"), labels=F.col("labels"), level=F.col("level"), block_name=F.array_join("labels", ","), start_line=F.col("line"), end_line=F.col("end_line"),
+        start=F.col("start"), stop=F.col("body_to") + 1, body_from=F.col("body_from"), body_to=F.col("body_to"), label_from=F.col("second.a"), label_to=F.col("second.b"),
+        value=formatted(cut("body_from", "body_to")), content=F.when(F.col("lines"), whole).otherwise(F.regexp_replace(whole, r"^\s+", ""))))
+    # a value is its tokens in turn, also those that its brackets enclose
+    attrs = items.filter("is_attr AND owner IS NOT NULL").select(
+        "path", "owner", first["text"].alias("name"), first["line"].alias("line"), F.coalesce(F.try_element_at("item", F.lit(3))["pos"], second["end"]).alias("from"),
+        F.greatest(F.element_at("item", -1)["end"], second["end"]).alias("to"))
+    along = Window.partitionBy("path").orderBy("pos", F.desc("attr"))
+    spans = attrs.select("path", F.col("from").alias("pos"), F.lit(True).alias("attr"), F.struct("from", "to").alias("span"))
+    words = t.select("path", "pos", F.lit(False).alias("attr"), F.lit(None).cast("struct<from:int,to:int>").alias("span"), "text", "lead")
+    mixed = spans.withColumn("text", F.lit(None).cast("string")).withColumn("lead", F.lit(None).cast("string")).unionByName(words)
+    mixed = mixed.withColumn("mine", F.last("span", ignorenulls=True).over(along)).filter((~F.col("attr")) & (F.col("pos") < F.col("mine.to")))
+    said = F.when(F.col("pos") == F.col("mine.from"), F.col("text")).otherwise(F.concat("lead", "text"))
+    values = mixed.groupBy("path", F.col("mine.from").alias("from")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", said.alias("t")))), lambda x: x["t"]), "").alias("value"))
+    owners = blocks.select("path", F.col("at").alias("owner"), F.col("line").alias("block_line"), F.array_join("labels", ",").alias("block_name"))
+    line = F.col("line")
+    attr_rows = attrs.join(owners, ["path", "owner"]).join(values, ["path", "from"], "left").select(*_row(
+        "attribute", name=F.col("name"), block_start=F.col("block_line"), block_name=F.col("block_name"), start_line=line, end_line=line, start=F.col("from"), stop=F.col("to"),
+        value=F.coalesce("value", F.lit(""))))
+    return block_rows.unionByName(attr_rows), wrong
+
+
+def code_index(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+    """All functions, vars, blocks, attributes and errors of the .go, .hcl and .tf files
+    (columns ``INDEX``).  Null content counts as empty."""
+    return _go_rows(files, path, content).unionByName(_hcl_all(files, path, content))
+
+
+def _errors(paths: DataFrame, why: str) -> DataFrame:
+    return paths.select(*_row("error", content=F.lit(why)))
+
+
+def _go_rows(files: DataFrame, path: str, content: str) -> DataFrame:
+    found = tokens(files, (".go",), SC.go_tokens, path=path, content=content)
+    t = _nested(found)
+    sound = t.filter("NOT broken")
+    funcs = _go_functions(sound, found)
+    # a declaration without a name is no Go: the whole file is reported
+    nameless = funcs.filter(F.coalesce(F.col("name_kind"), F.lit("")) != SC.WORD).select("path").distinct()
+    bad = t.filter("broken").select("path").distinct().union(nameless)
+    src = files.select(F.col(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("_src"))
+    rows = funcs.drop("name_kind").join(src, "path").withColumn("content", F.substring("_src", F.col("start") + 1, F.col("stop") - F.col("start"))).drop("_src")
+    return rows.unionByName(_go_vars(sound)).join(bad, "path", "left_anti").unionByName(_errors(bad, "brackets do not match"))
+
 
-    return code.select(p.alias("path"), F.col(content).alias("content")).mapInPandas(run, INDEX)
+def _hcl_all(files: DataFrame, path: str, content: str) -> DataFrame:
+    t = _nested(tokens(files, HCL_EXTENSIONS, SC.hcl_tokens, path=path, content=content))
+    src = files.select(F.col(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
+    rows, wrong = _hcl_rows(t.filter("NOT broken"), src)
+    bad = t.filter("broken").select("path").distinct().union(wrong).distinct()
+    return rows.join(bad, "path", "left_anti").unionByName(_errors(bad, "not blocks and attributes, or brackets do not match"))
 
 
 def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
@@ -112,7 +271,7 @@ def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
     doc_start`` (first line of the ``//`` comment run directly above, or the
     declaration's line) with offsets ``start, stop, body_from, body_to, doc_from`` (no
     body: null); vars ``path, name, start_line, end_line, content`` (content = name)."""
-    ix = code_index(files, path=path, content=content) if index is None else index
+    ix = _go_rows(files, path, content) if index is None else index
     funcs = ix.filter("kind = 'function'").select(
         "path", "name", "start_line", "end_line", "content", "doc_start", "start", "stop", "body_from", "body_to", "doc_from")
     return funcs, ix.filter("kind = 'var'").select("path", "name", "start_line", "end_line", "content")
@@ -127,7 +286,7 @@ def hcl_index(files: DataFrame, *, path: str = "path", content: str = "content",
     offsets ``start, stop, body_from, body_to, label_from, label_to`` (of the second label);
     attributes: ``path, block_name, block_start, name, value, line_no`` and the value's
     offsets ``start, stop``."""
-    ix = code_index(files, path=path, content=content) if index is None else index
+    ix = _hcl_all(files, path, content) if index is None else index
     blocks = ix.filter("kind = 'block'").select(
         "path", F.col("name").alias("block_type"), "labels", "block_name", "level", "start_line", "end_line", "content",
         F.col("value").alias("formatted"), "start", "stop", "body_from", "body_to", "label_from", "label_to")

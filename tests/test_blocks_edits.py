@@ -134,15 +134,15 @@ def test_go_index_of_an_indented_file(spark):
 	"""
     funcs, vars_ = BK.go_index(_one(spark, "m.go", text))
     assert [(r.name, r.start_line, r.end_line) for r in funcs.collect()] == [("main", 6, 8)]
-    assert [(r.name, r.start_line, r.end_line) for r in vars_.collect()] == [("x", 10, 10), ("y", 11, 11)]
+    assert [(r.name, r.start_line, r.end_line) for r in vars_.orderBy("start_line").collect()] == [("x", 10, 10), ("y", 11, 11)]
 
 
 def test_go_index_of_ordinary_layouts(spark):
     text = ("package p\n\nvar (\n\tcfg = Config{\n\t\tName: \"a\",\n\t\tPort: 1,\n\t}\n\tn = f(1,\n\t2)\n\tafter int\n)\n\n"
             "func raw() string {\n\treturn `\n}\n`\n}\n\nfunc ext(x int)\n\nconst c = 1\nfunc (r *R[T]) M[K any](f func() error) (map[string]int, error) { y := 1; return nil, nil }\n")
     funcs, vars_ = BK.go_index(_one(spark, "m.go", text))
-    assert [(r.name, r.start_line, r.end_line) for r in funcs.collect()] == [("raw", 13, 17), ("ext", 19, 19), ("M", 22, 22)]
-    assert [(r.name, r.start_line) for r in vars_.collect()] == [("cfg", 4), ("n", 8), ("after", 10)]
+    assert [(r.name, r.start_line, r.end_line) for r in funcs.orderBy("start").collect()] == [("raw", 13, 17), ("ext", 19, 19), ("M", 22, 22)]
+    assert [(r.name, r.start_line) for r in vars_.orderBy("start_line").collect()] == [("cfg", 4), ("n", 8), ("after", 10)]
     assert [r.error for r in BK.unparsed(_one(spark, "m.go", "func f( {")).collect()] == ["brackets do not match"]
 
 
@@ -277,5 +277,5 @@ def test_hcl_block_update(spark):
 def test_hcl_index_of_ordinary_layouts(spark):
     text = ('variable "x" { default = 1 }\nresource "a" "b" { # note\n  t = <<EOT\n}\nEOT\n  l = ["p", "q"]\n  s = "${f("}")}"\n}\n')
     blocks, attrs = BK.hcl_index(_one(spark, "t.tf", text))
-    assert [(r.block_type, r.block_name, r.start_line, r.end_line) for r in blocks.collect()] == [("variable", "x", 1, 1), ("resource", "a,b", 2, 8)]
+    assert [(r.block_type, r.block_name, r.start_line, r.end_line) for r in blocks.orderBy("start").collect()] == [("variable", "x", 1, 1), ("resource", "a,b", 2, 8)]
     assert {r.name: r.value for r in attrs.collect()} == {"default": "1", "t": "<<EOT\n}\nEOT", "l": '["p","q"]', "s": '"${f("}")}"'}
