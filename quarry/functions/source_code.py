@@ -23,6 +23,7 @@ class Token(NamedTuple):
     line: int
     line_from: int  # offset of the line's first character
     lead: str  # comments between the token before and this one
+    alone: bool  # nothing but blanks before it on its line
 
 
 # Groups in the order of the kinds: comment, string, word, open, close, newline, any other sign.
@@ -33,10 +34,12 @@ _KINDS = (COMMENT, STRING, WORD, OPEN, CLOSE, NEWLINE, SIGN)
 def _placed(src: str, found: Iterator[tuple[str, int, int]]) -> Iterator[Token]:
     """Tokens with their lines; a comment is a token and also the lead of the next other one."""
     breaks = [m.start() for m in re.finditer("\n", src)]
-    lead = ""
+    lead, last = "", -1
     for kind, pos, end in found:
         n = bisect_right(breaks, pos - 1)
-        yield Token(kind, src[pos:end], pos, end, n + 1, breaks[n - 1] + 1 if n else 0, "" if kind == COMMENT else lead)
+        start = breaks[n - 1] + 1 if n else 0
+        yield Token(kind, src[pos:end], pos, end, n + 1, start, "" if kind == COMMENT else lead, last <= start)
+        last = end
         lead = lead + src[pos:end] if kind == COMMENT else ""
 
 

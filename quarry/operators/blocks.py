@@ -16,11 +16,14 @@ was found.  A file whose brackets do not match gives one ``error`` row instead o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import source_code as SC
+from quarry.session import scratch_path
 
 HCL_EXTENSIONS = (".hcl", ".tf")
 
@@ -39,7 +42,7 @@ def line_table(files: DataFrame, *, path: str = "path", content: str = "content"
         "path", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-_TOKEN = "path string, kind string, text string, pos int, end int, line int, line_from int, lead string"
+_TOKEN = "path string, kind string, text string, pos int, end int, line int, line_from int, lead string, alone boolean"
 _MATES = "{([", "})]"
 #: Characters after which a line's end does not end a Go statement.
 _GO_CONTINUES = tuple(",=+-*/%&|^<>!(.:")
@@ -55,28 +58,33 @@ def tokens(files: DataFrame, extensions: tuple[str, ...], split, *, path: str =
     def run(batches):
         import pandas as pd
         for pdf in batches:
-            rows = [(name, t.kind, t.text, t.pos, t.end, t.line, t.line_from, t.lead) for name, src in zip(pdf["path"], pdf["content"]) for t in split(src or "")]
-            yield pd.DataFrame(rows, columns=["path", "kind", "text", "pos", "end", "line", "line_from", "lead"])
+            rows = [(name, *t) for name, src in zip(pdf["path"], pdf["content"]) for t in split(src or "")]
+            yield pd.DataFrame(rows, columns=["path", *SC.Token._fields])
 
     return files.filter(mine).select(p.alias("path"), F.col(content).alias("content")).mapInPandas(run, _TOKEN)
 
 
 def _nested(found: DataFrame) -> DataFrame:
-    """Tokens but comments, with ``level`` (open brackets around them; a bracket has the level of what is around
+    """Tokens with ``level`` (open brackets around them; a bracket has the level of what is around
     it), ``mate`` (of an open bracket: where its closing one stands), the token before, and ``broken``: brackets of
     the file do not match."""
     along = Window.partitionBy("path").orderBy("pos")
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
     is_open, is_close = F.col("kind") == SC.OPEN, F.col("kind") == SC.CLOSE
-    t = found.filter(F.col("kind") != SC.COMMENT)
-    t = t.withColumn("after", F.sum(F.when(is_open, 1).when(is_close, -1).otherwise(0)).over(along)).withColumns({
-        "level": F.col("after") - is_open.cast("int"), "prev_kind": F.lag("kind").over(along), "prev_text": F.lag("text").over(along)})
+    prev = F.last(F.when(F.col("kind") != SC.COMMENT, F.struct("kind", "text")), ignorenulls=True).over(past)
+    t = found.withColumns({"after": F.sum(F.when(is_open, 1).when(is_close, -1).otherwise(0)).over(along), "prev": prev})
+    t = t.withColumns({"level": F.col("after") - is_open.cast("int"), "prev_kind": F.col("prev.kind"), "prev_text": F.col("prev.text")}).drop("prev")
     # of one level the bracket that follows an open one is its mate
     ahead = Window.partitionBy("path", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.last(F.when(is_open | is_close, F.struct("kind", "text", "pos", "line")), ignorenulls=True).over(ahead)
     fits = (F.col("nxt.kind") == SC.CLOSE) & (F.col("nxt.text") == F.translate("text", *_MATES))
     t = t.withColumn("nxt", nxt).withColumn("mate", F.when(is_open & fits, F.struct("nxt.pos", "nxt.line"))).drop("nxt")
     bad = (is_open & F.col("mate").isNull()) | (F.col("after") < 0)
-    return t.withColumn("broken", F.max(bad).over(Window.partitionBy("path")))
+    t = t.withColumn("broken", F.max(bad).over(Window.partitionBy("path"))).drop("after")
+    # every part of the index starts from here: the lexer and these windows run once
+    out = scratch_path(found.sparkSession, f"tokens-{uuid.uuid4().hex}")
+    t.write.parquet(out)
+    return found.sparkSession.read.schema(t.schema).parquet(out)
 
 
 def _regions(t: DataFrame) -> tuple[DataFrame, Window]:
@@ -121,9 +129,7 @@ def _go_functions(t: DataFrame, found: DataFrame) -> DataFrame:
                  F.when(body, F.col("stop_at.mate") + 1).otherwise(last["end"]).alias("stop"), F.when(body, F.col("stop_at.mate_line")).otherwise(last["line"]).alias("end_line"),
                  F.when(body, F.col("stop_at.end")).alias("body_from"), F.when(body, F.col("stop_at.mate")).alias("body_to"))
     # runs of lines that hold a // comment alone; the run that ends above a declaration is its doc comment
-    notes = found.filter((F.col("kind") == SC.COMMENT) & F.col("text").startswith("//"))
-    others = found.filter(F.col("kind") != SC.COMMENT).filter(F.col("kind") != SC.NEWLINE).select("path", "line").distinct()
-    notes = notes.join(others, ["path", "line"], "left_anti")
+    notes = found.filter((F.col("kind") == SC.COMMENT) & F.col("text").startswith("//") & F.col("alone"))
     runs = notes.withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line"))).groupBy("path", "run").agg(
         F.max("line").alias("above"), F.min(F.struct("line", "line_from")).alias("doc"))
     j = d.join(runs.select("path", (F.col("above") + 1).alias("line"), "doc").withColumnRenamed("path", "_p"), (F.col("path") == F.col("_p")) & (F.col("func.line") == F.col("line")), "left")
@@ -247,8 +253,8 @@ def _errors(paths: DataFrame, why: str) -> DataFrame:
 def _go_rows(files: DataFrame, path: str, content: str) -> DataFrame:
     found = tokens(files, (".go",), SC.go_tokens, path=path, content=content)
     t = _nested(found)
-    sound = t.filter("NOT broken")
-    funcs = _go_functions(sound, found)
+    sound = t.filter("NOT broken").filter(F.col("kind") != SC.COMMENT)
+    funcs = _go_functions(sound, t)
     # a declaration without a name is no Go: the whole file is reported
     nameless = funcs.filter(F.coalesce(F.col("name_kind"), F.lit("")) != SC.WORD).select("path").distinct()
     bad = t.filter("broken").select("path").distinct().union(nameless)
@@ -258,20 +264,27 @@ def _go_rows(files: DataFrame, path: str, content: str) -> DataFrame:
 
 
 def _hcl_all(files: DataFrame, path: str, content: str) -> DataFrame:
-    t = _nested(tokens(files, HCL_EXTENSIONS, SC.hcl_tokens, path=path, content=content))
+    t = _nested(tokens(files, HCL_EXTENSIONS, SC.hcl_tokens, path=path, content=content)).filter(F.col("kind") != SC.COMMENT)
     src = files.select(F.col(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
     rows, wrong = _hcl_rows(t.filter("NOT broken"), src)
     bad = t.filter("broken").select("path").distinct().union(wrong).distinct()
     return rows.join(bad, "path", "left_anti").unionByName(_errors(bad, "not blocks and attributes, or brackets do not match"))
 
 
+def _kept(index: DataFrame) -> DataFrame:
+    """The rows of an index, computed once and read by everything that follows."""
+    out = scratch_path(index.sparkSession, f"index-{uuid.uuid4().hex}")
+    index.write.parquet(out)
+    return index.sparkSession.read.schema(index.schema).parquet(out)
+
+
 def go_index(files: DataFrame, *, path: str = "path", content: str = "content",
              index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(functions, vars)``: functions ``path, name, start_line, end_line, content,
     doc_start`` (first line of the ``//`` comment run directly above, or the
     declaration's line) with offsets ``start, stop, body_from, body_to, doc_from`` (no
     body: null); vars ``path, name, start_line, end_line, content`` (content = name)."""
-    ix = _go_rows(files, path, content) if index is None else index
+    ix = _kept(_go_rows(files, path, content)) if index is None else index
     funcs = ix.filter("kind = 'function'").select(
         "path", "name", "start_line", "end_line", "content", "doc_start", "start", "stop", "body_from", "body_to", "doc_from")
     return funcs, ix.filter("kind = 'var'").select("path", "name", "start_line", "end_line", "content")
@@ -286,7 +299,7 @@ def hcl_index(files: DataFrame, *, path: str = "path", content: str = "content",
     offsets ``start, stop, body_from, body_to, label_from, label_to`` (of the second label);
     attributes: ``path, block_name, block_start, name, value, line_no`` and the value's
     offsets ``start, stop``."""
-    ix = _hcl_all(files, path, content) if index is None else index
+    ix = _kept(_hcl_all(files, path, content)) if index is None else index
     blocks = ix.filter("kind = 'block'").select(
         "path", F.col("name").alias("block_type"), "labels", "block_name", "level", "start_line", "end_line", "content",
         F.col("value").alias("formatted"), "start", "stop", "body_from", "body_to", "label_from", "label_to")
