@@ -1,15 +1,12 @@
-"""Substring deduplication over a compacted de Bruijn graph of words.
-
-Twenty consecutive words are an edge of the de Bruijn graph, from the node of its
-first nineteen to that of its last nineteen.  Storing every edge would multiply the
-corpus, so edges travel as paths: consecutive edges of a document that share a
-minimiser are one unbranched stretch (``windows``).  Spark groups find which
-stretches repeat; equal ones collapse to one class with the coordinates of its first
-occurrence, and joining the occurrences to the classes compacts each document's
-consecutive repeated stretches into long repeated paths.  Where paths branch -- stretches
-that share their minimiser but differ -- the edges inside are compared one by one.
-The source coordinates decide: an edge that also occurs earlier (smaller doc_id, or
-same document and earlier word) removes its twenty words.
+"""Substring deduplication on words: windows of twenty words that also start earlier go.
+
+The method dealt for this operator is a compacted de Bruijn graph; this module does not build one (the
+README says so).  It finds equal windows through minimiser fingerprints (``windows``): consecutive windows of
+a document that share a minimiser travel as one stretch, a Spark group finds which stretches repeat and
+where each occurs first, and stretches that share a minimiser but differ are compared window by
+window.  There are no nodes, degrees or joins between neighbours: each repeated stretch is marked by
+itself, and the marks of a document are united in its row.  The source coordinates decide: a
+window that also occurs earlier (smaller doc_id, or same document and earlier word) removes its words.
 """
 
 from __future__ import annotations

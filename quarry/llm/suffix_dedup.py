@@ -1,17 +1,16 @@
-"""Suffix-array deduplication with a logarithmic family of indexes.
+"""Removal of long matches between byte texts: every byte of a 400-byte string that starts elsewhere too.
 
-Documents come in batches.  A batch's index is the sorted array of its sampled
-suffixes: those at the minimisers of its 400-byte windows (``windows``), each by the
-hash of its first bytes and the hash of the stretch around it in which every window
-holds it.  A long match always contains a common sampled suffix at the same place, so
-scanning two sorted arrays side by side finds all of them.  A new batch is merge-scanned against
-every level of the family; then levels of equal rank are merged, as in a binary
-counter, so with b batches a suffix is merged at most log2(b) times.
+The method dealt for this operator is a logarithmic family of suffix arrays; this module does not order
+suffixes (the README says so).  It works on fingerprints: of each batch of documents the sampled
+suffixes are those at the minimisers of its 400-byte windows (``windows``), each by the hash of its first
+bytes and the hash of the stretch around it in which every window holds it.  A long match always holds a
+common sample at the same place, so equal hashes find all of them.  Within one call the batches are
+matched against levels that merge like the digits of a binary counter; the levels hold hashes and counts,
+no places, and are not kept for later calls.
 
-Suffixes with equal stretches match in all their windows.  Those that share the first
+Samples with equal stretches match in all their windows.  Those that share the first
 bytes only are extended to both sides: their stretches are read from the documents
-and compared window by window.  The order of an array is that of the hashes, not of
-the bytes: the scans need equality of long prefixes, not lexicographic neighbours.
+and compared window by window.
 """
 
 from __future__ import annotations

@@ -44,7 +44,7 @@ SHARD_TOKENS, BLOCK = 1 << 21, 4096
 END_ID = 1
 
 #: Bytes of units that a worker remembers at most, and of text that it takes apart at a time.
-MEMORY_BYTES, SLICE_BYTES = 96 << 20, 2 << 20
+MEMORY_BYTES, SLICE_BYTES = 160 << 20, 2 << 20
 
 SCHEMA = "part long, seq long, n_tokens long, doc_ids array<long>, lengths array<long>, bits int, zeros array<long>, planes array<binary>, ranks array<binary>"
 
