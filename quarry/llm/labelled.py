@@ -9,7 +9,7 @@ from quarry.llm.common import crc_mod
 
 #: Rows taken of each class, the longest text used for fitting, and the characters of all texts of a
 #: class together.  They bound what the driver sees: 2 * TOTAL_CHARS.
-ROWS_PER_CLASS, MAX_CHARS, TOTAL_CHARS = 2_000, 1 << 20, 16 << 20
+ROWS_PER_CLASS, MAX_CHARS, TOTAL_CHARS = 2_000, 1 << 20, 8 << 20
 
 
 def sample(

@@ -210,14 +210,15 @@ def nodes(conversations: DataFrame, *, max_width: int = MAX_WIDTH) -> DataFrame:
     ended = shared.filter(last).select("key", "conv_id").unionAll(known.filter("length = 0").select(root.alias("key"), "conv_id"))
     ends = stored(streamed_sha256(ended.withColumn("id", F.col("conv_id").cast("string")), "key", ["conv_id"], "id", b",").withColumnRenamed("sha256", "ends"))
 
+    # the root, one row, from single figures
+    one_of = lambda df, column: df.filter(F.col("key") == root).agg(F.max(column)).scalar()
+    total = lambda column: F.coalesce(each.agg(F.sum(column)).scalar(), F.lit(0)).cast("long")
     top = known.agg(F.min("conv_id").alias("owner"), F.count(F.lit(1)).alias("n_convs"), F.count(F.when(F.col("length") > 0, 1)).alias("filled")).filter("n_convs > 0")
-    below = each.agg(F.coalesce(F.sum("repeated"), F.lit(0)).cast("long").alias("saved_tokens"), F.coalesce(F.sum(1 - leaf), F.lit(0)).cast("long").alias("not_leaves"))
-    top = top.crossJoin(below)  # one row each
-    top = top.withColumn("key", root).join(kids.withColumnRenamed("parent", "key"), "key", "left").join(ends, "key", "left")
     top_row = top.select(
         F.col("owner").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
-        F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), F.greatest(F.col("filled") - F.col("not_leaves"), F.lit(1)).cast("long").alias("n_leaves"),
-        "saved_tokens", F.coalesce("ends", F.lit(_NO_ENDS)).alias("ends_sha256"),
+        F.coalesce(one_of(kids.withColumnRenamed("parent", "key"), "n_children"), F.lit(0)).cast("long").alias("n_children"),
+        F.greatest(F.col("filled") - total(1 - leaf), F.lit(1)).cast("long").alias("n_leaves"),
+        total("repeated").alias("saved_tokens"), F.coalesce(one_of(ends, "ends"), F.lit(_NO_ENDS)).alias("ends_sha256"),
     )
 
     least = known.agg(F.min("conv_id").alias("least")).scalar()

@@ -18,6 +18,7 @@ table of at most ``VOCABULARY`` entries.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,19 +69,20 @@ def train(rows: list[tuple[str, int]]) -> Model:
     y = np.array([label for _, label in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(known=0.0 if not len(y) or y.max() == 0 else 1.0)
-    bags = [[{f for w in s for f in features(w)} for s in bag(t)] for t, _ in rows]
+    # texts are taken apart twice rather than kept as sets of words: a driver holds numbers only
     held: dict[str, int] = {}
-    for one in bags:
-        for name in set().union(*one):
+    for text, _ in rows:
+        for name in {f for s in bag(text) for w in s for f in features(w)}:
             held[name] = held.get(name, 0) + 1
     chosen = sorted((f for f, n in held.items() if n >= MIN_DOCS), key=lambda f: (-held[f], f))[:VOCABULARY]
+    del held
     number = {f: i for i, f in enumerate(chosen)}
-    ids_, sentence_, doc_ = [], [], []
-    for d, one in enumerate(bags):
-        for s in one:
-            found = [number[f] for f in s if f in number]
-            ids_ += found
-            sentence_ += [len(doc_)] * len(found)
+    ids_, sentence_, doc_ = array("i"), array("i"), array("i")
+    for d, (text, _) in enumerate(rows):
+        for s in bag(text):
+            found = sorted({number[f] for w in s for f in features(w) if f in number})
+            ids_.extend(found)
+            sentence_.extend([len(doc_)] * len(found))
             doc_.append(d)
     ids, sentence_of, doc_of = (np.array(x, dtype=np.int64) for x in (ids_, sentence_, doc_))
     n_s, n_d = len(doc_of), len(y)

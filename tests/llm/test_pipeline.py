@@ -64,5 +64,5 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = Counter(n.split("_")[0] for n in entry.queries() if n.startswith("op"))
-    assert names == Counter(f"op{i}" for i in range(1, 11)) and "pipeline" in entry.queries()
+    assert names == Counter(f"op{i}" for i in range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
