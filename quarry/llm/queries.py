@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import conversation_repair, decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, mixing, prefix_trie, quality, substring_dedup, suffix_dedup, token_store, toxicity
+from quarry.llm import conversation_repair, conversation_sql, decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, mixing, prefix_trie, quality, substring_dedup, suffix_dedup, token_store, toxicity
 from quarry.llm.common import table
 
 #: The tokenizer file, the same path on every machine.
@@ -139,4 +139,6 @@ r AS (SELECT d.*, b.source_size, b.target, b.copies, b.budget, sum(size) OVER (P
              sum(size) OVER (PARTITION BY d.source, h) AS tied FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
 e AS (SELECT *, CASE WHEN upto <= budget OR (upto - tied <= budget AND upto - budget < budget - (upto - tied)) THEN 1 ELSE 0 END AS extra FROM r)
 SELECT doc_id, size, source_size, target, ((copies + extra) * size)::BIGINT AS taken FROM e""",
+    "op12_prefix_trie": conversation_sql.PREFIX_TRIE,
+    "op13_conversation_repair": conversation_sql.CONVERSATION_REPAIR,
 }

@@ -239,3 +239,19 @@ def test_streamed_digests(spark):
     rows = [(i % 4, i, f"l{i}é" if i % 3 else "") for i in range(2_000)]
     got = streamed_sha256(spark.createDataFrame(rows, "g long, at long, line string").repartition(6), "g", ["at"], "line", b"\n").collect()
     assert {x["g"]: x["sha256"] for x in got} == {g: sha("\n".join(x for k, _, x in rows if k == g)) for g in range(4)}
+
+
+def test_sql_equals_plain_python():
+    """The DuckDB SQL on the odd rows as well."""
+    import duckdb
+    import pandas as pd
+
+    from quarry.llm.queries import ORACLE_SQL
+
+    rows = [x for x in table(1) if x[0] != 200]  # the long conversation is left to Spark
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("frame", frame)
+    con.execute("CREATE TABLE conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role::VARCHAR AS role, text::VARCHAR AS text FROM frame")
+    assert set(con.execute(ORACLE_SQL["op12_prefix_trie"]).fetchall()) == trie(rows)
+    assert {x[0]: tuple(x[1:]) for x in con.execute(ORACLE_SQL["op13_conversation_repair"]).fetchall()} == repaired(rows)
