@@ -118,7 +118,8 @@ def site_files(spark: SparkSession, d: str) -> DataFrame:
 
 def go_files(spark: SparkSession, d: str) -> DataFrame:
     """One Go file per part, of one of the shapes in ``code_shapes``."""
-    p = read_table(spark, d, "part", "p_partkey", "p_size")
+    # the keys are dealt out before the texts are made: lexing them is heavy work for each row
+    p = spread(read_table(spark, d, "part", "p_partkey", "p_size"), "p_partkey")
     k = F.col("p_partkey")
     return p.select(F.concat(F.lit("f"), k.cast("string"), F.lit(".go")).alias("path"),
                     SH.by_shape(k, [g.text for g in SH.GO], k=k, v=F.col("p_size")).alias("content"))
@@ -126,7 +127,7 @@ def go_files(spark: SparkSession, d: str) -> DataFrame:
 
 def hcl_files(spark: SparkSession, d: str) -> DataFrame:
     """One HCL file per supplier, of one of the shapes in ``code_shapes``."""
-    s = read_table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    s = spread(read_table(spark, d, "supplier", "s_suppkey", "s_nationkey"), "s_suppkey")
     k = F.col("s_suppkey")
     return s.select(F.concat(F.lit("s"), k.cast("string"), F.lit(".tf")).alias("path"),
                     SH.by_shape(k, [h.text for h in SH.HCL], k=k, v=F.col("s_nationkey")).alias("content"))
