@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
-from quarry.functions.variant import fields, pick
+from quarry.functions.variant import keyed, pick
 from quarry.session import ensure_checkpoint_dir
 
 #: Fields of a node before and after its children, in the order of the document.
@@ -66,12 +66,12 @@ def from_nested(documents: DataFrame, *, json: str = "json", keep: tuple[str, ..
     """The flat manifest of nested documents: ``keep`` columns of the document, path, name, parent, depth, segments,
     is_dir, description, blob_hash, modified_at, size.  The root is no row; text that is not JSON gives none.
     A node without a path has the path of its parent and its name."""
-    opened = documents.select(*keep, fields(pick(fields(F.try_parse_json(F.col(json))), "root")).alias("node"))
+    opened = documents.select(*keep, keyed(pick(keyed(F.try_parse_json(F.col(json))), "root")).alias("node"))
     level = opened.filter("node IS NOT NULL").withColumn("at", F.coalesce(F.try_variant_get(pick(F.col("node"), "path"), "$", "string"), F.lit("")))
     out = None
     while True:
         inner = level.select(*keep, F.col("at").alias("parent"), F.explode(F.try_variant_get(pick(F.col("node"), "children"), "$", "array<variant>")).alias("child"))
-        inner = inner.select(*keep, "parent", fields(F.col("child")).alias("node")).filter("node IS NOT NULL")
+        inner = inner.select(*keep, "parent", keyed(F.col("child")).alias("node")).filter("node IS NOT NULL")
         told = inner.select(*keep, "parent", "node", *(F.try_variant_get(pick(F.col("node"), n), "$", k).alias(n) for n, k in _KINDS.items()))
         own = F.coalesce(F.nullif("path", F.lit("")), F.concat(F.when(F.col("parent") != "", F.concat("parent", F.lit("/"))).otherwise(F.lit("")), F.coalesce("name", F.lit(""))))
         level = _cut(told.withColumn("at", own))

@@ -137,3 +137,24 @@ def test_any_case_stays_in_the_jvm(spark):
     from quarry.plans.inspect import plan_text
     df = spark.createDataFrame([('{"answer": true}',)], "json string")
     assert "EvalPython" not in plan_text(PL.parse_json_any_case(df, S.CHANGES_PLAN).select(F.col("j.id")))
+
+
+def test_each_object_is_read_once_at_every_level(spark):
+    """A type nested deeper makes the expression longer by a level, not a number of times as long."""
+    def size(depth):
+        kind = T.StringType()
+        for i in range(depth):
+            kind = T.StructType([T.StructField(f"f{i}", kind), T.StructField("x", T.LongType())])
+        df = PL.parse_json_any_case(spark.createDataFrame([("{}",)], "json string").filter("json <> ''"), kind)
+        return df._jdf.queryExecution().optimizedPlan().toString().lower().count("map<string,variant>") + df._jdf.queryExecution().optimizedPlan().toString().count("MapType")
+    assert size(6) - size(5) <= size(3) - size(2)
+
+
+def test_keys_of_mixed_case_among_null_and_odd_values(spark):
+    texts = ['{"PLAN_ID": 1.50, "result": null, "RESULT": true, "comment": null}', '{"plan_id": {"a": 1}, "Result": true, "rESULT": false, "Comment": [1]}',
+             '{"plan_id": "p", "Plan_id": "q", "result": true}', '{"plan_id": "p", "plan_id": "q"}']
+    assert _parsed(spark, texts, S.REVIEW) == [
+        ({"plan_id": "1.5", "result": None, "comment": None}, False), ({"plan_id": '{"a":1}', "result": False, "comment": "[1]"}, False),
+        ({"plan_id": "p", "result": True, "comment": None}, False), (None, True)]
+    both = _parsed(spark, ['{"block": {"NAME": 3, "Block_Type": null, "block_type": "t"}}', '{"block": "x"}'], T.StructType([T.StructField("Block", S.LOCATED_BLOCK)]))
+    assert both == [({"Block": {"block_type": "t", "name": "3"}}, False), ({"Block": None}, False)]
