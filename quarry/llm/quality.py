@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import labelled
-from quarry.llm.common import crc_mod, remembers
+from quarry.llm.common import crc_mod, only, remembers
 
 #: Bytes in a piece, bytes in a dictionary, compression level.
 PIECE, DICT_BYTES, LEVEL = 1024, 65_536, 3
@@ -117,6 +117,17 @@ _SCORERS: dict[object, Scorer] = {}
 remembers("scorers", _SCORERS.clear)
 
 
+def _scorer(good: bytes, bad: bytes) -> Scorer:
+    """The worker's scorer of these dictionaries; a new one takes the place of what was remembered before it,
+    other operators' too."""
+    token = (hash(good), hash(bad))
+    if token not in _SCORERS:
+        only("scorers")
+        _SCORERS.clear()
+        _SCORERS[token] = Scorer(good, bad)
+    return _SCORERS[token]
+
+
 def score(model: Model | None, text: Column) -> Column:
     """Probability of label 1 for each whole text; null counts as empty; 0.5 without a model."""
     if model is None:
@@ -124,11 +135,7 @@ def score(model: Model | None, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        token = (hash(model.good), hash(model.bad))
-        if token not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[token] = Scorer(model.good, model.bad)
-        scorer = _SCORERS[token]
+        scorer = _scorer(model.good, model.bad)
         x = np.array([scorer.features(t) for t in texts]).reshape(-1, 2)
         z = x @ np.array(model.weights[:2]) + model.weights[2]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
