@@ -43,10 +43,18 @@ SHARD_TOKENS, BLOCK = 1 << 21, 4096
 #: Appended to every document.
 END_ID = 1
 
-#: Bytes of units that a worker remembers at most, and of text that it takes apart at a time.
-MEMORY_BYTES, SLICE_BYTES = 160 << 20, 2 << 20
+#: Bytes of units that a worker remembers at most, and of text that it takes apart at a time;
+#: the arrays over a slice take many times its bytes.
+MEMORY_BYTES, SLICE_BYTES = 64 << 20, 1 << 20
+
+#: Rows of an Arrow batch whose texts are Python strings at a time.
+ROWS = 256
 
 SCHEMA = "part long, seq long, n_tokens long, doc_ids array<long>, lengths array<long>, bits int, zeros array<long>, planes array<binary>, ranks array<binary>"
+_ARROW = pa.schema([
+    ("part", pa.int64()), ("seq", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
+    ("bits", pa.int32()), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())),
+])
 
 
 class WaveletMatrix:
@@ -326,6 +334,12 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _texts(column: pa.Array) -> Iterator[str]:
+    """The texts of a column (null: empty), ``ROWS`` of them as Python strings at a time."""
+    for at in range(0, len(column), ROWS):
+        yield from ("" if t is None else t for t in column.slice(at, ROWS).to_pylist())
+
+
 def _shard(part: int, seq: int, doc_ids: list, ids: list[np.ndarray], bits: int) -> dict:
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
     matrix = WaveletMatrix.build(flat, bits)
@@ -341,7 +355,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, shard_tokens: int = S
     write them in ascending doc_id order (null ids last; rows that share an id by
     text).  ``tokenizer`` is a path that executors can read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("encoders")
         encoder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids: list = []
@@ -349,23 +363,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, shard_tokens: int = S
         n = 0
         end = np.array([END_ID], dtype=encoder.type)
         for batch in batches:
-            keys = [None if pd.isna(i) else int(i) for i in batch["doc_id"].array]
-            texts = ["" if t is None else t for t in batch["text"]]
-            for key, ids in zip(keys, encoder.encode(texts)):
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(_texts(batch.column(1)))):
                 if n and n + len(ids) + 1 > shard_tokens:
-                    yield pd.DataFrame([_shard(part, seq, doc_ids, held, encoder.bits)])
+                    yield pa.RecordBatch.from_pylist([_shard(part, seq, doc_ids, held, encoder.bits)], schema=_ARROW)
                     doc_ids, held, n, seq = [], [], 0, seq + 1
                 doc_ids.append(key)
                 held.append(np.concatenate([ids, end]))
                 n += len(ids) + 1
         if doc_ids:
-            yield pd.DataFrame([_shard(part, seq, doc_ids, held, encoder.bits)])
+            yield pa.RecordBatch.from_pylist([_shard(part, seq, doc_ids, held, encoder.bits)], schema=_ARROW)
 
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange(id_order(), F.col("doc_id").isNull())
         .sortWithinPartitions(id_order(), F.col("doc_id").isNull(), "text")
-        .mapInPandas(run, SCHEMA)
+        .mapInArrow(run, SCHEMA)
         .write.parquet(folder)
     )
 
