@@ -1,8 +1,8 @@
 """Block index over code files (G1-G7): functions, variables, HCL blocks and
 attributes with 1-based line ranges and character offsets, for a whole files table.
 
-A small lexer (``functions.source_code``) tells the tokens of a file apart where the file lies.  From there on
-the index is windows and groups over token rows: running sums give every token its level, the next
+A small lexer (``functions.source_code``) tells the tokens of a file apart where the file lies.  From there on (Go: after
+one shuffle of the tokens by path) the index is windows and groups over token rows: running sums give every token its level, the next
 bracket of a level is an open one's mate, and declarations, specs, blocks and attributes are short groups
 of tokens of one level.  No window or group exceeds one file; texts are read again only to cut out what
 was found.  A file whose brackets do not match gives one ``error`` row instead of guesses.
@@ -102,14 +102,69 @@ def _row(kind: str, **cols) -> list[Column]:
     return [given[c].cast(kinds[c]).alias(c) if c in given else F.lit(None).cast(kinds[c]).alias(c) for c in _COLUMNS]
 
 
-def _go_functions(t: DataFrame, found: DataFrame) -> DataFrame:
-    """Declarations: their top-level tokens up to the next one are few (what brackets enclose is deeper)."""
-    starts = (F.col("text") == "func") & (F.col("kind") == SC.WORD) & (F.col("level") == 0) & (
-        F.col("prev_kind").isNull() | (F.col("prev_kind") == SC.NEWLINE) | F.col("prev_text").isin(";", "}"))
+_GO_TOKEN = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "text")] + [
+    T.StructField(c, T.IntegerType()) for c in ("pos", "end", "line", "doc_line", "doc_from")])
+
+
+@F.arrow_udf(T.ArrayType(_GO_TOKEN))
+def _go_tokens(texts):
+    import pyarrow as pa
+    found, counts = [], [0]
+    for src in texts.to_pylist():
+        found.extend(SC.go_tokens(src or ""))
+        counts.append(len(found))
+    kinds = [pa.string()] * 2 + [pa.int32()] * 5
+    columns = [pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 7, kinds)]
+    items = pa.StructArray.from_arrays(columns, names=_GO_TOKEN.names)
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), items)
+
+
+def _go_marked(src: DataFrame) -> DataFrame:
+    """The tokens of files ``(path, _src)`` with ``level`` (open brackets around them; a bracket has the level of
+    what is around it), ``broken`` (brackets of the file do not match), ``decl`` (number of the top-level declaration) and
+    ``is_name`` (a name of a ``var`` declaration: those that stand first, parted by commas, in each spec).
+
+    Two orders of a file's tokens give all of it: by place, and by place along each level.  Along a level every
+    open bracket stands once more (``mark``) as the beginning of what it encloses."""
+    found = src.select("path", F.posexplode(_go_tokens("_src")).alias("at", "t"), "_src")
+    # the text stays with a file's first token
+    found = found.select("path", "t.*", F.when(F.col("at") == 0, F.col("_src")).alias("_src"))
     along = Window.partitionBy("path").orderBy("pos")
-    top = t.filter("level = 0").withColumn("decl", F.sum(starts.cast("int")).over(along)).filter("decl > 0")
-    item = F.struct("pos", "end", "kind", "text", "prev_text", "line", "line_from", F.col("mate.pos").alias("mate"), F.col("mate.line").alias("mate_line"))
-    d = top.groupBy("path", "decl").agg(F.sort_array(F.collect_list(item)).alias("all"))
+    is_open, is_close, word = F.col("kind") == SC.OPEN, F.col("kind") == SC.CLOSE, F.col("kind") == SC.WORD
+    delta = F.when(is_open, 1).when(is_close, -1).otherwise(0)
+    t = found.withColumns({"after": F.sum(delta).over(along), "prev_kind": F.lag("kind").over(along), "prev_text": F.lag("text").over(along)})
+    t = t.withColumn("level", F.col("after") - is_open.cast("int"))
+    fresh_line = F.col("prev_kind").isNull() | (F.col("prev_kind") == SC.NEWLINE)
+    starts = (F.col("text") == "func") & word & (F.col("level") == 0) & (fresh_line | F.col("prev_text").isin(";", "}"))
+    is_var = word & (F.col("text") == "var") & (fresh_line | F.col("prev_text").isin(";", "{", "}"))
+    t = t.withColumns({"decl": F.sum(starts.cast("int")).over(along), "after_var": F.coalesce(F.lag(is_var).over(along), F.lit(False))})
+    r, region = _regions(t)
+    before = region.rowsBetween(Window.unboundedPreceding, -1)
+    plain = ~F.col("mark")
+    text = F.when(plain, F.col("text")).otherwise(F.lit(""))
+    r = r.withColumns({
+        "grouped": F.last(F.when(F.col("mark"), F.col("after_var") & (F.col("text") == "(")), ignorenulls=True).over(region),
+        "last_text": F.last(F.when(F.col("mark") | (F.col("kind") != SC.NEWLINE), text), ignorenulls=True).over(before),
+        "last_kind": F.lag(F.when(F.col("mark"), "m").otherwise(F.col("kind"))).over(region),
+        # what would close the bracket before, of the same level: nothing after a closing one
+        "closer": F.last(F.when(plain & is_open, F.translate("text", *_MATES)).when(plain & is_close, F.lit("")), ignorenulls=True).over(before),
+    }).filter(plain)
+    wrong = (is_close & (F.coalesce("closer", F.lit("")) != F.col("text"))) | (F.col("after") < 0)
+    whole = Window.partitionBy("path")
+    fresh = F.col("last_text").isin("", ";") | ((F.col("last_kind") == SC.NEWLINE) & ~F.substring("last_text", -1, 1).isin(*_GO_CONTINUES))
+    in_group = F.coalesce("grouped", F.lit(False)) & (F.col("kind") != SC.NEWLINE) & (F.col("text") != ";") & fresh
+    r = r.withColumns({"spec": (F.col("after_var") & (F.col("text") != "(")) | in_group, "broken": F.max(wrong).over(whole) | (F.sum(delta).over(whole) != 0)})
+    fine = (word & (F.col("spec") | (F.col("prev_text") == ","))) | ((F.col("text") == ",") & (F.col("prev_kind") == SC.WORD))
+    # the tokens of a spec up to the first that is neither name nor comma lie side by side on its level
+    level = Window.partitionBy("path", "region").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    off = (~fine).cast("int")
+    r = r.withColumn("off", F.sum(off).over(level))
+    r = r.withColumn("off_at_spec", F.last(F.when(F.col("spec"), F.col("off") - off), ignorenulls=True).over(level))
+    return r.withColumn("is_name", F.coalesce(word & (F.col("off") == F.col("off_at_spec")), F.lit(False)))
+
+
+def _go_function(d: DataFrame) -> DataFrame:
+    """The function of each declaration from its top-level tokens (``all``): few, what brackets enclose is deeper."""
     d = d.withColumn("h", F.filter("all", lambda x: x["kind"] != SC.NEWLINE))
     at = lambda i: F.try_element_at(F.col("h"), i)
     # func [ "(" receiver ")" ] name [ "[" type parameters "]" ] "(" parameters ")"
@@ -123,43 +178,15 @@ def _go_functions(t: DataFrame, found: DataFrame) -> DataFrame:
     d = d.withColumn("rest", F.filter("all", lambda x: x["pos"] >= F.col("head_end")))
     d = d.withColumn("stop_at", F.try_element_at(F.filter("rest", ends), F.lit(1)))
     d = d.withColumn("shown", F.filter("h", lambda x: F.col("stop_at").isNull() | (x["pos"] < F.col("stop_at.pos"))))
-    body = F.coalesce(F.col("stop_at.text") == "{", F.lit(False))
-    last = F.element_at("shown", -1)
-    d = d.select("path", F.element_at("h", 1).alias("func"), F.col("name.text").alias("name"), F.col("name.kind").alias("name_kind"), body.alias("body"),
-                 F.when(body, F.col("stop_at.mate") + 1).otherwise(last["end"]).alias("stop"), F.when(body, F.col("stop_at.mate_line")).otherwise(last["line"]).alias("end_line"),
-                 F.when(body, F.col("stop_at.end")).alias("body_from"), F.when(body, F.col("stop_at.mate")).alias("body_to"))
-    # runs of lines that hold a // comment alone; the run that ends above a declaration is its doc comment
-    notes = found.filter((F.col("kind") == SC.COMMENT) & F.col("text").startswith("//") & F.col("alone"))
-    runs = notes.withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line"))).groupBy("path", "run").agg(
-        F.max("line").alias("above"), F.min(F.struct("line", "line_from")).alias("doc"))
-    j = d.join(runs.select("path", (F.col("above") + 1).alias("line"), "doc").withColumnRenamed("path", "_p"), (F.col("path") == F.col("_p")) & (F.col("func.line") == F.col("line")), "left")
-    return j.select(*_row(
-        "function", name=F.col("name"), start_line=F.col("func.line"), end_line=F.col("end_line"), start=F.col("func.pos"), stop=F.col("stop"), body_from=F.col("body_from"),
-        body_to=F.col("body_to"), doc_start=F.coalesce("doc.line", "func.line"), doc_from=F.coalesce("doc.line_from", "func.line_from")), "name_kind")
-
-
-def _go_vars(t: DataFrame) -> DataFrame:
-    """Names of ``var`` declarations: those that stand first, parted by commas, in each spec."""
-    along = Window.partitionBy("path").orderBy("pos")
-    is_var = (F.col("kind") == SC.WORD) & (F.col("text") == "var") & (F.col("prev_kind").isNull() | (F.col("prev_kind") == SC.NEWLINE) | F.col("prev_text").isin(";", "{", "}"))
-    t = t.withColumn("after_var", F.coalesce(F.lag(is_var).over(along), F.lit(False)))
-    r, region = _regions(t)
-    before = region.rowsBetween(Window.unboundedPreceding, -1)
-    text = F.when(F.col("mark"), F.lit("")).otherwise(F.col("text"))
-    r = r.withColumns({
-        "grouped": F.last(F.when(F.col("mark"), F.col("after_var") & (F.col("text") == "(")), ignorenulls=True).over(region),
-        "last_text": F.last(F.when(F.col("mark") | (F.col("kind") != SC.NEWLINE), text), ignorenulls=True).over(before),
-        "last_kind": F.lag(F.when(F.col("mark"), "m").otherwise(F.col("kind"))).over(region),
-    }).filter("NOT mark")
-    fresh = F.col("last_text").isin("", ";") | ((F.col("last_kind") == SC.NEWLINE) & ~F.substring("last_text", -1, 1).isin(*_GO_CONTINUES))
-    in_group = F.coalesce("grouped", F.lit(False)) & (F.col("kind") != SC.NEWLINE) & (F.col("text") != ";") & fresh
-    spec = (F.col("after_var") & (F.col("text") != "(")) | in_group
-    names = r.withColumn("spec", spec).withColumn("run", F.sum(F.col("spec").cast("int")).over(along)).filter("run > 0")
-    word = F.col("kind") == SC.WORD
-    fine = (word & (F.col("spec") | (F.col("prev_text") == ","))) | ((F.col("text") == ",") & (F.col("prev_kind") == SC.WORD))
-    names = names.withColumn("off", F.sum((~fine).cast("int")).over(Window.partitionBy("path", "run").orderBy("pos"))).filter((F.col("off") == 0) & word)
-    line = F.col("line")
-    return names.select(*_row("var", name=F.col("text"), start_line=line, end_line=line, start=F.col("pos"), stop=F.col("end"), content=F.col("text")))
+    # of one level the bracket that follows an open one is its mate
+    mate = F.try_element_at(F.filter("rest", lambda x: (x["kind"] == SC.CLOSE) & (x["pos"] > F.col("stop_at.pos"))), F.lit(1))
+    d = d.withColumn("mate", F.when(F.col("stop_at.text") == "{", mate))
+    body, func, last = F.col("mate").isNotNull(), F.try_element_at("all", F.lit(1)), F.try_element_at("shown", F.lit(-1))
+    start, stop = func["pos"], F.when(body, F.col("mate.end")).otherwise(last["end"])
+    return d.withColumn("function", F.when(F.size("all") > 0, F.struct(*_row(
+        "function", name=F.col("name.text"), start_line=func["line"], end_line=F.when(body, F.col("mate.line")).otherwise(last["line"]), start=start, stop=stop,
+        body_from=F.when(body, F.col("stop_at.end")), body_to=F.when(body, F.col("mate.pos")), doc_start=func["doc_line"], doc_from=func["doc_from"],
+        content=F.substring("_src", start + 1, stop - start)))))
 
 
 def _hcl_items(t: DataFrame) -> DataFrame:
@@ -251,16 +278,25 @@ def _errors(paths: DataFrame, why: str) -> DataFrame:
 
 
 def _go_rows(files: DataFrame, path: str, content: str) -> DataFrame:
-    found = tokens(files, (".go",), SC.go_tokens, path=path, content=content)
-    t = _nested(found)
-    sound = t.filter("NOT broken").filter(F.col("kind") != SC.COMMENT)
-    funcs = _go_functions(sound, t)
+    """The tokens are dealt out by path once; everything after, texts too, stays where they lie."""
+    src = files.filter(F.col(path).endswith(".go")).select(F.col(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("_src"))
+    t = _go_marked(src)
+    top = (F.col("level") == 0) & (F.col("decl") > 0)
+    item = F.struct("pos", "end", "kind", "text", "prev_text", "line", "doc_line", "doc_from")
+    name = F.struct("pos", "end", "text", "line")
+    d = t.filter(F.col("broken") | top | F.col("is_name") | F.col("_src").isNotNull()).groupBy(
+        "path", "broken", F.when(~F.col("broken"), F.col("decl")).alias("decl")).agg(
+        F.sort_array(F.collect_list(F.when(~F.col("broken") & top, item))).alias("all"),
+        F.collect_list(F.when(~F.col("broken") & F.col("is_name"), name)).alias("names"), F.max("_src").alias("_src"))
+    whole = Window.partitionBy("path")
+    d = _go_function(d.withColumn("_src", F.max("_src").over(whole)))
     # a declaration without a name is no Go: the whole file is reported
-    nameless = funcs.filter(F.coalesce(F.col("name_kind"), F.lit("")) != SC.WORD).select("path").distinct()
-    bad = t.filter("broken").select("path").distinct().union(nameless)
-    src = files.select(F.col(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("_src"))
-    rows = funcs.drop("name_kind").join(src, "path").withColumn("content", F.substring("_src", F.col("start") + 1, F.col("stop") - F.col("start"))).drop("_src")
-    return rows.unionByName(_go_vars(sound)).join(bad, "path", "left_anti").unionByName(_errors(bad, "brackets do not match"))
+    nameless = F.max(F.col("function").isNotNull() & (F.coalesce(F.col("name.kind"), F.lit("")) != SC.WORD)).over(whole)
+    d = d.withColumn("bad", F.col("broken") | nameless).withColumn("first", F.row_number().over(whole.orderBy("decl")) == 1)
+    variables = F.transform("names", lambda x: F.struct(*_row(
+        "var", name=x["text"], start_line=x["line"], end_line=x["line"], start=x["pos"], stop=x["end"], content=x["text"])))
+    error = F.when(F.col("first"), F.array(F.struct(*_row("error", content=F.lit("brackets do not match")))))
+    return d.select(F.inline(F.when(F.col("bad"), error).otherwise(F.array_compact(F.concat(F.array("function"), variables)))))
 
 
 def _hcl_all(files: DataFrame, path: str, content: str) -> DataFrame:

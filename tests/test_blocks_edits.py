@@ -279,3 +279,19 @@ def test_hcl_index_of_ordinary_layouts(spark):
     blocks, attrs = BK.hcl_index(_one(spark, "t.tf", text))
     assert [(r.block_type, r.block_name, r.start_line, r.end_line) for r in blocks.orderBy("start").collect()] == [("variable", "x", 1, 1), ("resource", "a,b", 2, 8)]
     assert {r.name: r.value for r in attrs.collect()} == {"default": "1", "t": "<<EOT\n}\nEOT", "l": '["p","q"]', "s": '"${f("}")}"'}
+
+
+def test_go_index_shuffles_tokens_once(spark):
+    """One exchange by path deals the tokens out; functions, variables and errors come from the same windows."""
+    files = _files(spark, [("m.go", GO)]).repartition(4)
+    plan = BK._go_rows(files, "path", "content")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(path") == 1 and plan.count("ArrowEvalPython") == 1 and "Scan parquet" not in plan
+
+
+def test_go_index_of_odd_files(spark):
+    rows = [("a.go", "var (\n\ta, b = 1, 2\n)\nfunc f() {}\n// x\n// y\nfunc g() {\n\tvar q int\n}\n"), ("b.go", "func f( {"), ("c.go", "func f() }"), ("d.go", "func f(]{}"),
+            ("e.go", "func () {}\nvar x = 1"), ("f.go", ""), ("g.go", None), ("h.go", "// only a note"), ("i.go", "var s = \"}\" // {\nvar t = '('\n"), ("n.py", "func f() {}")]
+    index = BK._go_rows(_files(spark, rows), "path", "content")
+    got = sorted((r.path, r.kind, r.name or "", r.start_line or 0, r.doc_start or 0) for r in index.collect())
+    assert got == [("a.go", "function", "f", 4, 4), ("a.go", "function", "g", 7, 5), ("a.go", "var", "a", 2, 0), ("a.go", "var", "b", 2, 0), ("a.go", "var", "q", 8, 0),
+                   ("b.go", "error", "", 0, 0), ("c.go", "error", "", 0, 0), ("d.go", "error", "", 0, 0), ("e.go", "error", "", 0, 0), ("i.go", "var", "s", 1, 0), ("i.go", "var", "t", 2, 0)]
