@@ -110,3 +110,26 @@ def test_unified_hunks(spark):
         got.setdefault(row["path"], []).append((row["header"], row["text"]))
     for i, (a, b) in enumerate(pairs):
         assert got.get(f"f{i}", []) == (_by_difflib(a, b) if a != b else [])
+
+
+def test_texts_meet_once_and_lines_stay_by_path(spark):
+    """Texts of both sides meet in one shuffle, the script's lines need another one; no round writes a checkpoint."""
+    before, after = _frames(spark, [("a\nb\n", "a\nc\n"), ("x\n", "x\n")])
+    before, after = before.repartition(3), after.repartition(3)
+    hint = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, n in ((DF.unified(before, after), 2), (DF.replay(before, DF.script(before, after)), 3)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(path") == n and plan.count("ArrowEvalPython") == 1, plan
+            assert "ExistingRDD" not in plan.replace("Scan ExistingRDD[path", "")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", hint)
+
+
+def test_long_files_with_far_changes(spark):
+    a = [f"line {i}" for i in range(4_000)]
+    b = a[:10] + ["new"] + a[10:3_990] + a[3_991:]
+    before, after = _frames(spark, [("\n".join(a) + "\n", "\n".join(b) + "\n")])
+    got = [r["header"] for r in DF.unified(before, after).orderBy("hunk").collect()]
+    assert got == ["@@ -8,6 +8,7 @@", "@@ -3988,7 +3989,6 @@"]
