@@ -428,6 +428,7 @@ def block_match(requested: DataFrame, candidates: DataFrame, *, req_id: str = "r
     """Match requested blocks to candidates (G6): same path, type and name, first
     match only; a request of type ``file`` matches every candidate of its path;
     unmatched requests are dropped."""
+    candidates = _kept(candidates)  # read three times below
     exact = requested.filter(F.col("target_type") != "file").join(
         candidates, ["path", "target_type", "target_name"]).groupBy(req_id, "path", "target_type", "target_name").agg(
         F.min("start_line").alias("start_line"))

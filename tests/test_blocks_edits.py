@@ -295,3 +295,13 @@ def test_go_index_of_odd_files(spark):
     got = sorted((r.path, r.kind, r.name or "", r.start_line or 0, r.doc_start or 0) for r in index.collect())
     assert got == [("a.go", "function", "f", 4, 4), ("a.go", "function", "g", 7, 5), ("a.go", "var", "a", 2, 0), ("a.go", "var", "b", 2, 0), ("a.go", "var", "q", 8, 0),
                    ("b.go", "error", "", 0, 0), ("c.go", "error", "", 0, 0), ("d.go", "error", "", 0, 0), ("e.go", "error", "", 0, 0), ("i.go", "var", "s", 1, 0), ("i.go", "var", "t", 2, 0)]
+
+
+def test_block_match_reads_an_index_that_is_kept(spark):
+    """The candidates are read three times; their index is worked out once."""
+    files = _files(spark, [("m.go", GO)])
+    req = spark.createDataFrame([("1", "m.go", "function", "main"), ("2", "m.go", "file", ""), ("3", "m.go", "function", "none")],
+                                "req_id string, path string, target_type string, target_name string")
+    out = BK.block_match(req, BK.block_candidates(files))
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.req_id, r.target_name, r.start_line) for r in out.collect()) == [("1", "main", 6), ("2", "Method", 13), ("2", "main", 6)]
